@@ -1,24 +1,26 @@
 """Neighbour and position of rows in a per-key order, safe against hot keys.
 
-A window partitioned by key puts all rows of a key into one task. Here, keys that
-hold very many rows are cut into time slices, each its own window partition. What a
-slice has to know about its neighbours is carried in by one extra row per slice:
+A window partitioned by key puts all rows of a key into one task. So keys that hold
+very many rows are first looked up (`hot_keys`) and cut into time slices, each a window
+partition of its own. What a slice has to know about its neighbours is carried in by
+one extra row per slice, dropped after the window:
 
 * `with_next`: a copy of the next slice's first row, placed last;
 * `with_position`: the number of rows in earlier slices, placed first.
 
-The extra rows are dropped after the window, so the result equals that of the plain
-window. Keys that are not hot stay whole and carry no extra rows.
+The result equals that of the plain window, which is also the plan if no key is hot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of one key that a single task may sort; keys beyond it are sliced.
 HOT_ROWS = 5_000_000
-# Most keys a sketch can report, so the broadcast below is never larger.
+# Most keys a sketch can report, so no longer list ever reaches the driver.
 TRACKED_KEYS = 4096
 # First-level merges of the sketch: bounds how much the last task merges.
 SKETCH_LANES = 256
@@ -29,86 +31,91 @@ _SLICE = "_slice"
 _CARRIED = "_carried"
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least about `hot_rows` rows: (`_hot_key`), at most TRACKED_KEYS rows.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
+    """Keys with at least about `hot_rows` rows (None may be one): at most TRACKED_KEYS.
 
-    A frequent-items sketch finds them from one pass over the key column, merged in
-    two levels. It is only used to choose slices, so its error never changes a result.
+    Runs one job: a frequent-items sketch over the key column alone, merged in two
+    levels. The keys only choose slices, so the sketch's error never changes a result.
     """
     sketch = f"approx_top_k_accumulate({key}, {TRACKED_KEYS})"
     merged = f"approx_top_k_combine(sketch, {TRACKED_KEYS})"
-    return (
-        df.select(key)
-        .withColumn("lane", F.spark_partition_id() % SKETCH_LANES)
-        .groupBy("lane")
+    rows = (
+        df.groupBy((F.spark_partition_id() % SKETCH_LANES).alias("lane"))
         .agg(F.expr(sketch).alias("sketch"))
         .agg(F.expr(f"approx_top_k_estimate({merged}, {TRACKED_KEYS})").alias("top"))
         .select(F.inline("top"))
         .where(F.col("count") >= hot_rows)
-        .select(F.col("item").alias("_hot_key"))
+        .select("item")
+        .collect()
     )
+    return [row["item"] for row in rows]
+
+
+def _is_hot(key: str, hot: Sequence) -> Column:
+    listed = F.col(key).isin([k for k in hot if k is not None])
+    return F.coalesce(listed, F.lit(None in hot))
 
 
 def _slice_of(order: str, tie: str) -> Column:
     """Order-preserving slice number: the hour of the order value, then ranges of ties."""
     value = F.col(order)
-    hours = F.datediff(F.to_date(value), F.lit("1970-01-01").cast("date")) * F.lit(24) + F.hour(value)
-    undated = F.lit(1 << 40) + F.floor(F.coalesce(F.col(tie), F.lit(0)) / TIES_PER_SLICE)
-    return F.coalesce(hours.cast("long"), undated.cast("long"))
+    days = F.datediff(F.to_date(value), F.lit("1970-01-01").cast("date"))
+    undated = F.lit(1 << 40) + F.floor(F.coalesce(F.col(tie), F.lit(0)) / F.lit(TIES_PER_SLICE))
+    return F.coalesce((days * 24 + F.hour(value)).cast("long"), undated.cast("long"))
 
 
 def _sliced(
-    df: DataFrame, key: str, order: str, tie: str, hot_rows: int
+    df: DataFrame, key: str, order: str, tie: str, hot: Sequence
 ) -> tuple[DataFrame, DataFrame]:
-    """All rows with their slice (0 for whole keys), and the hot keys' rows alone."""
-    hot = F.broadcast(hot_keys(df, key, hot_rows))
-    same_key = F.col(key).eqNullSafe(F.col("_hot_key"))
+    """All rows with their slice (0 for keys left whole), and the hot keys' rows alone."""
     number = _slice_of(order, tie)
-    # A NULL key is one group too; the marker tells it from "no match".
-    marked = df.join(hot.withColumn("_is_hot", F.lit(True)), same_key, "left")
-    rows = marked.withColumn(
-        _SLICE, F.when(F.col("_is_hot"), number).otherwise(F.lit(0).cast("long"))
-    ).drop("_hot_key", "_is_hot")
-    hot_only = df.join(hot, same_key, "inner").withColumn(_SLICE, number).drop("_hot_key")
-    return rows, hot_only
+    whole = F.lit(0).cast("long")
+    rows = df.withColumn(_SLICE, F.when(_is_hot(key, hot), number).otherwise(whole))
+    return rows, df.where(_is_hot(key, hot)).withColumn(_SLICE, number)
+
+
+def _ascending(*names: str) -> list[Column]:
+    return [F.col(name).asc_nulls_last() for name in names]
 
 
 def with_next(
-    df: DataFrame, key: str, order: str, tie: str, leads: dict[str, str], hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, order: str, tie: str, leads: dict[str, str], hot: Sequence = ()
 ) -> DataFrame:
     """Add columns holding the next row's values, per key, by order (nulls last), then tie.
 
     `leads` maps each new column to the column it takes from the next row.
     """
-    rows, hot_only = _sliced(df, key, order, tie, hot_rows)
-    taken = sorted(set(leads.values()) | {order, tie})
-    by_key = Window.partitionBy(key).orderBy(_SLICE)
+
+    def lead_over(window: Window) -> dict[str, Column]:
+        return {name: F.lead(source, 1).over(window) for name, source in leads.items()}
+
+    if not hot:
+        return df.withColumns(lead_over(Window.partitionBy(key).orderBy(*_ascending(order, tie))))
+    rows, hot_only = _sliced(df, key, order, tie, hot)
+    taken = [order, tie, *sorted(set(leads.values()) - {order, tie})]
+    slices = Window.partitionBy(key).orderBy(_SLICE)
     carried = (
         hot_only.groupBy(key, _SLICE)
-        .agg(F.min(F.struct(order, tie, *[c for c in taken if c not in (order, tie)])).alias("first"))
-        .withColumn(_SLICE, F.lag(_SLICE).over(by_key))
+        .agg(F.min(F.struct(*taken)).alias("first"))
+        .withColumn(_SLICE, F.lag(_SLICE).over(slices))
         .where(F.col(_SLICE).isNotNull())
         .select(key, _SLICE, "first.*", F.lit(True).alias(_CARRIED))
     )
     stacked = rows.withColumn(_CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    in_order = Window.partitionBy(key, _SLICE).orderBy(
-        _CARRIED, F.col(order).asc_nulls_last(), F.col(tie).asc_nulls_last()
-    )
-    return (
-        stacked.withColumns({name: F.lead(source, 1).over(in_order) for name, source in leads.items()})
-        .where(~F.col(_CARRIED))
-        .drop(_SLICE, _CARRIED)
-    )
+    in_order = Window.partitionBy(key, _SLICE).orderBy(_CARRIED, *_ascending(order, tie))
+    led = stacked.withColumns(lead_over(in_order))
+    return led.where(~F.col(_CARRIED)).drop(_SLICE, _CARRIED)
 
 
 def with_position(
-    df: DataFrame, key: str, order: str, tie: str, name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, order: str, tie: str, name: str, hot: Sequence = ()
 ) -> DataFrame:
     """Add the row's 1-based position, per key, by order (nulls last), then tie."""
-    rows, hot_only = _sliced(df, key, order, tie, hot_rows)
-    earlier = (
-        Window.partitionBy(key).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    if not hot:
+        in_order = Window.partitionBy(key).orderBy(*_ascending(order, tie))
+        return df.withColumn(name, F.row_number().over(in_order).cast("long"))
+    rows, hot_only = _sliced(df, key, order, tie, hot)
+    earlier = Window.partitionBy(key).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         hot_only.groupBy(key, _SLICE)
         .agg(F.count(F.lit(1)).alias("rows_here"))
@@ -118,14 +125,9 @@ def with_position(
     stacked = rows.withColumn(_CARRIED, F.lit(None).cast("long")).unionByName(
         carried, allowMissingColumns=True
     )
-    in_order = Window.partitionBy(key, _SLICE).orderBy(
-        F.col(_CARRIED).asc_nulls_last(),
-        F.col(order).asc_nulls_last(),
-        F.col(tie).asc_nulls_last(),
-    )
+    in_order = Window.partitionBy(key, _SLICE).orderBy(*_ascending(_CARRIED, order, tie))
     running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = F.sum(F.coalesce(F.col(_CARRIED), F.lit(1))).over(running)
     return (
-        stacked.withColumn(name, F.sum(F.coalesce(F.col(_CARRIED), F.lit(1))).over(running))
-        .where(F.col(_CARRIED).isNull())
-        .drop(_SLICE, _CARRIED)
+        stacked.withColumn(name, counted).where(F.col(_CARRIED).isNull()).drop(_SLICE, _CARRIED)
     )

@@ -6,6 +6,7 @@ started first: what `lead` over the starts yields, as a set.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import ACTIVE_INVENTORY, RENEWABLE_PACKAGE_TYPE
 from tidemark.functions.month import MonthWindow, local_day, utc_literal
-from tidemark.operators.ordered import HOT_ROWS, with_next
+from tidemark.operators.ordered import with_next
 from tidemark.operators.sales import is_paid
 
 
-def next_by_expiry(inventories: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def next_by_expiry(inventories: DataFrame, hot: Sequence = ()) -> DataFrame:
     """Each inventory with expiry and start of the user's next one by expiry."""
     return with_next(
         inventories.select("id", "user_id", "actual_expired_at", "original_started_at"),
@@ -28,12 +29,12 @@ def next_by_expiry(inventories: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
             "next_actual_expired_at": "actual_expired_at",
             "next_ori_started_at": "original_started_at",
         },
-        hot_rows=hot_rows,
+        hot=hot,
     )
 
 
 def next_by_start(
-    inventories: DataFrame, order: str = "original_started_at", hot_rows: int = HOT_ROWS
+    inventories: DataFrame, order: str = "original_started_at", hot: Sequence = ()
 ) -> DataFrame:
     """Each inventory with the original start of the user's next one by `order`."""
     columns = dict.fromkeys(("id", "user_id", "original_started_at", order))
@@ -43,7 +44,7 @@ def next_by_start(
         order=order,
         tie="id",
         leads={"next_ori_started_at": "original_started_at"},
-        hot_rows=hot_rows,
+        hot=hot,
     )
 
 

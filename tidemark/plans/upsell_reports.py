@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.figures import ratio, ratio_or_zero, side_by_side
 from tidemark.functions.month import MonthWindow
-from tidemark.operators.ordered import HOT_ROWS
 from tidemark.operators.renewals import (
     early_renewers,
     expired_user_counts,
@@ -29,12 +28,10 @@ def upsell_average(tables: Tables, month: MonthWindow) -> DataFrame:
     )
 
 
-def upsell_renewal_counts(
-    tables: Tables, month: MonthWindow, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def upsell_renewal_counts(tables: Tables, month: MonthWindow) -> DataFrame:
     """Users who expire in the month, renew early, renew on the day, or come back in it."""
     inventories, purchases = tables.user_inventories, tables.purchased_packages
-    near = next_by_expiry(near_months(inventories, month, month), hot_rows)
+    near = next_by_expiry(near_months(inventories, month, month), tables.hot_users)
     return side_by_side(
         expiring_users(near, user_expired_this_month=month),
         early_renewers(inventories, purchases, month, "number_upsale_before_time"),
@@ -62,13 +59,13 @@ def upsell_rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def upsell_forecast(tables: Tables, month: MonthWindow, hot_rows: int = HOT_ROWS) -> DataFrame:
+def upsell_forecast(tables: Tables, month: MonthWindow) -> DataFrame:
     """Last month's renewal rate (in percent, as it is defined) times this month's
     expiring users times last month's average upsell. Raises (ANSI) if last month has
     neither expiring users nor early renewers."""
     last = month.previous()
     inventories, purchases = tables.user_inventories, tables.purchased_packages
-    near = next_by_expiry(near_months(inventories, last, month), hot_rows)
+    near = next_by_expiry(near_months(inventories, last, month), tables.hot_users)
     row = average_order(
         side_by_side(
             expiring_users(near, expired_last=last, expired_this=month),

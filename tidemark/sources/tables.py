@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidemark.operators.ordered import HOT_ROWS, hot_keys
+
 REQUIRED_COLUMNS = {
     "users": ("id", "created_at"),
     "user_leads": ("id", "created_at"),
@@ -56,25 +59,31 @@ class Tables:
     packages: DataFrame
     purchased_packages: DataFrame
     user_inventories: DataFrame
+    hot_rows: int = HOT_ROWS
 
     def __post_init__(self) -> None:
-        for field in fields(self):
-            df = getattr(self, field.name)
-            missing = [c for c in REQUIRED_COLUMNS[field.name] if c not in df.columns]
+        for name, columns in REQUIRED_COLUMNS.items():
+            df = getattr(self, name)
+            missing = [c for c in columns if c not in df.columns]
             if missing:
-                raise ValueError(f"{field.name} lacks the columns {', '.join(missing)}")
+                raise ValueError(f"{name} lacks the columns {', '.join(missing)}")
             zoned = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
             if zoned and df.sparkSession.conf.get("spark.sql.session.timeZone") not in _UTC_NAMES:
                 raise ValueError(
-                    f"{field.name} has zoned timestamps ({', '.join(zoned)}): "
+                    f"{name} has zoned timestamps ({', '.join(zoned)}): "
                     "set spark.sql.session.timeZone to UTC or store TIMESTAMP_NTZ"
                 )
 
+    @cached_property
+    def hot_users(self) -> list:
+        """Users with very many inventories, looked up once by one job and then kept."""
+        return hot_keys(self.user_inventories, "user_id", self.hot_rows)
+
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str) -> Tables:
         """Read `<folder>/<table>` (a Parquet file or directory) for each table."""
-        return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
+        return cls(**{name: spark.read.parquet(f"{folder}/{name}") for name in REQUIRED_COLUMNS})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> Tables:
-        return cls(**{f.name: spark.table(f"{database}.{f.name}") for f in fields(cls)})
+        return cls(**{name: spark.table(f"{database}.{name}") for name in REQUIRED_COLUMNS})

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import HOT_ROWS, with_position
+from tidemark.operators.ordered import HOT_ROWS, hot_keys, with_position
 from tidemark.sources.tables import Tables
 
 
@@ -72,7 +72,13 @@ def from_test_data(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -
             "concat('pkg', p_partkey) as mongo_id", "p_size % 5 as package_type"
         ),
         purchased_packages=with_position(
-            payments, "customer_id", "o_orderdate", "id", "paid_counter", hot_rows
+            payments,
+            "customer_id",
+            "o_orderdate",
+            "id",
+            "paid_counter",
+            hot_keys(orders, "o_custkey", hot_rows),
         ).drop("o_orderdate"),
         user_inventories=_inventories(payments),
+        hot_rows=hot_rows,
     )
