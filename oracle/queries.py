@@ -1,16 +1,19 @@
 """DuckDB texts that say directly what each query means, without the rewrites the Spark
 side uses: plain windows, plain joins, distinct counts.
 
-All are for July 1995 at UTC+7; June is the month before.
+A month runs between local midnights at UTC+7: `prior` to `start` is the month before,
+`start` to `finish` the month itself, and `first_day` its local first day.
 """
 
 from __future__ import annotations
 
 _BOUNDS = """
 month_bounds as (
-    select timestamp '1995-05-31 17:00:00' as june,
-           timestamp '1995-06-30 17:00:00' as july,
-           timestamp '1995-07-31 17:00:00' as august
+    select first_day,
+           first_day - interval '1' month - interval '7' hour as prior,
+           first_day - interval '7' hour as start,
+           first_day + interval '1' month - interval '7' hour as finish
+    from (select make_timestamp({year}, {month}, 1, 0, 0, 0) as first_day) m
 )"""
 
 _TABLES = """
@@ -67,20 +70,21 @@ sale_again as (
 sale_member_new as (
     select s.*, a.name, cast(week(s.purchased_at + interval '7' hour) as int) as weekios
     from sale_new s join admins a using (admin_id), month_bounds
-    where s.purchased_at >= july and s.purchased_at < august - interval '1' microsecond
+    where s.purchased_at >= start and s.purchased_at < finish - interval '1' microsecond
 ),
 sale_member_again as (
     select s.*, a.name, cast(week(s.purchased_at + interval '7' hour) as int) as weekios
     from sale_again s join admins a using (admin_id), month_bounds
-    where s.purchased_at >= july and s.purchased_at < august - interval '1' microsecond
+    where s.purchased_at >= start and s.purchased_at < finish - interval '1' microsecond
 )"""
 
 _WEEKS = """
-july_weeks as (
+month_weeks as (
     select cast(monday as date) as first_day_of_week, cast(week(monday) as int) as isoweek,
            cast(row_number() over (order by monday) as int) as week
     from (select distinct date_trunc('week', d) as monday
-          from range(timestamp '1995-07-01', timestamp '1995-08-01', interval '1' day) r(d)) m
+          from (select unnest(range(first_day, first_day + interval '1' month, interval '1' day)) as d
+                from month_bounds) days) mondays
 )"""
 
 _RENEWALS = """
@@ -113,8 +117,8 @@ paid_active as (
 expiring as (
     select m.label, count(distinct e.user_id) as users
     from by_expiry e,
-         (select 'june' as label, june as lo, july as hi from month_bounds
-          union all select 'july', july, august from month_bounds) m
+         (select 'last' as label, prior as lo, start as hi from month_bounds
+          union all select 'this', start, finish from month_bounds) m
     where case when e.next_actual_expired_at is null
                then e.actual_expired_at >= m.lo and e.actual_expired_at < m.hi
                else e.actual_expired_at > e.next_ori_started_at
@@ -128,55 +132,55 @@ renewed as (
            count(distinct e.user_id) filter (date_trunc('day', e.local_end)
                = date_trunc('day', s.next_ori_started_at + interval '7' hour)) as on_time
     from paid_active e join by_start s using (user_id),
-         (select 'june' as label, june as lo, july as hi from month_bounds
-          union all select 'july', july, august from month_bounds) m
+         (select 'last' as label, prior as lo, start as hi from month_bounds
+          union all select 'this', start, finish from month_bounds) m
     where e.actual_expired_at >= m.lo and e.actual_expired_at < m.hi
     group by m.label
 ),
 returned as (
     select count(distinct e.user_id) as users
     from paid_active e join by_start s using (user_id), month_bounds
-    where e.actual_expired_at < july
-      and date_trunc('month', s.next_ori_started_at + interval '7' hour) = timestamp '1995-07-01'
+    where e.actual_expired_at < start
+      and date_trunc('month', s.next_ori_started_at + interval '7' hour) = first_day
 ),
 renewal_counts as (
-    select (select users from expiring where label = 'july') as user_expired_this_month,
-           (select early from renewed where label = 'july') as number_upsale_before_time,
-           (select on_time from renewed where label = 'july') as number_upsale_on_time,
+    select coalesce((select users from expiring where label = 'this'), 0) as user_expired_this_month,
+           coalesce((select early from renewed where label = 'this'), 0) as number_upsale_before_time,
+           coalesce((select on_time from renewed where label = 'this'), 0) as number_upsale_on_time,
            (select users from returned) as number_expired_ago_upsale_this_month
 ),
 ended as (
-    select count(distinct user_id) filter (actual_expired_at >= june and actual_expired_at < july)
+    select count(distinct user_id) filter (actual_expired_at >= prior and actual_expired_at < start)
                as expired_last_month,
-           count(distinct user_id) filter (actual_expired_at >= july and actual_expired_at < august)
+           count(distinct user_id) filter (actual_expired_at >= start and actual_expired_at < finish)
                as expired_this_month,
            (select count(distinct e.user_id) from paid_active e join by_started_at n using (user_id),
                    month_bounds
-            where e.actual_expired_at >= june and e.actual_expired_at < july) as matched_last_month
+            where e.actual_expired_at >= prior and e.actual_expired_at < start) as matched_last_month
     from paid_active, month_bounds
 )"""
 
 _COHORTS = """
 cohort as (
-    select count(distinct p.customer_id) filter (p.amount > 0 and r.created_at >= july) as bought,
-           count(distinct p.customer_id) filter (p.amount > 0 and r.created_at >= july
+    select count(distinct p.customer_id) filter (p.amount > 0 and r.created_at >= start) as bought,
+           count(distinct p.customer_id) filter (p.amount > 0 and r.created_at >= start
                and p.claimed_at <= p.purchased_at) as claimed,
-           count(distinct r.id) filter (r.created_at < july) as earlier
+           count(distinct r.id) filter (r.created_at < start) as earlier
     from first_paid p join registered r on r.id = p.customer_id, month_bounds
-    where p.purchased_at >= july and p.purchased_at < august and r.created_at < august
+    where p.purchased_at >= start and p.purchased_at < finish and r.created_at < finish
 ),
-cohort_june as (
+cohort_last as (
     select count(distinct p.customer_id) as bought
     from sale_new p join registered r on r.id = p.customer_id, month_bounds
-    where p.purchased_at >= june and p.purchased_at < july
-      and r.created_at >= june and r.created_at < july
+    where p.purchased_at >= prior and p.purchased_at < start
+      and r.created_at >= prior and r.created_at < start
 ),
-cohort_june_called as (
+cohort_last_called as (
     select count(distinct p.customer_id) as bought,
            count(distinct p.customer_id) filter (p.claimed_at <= p.purchased_at) as claimed
     from sale_new p join registered_called r on r.id = p.customer_id, month_bounds
-    where p.purchased_at >= june and p.purchased_at < july
-      and r.created_at >= june and r.created_at < july
+    where p.purchased_at >= prior and p.purchased_at < start
+      and r.created_at >= prior and r.created_at < start
 )"""
 
 _MEMBERS = """
@@ -191,10 +195,10 @@ member_totals as (
 member_weeks as (
     select 'new_sale' as kind, s.name, w.week, count(s.id) as orders,
            cast(sum(s.local_amount) as bigint) as income
-    from sale_member_new s join july_weeks w on w.isoweek = s.weekios group by s.name, w.week
+    from sale_member_new s join month_weeks w on w.isoweek = s.weekios group by s.name, w.week
     union all
     select 'upsell', s.name, w.week, count(s.id), cast(sum(s.local_amount) as bigint)
-    from sale_member_again s join july_weeks w on w.isoweek = s.weekios group by s.name, w.week
+    from sale_member_again s join month_weeks w on w.isoweek = s.weekios group by s.name, w.week
 ),
 member_lines as (
     select kind, name, cast(week as varchar) as week, 'order' as type, orders as value from member_weeks
@@ -220,15 +224,15 @@ _PURCHASE = """id, mongo_id, customer_id, admin_id, package_id, paid_counter, st
 
 _AVERAGE = "cast(sum(local_amount) as double) / nullif(count(id), 0)"
 
-_IN_JULY = "purchased_at >= july and purchased_at < august"
-_IN_JUNE = "purchased_at >= june and purchased_at < july"
+_IN_MONTH = "purchased_at >= start and purchased_at < finish"
+_IN_PRIOR = "purchased_at >= prior and purchased_at < start"
 
 _QUERIES = {
     # Reports
     "new_sale_average": f"""
         select count(id) as total_count, cast(sum(local_amount) as bigint) as total_amount,
                {_AVERAGE} as average
-        from sale_new, month_bounds where {_IN_JULY}""",
+        from sale_new, month_bounds where {_IN_MONTH}""",
     "new_sale_rate": """
         select coalesce(bought / nullif(cast(claimed as double), 0) * 100, 0) as newsale_rate_in_month,
                coalesce((earlier + bought) / nullif(cast(claimed + earlier as double), 0) * 100, 0)
@@ -240,32 +244,32 @@ _QUERIES = {
                rate * nru as total_nru_new_sale_success, rate * nru * avg_order as predict_money
         from (select coalesce(bought / nullif(cast(claimed as double), 0) * 100, 0) as rate,
                      (select count(id) from registered_called, month_bounds
-                      where created_at >= july and created_at < august) as nru,
-                     (select {_AVERAGE} from sale_new, month_bounds where {_IN_JUNE}) as avg_order
-              from cohort_june_called)""",
+                      where created_at >= start and created_at < finish) as nru,
+                     (select {_AVERAGE} from sale_new, month_bounds where {_IN_PRIOR}) as avg_order
+              from cohort_last_called)""",
     "new_sale_forecast_by_nru": f"""
         select rate as rate_new_sale_last_month, nru as total_nru_this_month,
                avg_order as average_new_sale_last_month, avg_order * rate * nru as real_money
         from (select cast(bought as double)
                          / (select count(id) from registered, month_bounds
-                            where created_at >= june and created_at < july) as rate,
+                            where created_at >= prior and created_at < start) as rate,
                      (select count(id) from registered, month_bounds
-                      where created_at >= july and created_at < august) as nru,
-                     (select {_AVERAGE} from sale_new, month_bounds where {_IN_JUNE}) as avg_order
-              from cohort_june)""",
+                      where created_at >= start and created_at < finish) as nru,
+                     (select {_AVERAGE} from sale_new, month_bounds where {_IN_PRIOR}) as avg_order
+              from cohort_last)""",
     "upsell_average": f"""
         select count(id) as number_upsale, cast(sum(local_amount) as bigint) as total_amount,
                {_AVERAGE} as net_upsale_average
-        from sale_again, month_bounds where {_IN_JULY}""",
+        from sale_again, month_bounds where {_IN_MONTH}""",
     "upsell_renewal_counts": "select * from renewal_counts",
     "upsell_forecast": f"""
         select rate as upsale_rate_last_month, expired as number_expired_this_month,
                avg_order as net_upsale_pre_month, rate * expired as user_upsale_successfully,
                rate * expired * avg_order as predict_net_sale
         from (select cast(r.on_time + r.early as double) / (r.early + e.users) * 100 as rate,
-                     (select users from expiring where label = 'july') as expired,
-                     (select {_AVERAGE} from sale_again, month_bounds where {_IN_JUNE}) as avg_order
-              from renewed r join expiring e using (label) where label = 'june')""",
+                     coalesce((select users from expiring where label = 'this'), 0) as expired,
+                     (select {_AVERAGE} from sale_again, month_bounds where {_IN_PRIOR}) as avg_order
+              from renewed r join expiring e using (label) where label = 'last')""",
     "upsell_forecast_simple": f"""
         select expired_this_month as user_expired_this_month, avg_order as average_this_month,
                rate as rate_upsale_last_month,
@@ -273,7 +277,7 @@ _QUERIES = {
         from (select expired_this_month,
                      coalesce(matched_last_month / nullif(cast(expired_last_month as double), 0), 0)
                          as rate,
-                     coalesce((select {_AVERAGE} from sale_again, month_bounds where {_IN_JUNE}), 0)
+                     coalesce((select {_AVERAGE} from sale_again, month_bounds where {_IN_PRIOR}), 0)
                          as avg_order
               from ended)""",
     "weekly_new_sales_by_member": """
@@ -283,8 +287,8 @@ _QUERIES = {
     "nru_purchase_detail": """
         select s.*, r.id as nru_id, r.created_at as nru_created_at, w.isoweek, w.first_day_of_week,
                w.week
-        from sale_new s join registered r on r.id = s.customer_id, july_weeks w, month_bounds
-        where r.created_at >= july and r.created_at < august
+        from sale_new s join registered r on r.id = s.customer_id, month_weeks w, month_bounds
+        where r.created_at >= start and r.created_at < finish
           and w.isoweek = week(r.created_at + interval '7' hour)""",
     # Operators
     "month_week_calendar": """
@@ -303,37 +307,37 @@ _QUERIES = {
         from mondays""",
     "nru": "select * from registered",
     "nru_with_calls": "select * from registered_called",
-    "new_sales": f"select {_PURCHASE} from sale_new, month_bounds where {_IN_JULY}",
-    "upsells": f"select {_PURCHASE}, package_type from sale_again, month_bounds where {_IN_JULY}",
+    "new_sales": f"select {_PURCHASE} from sale_new, month_bounds where {_IN_MONTH}",
+    "upsells": f"select {_PURCHASE}, package_type from sale_again, month_bounds where {_IN_MONTH}",
     "nru_month_count": """
-        select count(id) filter (created_at >= july and created_at < august) as total_nru_this_month,
-               count(id) filter (created_at >= june and created_at < july) as total_nru_last_month
+        select count(id) filter (created_at >= start and created_at < finish) as total_nru_this_month,
+               count(id) filter (created_at >= prior and created_at < start) as total_nru_last_month
         from registered, month_bounds""",
     "nru_by_week": """
         select r.id, r.created_at, w.isoweek, w.first_day_of_week, w.week
-        from registered r, july_weeks w, month_bounds
-        where r.created_at >= july and r.created_at < august
+        from registered r, month_weeks w, month_bounds
+        where r.created_at >= start and r.created_at < finish
           and w.isoweek = week(r.created_at + interval '7' hour)""",
     "nru_before_month": """
         select id, created_at, cast(week(created_at + interval '7' hour) as int) as isoweek
-        from registered, month_bounds where created_at < july""",
+        from registered, month_bounds where created_at < start""",
     "cohort_buyers": "select bought as total_count from cohort",
     "cohort_claimed_buyers": "select claimed as total_count from cohort",
     "earlier_cohort_buyers": "select earlier as total_count from cohort",
     "average_order": f"""
         select 'new_sale' as kind, count(id) as total_count,
                cast(sum(local_amount) as bigint) as total_amount, {_AVERAGE} as average
-        from sale_new, month_bounds where {_IN_JULY}
+        from sale_new, month_bounds where {_IN_MONTH}
         union all
         select 'upsell', count(id), cast(sum(local_amount) as bigint), {_AVERAGE}
-        from sale_again, month_bounds where {_IN_JULY}""",
+        from sale_again, month_bounds where {_IN_MONTH}""",
     "next_by_expiry": "select * from by_expiry",
-    "expiring_users": "select users as total_count from expiring where label = 'july'",
+    "expiring_users": "select users as total_count from expiring where label = 'this'",
     "active_expiries": """
         select user_id, actual_expired_at from paid_active, month_bounds
-        where actual_expired_at >= july and actual_expired_at < august""",
-    "early_renewers": "select early as total_count from renewed where label = 'july'",
-    "on_time_renewers": "select on_time as total_count from renewed where label = 'july'",
+        where actual_expired_at >= start and actual_expired_at < finish""",
+    "early_renewers": "select early as total_count from renewed where label = 'this'",
+    "on_time_renewers": "select on_time as total_count from renewed where label = 'this'",
     "next_by_start": "select * from by_start",
     "next_by_started_at": "select * from by_started_at",
     "win_back_users": "select users as total_count from returned",
@@ -354,7 +358,7 @@ _QUERIES = {
     "member_upsells": f"select {_PURCHASE}, package_type, name, weekios from sale_member_again",
     "sales_with_week": """
         select s.id, s.name, s.local_amount, s.purchased_at, w.first_day_of_week, w.isoweek, w.week
-        from sale_member_new s join july_weeks w on w.isoweek = s.weekios""",
+        from sale_member_new s join month_weeks w on w.isoweek = s.weekios""",
     "weekly_member_metrics": "select * from member_report",
     "member_month_summary": """
         select kind, name, order_count, total_amount,
@@ -363,11 +367,12 @@ _QUERIES = {
 }
 
 
-def oracle_texts() -> dict[str, str]:
+def oracle_texts(year: int = 1995, month: int = 7) -> dict[str, str]:
+    shared = _WITH.replace("{year}", str(year)).replace("{month}", str(month))
     texts = {}
     for key, body in _QUERIES.items():
         body = body.strip()
         # A query with CTEs of its own continues the shared list.
         joint = ",\n" + body[5:] if body.startswith("with ") else "\n" + body
-        texts[key] = _WITH + joint
+        texts[key] = shared + joint
     return texts

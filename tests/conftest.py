@@ -8,6 +8,7 @@ def spark():
         SparkSession.builder.master("local[8]")
         .appName("tidemark-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")

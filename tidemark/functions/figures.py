@@ -1,4 +1,4 @@
-"""Ratios, number text and one-row results."""
+"""Ratios and number text (as SQL expression text), and one-row results."""
 
 from __future__ import annotations
 
@@ -8,20 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ratio(part: Column, whole: Column) -> Column:
+def exprs(*texts: str) -> list[Column]:
+    return [F.expr(text) for text in texts]
+
+
+def ratio(part: str, whole: str) -> str:
     """Division of doubles. NULL/0 is NULL; any other x/0 raises in ANSI mode."""
-    return part.cast("double") / whole.cast("double")
+    return f"(double({part}) / double({whole}))"
 
 
-def ratio_or_zero(part: Column, whole: Column) -> Column:
+def ratio_or_zero(part: str, whole: str) -> str:
     """As `ratio`, but 0 where the divisor is 0 or either side is NULL."""
-    divisor = F.nullif(whole.cast("double"), F.lit(0.0))
-    return F.coalesce(part.cast("double") / divisor, F.lit(0.0))
+    return f"coalesce(double({part}) / nullif(double({whole}), 0d), 0d)"
 
 
-def grouped_whole(value: Column) -> Column:
+def grouped_whole(value: str) -> str:
     """Round half to even and write with comma groups: 1234567.5 -> '1,234,568'."""
-    return F.format_number(F.rint(value), 0)
+    return f"format_number(rint({value}), 0)"
 
 
 def side_by_side(*rows: DataFrame) -> DataFrame:
@@ -30,4 +33,4 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     Stacks them and keeps each column's only value, so nothing is cross joined.
     """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
+    return stacked.selectExpr(*[f"max({name}) as {name}" for name in stacked.columns])

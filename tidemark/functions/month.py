@@ -1,8 +1,9 @@
-"""Calendar months and local time.
+"""Calendar months and local time, as SQL expression text.
 
-Columns hold UTC in TIMESTAMP_NTZ. A month begins and ends at local midnight, and
-its bounds are worked out here, in Python, so that a filter on them is a plain
-literal comparison that reaches the file scan.
+Columns hold UTC in TIMESTAMP_NTZ. A month begins and ends at local midnight, and its
+bounds are worked out here, in Python, so that a filter on them is a plain literal
+comparison that reaches the file scan. Expressions are text because `where` and
+`selectExpr` then take a whole condition in one call.
 """
 
 from __future__ import annotations
@@ -11,15 +12,12 @@ from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tidemark.constants import BUSINESS_ZONE
 
 
-def utc_literal(moment: datetime) -> Column:
+def utc_literal(moment: datetime) -> str:
     """A UTC instant as a TIMESTAMP_NTZ literal, whatever the session zone is."""
-    return F.lit(moment.isoformat(sep=" ", timespec="microseconds")).cast("timestamp_ntz")
+    return f"timestamp_ntz '{moment.isoformat(sep=' ', timespec='microseconds')}'"
 
 
 @dataclass(frozen=True)
@@ -53,38 +51,39 @@ class MonthWindow:
             return MonthWindow(self.year - 1, 12, self.zone)
         return MonthWindow(self.year, self.month - 1, self.zone)
 
-    def contains(self, moment: Column) -> Column:
-        return (moment >= utc_literal(self.start)) & (moment < utc_literal(self.end))
+    def contains(self, column: str) -> str:
+        return between(column, self.start, self.end)
 
-    def contains_short(self, moment: Column) -> Column:
+    def contains_short(self, column: str) -> str:
         """As `contains`, without the month's last microsecond (the weekly reports' bound)."""
-        last = self.end - timedelta(microseconds=1)
-        return (moment >= utc_literal(self.start)) & (moment < utc_literal(last))
+        return between(column, self.start, self.end - timedelta(microseconds=1))
+
+    def is_after(self, column: str) -> str:
+        """True where the column lies before this month."""
+        return f"({column} < {utc_literal(self.start)})"
 
-    def is_after(self, moment: Column) -> Column:
-        """True where the moment lies before this month."""
-        return moment < utc_literal(self.start)
+    def local_day(self, column: str) -> str:
+        return local_day(column, self.zone)
 
 
-def local_time(moment: Column, zone: str) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), moment)
+def between(column: str, start: datetime, end: datetime) -> str:
+    return f"({column} >= {utc_literal(start)} and {column} < {utc_literal(end)})"
 
 
-def local_day(moment: Column, zone: str) -> Column:
-    return F.to_date(local_time(moment, zone))
+def local_day(column: str, zone: str) -> str:
+    return f"to_date(convert_timezone('UTC', '{zone}', {column}))"
 
 
-def first_day_of_week(day: Column) -> Column:
+def monday(day: str) -> str:
     """The Monday on or before a date."""
-    return F.trunc(day, "WEEK")
+    return f"trunc({day}, 'WEEK')"
 
 
-def week_of_month(day: Column) -> Column:
+def week_of_month(day: str) -> str:
     """1 for the Monday-to-Sunday week holding the 1st of the date's month, then 2, 3, ...
 
     Equal to numbering the month's distinct Mondays in order, since these are seven
     days apart; so no calendar has to be joined.
     """
-    first_monday = first_day_of_week(F.trunc(day, "MM"))
-    days = F.datediff(first_day_of_week(day), first_monday)
-    return (F.floor(days / F.lit(7)) + 1).cast("int")
+    first_monday = monday(f"trunc({day}, 'MM')")
+    return f"int(datediff({monday(day)}, {first_monday}) div 7 + 1)"

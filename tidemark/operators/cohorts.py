@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from tidemark.functions.figures import exprs
 from tidemark.functions.month import MonthWindow
-from tidemark.operators.sales import is_first_paid
+from tidemark.operators.sales import IS_FIRST_PAID
 
 
 def month_buyers(purchases: DataFrame, window: MonthWindow) -> DataFrame:
@@ -15,16 +15,16 @@ def month_buyers(purchases: DataFrame, window: MonthWindow) -> DataFrame:
     `paid`: for more than nothing; `claimed`: such a payment not before its claim;
     `orders`, `income`: over such payments.
     """
-    paid = F.col("amount") > 0
-    claimed = paid & (F.col("purchased_at") >= F.col("claimed_at"))
     return (
-        purchases.where(is_first_paid() & window.contains(F.col("purchased_at")))
+        purchases.where(f"{IS_FIRST_PAID} and {window.contains('purchased_at')}")
         .groupBy("customer_id")
         .agg(
-            F.coalesce(F.bool_or(paid), F.lit(False)).alias("paid"),
-            F.coalesce(F.bool_or(claimed), F.lit(False)).alias("claimed"),
-            F.count(F.when(paid, F.col("id"))).alias("orders"),
-            F.sum(F.when(paid, F.col("local_amount"))).alias("income"),
+            *exprs(
+                "coalesce(bool_or(amount > 0), false) as paid",
+                "coalesce(bool_or(amount > 0 and purchased_at >= claimed_at), false) as claimed",
+                "count(if(amount > 0, id, null)) as orders",
+                "sum(if(amount > 0, local_amount, null)) as income",
+            )
         )
     )
 
@@ -36,38 +36,41 @@ def cohort_counts(registrations: DataFrame, buyers: DataFrame, window: MonthWind
     it, and here a payment of nothing counts too. One pass decides all three per
     customer, instead of a distinct count each.
     """
-    created = F.col("created_at")
-    in_month = window.contains(created)
-    known = registrations.where(window.next().is_after(created))
+    in_month = window.contains("created_at")
+    known = registrations.where(window.next().is_after("created_at")).selectExpr(
+        "id as customer_id", "created_at"
+    )
     per_customer = (
-        known.join(buyers, known["id"] == buyers["customer_id"], "inner")
+        known.join(buyers, "customer_id", "inner")
         .groupBy("customer_id")
         .agg(
-            F.bool_or(in_month & F.col("paid")).alias("bought"),
-            F.bool_or(in_month & F.col("claimed")).alias("claimed"),
-            F.bool_or(window.is_after(created)).alias("earlier"),
+            *exprs(
+                f"bool_or({in_month} and paid) as bought",
+                f"bool_or({in_month} and claimed) as claimed",
+                f"bool_or({window.is_after('created_at')}) as earlier",
+            )
         )
     )
-    return per_customer.agg(*[F.count_if(F.col(c)).alias(c) for c in ("bought", "claimed", "earlier")])
+    return per_customer.selectExpr(
+        "count_if(bought) as bought", "count_if(claimed) as claimed", "count_if(earlier) as earlier"
+    )
 
 
 def cohort_sales(registrations: DataFrame, buyers: DataFrame, window: MonthWindow) -> DataFrame:
     """One row: all the month's new sales (`total_count`, `total_amount`) and, of their
     customers, the ones registered in the same month (`bought`, `claimed`)."""
     cohort = (
-        registrations.where(window.contains(F.col("created_at")))
-        .select(F.col("id").alias("customer_id"))
+        registrations.where(window.contains("created_at"))
+        .selectExpr("id as customer_id", "true as registered")
         .distinct()
-        .withColumn("registered", F.lit(True))
     )
-    paying = buyers.where(F.col("paid"))
-
-    def registered(flag: Column) -> Column:
-        return F.count_if(F.col("registered") & flag)
-
-    return paying.join(cohort, "customer_id", "left").agg(
-        F.coalesce(F.sum("orders"), F.lit(0)).alias("total_count"),
-        F.sum("income").alias("total_amount"),
-        registered(F.lit(True)).alias("bought"),
-        registered(F.col("claimed")).alias("claimed"),
+    return (
+        buyers.where("paid")
+        .join(cohort, "customer_id", "left")
+        .selectExpr(
+            "coalesce(sum(orders), 0L) as total_count",
+            "sum(income) as total_amount",
+            "count_if(registered) as bought",
+            "count_if(registered and claimed) as claimed",
+        )
     )

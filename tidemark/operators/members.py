@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tidemark.constants import (
     INCOME_TYPE,
@@ -11,100 +10,83 @@ from tidemark.constants import (
     TOTAL_AMOUNT_WEEK,
     TOTAL_ORDER_WEEK,
 )
-from tidemark.functions.figures import grouped_whole, ratio
-from tidemark.functions.month import MonthWindow, first_day_of_week, local_day, week_of_month
-from tidemark.operators.sales import is_new_sale, is_repeat_sale, not_upgrades
+from tidemark.functions.figures import exprs, grouped_whole, ratio
+from tidemark.functions.month import MonthWindow, monday, week_of_month
+from tidemark.operators.sales import IS_NEW_SALE, IS_REPEAT_SALE, not_upgrades
 
 
-def _month_rows(purchases: DataFrame, kind: Column, window: MonthWindow) -> DataFrame:
-    return purchases.where(kind & window.contains_short(F.col("purchased_at")))
+def _members(admins: DataFrame) -> DataFrame:
+    return admins.select("admin_id", "name")
 
 
-def _weekios(window: MonthWindow) -> Column:
-    return F.weekofyear(local_day(F.col("purchased_at"), window.zone)).alias("weekios")
+def _with_iso_week(sales: DataFrame, window: MonthWindow) -> DataFrame:
+    return sales.selectExpr("*", f"weekofyear({window.local_day('purchased_at')}) as weekios")
 
 
 def member_new_sales(purchases: DataFrame, admins: DataFrame, window: MonthWindow) -> DataFrame:
     """New sales made by a known member, with the member's name and the ISO week."""
-    sales = _month_rows(purchases, is_new_sale(), window)
-    members = admins.select("admin_id", "name")
-    return sales.join(members, "admin_id", "inner").withColumn("weekios", _weekios(window))
+    sales = purchases.where(f"{IS_NEW_SALE} and {window.contains_short('purchased_at')}")
+    return _with_iso_week(sales.join(_members(admins), "admin_id", "inner"), window)
 
 
 def member_upsells(
     purchases: DataFrame, packages: DataFrame, admins: DataFrame, window: MonthWindow
 ) -> DataFrame:
     """Upsells made by a known member, with package type, name and ISO week."""
-    sales = _month_rows(purchases, is_repeat_sale(), window)
-    members = admins.select("admin_id", "name")
-    return (
-        sales.join(not_upgrades(packages), "package_id", "inner")
-        .join(members, "admin_id", "inner")
-        .withColumn("weekios", _weekios(window))
-    )
+    sales = purchases.where(f"{IS_REPEAT_SALE} and {window.contains_short('purchased_at')}")
+    upsells = sales.join(not_upgrades(packages), "package_id", "inner")
+    return _with_iso_week(upsells.join(_members(admins), "admin_id", "inner"), window)
 
 
 def sales_with_week(sales: DataFrame, window: MonthWindow) -> DataFrame:
     """Add the week's Monday, ISO week and week of month of each member sale."""
-    day = local_day(F.col("purchased_at"), window.zone)
-    return sales.withColumns(
-        {
-            "first_day_of_week": first_day_of_week(day),
-            "isoweek": F.weekofyear(day),
-            "week": week_of_month(day),
-        }
+    day = window.local_day("purchased_at")
+    return sales.selectExpr(
+        "*",
+        f"{monday(day)} as first_day_of_week",
+        f"weekofyear({day}) as isoweek",
+        f"{week_of_month(day)} as week",
     )
 
 
-def _summed() -> list[Column]:
-    return [F.sum("orders").alias("orders"), F.sum("income").alias("income")]
-
-
-def _by_member(sales: DataFrame, window: MonthWindow, *also: str) -> DataFrame:
-    """Orders and income per `admin_id`, week and `also`: counted before anything is joined."""
-    day = local_day(F.col("purchased_at"), window.zone)
-    return sales.groupBy("admin_id", week_of_month(day).alias("week"), *also).agg(
-        F.count("id").alias("orders"), F.sum("local_amount").alias("income")
+def _counted(sales: DataFrame, window: MonthWindow, *keys: str) -> DataFrame:
+    """`orders` and `income` per week and `keys`: counted before anything is joined."""
+    week = f"{week_of_month(window.local_day('purchased_at'))} as week"
+    return sales.groupBy(*keys, *exprs(week)).agg(
+        *exprs("count(id) as orders", "sum(local_amount) as income")
     )
 
 
-def _named(per_admin: DataFrame, admins: DataFrame) -> DataFrame:
-    """`name`, `week`, `orders`, `income`; members of one name are one group."""
-    members = admins.select("admin_id", "name")
-    return (
-        per_admin.join(members, "admin_id", "inner")
-        .groupBy("name", "week")
-        .agg(*_summed())
-    )
+def _summed(counts: DataFrame, *keys: str) -> DataFrame:
+    return counts.groupBy(*keys).agg(*exprs("sum(orders) as orders", "sum(income) as income"))
 
 
 def weekly_new_sale_totals(
     purchases: DataFrame, admins: DataFrame, window: MonthWindow
 ) -> DataFrame:
-    sales = _month_rows(purchases, is_new_sale(), window)
-    return _named(_by_member(sales, window), admins)
+    """`name`, `week`, `orders`, `income`; members of one name are one group."""
+    sales = purchases.where(f"{IS_NEW_SALE} and {window.contains_short('purchased_at')}")
+    per_admin = _counted(sales, window, "admin_id")
+    return _summed(per_admin.join(_members(admins), "admin_id", "inner"), "name", "week")
 
 
 def weekly_upsell_totals(
     purchases: DataFrame, packages: DataFrame, admins: DataFrame, window: MonthWindow
 ) -> DataFrame:
-    sales = _month_rows(purchases, is_repeat_sale(), window)
-    per_package = _by_member(sales, window, "package_id")
-    per_admin = (
-        per_package.join(not_upgrades(packages), "package_id", "inner")
-        .groupBy("admin_id", "week")
-        .agg(*_summed())
-    )
-    return _named(per_admin, admins)
+    """`name`, `week`, `orders`, `income`; members of one name are one group."""
+    sales = purchases.where(f"{IS_REPEAT_SALE} and {window.contains_short('purchased_at')}")
+    per_package = _counted(sales, window, "admin_id", "package_id")
+    upsells = per_package.join(not_upgrades(packages), "package_id", "inner")
+    per_admin = _summed(upsells, "admin_id", "week")
+    return _summed(per_admin.join(_members(admins), "admin_id", "inner"), "name", "week")
 
 
 def member_month_summary(weekly: DataFrame) -> DataFrame:
     """Per name, the month's `order_count`, `total_amount` and their ratio `average`."""
-    return (
-        weekly.groupBy("name")
-        .agg(F.sum("orders").alias("order_count"), F.sum("income").alias("total_amount"))
-        .withColumn("average", ratio(F.col("total_amount"), F.col("order_count")))
+    totals = weekly.groupBy("name").agg(
+        *exprs("sum(orders) as order_count", "sum(income) as total_amount")
     )
+    return totals.selectExpr("*", f"{ratio('total_amount', 'order_count')} as average")
 
 
 def weekly_member_metrics(weekly: DataFrame) -> DataFrame:
@@ -115,36 +97,28 @@ def weekly_member_metrics(weekly: DataFrame) -> DataFrame:
     month's figures come from them and the sales are read once. A member without a name
     has no average.
     """
-    value_type = weekly.schema["income"].dataType
-    per_name = (
-        weekly.groupBy("name")
-        .agg(
-            F.collect_list(F.struct("week", "orders", "income")).alias("weeks"),
-            F.sum("orders").alias("order_count"),
-            F.sum("income").alias("total_amount"),
-        )
-        .withColumn(
-            "average",
-            F.when(
-                F.col("name").isNotNull(),
-                grouped_whole(ratio(F.col("total_amount"), F.col("order_count"))),
-            ),
+    per_name = weekly.groupBy("name").agg(
+        *exprs(
+            "collect_list(struct(week, orders, income)) as weeks",
+            "sum(orders) as order_count",
+            "sum(income) as total_amount",
         )
     )
+    number = per_name.schema["total_amount"].dataType.simpleString()
 
-    def line(week: Column, kind: str, value: Column) -> Column:
-        return F.struct(
-            week.cast("string").alias("week"),
-            F.lit(kind).alias("type"),
-            value.cast(value_type).alias("value"),
+    def line(week: str, kind: str, value: str) -> str:
+        return (
+            f"named_struct('week', string({week}), 'type', '{kind}',"
+            f" 'value', cast({value} as {number}))"
         )
 
-    lines = F.concat(
-        F.transform("weeks", lambda w: line(w["week"], ORDER_TYPE, w["orders"])),
-        F.transform("weeks", lambda w: line(w["week"], INCOME_TYPE, w["income"])),
-        F.array(
-            line(F.lit(TOTAL_ORDER_WEEK), ORDER_TYPE, F.col("order_count")),
-            line(F.lit(TOTAL_AMOUNT_WEEK), INCOME_TYPE, F.col("total_amount")),
-        ),
+    lines = (
+        f"concat(transform(weeks, w -> {line('w.week', ORDER_TYPE, 'w.orders')}),"
+        f" transform(weeks, w -> {line('w.week', INCOME_TYPE, 'w.income')}),"
+        f" array({line(repr(TOTAL_ORDER_WEEK), ORDER_TYPE, 'order_count')},"
+        f" {line(repr(TOTAL_AMOUNT_WEEK), INCOME_TYPE, 'total_amount')}))"
+    )
+    average = f"if(name is null, null, {grouped_whole(ratio('total_amount', 'order_count'))})"
+    return per_name.selectExpr("name", f"{average} as average", f"inline({lines})").select(
+        "name", "week", "type", "value", "average"
     )
-    return per_name.select("name", F.inline(lines), "average")

@@ -74,8 +74,13 @@ def _sliced(
     return rows, df.where(_is_hot(key, hot)).withColumn(_SLICE, number)
 
 
-def _ascending(*names: str) -> list[Column]:
-    return [F.col(name).asc_nulls_last() for name in names]
+def _ascending(*names: str) -> str:
+    return ", ".join(f"{name} asc nulls last" for name in names)
+
+
+def _with_leads(df: DataFrame, leads: dict[str, str], window: str) -> DataFrame:
+    columns = [f"lead({source}) over ({window}) as {name}" for name, source in leads.items()]
+    return df.selectExpr("*", *columns)
 
 
 def with_next(
@@ -86,11 +91,8 @@ def with_next(
     `leads` maps each new column to the column it takes from the next row.
     """
 
-    def lead_over(window: Window) -> dict[str, Column]:
-        return {name: F.lead(source, 1).over(window) for name, source in leads.items()}
-
     if not hot:
-        return df.withColumns(lead_over(Window.partitionBy(key).orderBy(*_ascending(order, tie))))
+        return _with_leads(df, leads, f"partition by {key} order by {_ascending(order, tie)}")
     rows, hot_only = _sliced(df, key, order, tie, hot)
     taken = [order, tie, *sorted(set(leads.values()) - {order, tie})]
     slices = Window.partitionBy(key).orderBy(_SLICE)
@@ -102,9 +104,8 @@ def with_next(
         .select(key, _SLICE, "first.*", F.lit(True).alias(_CARRIED))
     )
     stacked = rows.withColumn(_CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    in_order = Window.partitionBy(key, _SLICE).orderBy(_CARRIED, *_ascending(order, tie))
-    led = stacked.withColumns(lead_over(in_order))
-    return led.where(~F.col(_CARRIED)).drop(_SLICE, _CARRIED)
+    in_order = f"partition by {key}, {_SLICE} order by {_ascending(_CARRIED, order, tie)}"
+    return _with_leads(stacked, leads, in_order).where(f"not {_CARRIED}").drop(_SLICE, _CARRIED)
 
 
 def with_position(
@@ -112,8 +113,8 @@ def with_position(
 ) -> DataFrame:
     """Add the row's 1-based position, per key, by order (nulls last), then tie."""
     if not hot:
-        in_order = Window.partitionBy(key).orderBy(*_ascending(order, tie))
-        return df.withColumn(name, F.row_number().over(in_order).cast("long"))
+        in_order = f"partition by {key} order by {_ascending(order, tie)}"
+        return df.selectExpr("*", f"bigint(row_number() over ({in_order})) as {name}")
     rows, hot_only = _sliced(df, key, order, tie, hot)
     earlier = Window.partitionBy(key).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -125,9 +126,9 @@ def with_position(
     stacked = rows.withColumn(_CARRIED, F.lit(None).cast("long")).unionByName(
         carried, allowMissingColumns=True
     )
-    in_order = Window.partitionBy(key, _SLICE).orderBy(*_ascending(_CARRIED, order, tie))
-    running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = F.sum(F.coalesce(F.col(_CARRIED), F.lit(1))).over(running)
-    return (
-        stacked.withColumn(name, counted).where(F.col(_CARRIED).isNull()).drop(_SLICE, _CARRIED)
+    running = (
+        f"partition by {key}, {_SLICE} order by {_ascending(_CARRIED, order, tie)}"
+        " rows between unbounded preceding and current row"
     )
+    counted = stacked.selectExpr("*", f"sum(coalesce({_CARRIED}, 1L)) over ({running}) as {name}")
+    return counted.where(f"{_CARRIED} is null").drop(_SLICE, _CARRIED)

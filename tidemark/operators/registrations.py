@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.functions.month import MonthWindow, first_day_of_week, local_day, week_of_month
+from tidemark.functions.figures import exprs
+from tidemark.functions.month import MonthWindow, between, monday, week_of_month
 from tidemark.sources.tables import Tables
 
 
 def nru(tables: Tables) -> DataFrame:
     """Users and leads as one bag: `id`, `created_at`. An id in both tables is two rows."""
-    columns = ("id", "created_at")
-    return tables.users.select(*columns).unionByName(tables.user_leads.select(*columns))
+    return tables.users.select("id", "created_at").unionByName(
+        tables.user_leads.select("id", "created_at")
+    )
 
 
 def nru_with_calls(tables: Tables) -> DataFrame:
     """Users once per call they had (so none without a call), and every lead once."""
-    users = tables.users.select("id", "created_at")
-    calls = tables.user_calls.select("user_id")
-    called = users.join(calls, users["id"] == calls["user_id"], "inner").drop("user_id")
+    calls = tables.user_calls.selectExpr("user_id as id")
+    called = tables.users.select("id", "created_at").join(calls, "id", "inner")
     return called.unionByName(tables.user_leads.select("id", "created_at"))
 
 
@@ -29,48 +29,36 @@ def nru_call_weights(tables: Tables, first: MonthWindow, last: MonthWindow) -> D
     Calls are counted per user before the join, so a user with very many calls is one
     row in it.
     """
-
-    def registered(df: DataFrame) -> DataFrame:
-        created = F.col("created_at")
-        return df.where(~first.is_after(created) & last.next().is_after(created)).select(
-            "id", "created_at"
-        )
-
-    calls = (
-        tables.user_calls.groupBy(F.col("user_id").alias("id"))
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-    users = registered(tables.users).join(calls, "id", "inner")
-    leads = registered(tables.user_leads).withColumn("weight", F.lit(1).cast("long"))
-    return users.unionByName(leads)
+    in_span = between("created_at", first.start, last.end)
+    calls = tables.user_calls.groupBy("user_id").agg(*exprs("count(*) as weight"))
+    users = tables.users.where(in_span).select("id", "created_at")
+    leads = tables.user_leads.where(in_span).selectExpr("id", "created_at", "1L as weight")
+    return users.join(calls.withColumnRenamed("user_id", "id"), "id", "inner").unionByName(leads)
 
 
 def nru_month_count(registrations: DataFrame, this: MonthWindow) -> DataFrame:
     """One row: rows with an id registered in the month and in the month before."""
     last = this.previous()
-    created = F.col("created_at")
-    in_span = ~last.is_after(created) & this.next().is_after(created)
-    return registrations.where(in_span).agg(
-        F.count(F.when(this.contains(created), F.col("id"))).alias("total_nru_this_month"),
-        F.count(F.when(last.contains(created), F.col("id"))).alias("total_nru_last_month"),
+    return registrations.where(between("created_at", last.start, this.end)).selectExpr(
+        f"count(if({this.contains('created_at')}, id, null)) as total_nru_this_month",
+        f"count(if({last.contains('created_at')}, id, null)) as total_nru_last_month",
     )
 
 
 def nru_by_week(registrations: DataFrame, window: MonthWindow) -> DataFrame:
     """The month's registrations with ISO week, that week's Monday and week of month."""
-    day = local_day(F.col("created_at"), window.zone)
-    return registrations.where(window.contains(F.col("created_at"))).select(
+    day = window.local_day("created_at")
+    return registrations.where(window.contains("created_at")).selectExpr(
         "id",
         "created_at",
-        F.weekofyear(day).alias("isoweek"),
-        first_day_of_week(day).alias("first_day_of_week"),
-        week_of_month(day).alias("week"),
+        f"weekofyear({day}) as isoweek",
+        f"{monday(day)} as first_day_of_week",
+        f"{week_of_month(day)} as week",
     )
 
 
 def nru_before_month(registrations: DataFrame, window: MonthWindow) -> DataFrame:
     """All registrations before the month, with their ISO week."""
-    created = F.col("created_at")
-    return registrations.where(window.is_after(created)).select(
-        "id", "created_at", F.weekofyear(local_day(created, window.zone)).alias("isoweek")
+    return registrations.where(window.is_after("created_at")).selectExpr(
+        "id", "created_at", f"weekofyear({window.local_day('created_at')}) as isoweek"
     )

@@ -7,15 +7,16 @@ started first: what `lead` over the starts yields, as a set.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tidemark.constants import ACTIVE_INVENTORY, RENEWABLE_PACKAGE_TYPE
-from tidemark.functions.month import MonthWindow, local_day, utc_literal
+from tidemark.functions.figures import exprs
+from tidemark.functions.month import MonthWindow, between, utc_literal
 from tidemark.operators.ordered import with_next
-from tidemark.operators.sales import is_paid
+from tidemark.operators.sales import IS_PAID
+
+IS_ACTIVE = f"package_type = {RENEWABLE_PACKAGE_TYPE} and status = {ACTIVE_INVENTORY}"
 
 
 def next_by_expiry(inventories: DataFrame, hot: Sequence = ()) -> DataFrame:
@@ -56,170 +57,159 @@ def near_months(inventories: DataFrame, first: MonthWindow, last: MonthWindow) -
     table; the rest of the history is reduced to two values per user before it moves.
     Undated rows cannot matter: neither as the row nor, being no expiry, as the next.
     """
-    expiry = F.col("actual_expired_at")
-    dated = inventories.where(expiry.isNotNull() & F.col("user_id").isNotNull())
-    early, late = first.is_after(expiry), ~last.next().is_after(expiry)
-    inside = dated.where(~early & ~late).select(
-        "id", "user_id", "actual_expired_at", "original_started_at"
+    expiry = "actual_expired_at"
+    early, late = first.is_after(expiry), f"({expiry} >= {utc_literal(last.end)})"
+    known = inventories.where("user_id is not null")
+    inside = known.where(between(expiry, first.start, last.end)).select(
+        "id", "user_id", expiry, "original_started_at"
     )
     edges = (
-        dated.where(early | late)
+        known.where(f"{early} or {late}")
         .groupBy("user_id")
-        .agg(F.max(F.when(early, expiry)).alias("before"), F.min(F.when(late, expiry)).alias("after"))
+        .agg(
+            *exprs(
+                f"max(if({early}, {expiry}, null)) as before",
+                f"min(if({late}, {expiry}, null)) as after",
+            )
+        )
         .join(inside.select("user_id"), "user_id", "left_semi")
-        .select("user_id", F.explode(F.array("before", "after")).alias("actual_expired_at"))
-        .where(expiry.isNotNull())
+        .selectExpr("user_id", f"explode(array(before, after)) as {expiry}")
+        .where(f"{expiry} is not null")
     )
     return inside.unionByName(edges, allowMissingColumns=True)
 
 
-def expires_in(window: MonthWindow) -> Column:
+def expires_in(window: MonthWindow) -> str:
     """On rows of `next_by_expiry`: does this row make its user an expiring one?
 
     Either the next package, begun before this one ends, expires in the month; or there
     is no next expiry and this one is in the month.
     """
-    expiry, next_expiry = F.col("actual_expired_at"), F.col("next_actual_expired_at")
-    extended = (expiry > F.col("next_ori_started_at")) & window.contains(next_expiry)
-    return extended | (next_expiry.isNull() & window.contains(expiry))
+    extended = "actual_expired_at > next_ori_started_at"
+    return (
+        f"({extended} and {window.contains('next_actual_expired_at')}"
+        f" or next_actual_expired_at is null and {window.contains('actual_expired_at')})"
+    )
 
 
 def expiring_users(with_next_rows: DataFrame, **windows: MonthWindow) -> DataFrame:
     """One row: distinct expiring users per named month, all from one pass."""
-    per_user = with_next_rows.groupBy("user_id").agg(
-        *[F.bool_or(expires_in(window)).alias(name) for name, window in windows.items()]
-    )
-    return per_user.where(F.col("user_id").isNotNull()).agg(
-        *[F.count_if(F.col(name)).alias(name) for name in windows]
-    )
+    flags = [f"bool_or({expires_in(window)}) as {name}" for name, window in windows.items()]
+    per_user = with_next_rows.where("user_id is not null").groupBy("user_id").agg(*exprs(*flags))
+    return per_user.selectExpr(*[f"count_if({name}) as {name}" for name in windows])
+
+
+def with_paid_purchase(rows: DataFrame, purchases: DataFrame, how: str) -> DataFrame:
+    paid = purchases.where(IS_PAID).selectExpr("mongo_id as purchased_package_id")
+    return rows.join(paid, "purchased_package_id", how)
 
 
 def active_expiries(
     inventories: DataFrame,
     purchases: DataFrame,
-    start: datetime | None,
-    end: datetime,
+    first: MonthWindow,
+    last: MonthWindow | None = None,
     how: str = "inner",
 ) -> DataFrame:
-    """`user_id`, `actual_expired_at` of active, paid inventories expiring in [start, end).
+    """`user_id`, `actual_expired_at` of active, paid inventories that expire in the month,
+    or from month `first` to month `last`.
 
     Pass `how="left_semi"` where only distinct users matter.
     """
-    expiry = F.col("actual_expired_at")
-    wanted = (
-        (F.col("package_type") == RENEWABLE_PACKAGE_TYPE)
-        & (F.col("status") == ACTIVE_INVENTORY)
-        & (expiry < utc_literal(end))
-    )
-    if start is not None:
-        wanted &= expiry >= utc_literal(start)
-    rows = inventories.where(wanted).select("user_id", "actual_expired_at", "purchased_package_id")
+    in_span = between("actual_expired_at", first.start, (last or first).end)
+    rows = inventories.where(f"{IS_ACTIVE} and {in_span}")
     return with_paid_purchase(rows, purchases, how).select("user_id", "actual_expired_at")
 
 
-def with_paid_purchase(rows: DataFrame, purchases: DataFrame, how: str) -> DataFrame:
-    paid = purchases.where(is_paid()).select(F.col("mongo_id").alias("purchased_package_id"))
-    return rows.join(paid, "purchased_package_id", how)
-
-
-def earliest_starts(inventories: DataFrame, end: datetime) -> DataFrame:
-    """Per user, the two earliest starts before `end`: `first_start`, `second_start`.
+def earliest_starts(inventories: DataFrame, window: MonthWindow) -> DataFrame:
+    """Per user, the two earliest starts before the month's end: `first_start`, `second_start`.
 
     The limit on the rank is applied before the shuffle too, so a task sends at most
     two rows per user however many it holds.
     """
-    start = F.col("original_started_at")
-    by_start = Window.partitionBy("user_id").orderBy(start, "id")
+    started = inventories.where(
+        f"user_id is not null and {window.next().is_after('original_started_at')}"
+    )
+    ranked = started.selectExpr(
+        "user_id",
+        "original_started_at as start",
+        "row_number() over (partition by user_id order by original_started_at, id) as rank",
+    )
     return (
-        inventories.where(F.col("user_id").isNotNull() & (start < utc_literal(end)))
-        .select("user_id", "id", "original_started_at")
-        .withColumn("rank", F.row_number().over(by_start))
-        .where(F.col("rank") <= 2)
+        ranked.where("rank <= 2")
         .groupBy("user_id")
         .agg(
-            F.min(F.when(F.col("rank") == 1, start)).alias("first_start"),
-            F.min(F.when(F.col("rank") == 2, start)).alias("second_start"),
+            *exprs(
+                "min(if(rank = 1, start, null)) as first_start",
+                "min(if(rank = 2, start, null)) as second_start",
+            )
         )
     )
 
 
-def next_start_days(inventories: DataFrame, window: MonthWindow) -> DataFrame:
+def next_start_days(
+    inventories: DataFrame, earliest: DataFrame, window: MonthWindow
+) -> DataFrame:
     """Distinct `user_id`, local `day` of the next starts in the month.
 
     The day's latest start stands for the day: if any start on it is a next one, so is
-    the latest. That leaves at most 31 rows per user for the join.
+    the latest. That leaves at most 31 rows per user for the join with `earliest`, the
+    month's `earliest_starts`.
     """
-    start = F.col("original_started_at")
     days = (
-        inventories.where(window.contains(start))
-        .groupBy("user_id", local_day(start, window.zone).alias("day"))
-        .agg(F.max(start).alias("start"))
+        inventories.where(window.contains("original_started_at"))
+        .groupBy("user_id", *exprs(f"{window.local_day('original_started_at')} as day"))
+        .agg(*exprs("max(original_started_at) as start"))
     )
     # A repeated earliest start is a next start as well.
-    is_next = (F.col("start") > F.col("first_start")) | (F.col("start") == F.col("second_start"))
-    earliest = earliest_starts(inventories, window.end)
-    return days.join(earliest, "user_id", "inner").where(is_next).select("user_id", "day")
-
-
-def _count_users(users: DataFrame, name: str) -> DataFrame:
-    return users.agg(F.count_distinct("user_id").alias(name))
+    return (
+        days.join(earliest, "user_id", "inner")
+        .where("start > first_start or start = second_start")
+        .select("user_id", "day")
+    )
 
 
-def month_expiries(inventories: DataFrame, purchases: DataFrame, window: MonthWindow) -> DataFrame:
-    return active_expiries(inventories, purchases, window.start, window.end, "left_semi")
+def count_users(users: DataFrame, name: str) -> DataFrame:
+    return users.selectExpr(f"count(distinct user_id) as {name}")
 
 
 def early_renewers(
-    inventories: DataFrame, purchases: DataFrame, window: MonthWindow, name: str = "total_count"
+    expiries: DataFrame, earliest: DataFrame, window: MonthWindow, name: str = "total_count"
 ) -> DataFrame:
-    """One row: users with an expiry in the month on a later local day than a next start.
+    """One row: users with one of the month's `expiries` on a later local day than a next start.
 
     Some pair qualifies if and only if the latest expiry is on a later day than the
     earliest next start, so one row per user on either side is enough. Starts from the
     month's end on are later than every expiry asked about.
     """
-    latest = (
-        month_expiries(inventories, purchases, window)
-        .groupBy("user_id")
-        .agg(F.max("actual_expired_at").alias("latest_expiry"))
-    )
-    later = local_day(F.col("latest_expiry"), window.zone) > local_day(
-        F.col("second_start"), window.zone
-    )
-    earliest = earliest_starts(inventories, window.end)
-    return _count_users(latest.join(earliest, "user_id", "inner").where(later), name)
+    latest = expiries.groupBy("user_id").agg(*exprs("max(actual_expired_at) as latest"))
+    later = f"{window.local_day('latest')} > {window.local_day('second_start')}"
+    return count_users(latest.join(earliest, "user_id", "inner").where(later), name)
 
 
 def on_time_renewers(
-    inventories: DataFrame, purchases: DataFrame, window: MonthWindow, name: str = "total_count"
+    expiries: DataFrame, start_days: DataFrame, window: MonthWindow, name: str = "total_count"
 ) -> DataFrame:
-    """One row: users with an expiry in the month on the local day of a next start."""
-    expiry_days = (
-        month_expiries(inventories, purchases, window)
-        .select("user_id", local_day(F.col("actual_expired_at"), window.zone).alias("day"))
-        .distinct()
-    )
-    starts = next_start_days(inventories, window)
-    return _count_users(expiry_days.join(starts, ["user_id", "day"], "left_semi"), name)
+    """One row: users with one of the month's `expiries` on the local day of a next start."""
+    days = expiries.selectExpr("user_id", f"{window.local_day('actual_expired_at')} as day")
+    return count_users(days.join(start_days, ["user_id", "day"], "left_semi"), name)
 
 
 def win_back_users(
-    inventories: DataFrame, purchases: DataFrame, window: MonthWindow, name: str = "total_count"
+    inventories: DataFrame,
+    purchases: DataFrame,
+    start_days: DataFrame,
+    window: MonthWindow,
+    name: str = "total_count",
 ) -> DataFrame:
-    """One row: users with an expiry before the month and a next start in it.
+    """One row: users with an active, paid expiry before the month and a next start in it.
 
     The month's starters are few, so they cut the history down before it is looked up
     among the purchases.
     """
-    expiry = F.col("actual_expired_at")
-    lapsed = inventories.where(
-        window.is_after(expiry)
-        & (F.col("package_type") == RENEWABLE_PACKAGE_TYPE)
-        & (F.col("status") == ACTIVE_INVENTORY)
-    ).select("user_id", "purchased_package_id")
-    starters = next_start_days(inventories, window).select("user_id")
-    candidates = lapsed.join(starters, "user_id", "left_semi")
-    return _count_users(with_paid_purchase(candidates, purchases, "left_semi"), name)
+    lapsed = inventories.where(f"{IS_ACTIVE} and {window.is_after('actual_expired_at')}")
+    candidates = lapsed.join(start_days.select("user_id"), "user_id", "left_semi")
+    return count_users(with_paid_purchase(candidates, purchases, "left_semi"), name)
 
 
 def expired_user_counts(
@@ -231,18 +221,19 @@ def expired_user_counts(
     column. Each has one, the expiring inventory itself, so no join is needed to tell.
     """
     last = this.previous()
-    expiry = F.col("actual_expired_at")
     per_user = (
-        active_expiries(inventories, purchases, last.start, this.end, "left_semi")
-        .where(F.col("user_id").isNotNull())
+        active_expiries(inventories, purchases, last, this, "left_semi")
+        .where("user_id is not null")
         .groupBy("user_id")
         .agg(
-            F.bool_or(last.contains(expiry)).alias("last"),
-            F.bool_or(this.contains(expiry)).alias("this"),
+            *exprs(
+                f"bool_or({last.contains('actual_expired_at')}) as in_last",
+                f"bool_or({this.contains('actual_expired_at')}) as in_this",
+            )
         )
     )
-    return per_user.agg(
-        F.count_if("last").alias("expired_last_month"),
-        F.count_if("last").alias("matched_last_month"),
-        F.count_if("this").alias("expired_this_month"),
+    return per_user.selectExpr(
+        "count_if(in_last) as expired_last_month",
+        "count_if(in_last) as matched_last_month",
+        "count_if(in_this) as expired_this_month",
     )

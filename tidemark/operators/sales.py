@@ -2,52 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tidemark.constants import FIRST_PAYMENT, PAID_STATUSES, UPGRADE_PACKAGE_TYPE
-from tidemark.functions.figures import ratio
+from tidemark.functions.figures import exprs, ratio
 from tidemark.functions.month import MonthWindow
 
-
-def is_paid() -> Column:
-    return F.col("status").isin(*PAID_STATUSES)
-
-
-def is_first_paid() -> Column:
-    return (F.col("paid_counter") == FIRST_PAYMENT) & is_paid()
-
-
-def is_new_sale() -> Column:
-    return is_first_paid() & (F.col("amount") > 0)
-
-
-def is_repeat_sale() -> Column:
-    """An upsell, if its package turns out not to be an upgrade."""
-    return (F.col("paid_counter") > FIRST_PAYMENT) & is_paid() & (F.col("amount") > 0)
+# Conditions on purchases.
+IS_PAID = f"status in {PAID_STATUSES}"
+IS_FIRST_PAID = f"paid_counter = {FIRST_PAYMENT} and {IS_PAID}"
+IS_NEW_SALE = f"{IS_FIRST_PAID} and amount > 0"
+# An upsell, if its package turns out not to be an upgrade.
+IS_REPEAT_SALE = f"paid_counter > {FIRST_PAYMENT} and {IS_PAID} and amount > 0"
 
 
 def not_upgrades(packages: DataFrame) -> DataFrame:
     """`package_id`, `package_type` of packages known not to be upgrades."""
-    return packages.where(F.col("package_type") != UPGRADE_PACKAGE_TYPE).select(
-        F.col("mongo_id").alias("package_id"), "package_type"
+    return packages.where(f"package_type <> {UPGRADE_PACKAGE_TYPE}").selectExpr(
+        "mongo_id as package_id", "package_type"
     )
 
 
 def new_sales(purchases: DataFrame, window: MonthWindow) -> DataFrame:
-    return purchases.where(is_new_sale() & window.contains(F.col("purchased_at")))
+    return purchases.where(f"{IS_NEW_SALE} and {window.contains('purchased_at')}")
+
+
+def repeat_sales(purchases: DataFrame, window: MonthWindow) -> DataFrame:
+    return purchases.where(f"{IS_REPEAT_SALE} and {window.contains('purchased_at')}")
 
 
 def upsells(purchases: DataFrame, packages: DataFrame, window: MonthWindow) -> DataFrame:
     """Upsell rows with their package type. Catalyst broadcasts `packages` if it is small."""
-    sold = purchases.where(is_repeat_sale() & window.contains(F.col("purchased_at")))
-    return sold.join(not_upgrades(packages), "package_id", "inner")
+    return repeat_sales(purchases, window).join(not_upgrades(packages), "package_id", "inner")
 
 
 def new_sale_totals(purchases: DataFrame, window: MonthWindow) -> DataFrame:
     """One row: `total_count`, `total_amount` (NULL without sales)."""
-    return new_sales(purchases, window).agg(
-        F.count("id").alias("total_count"), F.sum("local_amount").alias("total_amount")
+    return new_sales(purchases, window).selectExpr(
+        "count(id) as total_count", "sum(local_amount) as total_amount"
     )
 
 
@@ -57,16 +49,15 @@ def upsell_totals(purchases: DataFrame, packages: DataFrame, window: MonthWindow
     Sums per package come before the join, so a best-selling package is one row in it.
     """
     per_package = (
-        purchases.where(is_repeat_sale() & window.contains(F.col("purchased_at")))
+        repeat_sales(purchases, window)
         .groupBy("package_id")
-        .agg(F.count("id").alias("orders"), F.sum("local_amount").alias("income"))
+        .agg(*exprs("count(id) as orders", "sum(local_amount) as income"))
     )
-    return per_package.join(not_upgrades(packages), "package_id", "inner").agg(
-        F.coalesce(F.sum("orders"), F.lit(0)).alias("total_count"),
-        F.sum("income").alias("total_amount"),
+    return per_package.join(not_upgrades(packages), "package_id", "inner").selectExpr(
+        "coalesce(sum(orders), 0L) as total_count", "sum(income) as total_amount"
     )
 
 
 def average_order(totals: DataFrame, name: str = "average") -> DataFrame:
     """Add the average order; NULL without sales."""
-    return totals.withColumn(name, ratio(F.col("total_amount"), F.col("total_count")))
+    return totals.selectExpr("*", f"{ratio('total_amount', 'total_count')} as {name}")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tidemark.constants import BUSINESS_ZONE
-from tidemark.functions.month import first_day_of_week, local_day
+from tidemark.functions.month import local_day, monday
 
 
-def months_of(df: DataFrame, moment: str, zone: str = BUSINESS_ZONE) -> DataFrame:
+def months_of(df: DataFrame, column: str, zone: str = BUSINESS_ZONE) -> DataFrame:
     """First days (`month_start`) of the local months in which a column has moments."""
-    month = F.trunc(local_day(F.col(moment), zone), "MM")
-    return df.select(month.alias("month_start")).where("month_start is not null").distinct()
+    month = f"trunc({local_day(column, zone)}, 'MM')"
+    return df.selectExpr(f"{month} as month_start").where("month_start is not null").distinct()
 
 
 def month_week_calendar(months: DataFrame, with_next_first_day: bool = False) -> DataFrame:
@@ -21,15 +20,12 @@ def month_week_calendar(months: DataFrame, with_next_first_day: bool = False) ->
     `with_next_first_day` extends each month by the next month's first day, which can
     add one more week.
     """
-    in_month = Window.partitionBy("month_start").orderBy("first_day_of_week")
-    start = F.col("month_start")
-    final: Column = F.add_months(start, 1) if with_next_first_day else F.last_day(start)
-    weeks = months.select(
-        "month_start", F.explode(F.sequence(start, final)).alias("day")
-    ).select("month_start", first_day_of_week(F.col("day")).alias("first_day_of_week"))
-    return weeks.distinct().select(
+    final = "add_months(month_start, 1)" if with_next_first_day else "last_day(month_start)"
+    days = months.selectExpr("month_start", f"explode(sequence(month_start, {final})) as day")
+    mondays = days.selectExpr("month_start", f"{monday('day')} as first_day_of_week").distinct()
+    return mondays.selectExpr(
         "month_start",
         "first_day_of_week",
-        F.weekofyear("first_day_of_week").alias("isoweek"),
-        F.row_number().over(in_month).alias("week"),
+        "weekofyear(first_day_of_week) as isoweek",
+        "row_number() over (partition by month_start order by first_day_of_week) as week",
     )

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.functions.figures import ratio, ratio_or_zero, side_by_side
 from tidemark.functions.month import MonthWindow
 from tidemark.operators.cohorts import cohort_counts, cohort_sales, month_buyers
 from tidemark.operators.registrations import nru, nru_by_week, nru_call_weights, nru_month_count
-from tidemark.operators.sales import average_order, is_new_sale, new_sale_totals
+from tidemark.operators.sales import IS_NEW_SALE, average_order, new_sale_totals
 from tidemark.sources.tables import Tables
 
 
@@ -22,10 +21,9 @@ def new_sale_rate(tables: Tables, month: MonthWindow) -> DataFrame:
     """Buyers per claimed buyer in percent: of the month's registrations, and with
     earlier registrations who bought this month on both sides."""
     buyers = month_buyers(tables.purchased_packages, month)
-    bought, claimed, earlier = F.col("bought"), F.col("claimed"), F.col("earlier")
-    return cohort_counts(nru(tables), buyers, month).select(
-        (ratio_or_zero(bought, claimed) * 100).alias("newsale_rate_in_month"),
-        (ratio_or_zero(earlier + bought, claimed + earlier) * 100).alias("newsale_rate_real"),
+    return cohort_counts(nru(tables), buyers, month).selectExpr(
+        f"{ratio_or_zero('bought', 'claimed')} * 100 as newsale_rate_in_month",
+        f"{ratio_or_zero('earlier + bought', 'claimed + earlier')} * 100 as newsale_rate_real",
     )
 
 
@@ -34,24 +32,21 @@ def new_sale_forecast(tables: Tables, month: MonthWindow) -> DataFrame:
     month's registrations with calls times last month's average order."""
     last = month.previous()
     registered = nru_call_weights(tables, last, month)
-    count_now = registered.agg(
-        F.coalesce(
-            F.sum(F.when(month.contains(F.col("created_at")), F.col("weight"))), F.lit(0)
-        ).alias("nru")
-    )
+    now = registered.where(f"id is not null and {month.contains('created_at')}")
     buyers = month_buyers(tables.purchased_packages, last)
-    row = average_order(side_by_side(cohort_sales(registered, buyers, last), count_now))
-    rate = ratio_or_zero(F.col("bought"), F.col("claimed")) * 100
-    expected = F.col("newsale_rate_last_month") * F.col("total_nru_this_month")
-    return row.select(
-        rate.alias("newsale_rate_last_month"),
-        F.col("nru").alias("total_nru_this_month"),
-        F.col("average").alias("average_new_sale_last_month"),
-    ).withColumns(
-        {
-            "total_nru_new_sale_success": expected,
-            "predict_money": expected * F.col("average_new_sale_last_month"),
-        }
+    row = side_by_side(
+        cohort_sales(registered, buyers, last),
+        now.selectExpr("coalesce(sum(weight), 0L) as nru"),
+    )
+    figures = average_order(row).selectExpr(
+        f"{ratio_or_zero('bought', 'claimed')} * 100 as rate", "nru", "average"
+    )
+    return figures.selectExpr(
+        "rate as newsale_rate_last_month",
+        "nru as total_nru_this_month",
+        "average as average_new_sale_last_month",
+        "rate * nru as total_nru_new_sale_success",
+        "rate * nru * average as predict_money",
     )
 
 
@@ -61,26 +56,25 @@ def new_sale_forecast_by_nru(tables: Tables, month: MonthWindow) -> DataFrame:
     last = month.previous()
     registered = nru(tables)
     buyers = month_buyers(tables.purchased_packages, last)
-    row = average_order(
-        side_by_side(cohort_sales(registered, buyers, last), nru_month_count(registered, month))
+    row = side_by_side(
+        cohort_sales(registered, buyers, last), nru_month_count(registered, month)
+    )
+    figures = average_order(row).selectExpr(
+        f"{ratio('bought', 'total_nru_last_month')} as rate", "total_nru_this_month", "average"
     )
-    return row.select(
-        ratio(F.col("bought"), F.col("total_nru_last_month")).alias("rate_new_sale_last_month"),
+    return figures.selectExpr(
+        "rate as rate_new_sale_last_month",
         "total_nru_this_month",
-        F.col("average").alias("average_new_sale_last_month"),
-    ).withColumn(
-        "real_money",
-        F.col("average_new_sale_last_month")
-        * F.col("rate_new_sale_last_month")
-        * F.col("total_nru_this_month"),
+        "average as average_new_sale_last_month",
+        "average * rate * total_nru_this_month as real_money",
     )
 
 
 def nru_purchase_detail(tables: Tables, month: MonthWindow) -> DataFrame:
     """First payments, at any time, of the month's registrations, with the week of
     registration."""
-    registered = nru_by_week(nru(tables), month).withColumnsRenamed(
-        {"id": "nru_id", "created_at": "nru_created_at"}
+    registered = nru_by_week(nru(tables), month).selectExpr(
+        "id as nru_id", "created_at as nru_created_at", "isoweek", "first_day_of_week", "week"
     )
-    sales = tables.purchased_packages.where(is_new_sale())
+    sales = tables.purchased_packages.where(IS_NEW_SALE)
     return sales.join(registered, sales["customer_id"] == registered["nru_id"], "inner")

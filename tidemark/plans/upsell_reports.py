@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.functions.figures import ratio, ratio_or_zero, side_by_side
 from tidemark.functions.month import MonthWindow
 from tidemark.operators.renewals import (
+    active_expiries,
+    earliest_starts,
     early_renewers,
     expired_user_counts,
     expiring_users,
     near_months,
     next_by_expiry,
+    next_start_days,
     on_time_renewers,
     win_back_users,
 )
@@ -28,34 +30,57 @@ def upsell_average(tables: Tables, month: MonthWindow) -> DataFrame:
     )
 
 
+def expiring_user_count(tables: Tables, **months: MonthWindow) -> DataFrame:
+    """One row: users who expire in each named month; the months must be given in order."""
+    first, last = list(months.values())[0], list(months.values())[-1]
+    near = near_months(tables.user_inventories, first, last)
+    return expiring_users(next_by_expiry(near, tables.hot_users), **months)
+
+
+def early_renewal_count(tables: Tables, month: MonthWindow, name: str) -> DataFrame:
+    inventories, purchases = tables.user_inventories, tables.purchased_packages
+    expiries = active_expiries(inventories, purchases, month, how="left_semi")
+    return early_renewers(expiries, earliest_starts(inventories, month), month, name)
+
+
+def on_time_renewal_count(tables: Tables, month: MonthWindow, name: str) -> DataFrame:
+    inventories, purchases = tables.user_inventories, tables.purchased_packages
+    expiries = active_expiries(inventories, purchases, month, how="left_semi")
+    start_days = next_start_days(inventories, earliest_starts(inventories, month), month)
+    return on_time_renewers(expiries, start_days, month, name)
+
+
+def win_back_count(tables: Tables, month: MonthWindow, name: str) -> DataFrame:
+    inventories, purchases = tables.user_inventories, tables.purchased_packages
+    start_days = next_start_days(inventories, earliest_starts(inventories, month), month)
+    return win_back_users(inventories, purchases, start_days, month, name)
+
+
 def upsell_renewal_counts(tables: Tables, month: MonthWindow) -> DataFrame:
     """Users who expire in the month, renew early, renew on the day, or come back in it."""
     inventories, purchases = tables.user_inventories, tables.purchased_packages
-    near = next_by_expiry(near_months(inventories, month, month), tables.hot_users)
+    expiries = active_expiries(inventories, purchases, month, how="left_semi")
+    earliest = earliest_starts(inventories, month)
+    start_days = next_start_days(inventories, earliest, month)
     return side_by_side(
-        expiring_users(near, user_expired_this_month=month),
-        early_renewers(inventories, purchases, month, "number_upsale_before_time"),
-        on_time_renewers(inventories, purchases, month, "number_upsale_on_time"),
-        win_back_users(inventories, purchases, month, "number_expired_ago_upsale_this_month"),
+        expiring_user_count(tables, user_expired_this_month=month),
+        early_renewers(expiries, earliest, month, "number_upsale_before_time"),
+        on_time_renewers(expiries, start_days, month, "number_upsale_on_time"),
+        win_back_users(
+            inventories, purchases, start_days, month, "number_expired_ago_upsale_this_month"
+        ),
     )
 
 
 def upsell_rates(counts: DataFrame) -> DataFrame:
     """Add to the renewal counts their percentage, without and with users won back."""
-    expired, early, on_time, back = (
-        F.col(c)
-        for c in (
-            "user_expired_this_month",
-            "number_upsale_before_time",
-            "number_upsale_on_time",
-            "number_expired_ago_upsale_this_month",
-        )
-    )
-    return counts.withColumns(
-        {
-            "upsale_rate": ratio(on_time + early, expired + early) * 100,
-            "upsale_rate_real": ratio(on_time + early + back, expired + early + back) * 100,
-        }
+    renewed = "number_upsale_on_time + number_upsale_before_time"
+    due = "user_expired_this_month + number_upsale_before_time"
+    back = "number_expired_ago_upsale_this_month"
+    return counts.selectExpr(
+        "*",
+        f"{ratio(renewed, due)} * 100 as upsale_rate",
+        f"{ratio(f'{renewed} + {back}', f'{due} + {back}')} * 100 as upsale_rate_real",
     )
 
 
@@ -65,47 +90,47 @@ def upsell_forecast(tables: Tables, month: MonthWindow) -> DataFrame:
     neither expiring users nor early renewers."""
     last = month.previous()
     inventories, purchases = tables.user_inventories, tables.purchased_packages
-    near = next_by_expiry(near_months(inventories, last, month), tables.hot_users)
-    row = average_order(
-        side_by_side(
-            expiring_users(near, expired_last=last, expired_this=month),
-            early_renewers(inventories, purchases, last, "early"),
-            on_time_renewers(inventories, purchases, last, "on_time"),
-            upsell_totals(purchases, tables.packages, last),
-        )
+    expiries = active_expiries(inventories, purchases, last, how="left_semi")
+    earliest = earliest_starts(inventories, last)
+    start_days = next_start_days(inventories, earliest, last)
+    row = side_by_side(
+        expiring_user_count(tables, expired_last=last, expired_this=month),
+        early_renewers(expiries, earliest, last, "early"),
+        on_time_renewers(expiries, start_days, last, "on_time"),
+        upsell_totals(purchases, tables.packages, last),
+    )
+    figures = average_order(row).selectExpr(
+        f"{ratio('on_time + early', 'early + expired_last')} * 100 as rate",
+        "expired_this as expired",
+        "average",
     )
-    rate = ratio(F.col("on_time") + F.col("early"), F.col("early") + F.col("expired_last")) * 100
-    expected = F.col("upsale_rate_last_month") * F.col("number_expired_this_month")
-    return row.select(
-        rate.alias("upsale_rate_last_month"),
-        F.col("expired_this").alias("number_expired_this_month"),
-        F.col("average").alias("net_upsale_pre_month"),
-    ).withColumns(
-        {
-            "user_upsale_successfully": expected,
-            "predict_net_sale": expected * F.col("net_upsale_pre_month"),
-        }
+    return figures.selectExpr(
+        "rate as upsale_rate_last_month",
+        "expired as number_expired_this_month",
+        "average as net_upsale_pre_month",
+        "rate * expired as user_upsale_successfully",
+        "rate * expired * average as predict_net_sale",
     )
 
 
 def simple_renewal_rate(tables: Tables, month: MonthWindow) -> DataFrame:
     """Expired users of both months and the share of last month's who have an inventory."""
     counts = expired_user_counts(tables.user_inventories, tables.purchased_packages, month)
-    rate = ratio_or_zero(F.col("matched_last_month"), F.col("expired_last_month"))
-    return counts.withColumn("rate_upsale_last_month", rate)
+    rate = ratio_or_zero("matched_last_month", "expired_last_month")
+    return counts.selectExpr("*", f"{rate} as rate_upsale_last_month")
 
 
 def upsell_forecast_simple(tables: Tables, month: MonthWindow) -> DataFrame:
     """This month's expired users times last month's average upsell times the simple rate."""
     totals = upsell_totals(tables.purchased_packages, tables.packages, month.previous())
-    row = side_by_side(simple_renewal_rate(tables, month), totals)
-    return row.select(
-        F.col("expired_this_month").alias("user_expired_this_month"),
-        ratio_or_zero(F.col("total_amount"), F.col("total_count")).alias("average_this_month"),
-        "rate_upsale_last_month",
-    ).withColumn(
-        "real_net_sale_this_month",
-        F.col("user_expired_this_month")
-        * F.col("average_this_month")
-        * F.col("rate_upsale_last_month"),
+    figures = side_by_side(simple_renewal_rate(tables, month), totals).selectExpr(
+        "expired_this_month as expired",
+        f"{ratio_or_zero('total_amount', 'total_count')} as average",
+        "rate_upsale_last_month as rate",
+    )
+    return figures.selectExpr(
+        "expired as user_expired_this_month",
+        "average as average_this_month",
+        "rate as rate_upsale_last_month",
+        "expired * average * rate as real_net_sale_this_month",
     )

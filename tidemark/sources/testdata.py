@@ -7,13 +7,13 @@ user, a lead or both; no customer is left out.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tidemark.functions.figures import exprs
 from tidemark.operators.ordered import HOT_ROWS, hot_keys, with_position
 from tidemark.sources.tables import Tables
 
 
-def _payments(orders: DataFrame) -> DataFrame:
+def _payments(orders: DataFrame, *also: str) -> DataFrame:
     purchased_at = "o_orderdate + (o_orderkey % 24) * interval '1' hour"
     return orders.selectExpr(
         "o_orderkey as id",
@@ -27,7 +27,7 @@ def _payments(orders: DataFrame) -> DataFrame:
         f"{purchased_at} as purchased_at",
         f"case when o_orderkey % 5 = 0 then null else {purchased_at}"
         " + (o_orderkey % 7 - 4) * interval '1' day end as claimed_at",
-        "o_orderdate",
+        *also,
     )
 
 
@@ -53,32 +53,29 @@ def from_test_data(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -
 
     orders = read("orders")
     registered = (
-        orders.groupBy(F.col("o_custkey").alias("id"))
-        .agg(F.min("o_orderdate").alias("first_order"))
+        orders.groupBy("o_custkey")
+        .agg(*exprs("min(o_orderdate) as first_order"))
         .selectExpr(
-            "id",
+            "o_custkey as id",
             "first_order - (id % 10) * interval '1' day + (id % 24) * interval '1' hour as created_at",
         )
     )
-    payments = _payments(orders)
+    # Counted on the narrow orders, before the purchases' texts are made from them.
+    counted = with_position(
+        orders, "o_custkey", "o_orderdate", "o_orderkey", "paid_counter",
+        hot_keys(orders, "o_custkey", hot_rows),
+    )
     return Tables(
         users=registered.where("id % 3 <> 0"),
         user_leads=registered.where("id % 3 = 0 or id % 30 = 1"),
         user_calls=read("events")
-        .where(F.col("event_type") == "click")
-        .select(F.col("event_id").alias("id"), "user_id"),
+        .where("event_type = 'click'")
+        .selectExpr("event_id as id", "user_id"),
         admins=read("nation").selectExpr("n_nationkey as admin_id", "n_name as name"),
         packages=read("part").selectExpr(
             "concat('pkg', p_partkey) as mongo_id", "p_size % 5 as package_type"
         ),
-        purchased_packages=with_position(
-            payments,
-            "customer_id",
-            "o_orderdate",
-            "id",
-            "paid_counter",
-            hot_keys(orders, "o_custkey", hot_rows),
-        ).drop("o_orderdate"),
-        user_inventories=_inventories(payments),
+        purchased_packages=_payments(counted, "paid_counter"),
+        user_inventories=_inventories(_payments(orders)),
         hot_rows=hot_rows,
     )
