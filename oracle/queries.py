@@ -88,6 +88,11 @@ month_weeks as (
 )"""
 
 _RENEWALS = """
+two_months as (
+    select 'last' as label, prior as lo, start as hi from month_bounds
+    union all
+    select 'this', start, finish from month_bounds
+),
 by_expiry as (
     select id, user_id, actual_expired_at, original_started_at,
            lead(actual_expired_at) over by_end as next_actual_expired_at,
@@ -116,10 +121,8 @@ paid_active as (
 ),
 expiring as (
     select m.label, count(distinct e.user_id) as users
-    from by_expiry e,
-         (select 'last' as label, prior as lo, start as hi from month_bounds
-          union all select 'this', start, finish from month_bounds) m
-    where case when e.next_actual_expired_at is null
+    from two_months m left join by_expiry e
+      on case when e.next_actual_expired_at is null
                then e.actual_expired_at >= m.lo and e.actual_expired_at < m.hi
                else e.actual_expired_at > e.next_ori_started_at
                     and e.next_actual_expired_at >= m.lo and e.next_actual_expired_at < m.hi end
@@ -131,10 +134,9 @@ renewed as (
                > date_trunc('day', s.next_ori_started_at + interval '7' hour)) as early,
            count(distinct e.user_id) filter (date_trunc('day', e.local_end)
                = date_trunc('day', s.next_ori_started_at + interval '7' hour)) as on_time
-    from paid_active e join by_start s using (user_id),
-         (select 'last' as label, prior as lo, start as hi from month_bounds
-          union all select 'this', start, finish from month_bounds) m
-    where e.actual_expired_at >= m.lo and e.actual_expired_at < m.hi
+    from two_months m
+         left join paid_active e on e.actual_expired_at >= m.lo and e.actual_expired_at < m.hi
+         left join by_start s on s.user_id = e.user_id
     group by m.label
 ),
 returned as (
@@ -144,9 +146,9 @@ returned as (
       and date_trunc('month', s.next_ori_started_at + interval '7' hour) = first_day
 ),
 renewal_counts as (
-    select coalesce((select users from expiring where label = 'this'), 0) as user_expired_this_month,
-           coalesce((select early from renewed where label = 'this'), 0) as number_upsale_before_time,
-           coalesce((select on_time from renewed where label = 'this'), 0) as number_upsale_on_time,
+    select (select users from expiring where label = 'this') as user_expired_this_month,
+           (select early from renewed where label = 'this') as number_upsale_before_time,
+           (select on_time from renewed where label = 'this') as number_upsale_on_time,
            (select users from returned) as number_expired_ago_upsale_this_month
 ),
 ended as (
@@ -267,7 +269,7 @@ _QUERIES = {
                avg_order as net_upsale_pre_month, rate * expired as user_upsale_successfully,
                rate * expired * avg_order as predict_net_sale
         from (select cast(r.on_time + r.early as double) / (r.early + e.users) * 100 as rate,
-                     coalesce((select users from expiring where label = 'this'), 0) as expired,
+                     (select users from expiring where label = 'this') as expired,
                      (select {_AVERAGE} from sale_again, month_bounds where {_IN_PRIOR}) as avg_order
               from renewed r join expiring e using (label) where label = 'last')""",
     "upsell_forecast_simple": f"""

@@ -1,0 +1,144 @@
+"""Slicing of hot keys: same rows as the plain windows, spread over more groups."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.build import frame, utc
+from tidemark import MonthWindow, Tables
+from tidemark.operators import ordered, renewals
+from tidemark.plans import upsell_reports
+from tidemark.sources.testdata import from_test_data
+
+JULY = MonthWindow(1995, 7)
+
+
+def skewed_rows(seed: int) -> list[tuple]:
+    """Few keys (one of them NULL) over few days, with ties and NULL orders."""
+    rng = random.Random(seed)
+    rows = []
+    for i in rng.sample(range(10_000_000), 400):
+        user = rng.choice([None, 1, 1, 1, 2, 3, i])
+        start = utc("1995-07-01") + timedelta(minutes=rng.randrange(6000))
+        order = rng.choice([None, start, start.replace(minute=0), datetime(1960, 1, 1, 5)])
+        rows.append((i, user, f"pp{i}", 1, 1, start, start, order))
+    return rows
+
+
+LEADS = {"next_expiry": "actual_expired_at", "next_start": "original_started_at", "next_id": "id"}
+
+
+@pytest.mark.parametrize("hot", [[1], [None], [1, 2, 3, None, 777]])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sliced_neighbours_equal_plain_ones(spark, monkeypatch, hot, seed):
+    monkeypatch.setattr(ordered, "TIES_PER_SLICE", 100_000)
+    df = frame(spark, "user_inventories", skewed_rows(seed))
+    arguments = ("user_id", "actual_expired_at", "id")
+    plain = ordered.with_next(df, *arguments, LEADS)
+    sliced = ordered.with_next(df, *arguments, LEADS, hot)
+    assert sliced.columns == plain.columns
+    assert sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("hot", [[1], [None], [1, 2, 3, None, 777]])
+@pytest.mark.parametrize("seed", [3, 4])
+def test_sliced_positions_equal_plain_ones(spark, monkeypatch, hot, seed):
+    monkeypatch.setattr(ordered, "TIES_PER_SLICE", 100_000)
+    df = frame(spark, "user_inventories", skewed_rows(seed))
+    arguments = ("user_id", "actual_expired_at", "id", "position")
+    plain = ordered.with_position(df, *arguments)
+    sliced = ordered.with_position(df, *arguments, hot)
+    assert sliced.dtypes == plain.dtypes
+    assert sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_slices_follow_the_order(spark):
+    rows = frame(spark, "user_inventories", skewed_rows(5))
+    numbered = rows.select(
+        "actual_expired_at", "id", ordered._slice_of("actual_expired_at", "id").alias("slice")
+    )
+    ranked = sorted(
+        numbered.collect(), key=lambda r: (r[0] is None, r[0] or datetime.min, r[1])
+    )
+    slices = [r["slice"] for r in ranked]
+    assert slices == sorted(slices)
+    assert len(set(slices)) > 50
+
+
+def test_hot_keys(spark):
+    skew = spark.range(0, 30_000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("k")
+    )
+    assert set(ordered.hot_keys(skew, "k", 1000)) == {7, None}
+    assert ordered.hot_keys(skew, "k", 20_000) == []
+    assert ordered.hot_keys(skew.limit(0), "k", 1) == []
+
+
+def test_reports_do_not_depend_on_hot_keys(spark):
+    """With a threshold that makes most users and customers hot."""
+    sf = "/root/testdata/sf0.01"
+    plain, sliced = from_test_data(spark, sf), from_test_data(spark, sf, hot_rows=10)
+    assert plain.hot_users == [] and len(sliced.hot_users) > 500
+    a, b = plain.purchased_packages, sliced.purchased_packages
+    assert a.dtypes == b.dtypes
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    for report in (upsell_reports.upsell_renewal_counts, upsell_reports.upsell_forecast):
+        assert report(plain, JULY).collect() == report(sliced, JULY).collect()
+
+
+@pytest.mark.parametrize("month", range(1, 13))
+def test_near_months_show_the_same_expiring_users(spark, month):
+    window = MonthWindow(1996, month)
+    t = from_test_data(spark, "/root/testdata/sf0.01")
+    whole = renewals.next_by_expiry(t.user_inventories)
+    near = renewals.next_by_expiry(
+        renewals.near_months(t.user_inventories, window.previous(), window)
+    )
+    months = {"last": window.previous(), "this": window}
+    expected = renewals.expiring_users(whole, **months).first()
+    assert renewals.expiring_users(near, **months).first() == expected
+    assert expected["this"] > 0
+
+
+def test_early_renewers_equal_the_direct_join(spark):
+    """Random small histories against every pair of expiry and next start."""
+    rng = random.Random(11)
+    rows, purchases = [], []
+    for i in range(1500):
+        start = utc("1995-05-20") + timedelta(hours=9 * rng.randrange(200))
+        expiry = utc("1995-06-20") + timedelta(hours=7 * rng.randrange(200))
+        rows.append((i, rng.randrange(600), f"pp{i}", rng.choice([1, 1, 2]), 1, start, start, expiry))
+        purchases.append((i, f"pp{i}", 1, 1, "k", 1, rng.choice([1, 2, 3]), 1, 1, start, None))
+    inventories = frame(spark, "user_inventories", rows)
+    paid = frame(spark, "purchased_packages", purchases)
+    expiries = renewals.active_expiries(inventories, paid, JULY)
+    earliest = renewals.earliest_starts(inventories, JULY)
+    days = renewals.next_start_days(inventories, earliest, JULY)
+    pairs = expiries.join(renewals.next_by_start(inventories), "user_id")
+    expiry_day, start_day = JULY.local_day("actual_expired_at"), JULY.local_day("next_ori_started_at")
+    early = pairs.where(f"{expiry_day} > {start_day}").select("user_id").distinct().count()
+    on_time = pairs.where(f"{expiry_day} = {start_day}").select("user_id").distinct().count()
+    assert early > 10 and on_time > 3
+    assert renewals.early_renewers(expiries, earliest, JULY).first()[0] == early
+    assert renewals.on_time_renewers(expiries, days, JULY).first()[0] == on_time
+    back = (
+        renewals.next_by_start(inventories)
+        .where(JULY.contains("next_ori_started_at"))
+        .join(inventories.where(f"{renewals.IS_ACTIVE} and {JULY.is_after('actual_expired_at')}")
+              .join(paid.where("status in (2, 3)").selectExpr("mongo_id as purchased_package_id"),
+                    "purchased_package_id")
+              .select("user_id"), "user_id")
+        .select("user_id").distinct().count()
+    )
+    assert back > 10
+    assert renewals.win_back_users(inventories, paid, days, JULY).first()[0] == back
+
+
+def test_tables_are_checked(spark):
+    t = from_test_data(spark, "/root/testdata/sf0.001")
+    parts = {name: getattr(t, name) for name in ("users", "user_leads", "user_calls", "admins",
+                                                 "packages", "purchased_packages")}
+    with pytest.raises(ValueError, match="user_inventories lacks the columns actual_expired_at"):
+        Tables(**parts, user_inventories=t.user_inventories.drop("actual_expired_at"))

@@ -42,6 +42,8 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
     rows = (
         df.groupBy((F.spark_partition_id() % SKETCH_LANES).alias("lane"))
         .agg(F.expr(sketch).alias("sketch"))
+        # Grouped, since the merge of no sketches at all (an empty table) would fail.
+        .groupBy(F.lit(True))
         .agg(F.expr(f"approx_top_k_estimate({merged}, {TRACKED_KEYS})").alias("top"))
         .select(F.inline("top"))
         .where(F.col("count") >= hot_rows)
