@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.build import frame, utc
 from tidemark import MonthWindow, Tables
-from tidemark.operators import ordered, renewals
+from tidemark.operators import hot, members, ordered, registrations, renewals, sales
 from tidemark.plans import upsell_reports
 from tidemark.sources.testdata import from_test_data
 
@@ -27,29 +27,30 @@ def skewed_rows(seed: int) -> list[tuple]:
     return rows
 
 
+USERS = ("user_inventories", "user_id")
 LEADS = {"next_expiry": "actual_expired_at", "next_start": "original_started_at", "next_id": "id"}
 
 
-@pytest.mark.parametrize("hot", [[1], [None], [1, 2, 3, None, 777]])
+@pytest.mark.parametrize("keys", [[1], [None], [1, 2, 3, None, 777]])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_sliced_neighbours_equal_plain_ones(spark, monkeypatch, hot, seed):
+def test_sliced_neighbours_equal_plain_ones(spark, monkeypatch, keys, seed):
     monkeypatch.setattr(ordered, "TIES_PER_SLICE", 100_000)
     df = frame(spark, "user_inventories", skewed_rows(seed))
     arguments = ("user_id", "actual_expired_at", "id")
     plain = ordered.with_next(df, *arguments, LEADS)
-    sliced = ordered.with_next(df, *arguments, LEADS, hot)
+    sliced = ordered.with_next(df, *arguments, LEADS, keys)
     assert sliced.columns == plain.columns
     assert sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
 
 
-@pytest.mark.parametrize("hot", [[1], [None], [1, 2, 3, None, 777]])
+@pytest.mark.parametrize("keys", [[1], [None], [1, 2, 3, None, 777]])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_sliced_positions_equal_plain_ones(spark, monkeypatch, hot, seed):
+def test_sliced_positions_equal_plain_ones(spark, monkeypatch, keys, seed):
     monkeypatch.setattr(ordered, "TIES_PER_SLICE", 100_000)
     df = frame(spark, "user_inventories", skewed_rows(seed))
     arguments = ("user_id", "actual_expired_at", "id", "position")
     plain = ordered.with_position(df, *arguments)
-    sliced = ordered.with_position(df, *arguments, hot)
+    sliced = ordered.with_position(df, *arguments, keys)
     assert sliced.dtypes == plain.dtypes
     assert sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
 
@@ -71,16 +72,16 @@ def test_hot_keys(spark):
     skew = spark.range(0, 30_000, 1, 16).select(
         F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("k")
     )
-    assert set(ordered.hot_keys(skew, "k", 1000)) == {7, None}
-    assert ordered.hot_keys(skew, "k", 20_000) == []
-    assert ordered.hot_keys(skew.limit(0), "k", 1) == []
+    assert set(hot.hot_keys(skew, "k", 1000)) == {7, None}
+    assert hot.hot_keys(skew, "k", 20_000) == []
+    assert hot.hot_keys(skew.limit(0), "k", 1) == []
 
 
 def test_reports_do_not_depend_on_hot_keys(spark):
     """With a threshold that makes most users and customers hot."""
     sf = "/root/testdata/sf0.01"
-    plain, sliced = from_test_data(spark, sf), from_test_data(spark, sf, hot_rows=10)
-    assert plain.hot_users == [] and len(sliced.hot_users) > 500
+    plain, sliced = from_test_data(spark, sf), from_test_data(spark, sf, hot_rows=2)
+    assert plain.hot(*USERS) == [] and len(sliced.hot(*USERS)) > 500
     a, b = plain.purchased_packages, sliced.purchased_packages
     assert a.dtypes == b.dtypes
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
@@ -136,6 +137,61 @@ def test_early_renewers_equal_the_direct_join(spark):
     assert renewals.win_back_users(inventories, paid, days, JULY).first()[0] == back
 
 
+def test_row_level_joins_do_not_depend_on_hot_keys(spark):
+    t = from_test_data(spark, "/root/testdata/sf0.01", hot_rows=2)
+    packages = t.hot("purchased_packages", "package_id")
+    admins = t.hot("purchased_packages", "admin_id")
+    assert len(packages) == 200 and len(admins) == 27
+    bought, names = t.purchased_packages, t.admins
+    pairs = [
+        (sales.upsells(bought, t.packages, JULY), sales.upsells(bought, t.packages, JULY, packages)),
+        (
+            members.member_new_sales(bought, names, JULY),
+            members.member_new_sales(bought, names, JULY, admins),
+        ),
+        (
+            members.member_upsells(bought, t.packages, names, JULY),
+            members.member_upsells(bought, t.packages, names, JULY, packages, admins),
+        ),
+        (
+            registrations.nru_with_calls(from_test_data(spark, "/root/testdata/sf0.01")),
+            registrations.nru_with_calls(t),
+        ),
+    ]
+    for plain, spread in pairs:
+        assert plain.columns == spread.columns
+        rows = sorted(map(str, plain.collect()))
+        assert rows and rows == sorted(map(str, spread.collect()))
+
+
+def test_hot_texts_are_quoted(spark):
+    keys = ["it's", "back\\slash", 'quo"te', "", None]
+    rows = spark.createDataFrame([(k,) for k in [*keys, "other"]], "k string")
+    kept = [r.k for r in rows.where(hot.is_hot("k", keys)).collect()]
+    assert kept == keys
+    assert [r.k for r in rows.where(hot.is_hot("k", [None])).collect()] == [None]
+    assert [r.k for r in rows.where(hot.is_hot("k", ["other"])).collect()] == ["other"]
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """A third of the rows has one key; without a broadcast no task gets a tenth of them."""
+    rows = spark.range(0, 200_000, 1, 64).selectExpr("if(id % 3 = 0, 7, id % 1000) as k", "id")
+    lookup = spark.range(1000).selectExpr("id as k", "id * 2 as twice").hint("shuffle_hash")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        task = F.spark_partition_id().alias("task")
+        largest = {}
+        for keys in ((), (7,)):
+            joined = hot.spread_join(rows, lookup, "k", hot=keys)
+            assert joined.count() == 200_000
+            largest[keys] = joined.groupBy(task).count().agg(F.max("count")).first()[0]
+        assert largest[()] > 200_000 / 3 and largest[(7,)] < 200_000 / 10
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_tables_are_checked(spark):
     t = from_test_data(spark, "/root/testdata/sf0.001")
     parts = {name: getattr(t, name) for name in ("users", "user_leads", "user_calls", "admins",

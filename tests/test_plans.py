@@ -124,3 +124,35 @@ def test_only_the_month_s_inventories_are_sorted(stored):
     assert any("LessThan(actual_expired_at,1995-07-31T17:00)" in s for s in scans)
     for scan in scans:
         assert "package_type" not in scan.split("ReadSchema: ")[1]
+
+
+@pytest.fixture
+def small_skew(spark):
+    """Settings under which adaptive execution sees skew in small data."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "100",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)
+
+
+def test_counts_before_joins_leave_no_hot_key(spark, stored, small_skew):
+    """The aggregating reports shuffle one row per key and task, so nothing is split."""
+    read, _ = stored
+    for report in REPORTS:
+        if report is not new_sale_reports.nru_purchase_detail:
+            df = report(read, JULY)
+            df.collect()
+            assert "skew=true" not in df._jdf.queryExecution().executedPlan().toString()

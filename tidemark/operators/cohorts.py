@@ -33,26 +33,25 @@ def cohort_counts(registrations: DataFrame, buyers: DataFrame, window: MonthWind
     """One row of distinct customers among the month's buyers.
 
     `bought` and `claimed`: registered in the same month; `earlier`: registered before
-    it, and here a payment of nothing counts too. One pass decides all three per
-    customer, instead of a distinct count each.
+    it, and here a payment of nothing counts too. Both sides are one row per customer
+    before the join, which then decides all three at once instead of by a distinct
+    count each.
     """
-    in_month = window.contains("created_at")
-    known = registrations.where(window.next().is_after("created_at")).selectExpr(
-        "id as customer_id", "created_at"
-    )
-    per_customer = (
-        known.join(buyers, "customer_id", "inner")
-        .groupBy("customer_id")
+    registered = (
+        registrations.where(window.next().is_after("created_at"))
+        .groupBy("id")
         .agg(
             *exprs(
-                f"bool_or({in_month} and paid) as bought",
-                f"bool_or({in_month} and claimed) as claimed",
-                f"bool_or({window.is_after('created_at')}) as earlier",
+                f"bool_or({window.contains('created_at')}) as in_month",
+                f"bool_or({window.is_after('created_at')}) as before",
             )
         )
+        .withColumnRenamed("id", "customer_id")
     )
-    return per_customer.selectExpr(
-        "count_if(bought) as bought", "count_if(claimed) as claimed", "count_if(earlier) as earlier"
+    return registered.join(buyers, "customer_id", "inner").selectExpr(
+        "count_if(in_month and paid) as bought",
+        "count_if(in_month and claimed) as claimed",
+        "count_if(before) as earlier",
     )
 
 

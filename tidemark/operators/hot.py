@@ -1,0 +1,71 @@
+"""Hot keys: finding them, and joins that spread their rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Rows of one key that a single task may take; keys beyond it are hot.
+HOT_ROWS = 5_000_000
+# Most keys a sketch can report, so no longer list ever reaches the driver.
+TRACKED_KEYS = 4096
+# First-level merges of the sketch: bounds how much the last task merges.
+SKETCH_LANES = 256
+# Tasks over which a join spreads the rows of one hot key.
+SALTS = 256
+
+_SALT = "_salt"
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
+    """Keys with at least about `hot_rows` rows (None may be one): at most TRACKED_KEYS.
+
+    Runs one job: a frequent-items sketch over the key column alone, merged in two
+    levels. The keys only choose how rows are spread, so its error never changes a result.
+    """
+    sketch = f"approx_top_k_accumulate({key}, {TRACKED_KEYS})"
+    merged = f"approx_top_k_combine(sketch, {TRACKED_KEYS})"
+    rows = (
+        df.groupBy((F.spark_partition_id() % SKETCH_LANES).alias("lane"))
+        .agg(F.expr(sketch).alias("sketch"))
+        # Grouped, since the merge of no sketches at all (an empty table) would fail.
+        .groupBy(F.lit(True))
+        .agg(F.expr(f"approx_top_k_estimate({merged}, {TRACKED_KEYS})").alias("top"))
+        .select(F.inline("top"))
+        .where(F.col("count") >= hot_rows)
+        .select("item")
+        .collect()
+    )
+    return [row["item"] for row in rows]
+
+
+def _literal(value: int | str) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def is_hot(key: str, hot: Sequence) -> Column:
+    """Is the key one of the listed ones, which may include None?"""
+    listed = ", ".join(_literal(k) for k in hot if k is not None)
+    missing = str(None in hot).lower()
+    return F.expr(f"coalesce({key} in ({listed}), {missing})" if listed else f"{key} is null")
+
+
+def spread_join(
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: Sequence = ()
+) -> DataFrame:
+    """Join `rows` with a `lookup` of few rows per key, by a column of one name in both.
+
+    A hot key's rows are spread over SALTS tasks by the input split they come from, and
+    its lookup rows are repeated for each. Other keys are joined as usual.
+    """
+    if not hot:
+        return rows.join(lookup, key, how)
+    listed = is_hot(key, hot)
+    salted = rows.withColumn(_SALT, F.when(listed, F.spark_partition_id() % SALTS).otherwise(0))
+    salts = F.when(listed, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = lookup.withColumn(_SALT, F.explode(salts))
+    return salted.join(repeated, [key, _SALT], how).drop(_SALT)

@@ -1,7 +1,7 @@
 """Neighbour and position of rows in a per-key order, safe against hot keys.
 
 A window partitioned by key puts all rows of a key into one task. So keys that hold
-very many rows are first looked up (`hot_keys`) and cut into time slices, each a window
+very many rows, as listed by `hot_keys`, are cut into time slices, each a window
 partition of its own. What a slice has to know about its neighbours is carried in by
 one extra row per slice, dropped after the window:
 
@@ -18,12 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key that a single task may sort; keys beyond it are sliced.
-HOT_ROWS = 5_000_000
-# Most keys a sketch can report, so no longer list ever reaches the driver.
-TRACKED_KEYS = 4096
-# First-level merges of the sketch: bounds how much the last task merges.
-SKETCH_LANES = 256
+from tidemark.operators.hot import is_hot
+
 # Rows without an order value are sliced by ranges of this many tie-breaker ids.
 TIES_PER_SLICE = 1_000_000
 
@@ -31,33 +27,6 @@ _SLICE = "_slice"
 _CARRIED = "_carried"
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """Keys with at least about `hot_rows` rows (None may be one): at most TRACKED_KEYS.
-
-    Runs one job: a frequent-items sketch over the key column alone, merged in two
-    levels. The keys only choose slices, so the sketch's error never changes a result.
-    """
-    sketch = f"approx_top_k_accumulate({key}, {TRACKED_KEYS})"
-    merged = f"approx_top_k_combine(sketch, {TRACKED_KEYS})"
-    rows = (
-        df.groupBy((F.spark_partition_id() % SKETCH_LANES).alias("lane"))
-        .agg(F.expr(sketch).alias("sketch"))
-        # Grouped, since the merge of no sketches at all (an empty table) would fail.
-        .groupBy(F.lit(True))
-        .agg(F.expr(f"approx_top_k_estimate({merged}, {TRACKED_KEYS})").alias("top"))
-        .select(F.inline("top"))
-        .where(F.col("count") >= hot_rows)
-        .select("item")
-        .collect()
-    )
-    return [row["item"] for row in rows]
-
-
-def _is_hot(key: str, hot: Sequence) -> Column:
-    listed = F.col(key).isin([k for k in hot if k is not None])
-    return F.coalesce(listed, F.lit(None in hot))
-
-
 def _slice_of(order: str, tie: str) -> Column:
     """Order-preserving slice number: the hour of the order value, then ranges of ties."""
     value = F.col(order)
@@ -72,8 +41,8 @@ def _sliced(
     """All rows with their slice (0 for keys left whole), and the hot keys' rows alone."""
     number = _slice_of(order, tie)
     whole = F.lit(0).cast("long")
-    rows = df.withColumn(_SLICE, F.when(_is_hot(key, hot), number).otherwise(whole))
-    return rows, df.where(_is_hot(key, hot)).withColumn(_SLICE, number)
+    rows = df.withColumn(_SLICE, F.when(is_hot(key, hot), number).otherwise(whole))
+    return rows, df.where(is_hot(key, hot)).withColumn(_SLICE, number)
 
 
 def _ascending(*names: str) -> str:

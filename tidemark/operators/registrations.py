@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.functions.figures import exprs
 from tidemark.functions.month import MonthWindow, between, monday, week_of_month
+from tidemark.operators.hot import spread_join
 from tidemark.sources.tables import Tables
 
 
@@ -19,7 +20,8 @@ def nru(tables: Tables) -> DataFrame:
 def nru_with_calls(tables: Tables) -> DataFrame:
     """Users once per call they had (so none without a call), and every lead once."""
     calls = tables.user_calls.selectExpr("user_id as id")
-    called = tables.users.select("id", "created_at").join(calls, "id", "inner")
+    users = tables.users.select("id", "created_at")
+    called = spread_join(calls, users, "id", hot=tables.hot("user_calls", "user_id"))
     return called.unionByName(tables.user_leads.select("id", "created_at"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from tidemark.constants import ACTIVE_INVENTORY, RENEWABLE_PACKAGE_TYPE
 from tidemark.functions.figures import exprs
 from tidemark.functions.month import MonthWindow, between, utc_literal
+from tidemark.operators.hot import spread_join
 from tidemark.operators.ordered import with_next
 from tidemark.operators.sales import IS_PAID
 
@@ -72,7 +73,7 @@ def near_months(inventories: DataFrame, first: MonthWindow, last: MonthWindow) -
                 f"min(if({late}, {expiry}, null)) as after",
             )
         )
-        .join(inside.select("user_id"), "user_id", "left_semi")
+        .join(inside.select("user_id").distinct(), "user_id", "left_semi")
         .selectExpr("user_id", f"explode(array(before, after)) as {expiry}")
         .where(f"{expiry} is not null")
     )
@@ -191,7 +192,8 @@ def on_time_renewers(
     expiries: DataFrame, start_days: DataFrame, window: MonthWindow, name: str = "total_count"
 ) -> DataFrame:
     """One row: users with one of the month's `expiries` on the local day of a next start."""
-    days = expiries.selectExpr("user_id", f"{window.local_day('actual_expired_at')} as day")
+    day = f"{window.local_day('actual_expired_at')} as day"
+    days = expiries.selectExpr("user_id", day).distinct()
     return count_users(days.join(start_days, ["user_id", "day"], "left_semi"), name)
 
 
@@ -201,6 +203,7 @@ def win_back_users(
     start_days: DataFrame,
     window: MonthWindow,
     name: str = "total_count",
+    hot: Sequence = (),
 ) -> DataFrame:
     """One row: users with an active, paid expiry before the month and a next start in it.
 
@@ -208,7 +211,7 @@ def win_back_users(
     among the purchases.
     """
     lapsed = inventories.where(f"{IS_ACTIVE} and {window.is_after('actual_expired_at')}")
-    candidates = lapsed.join(start_days.select("user_id"), "user_id", "left_semi")
+    candidates = spread_join(lapsed, start_days.select("user_id"), "user_id", "left_semi", hot)
     return count_users(with_paid_purchase(candidates, purchases, "left_semi"), name)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.functions.figures import ratio, ratio_or_zero, side_by_side
-from tidemark.functions.month import MonthWindow
+from tidemark.functions.month import MonthWindow, between
+from tidemark.operators.hot import hot_keys
 from tidemark.operators.renewals import (
     active_expiries,
     earliest_starts,
@@ -30,11 +31,19 @@ def upsell_average(tables: Tables, month: MonthWindow) -> DataFrame:
     )
 
 
+def hot_users(tables: Tables) -> list:
+    return tables.hot("user_inventories", "user_id")
+
+
 def expiring_user_count(tables: Tables, **months: MonthWindow) -> DataFrame:
     """One row: users who expire in each named month; the months must be given in order."""
-    first, last = list(months.values())[0], list(months.values())[-1]
-    near = near_months(tables.user_inventories, first, last)
-    return expiring_users(next_by_expiry(near, tables.hot_users), **months)
+    inventories = tables.user_inventories
+    first, *_, last = [*months.values(), *months.values()]
+    in_span = inventories.where(between("actual_expired_at", first.start, last.end))
+    # Only users with very many inventories at all can have very many in these months.
+    hot = hot_users(tables) and hot_keys(in_span, "user_id", tables.hot_rows)
+    near = near_months(inventories, first, last)
+    return expiring_users(next_by_expiry(near, hot), **months)
 
 
 def early_renewal_count(tables: Tables, month: MonthWindow, name: str) -> DataFrame:
@@ -53,7 +62,7 @@ def on_time_renewal_count(tables: Tables, month: MonthWindow, name: str) -> Data
 def win_back_count(tables: Tables, month: MonthWindow, name: str) -> DataFrame:
     inventories, purchases = tables.user_inventories, tables.purchased_packages
     start_days = next_start_days(inventories, earliest_starts(inventories, month), month)
-    return win_back_users(inventories, purchases, start_days, month, name)
+    return win_back_users(inventories, purchases, start_days, month, name, hot_users(tables))
 
 
 def upsell_renewal_counts(tables: Tables, month: MonthWindow) -> DataFrame:
@@ -67,7 +76,12 @@ def upsell_renewal_counts(tables: Tables, month: MonthWindow) -> DataFrame:
         early_renewers(expiries, earliest, month, "number_upsale_before_time"),
         on_time_renewers(expiries, start_days, month, "number_upsale_on_time"),
         win_back_users(
-            inventories, purchases, start_days, month, "number_expired_ago_upsale_this_month"
+            inventories,
+            purchases,
+            start_days,
+            month,
+            "number_expired_ago_upsale_this_month",
+            hot_users(tables),
         ),
     )
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.operators.ordered import HOT_ROWS, hot_keys
+from tidemark.operators.hot import HOT_ROWS, hot_keys
 
 REQUIRED_COLUMNS = {
     "users": ("id", "created_at"),
@@ -60,6 +59,7 @@ class Tables:
     purchased_packages: DataFrame
     user_inventories: DataFrame
     hot_rows: int = HOT_ROWS
+    _hot: dict[tuple[str, str], list] = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         for name, columns in REQUIRED_COLUMNS.items():
@@ -74,10 +74,11 @@ class Tables:
                     "set spark.sql.session.timeZone to UTC or store TIMESTAMP_NTZ"
                 )
 
-    @cached_property
-    def hot_users(self) -> list:
-        """Users with very many inventories, looked up once by one job and then kept."""
-        return hot_keys(self.user_inventories, "user_id", self.hot_rows)
+    def hot(self, table: str, key: str) -> list:
+        """Keys with very many rows in a table, looked up once by one job and then kept."""
+        if (table, key) not in self._hot:
+            self._hot[table, key] = hot_keys(getattr(self, table), key, self.hot_rows)
+        return self._hot[table, key]
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str) -> Tables:

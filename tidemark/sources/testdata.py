@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.figures import exprs
-from tidemark.operators.ordered import HOT_ROWS, hot_keys, with_position
+from tidemark.operators.hot import HOT_ROWS, hot_keys
+from tidemark.operators.ordered import with_position
 from tidemark.sources.tables import Tables
 
 
