@@ -1,5 +1,7 @@
 """Weekly member reports on tables written by hand."""
 
+from dataclasses import replace
+
 from tests.build import purchase, tables
 from tidemark import MonthWindow
 from tidemark.operators import members
@@ -38,6 +40,21 @@ def test_members_of_one_name_and_without_a_name(spark):
     }
 
 
+def test_a_role_limits_the_members(spark):
+    at = "2022-07-04T00:00:00"
+    t = tables(spark, purchased_packages=[purchase(i, at, admin=i) for i in (1, 2, 3)])
+    admins = spark.createDataFrame(
+        [(1, "Lan", ["sale", "lead"]), (2, "Minh", ["support"]), (3, "Thu", None)],
+        "admin_id bigint, name string, role_ids array<string>",
+    )
+    t = replace(t, admins=admins)
+    assert {name for name, _, _ in lines(reports.weekly_new_sales_by_member(t, JULY))} == {
+        "Lan", "Minh", "Thu",
+    }
+    limited = reports.weekly_new_sales_by_member(t, JULY, role="sale")
+    assert {name for name, _, _ in lines(limited)} == {"Lan"}
+
+
 def test_year_end_weeks(spark):
     """December 2021 ends in ISO week 52; January 2022 begins in it."""
     t = tables(

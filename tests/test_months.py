@@ -97,8 +97,10 @@ def test_calendar_with_the_next_first_day(spark):
 
 
 def test_months_of_are_local(spark):
-    t = tables(spark, purchased_packages=[purchase(1, "2022-06-30T17:00:00")])
-    assert months_of(t.purchased_packages, "purchased_at").first()[0] == date(2022, 7, 1)
+    moments = ["2022-04-30T16:59:59", "2022-06-30T17:00:00", "2022-08-31T16:00:00", "2022-08-31T18:00:00"]
+    t = tables(spark, purchased_packages=[purchase(i, at) for i, at in enumerate(moments)])
+    months = months_of(t.purchased_packages, "purchased_at").orderBy("month_start").collect()
+    assert [r[0] for r in months] == [date(2022, m, 1) for m in (4, 7, 8, 9)]
 
 
 def test_number_text_rounds_half_to_even(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.constants import (
     INCOME_TYPE,
@@ -18,6 +19,13 @@ from tidemark.operators.hot import spread_join
 from tidemark.operators.sales import IS_NEW_SALE, IS_REPEAT_SALE, not_upgrades
 
 
+def team_members(admins: DataFrame, role: str | None = None) -> DataFrame:
+    """All members, or those whose `role_ids` array has the role."""
+    if role is None:
+        return admins
+    return admins.where(F.array_contains("role_ids", role))
+
+
 def _members(admins: DataFrame) -> DataFrame:
     return admins.select("admin_id", "name")
 

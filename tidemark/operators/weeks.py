@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.constants import BUSINESS_ZONE
+from tidemark.functions.figures import exprs
 from tidemark.functions.month import local_day, monday
 
 
 def months_of(df: DataFrame, column: str, zone: str = BUSINESS_ZONE) -> DataFrame:
-    """First days (`month_start`) of the local months in which a column has moments."""
-    month = f"trunc({local_day(column, zone)}, 'MM')"
-    return df.selectExpr(f"{month} as month_start").where("month_start is not null").distinct()
+    """First days (`month_start`) of the local months in which a column has moments.
+
+    A UTC day lies in at most two local months, those of its first and last moment; so
+    only these two are converted to local time, not every row.
+    """
+    per_day = (
+        df.where(f"{column} is not null")
+        .groupBy(F.expr(f"to_date({column}) as day"))
+        .agg(*exprs(f"min({column}) as first", f"max({column}) as last"))
+    )
+    moments = per_day.selectExpr("explode(array(first, last)) as moment")
+    return moments.selectExpr(f"trunc({local_day('moment', zone)}, 'MM') as month_start").distinct()
 
 
 def month_week_calendar(months: DataFrame, with_next_first_day: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.functions.month import MonthWindow
 from tidemark.operators.members import (
+    team_members,
     weekly_member_metrics,
     weekly_new_sale_totals,
     weekly_upsell_totals,
@@ -13,13 +14,19 @@ from tidemark.operators.members import (
 from tidemark.sources.tables import Tables
 
 
-def weekly_new_sales_by_member(tables: Tables, month: MonthWindow) -> DataFrame:
-    return weekly_member_metrics(
-        weekly_new_sale_totals(tables.purchased_packages, tables.admins, month)
-    )
+def weekly_new_sales_by_member(
+    tables: Tables, month: MonthWindow, role: str | None = None
+) -> DataFrame:
+    """Orders and income per member and week of the month; `role` limits the members."""
+    admins = team_members(tables.admins, role)
+    return weekly_member_metrics(weekly_new_sale_totals(tables.purchased_packages, admins, month))
 
 
-def weekly_upsells_by_member(tables: Tables, month: MonthWindow) -> DataFrame:
+def weekly_upsells_by_member(
+    tables: Tables, month: MonthWindow, role: str | None = None
+) -> DataFrame:
+    """Orders and income per member and week of the month; `role` limits the members."""
+    admins = team_members(tables.admins, role)
     return weekly_member_metrics(
-        weekly_upsell_totals(tables.purchased_packages, tables.packages, tables.admins, month)
+        weekly_upsell_totals(tables.purchased_packages, tables.packages, admins, month)
     )

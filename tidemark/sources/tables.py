@@ -59,7 +59,9 @@ class Tables:
     purchased_packages: DataFrame
     user_inventories: DataFrame
     hot_rows: int = HOT_ROWS
-    _hot: dict[tuple[str, str], list] = field(default_factory=dict, repr=False, compare=False)
+    _hot: dict[tuple[str, str], list] = field(
+        default_factory=dict, init=False, repr=False, compare=False
+    )
 
     def __post_init__(self) -> None:
         for name, columns in REQUIRED_COLUMNS.items():
