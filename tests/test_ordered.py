@@ -103,7 +103,7 @@ def test_near_months_show_the_same_expiring_users(spark, month):
     assert expected["this"] > 0
 
 
-def test_early_renewers_equal_the_direct_join(spark):
+def test_renewers_equal_the_direct_joins(spark):
     """Random small histories against every pair of expiry and next start."""
     rng = random.Random(11)
     rows, purchases = [], []
@@ -115,15 +115,11 @@ def test_early_renewers_equal_the_direct_join(spark):
     inventories = frame(spark, "user_inventories", rows)
     paid = frame(spark, "purchased_packages", purchases)
     expiries = renewals.active_expiries(inventories, paid, JULY)
-    earliest = renewals.earliest_starts(inventories, JULY)
-    days = renewals.next_start_days(inventories, earliest, JULY)
     pairs = expiries.join(renewals.next_by_start(inventories), "user_id")
     expiry_day, start_day = JULY.local_day("actual_expired_at"), JULY.local_day("next_ori_started_at")
     early = pairs.where(f"{expiry_day} > {start_day}").select("user_id").distinct().count()
     on_time = pairs.where(f"{expiry_day} = {start_day}").select("user_id").distinct().count()
     assert early > 10 and on_time > 3
-    assert renewals.early_renewers(expiries, earliest, JULY).first()[0] == early
-    assert renewals.on_time_renewers(expiries, days, JULY).first()[0] == on_time
     back = (
         renewals.next_by_start(inventories)
         .where(JULY.contains("next_ori_started_at"))
@@ -134,7 +130,11 @@ def test_early_renewers_equal_the_direct_join(spark):
         .select("user_id").distinct().count()
     )
     assert back > 10
-    assert renewals.win_back_users(inventories, paid, days, JULY).first()[0] == back
+    for hot_users in ([], list(range(0, 600, 7))):
+        counts = renewals.renewers(inventories, paid, JULY, hot_users).first()
+        assert counts.asDict() == {"early": early, "on_time": on_time, "back": back}
+    without = renewals.renewers(inventories, paid, JULY, with_back=False).first()
+    assert without.asDict() == {"early": early, "on_time": on_time, "back": 0}
 
 
 def test_row_level_joins_do_not_depend_on_hot_keys(spark):

@@ -113,7 +113,7 @@ def test_registrations_reach_the_scan(stored):
 
 def test_earliest_starts_are_limited_before_the_shuffle(stored):
     read, _ = stored
-    plan = plan_of(upsell_reports.early_renewal_count(read, JULY, "n"))
+    plan = plan_of(upsell_reports.renewer_counts(read, JULY))
     assert plan.index("WindowGroupLimit") >= 0 and "Partial" in plan
 
 

@@ -89,10 +89,8 @@ def test_early_on_time_and_won_back(spark):
         inventory(10, 6, "2022-06-01", "2022-07-10", status=0),
         inventory(11, 6, "2022-07-05", "2022-09-10"),
     )
-    early = reports.early_renewal_count(t, JULY, "n").first().n
-    on_time = reports.on_time_renewal_count(t, JULY, "n").first().n
-    back = reports.win_back_count(t, JULY, "n").first().n
-    assert (early, on_time, back) == (1, 2, 1)
+    counts = reports.renewer_counts(t, JULY).first()
+    assert counts.asDict() == {"early": 1, "on_time": 2, "back": 1}
 
 
 def test_next_start_days_leave_out_only_the_first_start(spark):

@@ -170,49 +170,56 @@ def next_start_days(
     )
 
 
-def count_users(users: DataFrame, name: str) -> DataFrame:
-    return users.selectExpr(f"count(distinct user_id) as {name}")
-
-
-def early_renewers(
-    expiries: DataFrame, earliest: DataFrame, window: MonthWindow, name: str = "total_count"
-) -> DataFrame:
-    """One row: users with one of the month's `expiries` on a later local day than a next start.
-
-    Some pair qualifies if and only if the latest expiry is on a later day than the
-    earliest next start, so one row per user on either side is enough. Starts from the
-    month's end on are later than every expiry asked about.
-    """
-    latest = expiries.groupBy("user_id").agg(*exprs("max(actual_expired_at) as latest"))
-    later = f"{window.local_day('latest')} > {window.local_day('second_start')}"
-    return count_users(latest.join(earliest, "user_id", "inner").where(later), name)
-
-
-def on_time_renewers(
-    expiries: DataFrame, start_days: DataFrame, window: MonthWindow, name: str = "total_count"
-) -> DataFrame:
-    """One row: users with one of the month's `expiries` on the local day of a next start."""
-    day = f"{window.local_day('actual_expired_at')} as day"
-    days = expiries.selectExpr("user_id", day).distinct()
-    return count_users(days.join(start_days, ["user_id", "day"], "left_semi"), name)
-
-
-def win_back_users(
+def renewers(
     inventories: DataFrame,
     purchases: DataFrame,
-    start_days: DataFrame,
     window: MonthWindow,
-    name: str = "total_count",
     hot: Sequence = (),
+    with_back: bool = True,
 ) -> DataFrame:
-    """One row: users with an active, paid expiry before the month and a next start in it.
+    """One row of distinct users with active, paid expiries, by local days:
+
+    * `early`: an expiry in the month on a later day than a next start;
+    * `on_time`: an expiry in the month on the day of a next start;
+    * `back`: an expiry before the month and a next start in it; 0 unless `with_back`.
 
-    The month's starters are few, so they cut the history down before it is looked up
-    among the purchases.
+    Everything is brought to one row per user. Some expiry is later than some next start
+    if and only if the latest expiry is later than the earliest next start, the second
+    start; starts from the month's end on cannot be earlier. Expiry and start days in
+    the month are arrays of at most 31. Of the expiries before the month, only those of
+    users with a next start in it are looked up among the purchases.
     """
-    lapsed = inventories.where(f"{IS_ACTIVE} and {window.is_after('actual_expired_at')}")
-    candidates = spread_join(lapsed, start_days.select("user_id"), "user_id", "left_semi", hot)
-    return count_users(with_paid_purchase(candidates, purchases, "left_semi"), name)
+    earliest = earliest_starts(inventories, window)
+    days = next_start_days(inventories, earliest, window)
+    expiry = "actual_expired_at"
+    active = inventories.where(IS_ACTIVE)
+    wanted = active.where(window.contains(expiry)).select("user_id", expiry, "purchased_package_id")
+    if with_back:
+        lapsed = active.where(window.is_after(expiry)).select(*wanted.columns)
+        starters = days.select("user_id").distinct()
+        wanted = wanted.unionByName(spread_join(lapsed, starters, "user_id", "left_semi", hot))
+    due = (
+        with_paid_purchase(wanted, purchases, "left_semi")
+        .groupBy("user_id")
+        .agg(
+            *exprs(
+                f"max({expiry}) as latest",
+                f"collect_set(if({window.contains(expiry)}, {window.local_day(expiry)}, null)) as days",
+                f"bool_or({window.is_after(expiry)}) as lapsed",
+            )
+        )
+    )
+    starts = days.groupBy("user_id").agg(*exprs("collect_set(day) as start_days"))
+    later = f"{window.local_day('latest')} > {window.local_day('second_start')}"
+    return (
+        due.join(earliest, "user_id", "inner")
+        .join(starts, "user_id", "left")
+        .selectExpr(
+            f"count_if({window.contains('latest')} and {later}) as early",
+            "count_if(arrays_overlap(days, start_days)) as on_time",
+            "count_if(lapsed and start_days is not null) as back",
+        )
+    )
 
 
 def expired_user_counts(

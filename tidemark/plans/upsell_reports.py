@@ -8,16 +8,11 @@ from tidemark.functions.figures import ratio, ratio_or_zero, side_by_side
 from tidemark.functions.month import MonthWindow, between
 from tidemark.operators.hot import hot_keys
 from tidemark.operators.renewals import (
-    active_expiries,
-    earliest_starts,
-    early_renewers,
     expired_user_counts,
     expiring_users,
     near_months,
     next_by_expiry,
-    next_start_days,
-    on_time_renewers,
-    win_back_users,
+    renewers,
 )
 from tidemark.operators.sales import average_order, upsell_totals
 from tidemark.sources.tables import Tables
@@ -46,42 +41,21 @@ def expiring_user_count(tables: Tables, **months: MonthWindow) -> DataFrame:
     return expiring_users(next_by_expiry(near, hot), **months)
 
 
-def early_renewal_count(tables: Tables, month: MonthWindow, name: str) -> DataFrame:
-    inventories, purchases = tables.user_inventories, tables.purchased_packages
-    expiries = active_expiries(inventories, purchases, month, how="left_semi")
-    return early_renewers(expiries, earliest_starts(inventories, month), month, name)
-
-
-def on_time_renewal_count(tables: Tables, month: MonthWindow, name: str) -> DataFrame:
-    inventories, purchases = tables.user_inventories, tables.purchased_packages
-    expiries = active_expiries(inventories, purchases, month, how="left_semi")
-    start_days = next_start_days(inventories, earliest_starts(inventories, month), month)
-    return on_time_renewers(expiries, start_days, month, name)
-
-
-def win_back_count(tables: Tables, month: MonthWindow, name: str) -> DataFrame:
-    inventories, purchases = tables.user_inventories, tables.purchased_packages
-    start_days = next_start_days(inventories, earliest_starts(inventories, month), month)
-    return win_back_users(inventories, purchases, start_days, month, name, hot_users(tables))
+def renewer_counts(tables: Tables, month: MonthWindow, with_back: bool = True) -> DataFrame:
+    """One row: users who renew early, renew on the day, or come back in the month."""
+    return renewers(
+        tables.user_inventories, tables.purchased_packages, month, hot_users(tables), with_back
+    )
 
 
 def upsell_renewal_counts(tables: Tables, month: MonthWindow) -> DataFrame:
     """Users who expire in the month, renew early, renew on the day, or come back in it."""
-    inventories, purchases = tables.user_inventories, tables.purchased_packages
-    expiries = active_expiries(inventories, purchases, month, how="left_semi")
-    earliest = earliest_starts(inventories, month)
-    start_days = next_start_days(inventories, earliest, month)
     return side_by_side(
         expiring_user_count(tables, user_expired_this_month=month),
-        early_renewers(expiries, earliest, month, "number_upsale_before_time"),
-        on_time_renewers(expiries, start_days, month, "number_upsale_on_time"),
-        win_back_users(
-            inventories,
-            purchases,
-            start_days,
-            month,
-            "number_expired_ago_upsale_this_month",
-            hot_users(tables),
+        renewer_counts(tables, month).selectExpr(
+            "early as number_upsale_before_time",
+            "on_time as number_upsale_on_time",
+            "back as number_expired_ago_upsale_this_month",
         ),
     )
 
@@ -103,15 +77,10 @@ def upsell_forecast(tables: Tables, month: MonthWindow) -> DataFrame:
     expiring users times last month's average upsell. Raises (ANSI) if last month has
     neither expiring users nor early renewers."""
     last = month.previous()
-    inventories, purchases = tables.user_inventories, tables.purchased_packages
-    expiries = active_expiries(inventories, purchases, last, how="left_semi")
-    earliest = earliest_starts(inventories, last)
-    start_days = next_start_days(inventories, earliest, last)
     row = side_by_side(
         expiring_user_count(tables, expired_last=last, expired_this=month),
-        early_renewers(expiries, earliest, last, "early"),
-        on_time_renewers(expiries, start_days, last, "on_time"),
-        upsell_totals(purchases, tables.packages, last),
+        renewer_counts(tables, last, with_back=False),
+        upsell_totals(tables.purchased_packages, tables.packages, last),
     )
     figures = average_order(row).selectExpr(
         f"{ratio('on_time + early', 'early + expired_last')} * 100 as rate",
