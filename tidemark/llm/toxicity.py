@@ -63,7 +63,7 @@ def _document_features(texts: pa.Array) -> list[np.ndarray]:
         owners.append(np.searchsorted(bounds, at, "right") - 1)
     keys = np.unique(np.concatenate(owners) << BITS | np.concatenate(buckets))
     cuts = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.int64) << BITS)
-    return [keys[a:b] & ((1 << BITS) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(keys[a:b] & ((1 << BITS) - 1)).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
