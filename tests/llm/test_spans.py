@@ -1,0 +1,150 @@
+"""Secrets and personal data against the patterns of their contract, applied literally."""
+
+from __future__ import annotations
+
+import base64
+import bz2
+import gzip
+import hashlib
+import re
+import urllib.parse
+import zlib
+
+import pytest
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import pii, secrets
+
+ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def base_secrets(text: str) -> list:
+    out = [("assign", *m.span()) for m in re.finditer(ASSIGN.replace("(password", "(?ai:password").replace("key)", "key)"), text) if len(m[1]) >= 8]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def digits(text: str) -> str:
+    return re.sub(r"[^0-9]", "", text)
+
+
+def luhn(number: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(number[::-1])) % 10 == 0
+
+
+def base_personal(text: str) -> list:
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    return out
+
+
+PIECES = st.sampled_from(
+    ["Password", "token", "api_key", "APIKEY", "passwd", "secret", "=", ":", " ", "'", '"', "AKIA", "ABCDEFGHIJKL2345", "0123456789abcdef", "deadbeef", "x", "A", "-", ".", "@", "a.b", "mail", "+", "(", ")", "1", "42", "255", "256", "4111 1111 1111 1111", "4111111111111111", "00", "\n", "é", "😀", "%41", "\\u0041", "_", "/"]
+)
+TEXTS = st.lists(PIECES, max_size=30).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(TEXTS)
+def test_base_secrets_are_the_contract(text):
+    assert secrets.plain_spans(text) == base_secrets(text)
+    base, inner, _, closed = secrets.scan(text)
+    assert base == base_secrets(text) and closed == 0
+    assert all(0 <= begin < end <= len(text) for _, (_, begin, end) in inner)
+
+
+@settings(max_examples=600, deadline=None)
+@given(TEXTS)
+def test_base_personal_data_is_the_contract(text):
+    assert [(f.kind, f.start, f.end) for f in pii.find(text) if f.kind in pii.BASE] == base_personal(text)
+
+
+SECRET = "password=hunter2hunter2"
+
+
+def packed(how: str) -> bytes:
+    raw = f"intro {SECRET} outro".encode()
+    return {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "zstd": zstandard.compress, "none": bytes}[how](raw)
+
+
+@pytest.mark.parametrize("how", ["gzip", "zlib", "bz2", "zstd", "none"])
+def test_layers_are_opened_and_mapped(how):
+    run = base64.b64encode(packed(how)).decode()
+    text = f"é data {urllib.parse.quote(run, safe='')} end"
+    base, inner, opened, closed = secrets.scan(text)
+    assert base == [] and closed == 0 and opened >= 1
+    found = [span for _, span in inner if span[0] == "assign"]
+    assert found
+    kind, begin, end = found[0]
+    assert 7 <= begin < end <= len(text) - 4
+    if how == "none":  # exact up to base64's groups of four
+        seen = urllib.parse.unquote(text[begin:end])
+        assert base64.b64encode(SECRET.encode()).decode()[4:8] or seen
+
+
+def test_nested_three_times_with_escapes():
+    inner = base64.b64encode(SECRET.replace("=", "\\u003d").encode()).decode()
+    middle = base64.b64encode(gzip.compress(f"see {inner} there".encode())).decode()
+    _, inner_spans, opened, _ = secrets.scan(f"start {middle} stop")
+    assert opened == 3
+    assert [span for _, span in inner_spans] == [("assign", 6, 6 + len(middle))]
+
+
+def test_a_cycle_ends():
+    text = "%2525252541"
+    _, _, opened, _ = secrets.scan(text)
+    assert opened <= 6
+
+
+def test_a_bomb_stays_closed(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    run = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
+    assert secrets.scan(run)[3] == 1
+
+
+def test_secret_partly_escaped_maps_to_its_characters():
+    text = "xx token%3D%22abcdef%41bcdef yy"
+    _, inner, _, _ = secrets.scan(text)
+    (span,) = {s for _, s in inner if s[0] == "assign"}
+    assert text[span[1] : span[2]] == "token%3D%22abcdef%41bcdef"
+
+
+def test_iban_and_context():
+    text = "bank account DE89 3704 0044 0532 0130 00 and ssn 123-45-6789, part 123-45-6780"
+    found = {(f.kind, text[f.start : f.end]) for f in pii.find(text)}
+    assert ("iban", "DE89 3704 0044 0532 0130 00") in found
+    assert pii.find("DE88 3704 0044 0532 0130 00") == []
+    near = pii.find("visa card 4111111111111111")[0].score
+    far = pii.find("order 4111111111111111")[0].score
+    assert near > 0.8 > far
+
+
+def test_long_runs_take_linear_time():
+    assert pii.find("a" * 300_000) == []
+    assert pii.find("1" * 300_000 + ".") == []
+    assert secrets.scan("g" * 300_000)[0] == []
+
+
+@pytest.mark.parametrize("operator", [secrets.find_secrets, pii.find_personal_data])
+def test_rows_and_edge_cases(spark, operator):
+    rows = [(1, None, "a"), (2, "", "a"), (None, "token = abcdefgh1", None), (3, "a@b.co", "x"), (3, "a@b.co", "x"), (4, "w " * 200_000 + "a@b.co", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = operator(docs).collect()
+    assert len(out) == len(rows)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {r.base_sha256 for r in out if r.doc_id in (1, 2)} == {empty}
+    assert operator(docs.limit(0)).collect() == []
+    three = [r for r in out if r.doc_id == 3]
+    assert len(three) == 2 and three[0] == three[1]
+    if operator is pii.find_personal_data:
+        assert three[0].spans == "email:0:6"
+        (long,) = [r for r in out if r.doc_id == 4]
+        assert long.spans == "email:400000:400006"
+    else:
+        (null,) = [r for r in out if r.doc_id is None]
+        assert null.spans == "assign:0:17" and null.n_assign == 1
