@@ -24,7 +24,11 @@ nru_source as (
 users as (select id, created_at from nru_source where id % 3 <> 0),
 user_leads as (select id, created_at from nru_source where id % 3 = 0 or id % 30 = 1),
 user_calls as (select event_id as id, user_id from events where event_type = 'click'),
-admins as (select n_nationkey as admin_id, n_name as name from nation),
+admins as (
+    select n_nationkey as admin_id, n_name as name,
+           ['region' || n_regionkey, case when n_nationkey % 2 = 0 then 'even' else 'odd' end] as role_ids
+    from nation
+),
 packages as (select concat('pkg', p_partkey) as mongo_id, p_size % 5 as package_type from part),
 purchased_packages as (
     select o_orderkey as id, concat('pp', o_orderkey) as mongo_id, o_custkey as customer_id,
@@ -45,6 +49,7 @@ user_inventories as (
            case when id % 10 = 0 then 0 else 1 end as status,
            purchased_at + (id % 3) * interval '1' day as original_started_at,
            purchased_at + (id % 6) * interval '1' day as started_at,
+           purchased_at + (id % 3 + 30 + (id % 5) * 30 - (id % 2) * 7) * interval '1' day as original_expired_at,
            case when id % 97 = 0 then null
                 else purchased_at + (id % 3 + 30 + (id % 5) * 30) * interval '1' day end as actual_expired_at
     from purchased_packages
@@ -53,19 +58,19 @@ user_inventories as (
 _REGISTERED = """
 registered as (select * from users union all select * from user_leads),
 registered_called as (
-    select u.id, u.created_at from users u, user_calls c where c.user_id = u.id
+    select u.id, u.created_at from users u join user_calls c on c.user_id = u.id
     union all
     select * from user_leads
 )"""
 
 _SALES = """
-first_paid as (select * from purchased_packages where paid_counter = 1 and status between 2 and 3),
+first_paid as (select * from purchased_packages where paid_counter = 1 and status in (2, 3)),
 sale_new as (select * from first_paid where amount > 0),
 sale_again as (
     select p.*, k.package_type
-    from purchased_packages p, packages k
-    where k.mongo_id = p.package_id and k.package_type <> 4
-      and p.paid_counter >= 2 and p.status between 2 and 3 and p.amount > 0
+    from purchased_packages p join packages k on k.mongo_id = p.package_id
+    where k.package_type <> 4
+      and p.paid_counter > 1 and p.status in (2, 3) and p.amount > 0
 ),
 sale_member_new as (
     select s.*, a.name, cast(week(s.purchased_at + interval '7' hour) as int) as weekios
@@ -117,7 +122,7 @@ by_started_at as (
 paid_active as (
     select i.user_id, i.actual_expired_at, i.actual_expired_at + interval '7' hour as local_end
     from user_inventories i join purchased_packages p on p.mongo_id = i.purchased_package_id
-    where p.status between 2 and 3 and i.package_type = 1 and i.status = 1
+    where p.status in (2, 3) and i.package_type = 1 and i.status = 1
 ),
 expiring as (
     select m.label, count(distinct e.user_id) as users
@@ -166,7 +171,7 @@ _COHORTS = """
 cohort as (
     select count(distinct p.customer_id) filter (p.amount > 0 and r.created_at >= start) as bought,
            count(distinct p.customer_id) filter (p.amount > 0 and r.created_at >= start
-               and p.claimed_at <= p.purchased_at) as claimed,
+               and p.purchased_at >= p.claimed_at) as claimed,
            count(distinct r.id) filter (r.created_at < start) as earlier
     from first_paid p join registered r on r.id = p.customer_id, month_bounds
     where p.purchased_at >= start and p.purchased_at < finish and r.created_at < finish
@@ -179,41 +184,37 @@ cohort_last as (
 ),
 cohort_last_called as (
     select count(distinct p.customer_id) as bought,
-           count(distinct p.customer_id) filter (p.claimed_at <= p.purchased_at) as claimed
+           count(distinct p.customer_id) filter (p.purchased_at >= p.claimed_at) as claimed
     from sale_new p join registered_called r on r.id = p.customer_id, month_bounds
     where p.purchased_at >= prior and p.purchased_at < start
       and r.created_at >= prior and r.created_at < start
 )"""
 
 _MEMBERS = """
-member_totals as (
-    select 'new_sale' as kind, name, count(id) as order_count,
-           cast(sum(local_amount) as bigint) as total_amount
-    from sale_member_new group by name
+member_sales as (
+    select 'new_sale' as kind, name, weekios, id, local_amount from sale_member_new
     union all
-    select 'upsell', name, count(id), cast(sum(local_amount) as bigint)
-    from sale_member_again group by name
+    select 'upsell', name, weekios, id, local_amount from sale_member_again
 ),
-member_weeks as (
-    select 'new_sale' as kind, s.name, w.week, count(s.id) as orders,
-           cast(sum(s.local_amount) as bigint) as income
-    from sale_member_new s join month_weeks w on w.isoweek = s.weekios group by s.name, w.week
-    union all
-    select 'upsell', s.name, w.week, count(s.id), cast(sum(s.local_amount) as bigint)
-    from sale_member_again s join month_weeks w on w.isoweek = s.weekios group by s.name, w.week
+member_sums as (
+    select kind, s.name, w.week, count(id) as orders, cast(sum(local_amount) as bigint) as income
+    from member_sales s join month_weeks w on w.isoweek = s.weekios
+    group by grouping sets ((kind, s.name, w.week), (kind, s.name))
+),
+member_totals as (
+    select kind, name, orders as order_count, income as total_amount from member_sums where week is null
 ),
 member_lines as (
-    select kind, name, cast(week as varchar) as week, 'order' as type, orders as value from member_weeks
-    union all
-    select kind, name, cast(week as varchar), 'income', income from member_weeks
-    union all
-    select kind, name, 'total_order', 'order', order_count from member_totals
-    union all
-    select kind, name, 'total_amount', 'income', total_amount from member_totals
+    select kind, name,
+           case when week is not null then cast(week as varchar)
+                when type = 'order' then 'total_order' else 'total_amount' end as week,
+           type, value
+    from (unpivot (select kind, name, week, orders as "order", income from member_sums)
+          on "order", income into name type value value)
 ),
 member_report as (
-    select l.*, format('{:,}', cast(round_even(cast(t.total_amount as double) / t.order_count, 0)
-                                    as bigint)) as average
+    select l.*, format('{:,}.', cast(round_even(cast(t.total_amount as double) / t.order_count, 0)
+                                     as bigint)) as average
     from member_lines l left join member_totals t on t.kind = l.kind and t.name = l.name
 )"""
 
@@ -307,6 +308,25 @@ _QUERIES = {
         select month_start, first_day_of_week, cast(week(first_day_of_week) as int) as isoweek,
                cast(row_number() over (partition by month_start order by first_day_of_week) as int) as week
         from mondays""",
+    "month_week_calendar_and_next_day": """
+        with days as (
+            select month_start, unnest(generate_series(month_start, month_start + interval '1' month,
+                                                       interval '1' day)) as d
+            from (select distinct date_trunc('month', purchased_at + interval '7' hour) as month_start
+                  from purchased_packages)
+        ), mondays as (
+            select distinct cast(month_start as date) as month_start,
+                   cast(date_trunc('week', d) as date) as first_day_of_week
+            from days
+        )
+        select month_start, first_day_of_week, cast(week(first_day_of_week) as int) as isoweek,
+               cast(row_number() over (partition by month_start order by first_day_of_week) as int) as week
+        from mondays""",
+    "team_members": "select admin_id, name from admins where list_contains(role_ids, 'region1')",
+    "weekly_new_sales_by_role": """
+        select r.name, r.week, r.type, r.value, r.average
+        from member_report r join admins a using (name)
+        where r.kind = 'new_sale' and list_contains(a.role_ids, 'even')""",
     "nru": "select * from registered",
     "nru_with_calls": "select * from registered_called",
     "new_sales": f"select {_PURCHASE} from sale_new, month_bounds where {_IN_MONTH}",
@@ -334,6 +354,24 @@ _QUERIES = {
         select 'upsell', count(id), cast(sum(local_amount) as bigint), {_AVERAGE}
         from sale_again, month_bounds where {_IN_MONTH}""",
     "next_by_expiry": "select * from by_expiry",
+    "next_by_expiry_tied": """
+        with tied as (
+            select case when id % 7 = 0 then null else id end as id, user_id % 20 as user_id,
+                   cast(date_trunc('month', actual_expired_at) as timestamp) as actual_expired_at,
+                   original_started_at
+            from user_inventories
+        )
+        select *, lead(actual_expired_at) over w as next_actual_expired_at,
+               lead(original_started_at) over w as next_ori_started_at
+        from tied
+        window w as (partition by user_id order by actual_expired_at asc nulls last, id asc nulls last,
+                     original_started_at asc nulls last)""",
+    "next_by_original_expiry": """
+        select id, user_id, original_expired_at, original_started_at,
+               lead(original_expired_at) over w as next_original_expired_at,
+               lead(original_started_at) over w as next_ori_started_at
+        from user_inventories
+        window w as (partition by user_id order by original_expired_at asc nulls last, id)""",
     "expiring_users": "select users as total_count from expiring where label = 'this'",
     "active_expiries": """
         select user_id, actual_expired_at from paid_active, month_bounds
