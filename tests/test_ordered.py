@@ -1,4 +1,4 @@
-"""Slicing of hot keys: same rows as the plain windows, spread over more groups."""
+"""Sliced windows: the same rows as plain windows, spread over more groups."""
 
 import random
 from datetime import datetime, timedelta
@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.build import frame, utc
 from tidemark import MonthWindow, Tables
-from tidemark.operators import hot, members, ordered, registrations, renewals, sales
-from tidemark.plans import upsell_reports
+from tidemark.operators import ordered, renewals
 from tidemark.sources.testdata import from_test_data
 
 JULY = MonthWindow(1995, 7)
@@ -20,73 +19,93 @@ def skewed_rows(seed: int) -> list[tuple]:
     rng = random.Random(seed)
     rows = []
     for i in rng.sample(range(10_000_000), 400):
-        user = rng.choice([None, 1, 1, 1, 2, 3, i])
+        i = rng.choice([i, i, i, i, None])
+        user = rng.choice([None, 1, 1, 1, 2, 3, rng.randrange(9, 400)])
         start = utc("1995-07-01") + timedelta(minutes=rng.randrange(6000))
         order = rng.choice([None, start, start.replace(minute=0), datetime(1960, 1, 1, 5)])
         rows.append((i, user, f"pp{i}", 1, 1, start, start, order))
     return rows
 
 
-USERS = ("user_inventories", "user_id")
 LEADS = {"next_expiry": "actual_expired_at", "next_start": "original_started_at", "next_id": "id"}
+WINDOW = (
+    "partition by user_id order by actual_expired_at asc nulls last, id asc nulls last,"
+    " original_started_at asc nulls last"
+)
 
 
-@pytest.mark.parametrize("keys", [[1], [None], [1, 2, 3, None, 777]])
+@pytest.mark.parametrize(("per_task", "least"), [(8, 4), (50, 1), (1, 2), (1, 1_000_000)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_sliced_neighbours_equal_plain_ones(spark, monkeypatch, keys, seed):
-    monkeypatch.setattr(ordered, "TIES_PER_SLICE", 100_000)
+def test_neighbours_do_not_depend_on_the_cuts(spark, monkeypatch, per_task, least, seed):
+    monkeypatch.setattr(ordered, "CUTS_PER_TASK", per_task)
+    monkeypatch.setattr(ordered, "MIN_CUTS", least)
     df = frame(spark, "user_inventories", skewed_rows(seed))
-    arguments = ("user_id", "actual_expired_at", "id")
-    plain = ordered.with_next(df, *arguments, LEADS)
-    sliced = ordered.with_next(df, *arguments, LEADS, keys)
-    assert sliced.columns == plain.columns
-    assert sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
+    plain = df.selectExpr("*", *[f"lead({c}) over ({WINDOW}) as {n}" for n, c in LEADS.items()])
+    found = ordered.with_next(df, "user_id", "actual_expired_at", "id", LEADS)
+    assert found.columns == plain.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
 
 
-@pytest.mark.parametrize("keys", [[1], [None], [1, 2, 3, None, 777]])
+@pytest.mark.parametrize(("per_task", "least"), [(8, 4), (50, 1), (1, 1_000_000)])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_sliced_positions_equal_plain_ones(spark, monkeypatch, keys, seed):
-    monkeypatch.setattr(ordered, "TIES_PER_SLICE", 100_000)
-    df = frame(spark, "user_inventories", skewed_rows(seed))
-    arguments = ("user_id", "actual_expired_at", "id", "position")
-    plain = ordered.with_position(df, *arguments)
-    sliced = ordered.with_position(df, *arguments, keys)
-    assert sliced.dtypes == plain.dtypes
-    assert sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
-
-
-def test_slices_follow_the_order(spark):
-    rows = frame(spark, "user_inventories", skewed_rows(5))
-    numbered = rows.select(
-        "actual_expired_at", "id", ordered._slice_of("actual_expired_at", "id").alias("slice")
+def test_positions_do_not_depend_on_the_cuts(spark, monkeypatch, per_task, least, seed):
+    monkeypatch.setattr(ordered, "CUTS_PER_TASK", per_task)
+    monkeypatch.setattr(ordered, "MIN_CUTS", least)
+    rows = [r for r in skewed_rows(seed) if r[0] is not None]
+    df = frame(spark, "user_inventories", rows)
+    in_order = "partition by user_id order by actual_expired_at asc nulls last, id"
+    plain = df.selectExpr("*", f"bigint(row_number() over ({in_order})) as position")
+    found = ordered.with_position(df, "user_id", "actual_expired_at", "id", "position")
+    assert found.dtypes == plain.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_missing_tie_breakers_come_last(spark, monkeypatch):
+    """One key: (id 1, 00:10), (no id, 02:00), (id 5, 02:00), whether it is cut or not."""
+    late = utc("1995-07-01T02:00:00")
+    rows = [(1, 1, "a", 1, 1, utc("1995-07-01"), None, utc("1995-07-01T00:10:00")),
+            (None, 1, "b", 1, 1, utc("1995-07-02"), None, late),
+            (5, 1, "c", 1, 1, utc("1995-07-03"), None, late)]
+    df = frame(spark, "user_inventories", rows)
+    for least in (1, 1_000_000):
+        monkeypatch.setattr(ordered, "MIN_CUTS", least)
+        found = ordered.with_next(df, "user_id", "actual_expired_at", "id", {"next": "id"})
+        assert {r.id: r.next for r in found.collect()} == {1: 5, 5: None, None: None}
+        starts = renewals.next_by_expiry(df)
+        assert {r.id: r.next_ori_started_at for r in starts.collect()} == {
+            1: utc("1995-07-03"), 5: utc("1995-07-02"), None: None
+        }
+
+
+def test_one_key_with_one_timestamp_is_spread(spark):
+    """A third of the rows has one key and one timestamp; no task gets a tenth of the rows."""
+    rows = spark.range(0, 90_000, 1, 16).selectExpr(
+        "id", "if(id % 3 = 0, -1L, id) as k", "timestamp_ntz'2099-12-31' as at"
     )
-    ranked = sorted(
-        numbered.collect(), key=lambda r: (r[0] is None, r[0] or datetime.min, r[1])
-    )
-    slices = [r["slice"] for r in ranked]
-    assert slices == sorted(slices)
-    assert len(set(slices)) > 50
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for found in (
+            ordered.with_next(rows, "k", "at", "id", {"next": "id"}),
+            ordered.with_position(rows, "k", "at", "id", "position"),
+        ):
+            tasks = found.groupBy(F.spark_partition_id().alias("task")).count()
+            assert tasks.agg(F.max("count")).first()[0] < 9_000
+        positions = ordered.with_position(rows, "k", "at", "id", "position").where("k = -1")
+        assert positions.where("position <> id / 3 + 1").isEmpty() and positions.count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_hot_keys(spark):
-    skew = spark.range(0, 30_000, 1, 16).select(
-        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("k")
+def test_the_cuts_are_few_and_repeatable(spark):
+    rows = spark.range(0, 200_000, 1, 16).selectExpr(
+        "id", "if(id % 3 = 0, -1L, id) as k", "timestamp_ntz'2099-12-31' as at"
     )
-    assert set(hot.hot_keys(skew, "k", 1000)) == {7, None}
-    assert hot.hot_keys(skew, "k", 20_000) == []
-    assert hot.hot_keys(skew.limit(0), "k", 1) == []
-
-
-def test_reports_do_not_depend_on_hot_keys(spark):
-    """With a threshold that makes most users and customers hot."""
-    sf = "/root/testdata/sf0.01"
-    plain, sliced = from_test_data(spark, sf), from_test_data(spark, sf, hot_rows=2)
-    assert plain.hot(*USERS) == [] and len(sliced.hot(*USERS)) > 500
-    a, b = plain.purchased_packages, sliced.purchased_packages
-    assert a.dtypes == b.dtypes
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    for report in (upsell_reports.upsell_renewal_counts, upsell_reports.upsell_forecast):
-        assert report(plain, JULY).collect() == report(sliced, JULY).collect()
+    first, again = (ordered.cuts_of(rows, "k", "at", "id").collect() for _ in range(2))
+    assert first == again and [r._key for r in first] == [-1]
+    assert 4 <= len(first[0]._cuts) < 2 * ordered.CUTS_PER_TASK * 8
+    assert ordered.cuts_of(rows.limit(0), "k", "at", "id").collect() == []
 
 
 @pytest.mark.parametrize("month", range(1, 13))
@@ -130,66 +149,15 @@ def test_renewers_equal_the_direct_joins(spark):
         .select("user_id").distinct().count()
     )
     assert back > 10
-    for hot_users in ([], list(range(0, 600, 7))):
-        counts = renewals.renewers(inventories, paid, JULY, hot_users).first()
-        assert counts.asDict() == {"early": early, "on_time": on_time, "back": back}
+    counts = renewals.renewers(inventories, paid, JULY).first()
+    assert counts.asDict() == {"early": early, "on_time": on_time, "back": back}
     without = renewals.renewers(inventories, paid, JULY, with_back=False).first()
     assert without.asDict() == {"early": early, "on_time": on_time, "back": 0}
-
-
-def test_row_level_joins_do_not_depend_on_hot_keys(spark):
-    t = from_test_data(spark, "/root/testdata/sf0.01", hot_rows=2)
-    packages = t.hot("purchased_packages", "package_id")
-    admins = t.hot("purchased_packages", "admin_id")
-    assert len(packages) == 200 and len(admins) == 27
-    bought, names = t.purchased_packages, t.admins
-    pairs = [
-        (sales.upsells(bought, t.packages, JULY), sales.upsells(bought, t.packages, JULY, packages)),
-        (
-            members.member_new_sales(bought, names, JULY),
-            members.member_new_sales(bought, names, JULY, admins),
-        ),
-        (
-            members.member_upsells(bought, t.packages, names, JULY),
-            members.member_upsells(bought, t.packages, names, JULY, packages, admins),
-        ),
-        (
-            registrations.nru_with_calls(from_test_data(spark, "/root/testdata/sf0.01")),
-            registrations.nru_with_calls(t),
-        ),
-    ]
-    for plain, spread in pairs:
-        assert plain.columns == spread.columns
-        rows = sorted(map(str, plain.collect()))
-        assert rows and rows == sorted(map(str, spread.collect()))
-
-
-def test_hot_texts_are_quoted(spark):
-    keys = ["it's", "back\\slash", 'quo"te', "", None]
-    rows = spark.createDataFrame([(k,) for k in [*keys, "other"]], "k string")
-    kept = [r.k for r in rows.where(hot.is_hot("k", keys)).collect()]
-    assert kept == keys
-    assert [r.k for r in rows.where(hot.is_hot("k", [None])).collect()] == [None]
-    assert [r.k for r in rows.where(hot.is_hot("k", ["other"])).collect()] == ["other"]
-
-
-def test_a_hot_key_is_spread_over_tasks(spark):
-    """A third of the rows has one key; without a broadcast no task gets a tenth of them."""
-    rows = spark.range(0, 200_000, 1, 64).selectExpr("if(id % 3 = 0, 7, id % 1000) as k", "id")
-    lookup = spark.range(1000).selectExpr("id as k", "id * 2 as twice").hint("shuffle_hash")
-    spark.conf.set("spark.sql.shuffle.partitions", "64")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        task = F.spark_partition_id().alias("task")
-        largest = {}
-        for keys in ((), (7,)):
-            joined = hot.spread_join(rows, lookup, "k", hot=keys)
-            assert joined.count() == 200_000
-            largest[keys] = joined.groupBy(task).count().agg(F.max("count")).first()[0]
-        assert largest[()] > 200_000 / 3 and largest[(7,)] < 200_000 / 10
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    # The simple rate's join, which the report does without.
+    last = renewals.active_expiries(inventories, paid, JULY.previous())
+    matched = last.join(renewals.next_by_start(inventories, "started_at"), "user_id")
+    row = renewals.expired_user_counts(inventories, paid, JULY).first()
+    assert row.matched_last_month == matched.select("user_id").distinct().count() > 10
 
 
 def test_tables_are_checked(spark):

@@ -9,12 +9,12 @@ from tidemark import MonthWindow
 from tidemark.plans import new_sale_reports, upsell_reports, weekly_reports
 from tidemark.sources.testdata import from_test_data
 
-QUERIES = contract.queries()
+QUERIES = {key: contract.queries()[key] for key in contract._JOBS}
 ORACLE = contract.oracle_sql()
 
 
 def test_every_query_has_a_text():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) == set(oracle_texts()) <= set(ORACLE)
 
 
 @pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])

@@ -43,7 +43,7 @@ def stored(spark, tmp_path_factory):
     return Tables.from_parquet(spark, folder), derived
 
 
-@pytest.mark.parametrize("key", sorted(contract.queries()))
+@pytest.mark.parametrize("key", sorted(contract._JOBS))
 def test_no_pairs_and_no_python(spark, key):
     plan = plan_of(contract.queries()[key](spark, SF))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
@@ -111,19 +111,131 @@ def test_registrations_reach_the_scan(stored):
             )
 
 
-def test_earliest_starts_are_limited_before_the_shuffle(stored):
+def tree_of(df) -> list[tuple[int, str]]:
+    """(depth, node) of the physical plan before adaptive execution, from the top."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    lines = [re.match(r"([ :|+-]*)(.*)", line).groups() for line in text.splitlines()]
+    return [(len(indent), node) for indent, node in lines if node]
+
+
+def below(tree: list[tuple[int, str]], at: int) -> list[str]:
+    """The nodes under node `at`."""
+    inside = []
+    for depth, node in tree[at + 1 :]:
+        if depth <= tree[at][0]:
+            break
+        inside.append(node)
+    return inside
+
+
+def above(tree: list[tuple[int, str]], at: int) -> list[str]:
+    """The nodes over node `at`, the nearest first."""
+    nodes, depth = [], tree[at][0]
+    for outer, node in reversed(tree[:at]):
+        if outer < depth:
+            nodes.append(node)
+            depth = outer
+    return nodes
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "9999"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_earliest_starts_are_limited_before_the_shuffle(stored, no_broadcasts):
+    read, _ = stored
+    tree = tree_of(upsell_reports.renewer_counts(read, JULY))
+    limits = [i for i, (_, node) in enumerate(tree) if "WindowGroupLimit" in node]
+    assert limits
+    for i in limits:  # the semi join with the month's users lies below the limit
+        assert any("LeftSemi" in node for node in below(tree, i))
+
+
+@pytest.mark.parametrize(
+    ("report", "aggregate"),
+    [
+        (lambda t: upsell_reports.expiring_user_count(t, n=JULY), "partial_max(if"),
+        (lambda t: new_sale_reports.new_sale_rate(t, JULY), "created_at"),
+        (lambda t: new_sale_reports.new_sale_forecast(t, JULY), "partial_count(1)"),
+    ],
+    ids=["near_months", "cohort_counts", "nru_call_weights"],
+)
+def test_histories_are_cut_down_before_they_are_grouped(stored, no_broadcasts, report, aggregate):
+    read, _ = stored
+    tree = tree_of(report(read))
+    found = [
+        i for i, (_, node) in enumerate(tree)
+        if "HashAggregate" in node and "partial_" in node and aggregate in node
+        and any("LeftSemi" in inner for inner in below(tree, i))
+    ]
+    assert found
+
+
+def test_calls_are_read_once(stored):
     read, _ = stored
-    plan = plan_of(upsell_reports.renewer_counts(read, JULY))
-    assert plan.index("WindowGroupLimit") >= 0 and "Partial" in plan
+    assert len(scans_of(plan_of(new_sale_reports.new_sale_forecast(read, JULY)), "user_calls")) == 1
 
 
-def test_only_the_month_s_inventories_are_sorted(stored):
-    """The rows shuffled into the window are the month's and the edges, not the table."""
+def test_only_the_month_s_inventories_are_sorted(stored, no_broadcasts):
+    """Below the window over users lie the month's rows and the edges, which a semi join cuts down."""
     read, _ = stored
-    scans = scans_of(plan_of(upsell_reports.expiring_user_count(read, n=JULY)), "user_inventories")
-    assert any("LessThan(actual_expired_at,1995-07-31T17:00)" in s for s in scans)
-    for scan in scans:
+    df = upsell_reports.expiring_user_count(read, n=JULY)
+    for scan in scans_of(plan_of(df), "user_inventories"):
         assert "package_type" not in scan.split("ReadSchema: ")[1]
+    tree = tree_of(df)
+    assert any("Window [" in node and "lead(" in node for _, node in tree)
+    for at, (_, node) in enumerate(tree):
+        if "FileScan" in node and "user_inventories" in node and "1995-07-31" not in node:
+            assert any("LeftSemi" in outer for outer in above(tree, at))
+
+
+def test_building_plans_starts_no_job(spark):
+    """Every registered query over the business tables is planned without running anything."""
+    counts = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    opened = from_test_data(spark, SF)
+    before = counts()
+    for key in contract._JOBS:
+        contract._JOBS[key](opened)
+    assert counts() == before
+
+
+def test_partitioned_tables_are_pruned(spark, stored, tmp_path):
+    _, derived = stored
+    for name in REQUIRED_COLUMNS:
+        df = getattr(derived, name)
+        if name == "purchased_packages":
+            df.selectExpr("*", "date(purchased_at) as day").write.partitionBy("day").parquet(f"{tmp_path}/{name}")
+        else:
+            df.write.parquet(f"{tmp_path}/{name}")
+    tables = Tables.from_parquet(spark, str(tmp_path), days={"purchased_packages": ("purchased_at", "day")})
+    report = new_sale_reports.new_sale_average(tables, JULY)
+    (scan,) = scans_of(plan_of(report), "purchased_packages")
+    filters = re.search(r"PartitionFilters: ([^\n]*)", scan)[1]
+    assert "1995-06-30" in filters and "1995-07-31" in filters
+    assert report.collect() == new_sale_reports.new_sale_average(derived, JULY).collect()
+
+
+def test_tables_from_the_catalog(spark, stored):
+    read, derived = stored
+    spark.sql("create database if not exists subscriptions")
+    try:
+        for name in REQUIRED_COLUMNS:
+            getattr(derived, name).createOrReplaceTempView(f"v_{name}")
+            spark.sql(f"create table subscriptions.{name} using parquet as select * from v_{name}")
+        tables = Tables.from_catalog(spark, "subscriptions")
+        for report in (new_sale_reports.new_sale_rate, weekly_reports.weekly_upsells_by_member):
+            assert sorted(map(str, report(tables, JULY).collect())) == sorted(
+                map(str, report(read, JULY).collect())
+            )
+    finally:
+        spark.sql("drop database subscriptions cascade")
 
 
 @pytest.fixture

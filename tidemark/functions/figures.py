@@ -13,8 +13,10 @@ def exprs(*texts: str) -> list[Column]:
 
 
 def ratio(part: str, whole: str) -> str:
-    """Division of doubles. NULL/0 is NULL; any other x/0 raises in ANSI mode."""
-    return f"(double({part}) / double({whole}))"
+    """Division of doubles. NULL/0 is NULL; any other x/0 raises, whatever the session's ANSI mode."""
+    by_zero = f"({whole}) = 0 and ({part}) is not null"
+    divided = f"try_divide(double({part}), double({whole}))"
+    return f"if({by_zero}, double(raise_error('DIVIDE_BY_ZERO: {whole}')), {divided})"
 
 
 def ratio_or_zero(part: str, whole: str) -> str:
@@ -23,8 +25,14 @@ def ratio_or_zero(part: str, whole: str) -> str:
 
 
 def grouped_whole(value: str) -> str:
-    """Round half to even and write with comma groups: 1234567.5 -> '1,234,568'."""
-    return f"format_number(rint({value}), 0)"
+    """Round half to even and write as PostgreSQL's pattern FM99G999G999G999D does in locale C.
+
+    The pattern has 11 digits; a longer number overflows to `#` in every digit's place. FM drops
+    padding but not the decimal point that D asks for: 1234567.5 -> '1,234,568.'.
+    """
+    whole = f"rint({value})"
+    overflow = f"concat(if({whole} < 0, '-', ''), '##,###,###,###.')"
+    return f"if(abs({whole}) >= 1e11d, {overflow}, concat(format_number({whole}, 0), '.'))"
 
 
 def side_by_side(*rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ comparison that reaches the file scan. Expressions are text because `where` and
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -28,6 +29,12 @@ class MonthWindow:
     month: int
     zone: str = BUSINESS_ZONE
 
+    def __post_init__(self) -> None:
+        if not re.fullmatch(r"[A-Za-z0-9_+/-]+", self.zone):
+            raise ValueError(f"no time zone: {self.zone!r}")
+        ZoneInfo(self.zone)
+        date(self.year, self.month, 1)
+
     @property
     def first_day(self) -> date:
         return date(self.year, self.month, 1)

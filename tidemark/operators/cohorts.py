@@ -33,12 +33,13 @@ def cohort_counts(registrations: DataFrame, buyers: DataFrame, window: MonthWind
     """One row of distinct customers among the month's buyers.
 
     `bought` and `claimed`: registered in the same month; `earlier`: registered before
-    it, and here a payment of nothing counts too. Both sides are one row per customer
-    before the join, which then decides all three at once instead of by a distinct
-    count each.
+    it, and here a payment of nothing counts too. The registrations are cut down to the
+    buyers first; then both sides are one row per customer, and one join decides all
+    three instead of a distinct count each.
     """
     registered = (
         registrations.where(window.next().is_after("created_at"))
+        .join(buyers.selectExpr("customer_id as id"), "id", "left_semi")
         .groupBy("id")
         .agg(
             *exprs(
@@ -73,3 +74,34 @@ def cohort_sales(registrations: DataFrame, buyers: DataFrame, window: MonthWindo
             "count_if(registered and claimed) as claimed",
         )
     )
+
+
+def cohort_sales_and_weight(
+    registered: DataFrame, buyers: DataFrame, window: MonthWindow, this: MonthWindow
+) -> DataFrame:
+    """As `cohort_sales`, and `nru`, the weight of the rows registered in month `this`.
+
+    `registered` has `id`, `created_at`, `weight`; it is read once and feeds both figures.
+    """
+    per_id = (
+        registered.where("id is not null")
+        .groupBy("id")
+        .agg(
+            *exprs(
+                f"bool_or({window.contains('created_at')}) as registered",
+                f"sum(if({this.contains('created_at')}, weight, 0L)) as nru",
+            )
+        )
+        .withColumnRenamed("id", "customer_id")
+    )
+    return (
+        buyers.where("paid")
+        .join(per_id, "customer_id", "full")
+        .selectExpr(
+            "coalesce(sum(orders), 0L) as total_count",
+            "sum(income) as total_amount",
+            "count_if(registered and paid) as bought",
+            "count_if(registered and paid and claimed) as claimed",
+            "coalesce(sum(nru), 0L) as nru",
+        )
+    )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,6 @@ from tidemark.constants import (
 )
 from tidemark.functions.figures import exprs, grouped_whole, ratio
 from tidemark.functions.month import MonthWindow, monday, week_of_month
-from tidemark.operators.hot import spread_join
 from tidemark.operators.sales import IS_NEW_SALE, IS_REPEAT_SALE, not_upgrades
 
 
@@ -34,28 +31,19 @@ def _with_iso_week(sales: DataFrame, window: MonthWindow) -> DataFrame:
     return sales.selectExpr("*", f"weekofyear({window.local_day('purchased_at')}) as weekios")
 
 
-def member_new_sales(
-    purchases: DataFrame, admins: DataFrame, window: MonthWindow, hot_admins: Sequence = ()
-) -> DataFrame:
+def member_new_sales(purchases: DataFrame, admins: DataFrame, window: MonthWindow) -> DataFrame:
     """New sales made by a known member, with the member's name and the ISO week."""
     sales = purchases.where(f"{IS_NEW_SALE} and {window.contains_short('purchased_at')}")
-    named = spread_join(sales, _members(admins), "admin_id", hot=hot_admins)
-    return _with_iso_week(named, window)
+    return _with_iso_week(sales.join(_members(admins), "admin_id"), window)
 
 
 def member_upsells(
-    purchases: DataFrame,
-    packages: DataFrame,
-    admins: DataFrame,
-    window: MonthWindow,
-    hot_packages: Sequence = (),
-    hot_admins: Sequence = (),
+    purchases: DataFrame, packages: DataFrame, admins: DataFrame, window: MonthWindow
 ) -> DataFrame:
     """Upsells made by a known member, with package type, name and ISO week."""
     sales = purchases.where(f"{IS_REPEAT_SALE} and {window.contains_short('purchased_at')}")
-    upsells = spread_join(sales, not_upgrades(packages), "package_id", hot=hot_packages)
-    named = spread_join(upsells, _members(admins), "admin_id", hot=hot_admins)
-    return _with_iso_week(named, window)
+    upsells = sales.join(not_upgrades(packages), "package_id")
+    return _with_iso_week(upsells.join(_members(admins), "admin_id"), window)
 
 
 def sales_with_week(sales: DataFrame, window: MonthWindow) -> DataFrame:

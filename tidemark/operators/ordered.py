@@ -1,100 +1,113 @@
-"""Neighbour and position of rows in a per-key order, safe against hot keys.
+"""Neighbour and position of rows in a per-key order, even where one key holds most rows.
 
-A window partitioned by key puts all rows of a key into one task. So keys that hold
-very many rows, as listed by `hot_keys`, are cut into time slices, each a window
-partition of its own. What a slice has to know about its neighbours is carried in by
-one extra row per slice, dropped after the window:
+A window partitioned by key alone puts all rows of a key into one task. So keys are cut
+into slices of the order, each a window partition of its own. The cuts are a sample of
+the rows' own positions (order value, then tie-breaker): CUTS_PER_TASK of them for each
+shuffle partition, taken by hash, so that the same rows always give the same cuts. A key
+that has MIN_CUTS of them or more is cut at all of them; others are far smaller than a
+task's share and stay whole. Nothing depends on a fixed number of rows, and a single
+timestamp is cut as well, by its tie-breakers.
+
+What a slice has to know about its neighbours is carried in by one extra row per slice,
+dropped after the window:
 
 * `with_next`: a copy of the next slice's first row, placed last;
 * `with_position`: the number of rows in earlier slices, placed first.
 
-The result equals that of the plain window, which is also the plan if no key is hot.
+Order and tie-breaker sort with NULLs last, everywhere in the same way: as the pairs
+(is null, value). Rows equal in both sort by the values that are taken from them, so the
+result does not depend on where the cuts are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.hot import is_hot
-
-# Rows without an order value are sliced by ranges of this many tie-breaker ids.
-TIES_PER_SLICE = 1_000_000
+CUTS_PER_TASK = 8
+MIN_CUTS = 4
 
 _SLICE = "_slice"
 _CARRIED = "_carried"
 
 
-def _slice_of(order: str, tie: str) -> Column:
-    """Order-preserving slice number: the hour of the order value, then ranges of ties."""
-    value = F.col(order)
-    days = F.datediff(F.to_date(value), F.lit("1970-01-01").cast("date"))
-    undated = F.lit(1 << 40) + F.floor(F.coalesce(F.col(tie), F.lit(0)) / F.lit(TIES_PER_SLICE))
-    return F.coalesce((days * 24 + F.hour(value)).cast("long"), undated.cast("long"))
-
-
-def _sliced(
-    df: DataFrame, key: str, order: str, tie: str, hot: Sequence
-) -> tuple[DataFrame, DataFrame]:
-    """All rows with their slice (0 for keys left whole), and the hot keys' rows alone."""
-    number = _slice_of(order, tie)
-    whole = F.lit(0).cast("long")
-    rows = df.withColumn(_SLICE, F.when(is_hot(key, hot), number).otherwise(whole))
-    return rows, df.where(is_hot(key, hot)).withColumn(_SLICE, number)
+def _position(order: str, tie: str) -> str:
+    return f"struct({order} is null, {order}, {tie} is null, {tie})"
 
 
 def _ascending(*names: str) -> str:
     return ", ".join(f"{name} asc nulls last" for name in names)
 
 
-def _with_leads(df: DataFrame, leads: dict[str, str], window: str) -> DataFrame:
-    columns = [f"lead({source}) over ({window}) as {name}" for name, source in leads.items()]
-    return df.selectExpr("*", *columns)
+def cuts_of(df: DataFrame, key: str, order: str, tie: str) -> DataFrame:
+    """`_key`, `_cuts` (sorted positions), `_heads` (every `_step`-th of them) of keys to be cut.
+
+    At most about CUTS_PER_TASK rows' positions per shuffle partition in all, so the table
+    can be broadcast. Plans only; the sample is drawn when the result is.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.agg(F.count("*")).scalar()
+    chance = F.expr(f"pmod(xxhash64({key}, {order}, {tie}), {1 << 31}L) / {1 << 31}d")
+    sampled = df.where(chance * rows < CUTS_PER_TASK * tasks)
+    cuts = sampled.groupBy(F.col(key).alias("_key")).agg(
+        F.expr(f"array_sort(collect_set({_position(order, tie)}))").alias("_cuts")
+    )
+    stepped = cuts.where(f"size(_cuts) >= {MIN_CUTS}").selectExpr(
+        "_key", "_cuts", "int(ceil(sqrt(size(_cuts)))) as _step"
+    )
+    heads = "transform(sequence(0, size(_cuts) - 1, _step), i -> _cuts[i])"
+    return stepped.selectExpr("*", f"{heads} as _heads")
+
+
+def _sliced(df: DataFrame, key: str, order: str, tie: str) -> DataFrame:
+    """Adds the row's slice: the number of its key's cuts up to it, NULL for keys left whole."""
+    here = _position(order, tie)
+    cuts = F.broadcast(cuts_of(df, key, order, tie))
+    in_block = "slice(_cuts, (_block - 1) * _step + 1, _step)"
+    number = f"if(_block = 0, 0, (_block - 1) * _step + size(filter({in_block}, c -> c <= {here})))"
+    return (
+        df.join(cuts, F.col(key).eqNullSafe(F.col("_key")), "left")
+        .selectExpr("*", f"if(_cuts is null, null, size(filter(_heads, c -> c <= {here}))) as _block")
+        .selectExpr(*df.columns, f"if(_cuts is null, null, {number}) as {_SLICE}")
+    )
 
 
-def with_next(
-    df: DataFrame, key: str, order: str, tie: str, leads: dict[str, str], hot: Sequence = ()
-) -> DataFrame:
+def with_next(df: DataFrame, key: str, order: str, tie: str, leads: dict[str, str]) -> DataFrame:
     """Add columns holding the next row's values, per key, by order (nulls last), then tie.
 
     `leads` maps each new column to the column it takes from the next row.
     """
-
-    if not hot:
-        return _with_leads(df, leads, f"partition by {key} order by {_ascending(order, tie)}")
-    rows, hot_only = _sliced(df, key, order, tie, hot)
-    taken = [order, tie, *sorted(set(leads.values()) - {order, tie})]
-    slices = Window.partitionBy(key).orderBy(_SLICE)
+    rows = _sliced(df, key, order, tie)
+    taken = sorted(set(leads.values()) - {order, tie})
+    carries = (order, tie, *taken)
+    fields = ", ".join(f"{c} is null as no_{c}, {c} as {c}" for c in carries)
+    firsts = rows.where(f"{_SLICE} is not null").groupBy(key, _SLICE).agg(
+        F.expr(f"min(struct({fields})) as first")
+    )
+    before = f"lag({_SLICE}) over (partition by {key} order by {_SLICE})"
     carried = (
-        hot_only.groupBy(key, _SLICE)
-        .agg(F.min(F.struct(*taken)).alias("first"))
-        .withColumn(_SLICE, F.lag(_SLICE).over(slices))
-        .where(F.col(_SLICE).isNotNull())
-        .select(key, _SLICE, "first.*", F.lit(True).alias(_CARRIED))
+        firsts.selectExpr(key, f"{before} as {_SLICE}", "first")
+        .where(f"{_SLICE} is not null")
+        .selectExpr(key, _SLICE, *[f"first.{c} as {c}" for c in carries], f"true as {_CARRIED}")
     )
     stacked = rows.withColumn(_CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    in_order = f"partition by {key}, {_SLICE} order by {_ascending(_CARRIED, order, tie)}"
-    return _with_leads(stacked, leads, in_order).where(f"not {_CARRIED}").drop(_SLICE, _CARRIED)
+    window = f"partition by {key}, {_SLICE} order by {_ascending(_CARRIED, order, tie, *taken)}"
+    columns = [f"lead({source}) over ({window}) as {name}" for name, source in leads.items()]
+    return stacked.selectExpr("*", *columns).where(f"not {_CARRIED}").drop(_SLICE, _CARRIED)
 
 
-def with_position(
-    df: DataFrame, key: str, order: str, tie: str, name: str, hot: Sequence = ()
-) -> DataFrame:
+def with_position(df: DataFrame, key: str, order: str, tie: str, name: str) -> DataFrame:
     """Add the row's 1-based position, per key, by order (nulls last), then tie."""
-    if not hot:
-        in_order = f"partition by {key} order by {_ascending(order, tie)}"
-        return df.selectExpr("*", f"bigint(row_number() over ({in_order})) as {name}")
-    rows, hot_only = _sliced(df, key, order, tie, hot)
-    earlier = Window.partitionBy(key).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _sliced(df, key, order, tie)
+    earlier = f"partition by {key} order by {_SLICE} rows between unbounded preceding and 1 preceding"
     carried = (
-        hot_only.groupBy(key, _SLICE)
+        rows.where(f"{_SLICE} is not null")
+        .groupBy(key, _SLICE)
         .agg(F.count(F.lit(1)).alias("rows_here"))
-        .select(key, _SLICE, F.sum("rows_here").over(earlier).alias(_CARRIED))
-        .where(F.col(_CARRIED).isNotNull())
+        .selectExpr(key, _SLICE, f"sum(rows_here) over ({earlier}) as {_CARRIED}")
+        .where(f"{_CARRIED} is not null")
     )
-    stacked = rows.withColumn(_CARRIED, F.lit(None).cast("long")).unionByName(
+    stacked = rows.selectExpr("*", f"bigint(null) as {_CARRIED}").unionByName(
         carried, allowMissingColumns=True
     )
     running = (

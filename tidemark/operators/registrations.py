@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from tidemark.functions.figures import exprs
 from tidemark.functions.month import MonthWindow, between, monday, week_of_month
-from tidemark.operators.hot import spread_join
 from tidemark.sources.tables import Tables
 
 
@@ -18,22 +17,28 @@ def nru(tables: Tables) -> DataFrame:
 
 
 def nru_with_calls(tables: Tables) -> DataFrame:
-    """Users once per call they had (so none without a call), and every lead once."""
+    """Users once per call they had (so none without a call), and every lead once.
+
+    A user with very many calls is a skewed join partition, which adaptive execution splits.
+    """
     calls = tables.user_calls.selectExpr("user_id as id")
     users = tables.users.select("id", "created_at")
-    called = spread_join(calls, users, "id", hot=tables.hot("user_calls", "user_id"))
-    return called.unionByName(tables.user_leads.select("id", "created_at"))
+    return calls.join(users, "id").unionByName(tables.user_leads.select("id", "created_at"))
 
 
 def nru_call_weights(tables: Tables, first: MonthWindow, last: MonthWindow) -> DataFrame:
     """`nru_with_calls` from month `first` to `last`, with `weight` rows counted, not repeated.
 
-    Calls are counted per user before the join, so a user with very many calls is one
-    row in it.
+    Calls are cut down to the span's users, then counted per user, so a user with very
+    many calls is one row in the join.
     """
     in_span = between("created_at", first.start, last.end)
-    calls = tables.user_calls.groupBy("user_id").agg(*exprs("count(*) as weight"))
     users = tables.users.where(in_span).select("id", "created_at")
+    calls = (
+        tables.user_calls.join(users.selectExpr("id as user_id"), "user_id", "left_semi")
+        .groupBy("user_id")
+        .agg(*exprs("count(*) as weight"))
+    )
     leads = tables.user_leads.where(in_span).selectExpr("id", "created_at", "1L as weight")
     return users.join(calls.withColumnRenamed("user_id", "id"), "id", "inner").unionByName(leads)
 

@@ -6,38 +6,32 @@ started first: what `lead` over the starts yields, as a set.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 
 from tidemark.constants import ACTIVE_INVENTORY, RENEWABLE_PACKAGE_TYPE
 from tidemark.functions.figures import exprs
 from tidemark.functions.month import MonthWindow, between, utc_literal
-from tidemark.operators.hot import spread_join
 from tidemark.operators.ordered import with_next
 from tidemark.operators.sales import IS_PAID
 
 IS_ACTIVE = f"package_type = {RENEWABLE_PACKAGE_TYPE} and status = {ACTIVE_INVENTORY}"
 
 
-def next_by_expiry(inventories: DataFrame, hot: Sequence = ()) -> DataFrame:
-    """Each inventory with expiry and start of the user's next one by expiry."""
+def next_by_expiry(inventories: DataFrame, order: str = "actual_expired_at") -> DataFrame:
+    """Each inventory with expiry and start of the user's next one by expiry.
+
+    `order` may name another expiry column; the new column is then `next_` and its name.
+    """
     return with_next(
-        inventories.select("id", "user_id", "actual_expired_at", "original_started_at"),
+        inventories.select("id", "user_id", order, "original_started_at"),
         key="user_id",
-        order="actual_expired_at",
+        order=order,
         tie="id",
-        leads={
-            "next_actual_expired_at": "actual_expired_at",
-            "next_ori_started_at": "original_started_at",
-        },
-        hot=hot,
+        leads={f"next_{order}": order, "next_ori_started_at": "original_started_at"},
     )
 
 
-def next_by_start(
-    inventories: DataFrame, order: str = "original_started_at", hot: Sequence = ()
-) -> DataFrame:
+def next_by_start(inventories: DataFrame, order: str = "original_started_at") -> DataFrame:
     """Each inventory with the original start of the user's next one by `order`."""
     columns = dict.fromkeys(("id", "user_id", "original_started_at", order))
     return with_next(
@@ -46,7 +40,6 @@ def next_by_start(
         order=order,
         tie="id",
         leads={"next_ori_started_at": "original_started_at"},
-        hot=hot,
     )
 
 
@@ -55,8 +48,8 @@ def near_months(inventories: DataFrame, first: MonthWindow, last: MonthWindow) -
 
     These are, for users with an expiry in the span, the rows in it and one on either
     side. `next_by_expiry` of them shows the same expiring users as that of the whole
-    table; the rest of the history is reduced to two values per user before it moves.
-    Undated rows cannot matter: neither as the row nor, being no expiry, as the next.
+    table. The history is cut down to the month's users first, then reduced to two values
+    per user. Undated rows cannot matter: neither as the row nor, being no expiry, as the next.
     """
     expiry = "actual_expired_at"
     early, late = first.is_after(expiry), f"({expiry} >= {utc_literal(last.end)})"
@@ -66,6 +59,8 @@ def near_months(inventories: DataFrame, first: MonthWindow, last: MonthWindow) -
     )
     edges = (
         known.where(f"{early} or {late}")
+        .select("user_id", expiry)
+        .join(inside.select("user_id").distinct(), "user_id", "left_semi")
         .groupBy("user_id")
         .agg(
             *exprs(
@@ -73,7 +68,6 @@ def near_months(inventories: DataFrame, first: MonthWindow, last: MonthWindow) -
                 f"min(if({late}, {expiry}, null)) as after",
             )
         )
-        .join(inside.select("user_id").distinct(), "user_id", "left_semi")
         .selectExpr("user_id", f"explode(array(before, after)) as {expiry}")
         .where(f"{expiry} is not null")
     )
@@ -101,6 +95,8 @@ def expiring_users(with_next_rows: DataFrame, **windows: MonthWindow) -> DataFra
 
 
 def with_paid_purchase(rows: DataFrame, purchases: DataFrame, how: str) -> DataFrame:
+    """Rows whose purchase is paid. One purchase with very many inventories is a skewed join
+    partition, which adaptive execution splits; nothing above the join needs its key."""
     paid = purchases.where(IS_PAID).selectExpr("mongo_id as purchased_package_id")
     return rows.join(paid, "purchased_package_id", how)
 
@@ -122,14 +118,23 @@ def active_expiries(
     return with_paid_purchase(rows, purchases, how).select("user_id", "actual_expired_at")
 
 
+def month_users(inventories: DataFrame, window: MonthWindow) -> DataFrame:
+    """Distinct `user_id` of users with an active expiry or a start in the month."""
+    due = f"{IS_ACTIVE} and {window.contains('actual_expired_at')}"
+    started = window.contains("original_started_at")
+    return inventories.where(f"user_id is not null and ({due} or {started})").select("user_id").distinct()
+
+
 def earliest_starts(inventories: DataFrame, window: MonthWindow) -> DataFrame:
-    """Per user, the two earliest starts before the month's end: `first_start`, `second_start`.
+    """Per user of the month, the two earliest starts before its end: `first_start`, `second_start`.
 
-    The limit on the rank is applied before the shuffle too, so a task sends at most
-    two rows per user however many it holds.
+    The history is cut down to the month's users first. The limit on the rank is applied
+    before the shuffle too, so a task sends at most two rows per user however many it holds.
     """
-    started = inventories.where(
-        f"user_id is not null and {window.next().is_after('original_started_at')}"
+    started = (
+        inventories.where(f"user_id is not null and {window.next().is_after('original_started_at')}")
+        .select("id", "user_id", "original_started_at")
+        .join(month_users(inventories, window), "user_id", "left_semi")
     )
     ranked = started.selectExpr(
         "user_id",
@@ -174,7 +179,6 @@ def renewers(
     inventories: DataFrame,
     purchases: DataFrame,
     window: MonthWindow,
-    hot: Sequence = (),
     with_back: bool = True,
 ) -> DataFrame:
     """One row of distinct users with active, paid expiries, by local days:
@@ -197,7 +201,7 @@ def renewers(
     if with_back:
         lapsed = active.where(window.is_after(expiry)).select(*wanted.columns)
         starters = days.select("user_id").distinct()
-        wanted = wanted.unionByName(spread_join(lapsed, starters, "user_id", "left_semi", hot))
+        wanted = wanted.unionByName(lapsed.join(starters, "user_id", "left_semi"))
     due = (
         with_paid_purchase(wanted, purchases, "left_semi")
         .groupBy("user_id")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 
 from tidemark.constants import FIRST_PAYMENT, PAID_STATUSES, UPGRADE_PACKAGE_TYPE
 from tidemark.functions.figures import exprs, ratio
 from tidemark.functions.month import MonthWindow
-from tidemark.operators.hot import spread_join
 
 # Conditions on purchases.
 IS_PAID = f"status in {PAID_STATUSES}"
@@ -34,12 +31,13 @@ def repeat_sales(purchases: DataFrame, window: MonthWindow) -> DataFrame:
     return purchases.where(f"{IS_REPEAT_SALE} and {window.contains('purchased_at')}")
 
 
-def upsells(
-    purchases: DataFrame, packages: DataFrame, window: MonthWindow, hot_packages: Sequence = ()
-) -> DataFrame:
-    """Upsell rows with their package type. Catalyst broadcasts `packages` if it is small."""
-    sold = repeat_sales(purchases, window)
-    return spread_join(sold, not_upgrades(packages), "package_id", hot=hot_packages)
+def upsells(purchases: DataFrame, packages: DataFrame, window: MonthWindow) -> DataFrame:
+    """Upsell rows with their package type.
+
+    Catalyst broadcasts `packages` if it is small; else adaptive execution splits the
+    partition of a best-selling package.
+    """
+    return repeat_sales(purchases, window).join(not_upgrades(packages), "package_id")
 
 
 def new_sale_totals(purchases: DataFrame, window: MonthWindow) -> DataFrame:

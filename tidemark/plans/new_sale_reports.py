@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 
 from tidemark.functions.figures import ratio, ratio_or_zero, side_by_side
 from tidemark.functions.month import MonthWindow
-from tidemark.operators.cohorts import cohort_counts, cohort_sales, month_buyers
+from tidemark.operators.cohorts import (
+    cohort_counts,
+    cohort_sales,
+    cohort_sales_and_weight,
+    month_buyers,
+)
 from tidemark.operators.registrations import nru, nru_by_week, nru_call_weights, nru_month_count
 from tidemark.operators.sales import IS_NEW_SALE, average_order, new_sale_totals
 from tidemark.sources.tables import Tables
@@ -14,13 +19,13 @@ from tidemark.sources.tables import Tables
 
 def new_sale_average(tables: Tables, month: MonthWindow) -> DataFrame:
     """The month's new sales: count, revenue, average order."""
-    return average_order(new_sale_totals(tables.purchased_packages, month))
+    return average_order(new_sale_totals(tables.within("purchased_packages", "purchased_at", month), month))
 
 
 def new_sale_rate(tables: Tables, month: MonthWindow) -> DataFrame:
     """Buyers per claimed buyer in percent: of the month's registrations, and with
     earlier registrations who bought this month on both sides."""
-    buyers = month_buyers(tables.purchased_packages, month)
+    buyers = month_buyers(tables.within("purchased_packages", "purchased_at", month), month)
     return cohort_counts(nru(tables), buyers, month).selectExpr(
         f"{ratio_or_zero('bought', 'claimed')} * 100 as newsale_rate_in_month",
         f"{ratio_or_zero('earlier + bought', 'claimed + earlier')} * 100 as newsale_rate_real",
@@ -32,12 +37,8 @@ def new_sale_forecast(tables: Tables, month: MonthWindow) -> DataFrame:
     month's registrations with calls times last month's average order."""
     last = month.previous()
     registered = nru_call_weights(tables, last, month)
-    now = registered.where(f"id is not null and {month.contains('created_at')}")
-    buyers = month_buyers(tables.purchased_packages, last)
-    row = side_by_side(
-        cohort_sales(registered, buyers, last),
-        now.selectExpr("coalesce(sum(weight), 0L) as nru"),
-    )
+    buyers = month_buyers(tables.within("purchased_packages", "purchased_at", last), last)
+    row = cohort_sales_and_weight(registered, buyers, last, month)
     figures = average_order(row).selectExpr(
         f"{ratio_or_zero('bought', 'claimed')} * 100 as rate", "nru", "average"
     )
@@ -52,10 +53,10 @@ def new_sale_forecast(tables: Tables, month: MonthWindow) -> DataFrame:
 
 def new_sale_forecast_by_nru(tables: Tables, month: MonthWindow) -> DataFrame:
     """Last month's buyers per registration times this month's registrations times last
-    month's average order. Raises (ANSI) if nobody registered last month."""
+    month's average order. Raises if nobody registered last month."""
     last = month.previous()
     registered = nru(tables)
-    buyers = month_buyers(tables.purchased_packages, last)
+    buyers = month_buyers(tables.within("purchased_packages", "purchased_at", last), last)
     row = side_by_side(
         cohort_sales(registered, buyers, last), nru_month_count(registered, month)
     )

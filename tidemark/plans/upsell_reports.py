@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.functions.figures import ratio, ratio_or_zero, side_by_side
-from tidemark.functions.month import MonthWindow, between
-from tidemark.operators.hot import hot_keys
+from tidemark.functions.month import MonthWindow
 from tidemark.operators.renewals import (
     expired_user_counts,
     expiring_users,
@@ -20,32 +19,22 @@ from tidemark.sources.tables import Tables
 
 def upsell_average(tables: Tables, month: MonthWindow) -> DataFrame:
     """The month's upsells: count, revenue, average order."""
-    totals = upsell_totals(tables.purchased_packages, tables.packages, month)
+    totals = upsell_totals(tables.within("purchased_packages", "purchased_at", month), tables.packages, month)
     return average_order(totals, "net_upsale_average").withColumnRenamed(
         "total_count", "number_upsale"
     )
 
 
-def hot_users(tables: Tables) -> list:
-    return tables.hot("user_inventories", "user_id")
-
-
 def expiring_user_count(tables: Tables, **months: MonthWindow) -> DataFrame:
     """One row: users who expire in each named month; the months must be given in order."""
-    inventories = tables.user_inventories
     first, *_, last = [*months.values(), *months.values()]
-    in_span = inventories.where(between("actual_expired_at", first.start, last.end))
-    # Only users with very many inventories at all can have very many in these months.
-    hot = hot_users(tables) and hot_keys(in_span, "user_id", tables.hot_rows)
-    near = near_months(inventories, first, last)
-    return expiring_users(next_by_expiry(near, hot), **months)
+    near = near_months(tables.user_inventories, first, last)
+    return expiring_users(next_by_expiry(near), **months)
 
 
 def renewer_counts(tables: Tables, month: MonthWindow, with_back: bool = True) -> DataFrame:
     """One row: users who renew early, renew on the day, or come back in the month."""
-    return renewers(
-        tables.user_inventories, tables.purchased_packages, month, hot_users(tables), with_back
-    )
+    return renewers(tables.user_inventories, tables.purchased_packages, month, with_back)
 
 
 def upsell_renewal_counts(tables: Tables, month: MonthWindow) -> DataFrame:
@@ -74,13 +63,13 @@ def upsell_rates(counts: DataFrame) -> DataFrame:
 
 def upsell_forecast(tables: Tables, month: MonthWindow) -> DataFrame:
     """Last month's renewal rate (in percent, as it is defined) times this month's
-    expiring users times last month's average upsell. Raises (ANSI) if last month has
+    expiring users times last month's average upsell. Raises if last month has
     neither expiring users nor early renewers."""
     last = month.previous()
     row = side_by_side(
         expiring_user_count(tables, expired_last=last, expired_this=month),
         renewer_counts(tables, last, with_back=False),
-        upsell_totals(tables.purchased_packages, tables.packages, last),
+        upsell_totals(tables.within("purchased_packages", "purchased_at", last), tables.packages, last),
     )
     figures = average_order(row).selectExpr(
         f"{ratio('on_time + early', 'early + expired_last')} * 100 as rate",
@@ -105,7 +94,8 @@ def simple_renewal_rate(tables: Tables, month: MonthWindow) -> DataFrame:
 
 def upsell_forecast_simple(tables: Tables, month: MonthWindow) -> DataFrame:
     """This month's expired users times last month's average upsell times the simple rate."""
-    totals = upsell_totals(tables.purchased_packages, tables.packages, month.previous())
+    last = month.previous()
+    totals = upsell_totals(tables.within("purchased_packages", "purchased_at", last), tables.packages, last)
     figures = side_by_side(simple_renewal_rate(tables, month), totals).selectExpr(
         "expired_this_month as expired",
         f"{ratio_or_zero('total_amount', 'total_count')} as average",

@@ -19,7 +19,8 @@ def weekly_new_sales_by_member(
 ) -> DataFrame:
     """Orders and income per member and week of the month; `role` limits the members."""
     admins = team_members(tables.admins, role)
-    return weekly_member_metrics(weekly_new_sale_totals(tables.purchased_packages, admins, month))
+    purchases = tables.within("purchased_packages", "purchased_at", month)
+    return weekly_member_metrics(weekly_new_sale_totals(purchases, admins, month))
 
 
 def weekly_upsells_by_member(
@@ -27,6 +28,7 @@ def weekly_upsells_by_member(
 ) -> DataFrame:
     """Orders and income per member and week of the month; `role` limits the members."""
     admins = team_members(tables.admins, role)
+    purchases = tables.within("purchased_packages", "purchased_at", month)
     return weekly_member_metrics(
-        weekly_upsell_totals(tables.purchased_packages, tables.packages, admins, month)
+        weekly_upsell_totals(purchases, tables.packages, admins, month)
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.operators.hot import HOT_ROWS, hot_keys
+from tidemark.functions.month import MonthWindow
 
 REQUIRED_COLUMNS = {
     "users": ("id", "created_at"),
@@ -58,10 +58,7 @@ class Tables:
     packages: DataFrame
     purchased_packages: DataFrame
     user_inventories: DataFrame
-    hot_rows: int = HOT_ROWS
-    _hot: dict[tuple[str, str], list] = field(
-        default_factory=dict, init=False, repr=False, compare=False
-    )
+    days: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for name, columns in REQUIRED_COLUMNS.items():
@@ -76,16 +73,28 @@ class Tables:
                     "set spark.sql.session.timeZone to UTC or store TIMESTAMP_NTZ"
                 )
 
-    def hot(self, table: str, key: str) -> list:
-        """Keys with very many rows in a table, looked up once by one job and then kept."""
-        if (table, key) not in self._hot:
-            self._hot[table, key] = hot_keys(getattr(self, table), key, self.hot_rows)
-        return self._hot[table, key]
+    def within(self, name: str, moment: str, first: MonthWindow, last: MonthWindow | None = None) -> DataFrame:
+        """The table without partitions that hold no `moment` from month `first` to `last`.
+
+        Bounds on the moment itself are still the caller's; this adds those on its day.
+        """
+        df = getattr(self, name)
+        if self.days.get(name, ("", ""))[0] != moment:
+            return df
+        day, end = self.days[name][1], (last or first).end
+        return df.where(f"{day} >= date'{first.start.date()}' and {day} <= date'{end.date()}'")
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, folder: str) -> Tables:
-        """Read `<folder>/<table>` (a Parquet file or directory) for each table."""
-        return cls(**{name: spark.read.parquet(f"{folder}/{name}") for name in REQUIRED_COLUMNS})
+    def from_parquet(
+        cls, spark: SparkSession, folder: str, days: dict[str, tuple[str, str]] | None = None
+    ) -> Tables:
+        """Read `<folder>/<table>` (a Parquet file or directory) for each table.
+
+        `days` names, for tables partitioned by UTC day, the timestamp column and the date
+        column made of it, as in {"purchased_packages": ("purchased_at", "day")}.
+        """
+        read = {name: spark.read.parquet(f"{folder}/{name}") for name in REQUIRED_COLUMNS}
+        return cls(**read, days=days or {})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> Tables:

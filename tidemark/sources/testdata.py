@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.figures import exprs
-from tidemark.operators.hot import HOT_ROWS, hot_keys
 from tidemark.operators.ordered import with_position
 from tidemark.sources.tables import Tables
 
@@ -48,7 +47,7 @@ def _inventories(payments: DataFrame) -> DataFrame:
     )
 
 
-def from_test_data(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> Tables:
+def from_test_data(spark: SparkSession, sf_dir: str) -> Tables:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,21 +61,21 @@ def from_test_data(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -
         )
     )
     # Counted on the narrow orders, before the purchases' texts are made from them.
-    counted = with_position(
-        orders, "o_custkey", "o_orderdate", "o_orderkey", "paid_counter",
-        hot_keys(orders, "o_custkey", hot_rows),
-    )
+    counted = with_position(orders, "o_custkey", "o_orderdate", "o_orderkey", "paid_counter")
     return Tables(
         users=registered.where("id % 3 <> 0"),
         user_leads=registered.where("id % 3 = 0 or id % 30 = 1"),
         user_calls=read("events")
         .where("event_type = 'click'")
         .selectExpr("event_id as id", "user_id"),
-        admins=read("nation").selectExpr("n_nationkey as admin_id", "n_name as name"),
+        admins=read("nation").selectExpr(
+            "n_nationkey as admin_id",
+            "n_name as name",
+            "array(concat('region', n_regionkey), if(n_nationkey % 2 = 0, 'even', 'odd')) as role_ids",
+        ),
         packages=read("part").selectExpr(
             "concat('pkg', p_partkey) as mongo_id", "p_size % 5 as package_type"
         ),
         purchased_packages=_payments(counted, "paid_counter"),
         user_inventories=_inventories(_payments(orders)),
-        hot_rows=hot_rows,
     )
