@@ -90,7 +90,8 @@ def taken_of(epoch: int) -> Column:
 
 def position(epoch: int) -> Column:
     """When in training, from 0 to 1, the middle of that reading is due."""
-    share = F.least(F.lit(1.0), (F.col("_words") * epoch + F.col("_before") + F.col("_size") / F.lit(2.0)) / F.col("_target"))
+    middle = F.col("_words") * epoch + F.col("_before") + F.col("_size") / F.lit(2.0)
+    share = F.least(F.lit(1.0), F.try_divide(middle, F.col("_target")))  # 1 where nothing is asked for
     flat = 1 - F.col("_slope")
     risen = (F.sqrt(flat * flat + 4 * F.col("_slope") * share) - flat) / (2 * F.col("_slope"))
     return F.when(F.col("_slope") == 0, share).otherwise(risen)
