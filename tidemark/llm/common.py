@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,29 +83,40 @@ def labelled_sample(
     remainder: int,
     rows: int,
     most_bytes: int,
-) -> tuple[pa.Array, np.ndarray]:
-    """(texts, labels) of at most `rows` labelled documents outside the held-out fold, for fitting.
+) -> DataFrame:
+    """text, y of at most `rows` labelled documents outside the held-out fold, in one partition, for fitting.
 
     The documents are those with the smallest hashes of doc_id among the labelled ones, so reruns
-    agree. A text over `most_bytes` bytes is not sampled, which bounds what reaches the driver to
+    agree. A text over `most_bytes` bytes is not sampled, which bounds the partition to
     rows * most_bytes bytes. A document labelled more than once has its highest label; null labels,
     null ids and null texts do not count.
     """
     picked = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
         .groupBy("doc_id")
-        .agg(F.max(column).cast("int").alias("_y"))
+        .agg(F.max(column).cast("long").alias("y"))
         .filter(~held_out("doc_id", modulus, remainder))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(4 * rows)
     )
-    found = (
+    return (
         docs.select("doc_id", "text")
         .filter(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
         .join(F.broadcast(picked), "doc_id")  # 4 * rows ids at most
         .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
         .limit(rows)
-        .select("text", "_y")
-        .toArrow()
+        .select("text", "y")
     )
-    return found.column("text").combine_chunks(), found.column("_y").to_numpy().astype(np.int64)
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Array, np.ndarray], object]):
+    """What `fit` makes of a sample's (texts, labels), in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(batches, pa.schema([("text", pa.string()), ("y", pa.int64())]))
+        if found.num_rows:
+            model = fit(found.column("text").combine_chunks(), found.column("y").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    models = sample.mapInArrow(run, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else fit(pa.array([], pa.string()), np.empty(0, np.int64))

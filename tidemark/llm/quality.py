@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import held_out, labelled_sample, pieces, text_buffers
+from tidemark.llm.common import fitted, held_out, labelled_sample, pieces, text_buffers
 
 EMBED, STEP, PARTS, FILTERS = 4, 4, 3, 24  # window: PARTS * STEP bytes, moved by STEP bytes
 BLOCK = 256  # bytes; a chunk is two neighbouring blocks
@@ -117,6 +117,7 @@ def gradients(model: Model, p: Pooled, labels: np.ndarray, weights: np.ndarray)
     to_mean = error[:, None] * model.mean_weight / np.diff(p.bounds)[:, None]
     to_most = error[:, None] * model.max_weight
     is_most = active >= most[p.owner]
+    is_most = is_most / np.add.reduceat(is_most.astype(np.float32), p.bounds[:-1], axis=0)[p.owner]  # ties share
     flow = (to_mean[p.owner] + to_most[p.owner] * is_most) * (active > 0)
     out = {
         "constant": error.sum(keepdims=True),
@@ -174,7 +175,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `sample_rows` labelled documents, none of the held-out fold."""
-    return fit(*labelled_sample(docs, labels, "quality", 5, 0, sample_rows, SAMPLE_BYTES))
+    return fitted(labelled_sample(docs, labels, "quality", 5, 0, sample_rows, SAMPLE_BYTES), fit)
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import held_out, labelled_sample, pieces
+from tidemark.llm.common import fitted, held_out, labelled_sample, pieces
 from tidemark.llm.words import grams, stem_hashes
 
 SHAPES = ((0,), (0, 1), (0, 2), (0, 3))  # word, pair, pairs over one and two words
@@ -102,7 +102,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `sample_rows` labelled documents, none of the held-out fold."""
-    return fit(*labelled_sample(docs, labels, "toxic", 3, 1, sample_rows, SAMPLE_BYTES))
+    return fitted(labelled_sample(docs, labels, "toxic", 3, 1, sample_rows, SAMPLE_BYTES), fit)
 
 
 def scores(texts: pa.Array, table: np.ndarray, constant: float) -> np.ndarray:
