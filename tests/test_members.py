@@ -29,10 +29,10 @@ def test_members_of_one_name_and_without_a_name(spark):
         ],
     )
     assert lines(reports.weekly_new_sales_by_member(t, JULY)) == {
-        ("Lan", "2", "order"): (2, "2"),
-        ("Lan", "2", "income"): (5, "2"),
-        ("Lan", "total_order", "order"): (2, "2"),
-        ("Lan", "total_amount", "income"): (5, "2"),
+        ("Lan", "2", "order"): (2, "2."),
+        ("Lan", "2", "income"): (5, "2."),
+        ("Lan", "total_order", "order"): (2, "2."),
+        ("Lan", "total_amount", "income"): (5, "2."),
         (None, "2", "order"): (1, None),
         (None, "2", "income"): (10, None),
         (None, "total_order", "order"): (1, None),
@@ -67,10 +67,10 @@ def test_year_end_weeks(spark):
         ],
     )
     december = lines(reports.weekly_new_sales_by_member(t, DECEMBER))
-    assert december[("Lan", "5", "income")] == (1000, "1,000")
+    assert december[("Lan", "5", "income")] == (1000, "1,000.")
     january = lines(reports.weekly_new_sales_by_member(t, DECEMBER.next()))
-    assert january[("Lan", "1", "income")] == (2000, "3,000")
-    assert january[("Lan", "2", "income")] == (4000, "3,000")
+    assert january[("Lan", "1", "income")] == (2000, "3,000.")
+    assert january[("Lan", "2", "income")] == (4000, "3,000.")
     rows = members.member_new_sales(t.purchased_packages, t.admins, DECEMBER.next())
     weeks = members.sales_with_week(rows, DECEMBER.next()).collect()
     assert sorted((r.id, r.weekios, r.isoweek, r.week) for r in weeks) == [(2, 52, 52, 1), (3, 1, 1, 2)]
@@ -88,7 +88,7 @@ def test_upsells_leave_out_upgrades(spark):
         ],
     )
     result = lines(reports.weekly_upsells_by_member(t, JULY))
-    assert result[("Lan", "total_order", "order")] == (2, "100")
+    assert result[("Lan", "total_order", "order")] == (2, "100.")
     rows = members.member_upsells(t.purchased_packages, t.packages, t.admins, JULY)
     assert {r.id for r in rows.collect()} == {1, 4}
 
@@ -109,7 +109,7 @@ def test_decimal_money(spark):
     result = lines(members.weekly_member_metrics(weekly))
     assert float(result[("Lan", "total_amount", "income")][0]) == 3.5
     assert float(result[("Lan", "total_order", "order")][0]) == 2.0
-    assert result[("Lan", "2", "income")][1] == "2"
+    assert result[("Lan", "2", "income")][1] == "2."
 
 
 def test_weeks_sum_to_the_month(spark):
