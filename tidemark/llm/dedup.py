@@ -12,10 +12,11 @@ whatever its length; ranks are doubled where a coordinate is still empty.
 
 Joining: texts of equal words are one representative. Representatives meet in buckets, by bands
 of 5 and of 10 coordinates (a pair at similarity 0.8 shares a bucket but for 5 in 100,000). A bucket is
-never expanded into pairs. In every round each bucket that still holds several components picks a
-head by a hash, members of other components are compared with it (first by agreement of
-signatures with wide margin, then exactly by their elements), and components are joined up. Rounds use
-other heads and go on until QUIET_ROUNDS rounds in a row find no link. All joins are by bucket or
+never expanded into pairs. In every round each bucket that still holds several components picks
+heads by hashes, members of other components are compared with them (first by agreement of
+signatures with wide margin, then exactly by their elements), and components are joined up. Later
+rounds part the buckets by up to three further coordinates, others each time, so that members meet
+heads ever more like them, and go on until a round finds no link. All joins are by bucket or
 representative, which adaptive execution can split when one is hot.
 
 Edge cases: null is the empty text; texts without words are alike if they are equal; texts of one to four
@@ -27,6 +28,7 @@ the row that stays; of repeated such rows one stays.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,11 @@ from tidemark.llm.words import grams, mix, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 DARTS, NARROW, WIDE = 128, 5, 10
-MARGIN = 0.16  # below SIMILARITY; over four deviations of the estimate by 128 coordinates
-QUIET_ROUNDS = 2
+MARGIN = 0.12  # below SIMILARITY; over three deviations of the estimate by 128 coordinates
+HEADS = 4  # of each part of a bucket after the first round, which has one
+# Bytes of `more`, further coordinates that part a bucket, by round: none; then three, one and two at once; then one each.
+PARTS = ((0,), (0xFFFFFF, 0xFF << 24, 0xFFFF << 32), (0xFF << 40, 0xFF << 48, 0x7F << 56))
+LEAST_ROUNDS = 2
 FILTER_BYTES = 3  # of a name: a filter of 2 MB; a fuller one lets more pass and loses nothing
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _POISSON = (np.cumsum([np.exp(-1) / f for f in np.cumprod([1.0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12])]) * 2.0**53).astype(np.uint64)
@@ -54,7 +59,8 @@ def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     owners = np.searchsorted(bounds, at, "right") - 1
     short = np.flatnonzero((sizes > 0) & (sizes < WORDS))
     if len(short):
-        whole = np.array([int(mix(np.cumsum(mix(words[bounds[i] : bounds[i + 1]] + _STEP)))[-1]) for i in short], np.uint64)
+        place = np.arange(WORDS, dtype=np.uint64) * _TURN
+        whole = np.array([mix(words[bounds[i] : bounds[i + 1]] + place[: sizes[i]]).sum() for i in short], np.uint64)
         found, owners = np.concatenate((found, whole)), np.concatenate((owners, short))
         order = np.argsort(owners, kind="stable")
         found, owners = found[order], owners[order]
@@ -149,7 +155,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(band, rid): hashes of 5 and of 10 coordinates in a row."""
+    """(band, rid, more): hashes of 5 and of 10 coordinates in a row, and a byte each of eight others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +163,7 @@ def bands(reps: DataFrame) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             drawn = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, DARTS).astype(np.uint64)
-            keys = []
+            keys, others = [], []
             for width in (NARROW, WIDE):
                 count = DARTS // width
                 parts = drawn[:, : count * width].reshape(-1, count, width)
@@ -165,11 +171,14 @@ def bands(reps: DataFrame) -> DataFrame:
                 for c in range(width):
                     key = mix(key * _STEP + parts[:, :, c])
                 keys.append(key)
+                at = (np.arange(count)[:, None] * width + width + np.arange(8) * 13 % (DARTS - width)) % DARTS
+                others.append(np.ascontiguousarray(drawn.astype(np.uint8)[:, at]).reshape(len(drawn), -1).view(np.int64))
             key = np.concatenate(keys, axis=1)
+            more = np.concatenate(others, axis=1)
             rows = np.repeat(np.arange(len(drawn)), key.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column("rid").take(pa.array(rows))], ["band", "rid"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column("rid").take(pa.array(rows)), pa.array(more.ravel())], ["band", "rid", "more"])
 
-    return reps.select("rid", "signature").mapInArrow(run, "band long, rid binary")
+    return reps.select("rid", "signature").mapInArrow(run, "band long, rid binary, more long")
 
 
 def element_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -212,16 +221,17 @@ def _places(head: np.ndarray) -> np.ndarray:
 
 
 def compared(pairs: DataFrame, table: DataFrame, column: str, keep) -> DataFrame:
-    """The pairs (a, z) whose values of `column` in `table` (by rid) pass `keep`."""
+    """The pairs (a, z, and more) whose values of `column` in `table` (by rid) pass `keep`."""
     side = lambda key, name: table.select(F.col("rid").alias(key), F.col(column).alias(name))
-    both = pairs.join(side("a", "_a"), "a").join(side("z", "_z"), "z").select("a", "z", "_a", "_z")
+    both = pairs.join(side("a", "_a"), "a").join(side("z", "_z"), "z").select(*pairs.columns, "_a", "_z")
+    own = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             passed = [keep(x, y) for x, y in zip(batch.column("_a").to_pylist(), batch.column("_z").to_pylist(), strict=True)]
-            yield batch.select(["a", "z"]).filter(pa.array(passed, pa.bool_()))
+            yield batch.select(own).filter(pa.array(passed, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, z binary")
+    return both.mapInArrow(run, pairs.schema)
 
 
 def perhaps(a: bytes, z: bytes) -> bool:
@@ -245,12 +255,13 @@ def similar(a: bytes, z: bytes) -> bool:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(rid, comp) of every node of links (a, z): the smallest node of its component.
+    """(node, comp) of the nodes of links (a, z) that are not the smallest of their component.
 
     Large-star and small-star steps: every step points a node's neighbours to the smallest of
-    them, until nothing changes. Minima are combined before they are shuffled.
+    them, until every node points to one that points nowhere. Minima are combined before they
+    are shuffled.
     """
-    edges, before = links.filter("a <> z").selectExpr("greatest(a, z) as u", "least(a, z) as v"), None
+    edges = links.filter("a <> z").selectExpr("greatest(a, z) as u", "least(a, z) as v")
     while True:
         near = edges.unionByName(edges.selectExpr("v as u", "u as v"))
         least = near.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
@@ -259,46 +270,41 @@ def components(links: DataFrame) -> DataFrame:
         joined = edges.join(least, "u")
         edges = joined.selectExpr("u", "m as v").unionByName(joined.filter("v <> m").selectExpr("v as u", "m as v")).distinct()
         edges = written(edges, "components")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return edges.selectExpr("u as rid", "v as comp").unionByName(edges.selectExpr("v as rid", "v as comp").distinct())
+        ends = edges.selectExpr("u as node", "1 as up", "0 as down").unionByName(edges.selectExpr("v as node", "0 as up", "1 as down"))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
+            return edges.selectExpr("u as node", "v as comp")
 
 
 def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
-    """(rid, comp) of the representatives that have links; None if there are none."""
+    """(rid, comp) of the representatives that share buckets; None if there are none."""
     every = bands(reps)
     shared = every.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     buckets = written(every.join(shared, "band"), "buckets")
-    wanted = buckets.select("rid").distinct()
-    if wanted.isEmpty():
+    labels = written(buckets.selectExpr("rid", "rid as comp").distinct(), "labels")
+    if labels.isEmpty():
         return None
-    table = written(element_table(docs, wanted), "elements")
-    digests = written(digest(reps.join(wanted, "rid", "left_semi")), "digests")
-    labels, links, tried, quiet, seed = None, None, None, 0, 0
-    while quiet < QUIET_ROUNDS:
-        known = buckets.withColumn("comp", F.col("rid"))
-        if labels is not None:
-            known = buckets.join(labels, "rid", "left").selectExpr("band", "rid", "coalesce(comp, rid) as comp")
-        heads = known.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("rid", F.lit(seed)).alias("h"), "rid", "comp")).alias("head"))
-        heads = heads.filter("lo <> hi").selectExpr("band", "head.rid as head", "head.comp as head_comp")
-        pairs = known.join(heads, "band").filter("comp <> head_comp").selectExpr("least(rid, head) as a", "greatest(rid, head) as z").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "z"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = written(compared(compared(pairs, digests, "digest", perhaps), table, "units", similar), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        seed += 1
-        if new.isEmpty():
-            quiet += 1
-            if pairs.isEmpty():
-                break
+    table = written(element_table(docs, labels), "elements")
+    digests = written(digest(reps.join(labels, "rid", "left_semi")), "digests")
+    for round_ in itertools.count():
+        masks = PARTS[round_ % len(PARTS)]
+        cut = F.explode(F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.col("more").bitwiseAND(m).alias("rest")) for m in masks)))
+        parts = buckets.join(labels, "rid").select("band", "rid", "comp", cut.alias("part"))
+        first = lambda k: F.min(F.struct(F.xxhash64("rid", F.lit(100 * round_ + k)).alias("h"), "rid", "comp"))  # noqa: E731, B023
+        chosen = F.array(*(first(k) for k in range(HEADS if round_ else 1))).alias("heads")
+        heads = parts.groupBy("band", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), chosen).filter("lo <> hi")
+        heads = heads.select("band", "part", F.explode(F.array_distinct(F.transform("heads", lambda h: F.struct(h["rid"], h["comp"])))).alias("head"))
+        heads = heads.selectExpr("band", "part", "head.rid as head", "head.comp as head_comp")
+        pairs = parts.join(heads, ["band", "part"]).filter("comp <> head_comp")
+        pairs = pairs.selectExpr("rid as a", "head as z", "comp", "head_comp").distinct()
+        pairs = written(compared(pairs, digests, "digest", perhaps), "pairs")
+        links = written(compared(pairs, table, "units", similar), "links")
+        if links.isEmpty():
+            if round_ + 1 >= LEAST_ROUNDS:
+                return labels
             continue
-        quiet = 0
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-    return labels
+        merged = components(links.selectExpr("comp as a", "head_comp as z").distinct())
+        moved = labels.join(merged, labels["comp"] == merged["node"], "left")
+        labels = written(moved.select("rid", F.coalesce(merged["comp"], labels["comp"]).alias("comp")), "labels")
 
 
 def digest(reps: DataFrame) -> DataFrame:
