@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -68,8 +69,8 @@ class Encoder:
         self.tokens: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        found = (x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def _learn(self, units: Iterable[str]) -> None:
         cut = {unit: self.parts.findall(unit) if ord(max(unit)) < 0x300 else [unit] for unit in units}
