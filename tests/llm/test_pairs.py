@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -193,6 +194,39 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.unleaked(frame, bench.limit(0)).count() == len(rows)
 
 
+def test_edited_copies_are_found_at_every_length(spark):
+    """As many words replaced as IDENTITY lets, but for the ends; no exact copy but of items under five words."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items, docs, want = [], [], set()
+    for size in (*range(1, 27), 31, 40):
+        words = fresh(size)
+        items.append((size, " ".join(words)))
+        for k in range(12):
+            body = list(words)
+            for i in rng.sample(range(1, size - 1), size // 5):
+                body[i] = f"x{rng.randrange(10**6)}"
+            docs.append((100 * size + k, " ".join(fresh(20) + body + fresh(20))))
+            want.add((100 * size + k, size))
+        if 1 < size < 13:  # one word more than that
+            for i in rng.sample(range(size), size // 5 + 1):
+                words[i] = "y"
+            docs.append((100 * size + 99, " ".join(words)))
+    docs.append((5000, " ".join([items[0][1]] * 3)))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = leaks.leaks(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want | {(5000, 1)} and len(found) == len(want) + 1
+    assert [(r.doc_start, r.doc_end) for r in found if r.doc_id == 5000] == [(0, 1)]
+
+
+@pytest.mark.parametrize("size", range(13, 24))
+def test_a_mask_fits_every_placement_of_differing_words(size):
+    masks = [(sum(1 << i for i in leaks.offsets(m)), len(m)) for m in leaks.MASKS]
+    for places in itertools.combinations(range(size), size // 5):
+        gone = sum(1 << i for i in places)
+        assert any(not (mask << shift) & gone for mask, span in masks for shift in range(size - span + 1))
+
+
 def test_longest_run():
     run = lambda bits: leaks.longest_run(np.array([c == "1" for c in bits]))
     assert run("0000") == (0, 0) and run("1111") == (0, 4) and run("0111101111") == (1, 10)

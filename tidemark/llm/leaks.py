@@ -1,7 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is the hash of eight words picked by a fixed mask out of a window of up to 14; the words the
-mask passes over may differ. Seeds of all benchmark windows go into a Bloom filter of fixed size
+A seed is the hash of six words picked by a fixed mask out of a window of up to nine; the words the
+mask passes over may differ. The four masks lose nothing: however a run of 13 or more words with IDENTITY
+equal ones places its differing words, one mask fits between them (tried for all placements in runs of 13
+to 25 words; of a longer run one half has IDENTITY too). Shorter items are sought as a whole, by masks of
+their own length that keep the ends and leave out every choice of parts that may differ; below five
+words no word may differ, so that all of them make the seed. Seeds of all benchmark windows go into a Bloom filter of fixed size
 (the only thing broadcast). Documents are read once: windows whose seeds pass the filter are hits,
 and the words around neighbouring hits leave as one stretch. Hits are joined with the benchmark's
 seeds by hash, which gives places where an item may lie over the document; there document and item
@@ -11,13 +15,15 @@ leaks an item if the overlap has LEAST_WORDS words, or the whole item where that
 Nothing is a pair of document and item before a seed joins them, and what moves is hits and the
 words around them, never whole documents.
 
-Edge cases: items shorter than a window are sought as a whole, by all their words; items of fewer
-than SHORT words are not sought; null texts have no words; repeated rows of one doc_id and text are
+Edge cases: an overlap begins and ends with an equal word, so an item under LEAST_WORDS words leaks if its
+first and last word are equal and IDENTITY of all; items without words are not sought; null texts have no words; repeated rows of one doc_id and text are
 one document; a null doc_id is reported as null; an empty benchmark or table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,27 +32,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, written
-from tidemark.llm.words import grams, word_hashes
+from tidemark.llm.words import grams, last_of_text, word_hashes
 
-MASKS = ("11010011001011", "1101100110101", "1110010100111", "11100101011001")
-SHORT = 5
+MASKS = ("11101011", "111111", "110110011", "101001111")
+SHORT = 1
 LEAST_WORDS, IDENTITY = 13, 0.8
 FILTER_BITS, SHIFTS = 24, (0, 20, 40)  # a filter of 2 MB; a seed sets a bit for each 24 of its bits
 SPAN = max(map(len, MASKS))
+PARTS = 5  # of the inner words of a short item; a seed leaves out as many parts as words may differ
 
 
 def offsets(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
-def seeds(words: np.ndarray, bounds: np.ndarray, short: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
-    """(seeds, first words, span, whole) for every mask, and, `whole`, for all words of each short length."""
+def short_masks(size: int) -> list[tuple[int, ...]]:
+    """Offsets for an item of `size` words, under LEAST_WORDS: some choice holds no differing word."""
+    parts = np.array_split(np.arange(1, size - 1), PARTS)
+    left_out = itertools.combinations([p for p in parts if len(p)], size - math.ceil(IDENTITY * size))
+    return [tuple(i for i in range(size) if not any(i in part for part in out)) for out in left_out]
+
+
+def seeds(words: np.ndarray, bounds: np.ndarray, short: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(seeds, first words, size) for every mask: for items of `size` words, or of LEAST_WORDS and more for that."""
     for k, mask in enumerate(MASKS):
         found, at = grams(words, bounds, offsets(mask), k)
-        yield found.view(np.int64), at, len(mask), False
-    for span in short:
-        found, at = grams(words, bounds, tuple(range(span)), len(MASKS) + span)
-        yield found.view(np.int64), at, span, True
+        yield found.view(np.int64), at, LEAST_WORDS
+    for size in short:
+        inside = last_of_text(bounds, size - 1)
+        for k, chosen in enumerate(short_masks(size)):
+            found, at = grams(words, bounds, chosen, 16 * size + k)
+            yield found[inside[at]].view(np.int64), at[inside[at]], size
 
 
 def item_seeds(benchmark: DataFrame, short: tuple[int, ...]) -> DataFrame:
@@ -56,9 +72,9 @@ def item_seeds(benchmark: DataFrame, short: tuple[int, ...]) -> DataFrame:
         for piece in pieces(batches):
             words, bounds = word_hashes(piece.column("text"))
             sizes = np.diff(bounds)
-            for found, at, span, whole in seeds(words, bounds, short):
+            for found, at, size in seeds(words, bounds, short):
                 owner = np.searchsorted(bounds, at, "right") - 1
-                use = sizes[owner] == span if whole else np.ones(len(at), bool)
+                use = sizes[owner] == size if size < LEAST_WORDS else sizes[owner] >= LEAST_WORDS
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[use]), piece.column("_item").take(pa.array(owner[use])), pa.array((at - bounds[owner])[use])],
                     ["seed", "_item", "at"],
@@ -99,8 +115,14 @@ def stretches(docs: DataFrame, bits: np.ndarray, short: tuple[int, ...], reach:
         for piece in pieces(batches):
             words, bounds = word_hashes(piece.column("text"))
             hits, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for found, at, _, _ in seeds(words, bounds, short):
+            for found, at, size in seeds(words, bounds, short):
                 use = passes(shared.value, found)
+                if size < PARTS and len(use):  # all hits are equal copies; the first of a text is the one reported
+                    owner = np.searchsorted(bounds, at[use], "right") - 1
+                    order = np.lexsort((at[use], found[use], owner))
+                    fresh = np.ones(len(order), bool)
+                    fresh[1:] = (np.diff(owner[order]) != 0) | (np.diff(found[use][order]) != 0)
+                    use = use[order[fresh]]
                 hits.append(found[use])
                 places.append(at[use])
             hit, place = np.concatenate(hits), np.concatenate(places)
@@ -156,7 +178,7 @@ def found_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.filter("text is not null").select("item_id", F.xxhash64("item_id", "text").alias("_item"), "text").dropDuplicates(["_item"])
     items = written(with_words(items), "items")
     sizes = items.selectExpr("octet_length(words) div 8 as n").filter(f"n >= {SHORT}")
-    short = tuple(sorted(r["n"] for r in sizes.filter(f"n < {SPAN}").distinct().collect()))  # SPAN - SHORT lengths at most
+    short = tuple(sorted(r["n"] for r in sizes.filter(f"n < {LEAST_WORDS}").distinct().collect()))  # LEAST_WORDS - SHORT lengths at most
     reach = (sizes.agg(F.max("n")).first()[0] or 0) + SPAN  # an item that holds the hit lies within
     index = written(item_seeds(items.select("_item", "text"), short), "seeds")
     near = written(stretches(docs, bloom(index), short, reach), "stretches")
