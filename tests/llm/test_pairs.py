@@ -134,6 +134,32 @@ def test_hot_group_is_not_expanded_into_pairs(spark, monkeypatch):
     assert sum(n for name, n in counts if name == "pairs") < 600 * 100
 
 
+@pytest.mark.parametrize("block", [dedup.BLOCK_BYTES, 20_000])
+def test_links_of_a_family_under_the_threshold_are_all_found(spark, monkeypatch, block):
+    """Texts of one template just under the threshold, with a few links, whatever heads the buckets draw."""
+    monkeypatch.setattr(dedup, "HEADS", 1)
+    monkeypatch.setattr(dedup, "PARTS", ((0,), (0,)))
+    monkeypatch.setattr(dedup, "BLOCK_BYTES", block, raising=False)
+    rng = random.Random(3)
+    base = " ".join(f"w{i}" for i in range(120))
+    texts = [edited(rng, base, 0.025) for _ in range(250)]
+    texts += [edited(rng, t, 0.015) for t in texts[:60]]
+    want = brute_classes(texts)
+    assert 20 < len(set(want)) < len(texts) - 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in dedup.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
+def test_hot_group_equals_brute_force(spark):
+    rng = random.Random(9)
+    base = " ".join(f"w{i}" for i in range(120))
+    texts = [edited(rng, base, rng.choice([0.004, 0.02])) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in dedup.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(f"{i:03}".encode(), f"{i + 1:03}".encode()) for i in range(60)]
     star = [(b"900", f"{i}".encode()) for i in range(901, 960)]

@@ -16,9 +16,15 @@ never expanded into pairs. In every round each bucket that still holds several c
 heads by hashes, members of other components are compared with them (first by agreement of
 signatures with wide margin, then exactly by their elements), and components are joined up. Later
 rounds part the buckets by up to three further coordinates, others each time, so that members meet
-heads ever more like them, and go on until a round finds no link. All joins are by bucket or
+heads ever more like them. All joins are by bucket or
 representative, which adaptive execution can split when one is hot.
 
+The rounds only make components fewer; what they leave is finished exactly. In every bucket of 5 coordinates
+(those of 10 are parts of them) that still holds several components, every text outside the most frequent one is
+compared with all texts of other components, by counting common elements in an index. A large bucket is cut
+into blocks of bytes, and each pair of blocks is a group of its own. So links are missed only between texts that
+share no bucket.
+
 Edge cases: null is the empty text; texts without words are alike if they are equal; texts of one to four
 words have a single element, so they are linked if their words are equal. Repeated rows and rows of one
 doc_id are rows of their own. A class is named by its smallest doc_id (null if it has none), which is also
@@ -28,7 +34,6 @@ the row that stays; of repeated such rows one stays.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +50,7 @@ MARGIN = 0.12  # below SIMILARITY; over three deviations of the estimate by 128
 HEADS = 4  # of each part of a bucket after the first round, which has one
 # Bytes of `more`, further coordinates that part a bucket, by round: none; then three, one and two at once; then one each.
 PARTS = ((0,), (0xFFFFFF, 0xFF << 24, 0xFFFF << 32), (0xFF << 40, 0xFF << 48, 0x7F << 56))
-LEAST_ROUNDS = 2
+BLOCK_BYTES = 4 << 20  # of elements on either side of a group
 FILTER_BYTES = 3  # of a name: a filter of 2 MB; a fuller one lets more pass and loses nothing
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _POISSON = (np.cumsum([np.exp(-1) / f for f in np.cumprod([1.0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12])]) * 2.0**53).astype(np.uint64)
@@ -155,7 +160,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(band, rid, more): hashes of 5 and of 10 coordinates in a row, and a byte each of eight others."""
+    """(band, rid, more): hashes of 5 (odd) and of 10 (even) coordinates in a row, and a byte each of eight others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +175,7 @@ def bands(reps: DataFrame) -> DataFrame:
                 key = np.tile(np.arange(count, dtype=np.uint64) + np.uint64(1000 * width), (len(drawn), 1))
                 for c in range(width):
                     key = mix(key * _STEP + parts[:, :, c])
-                keys.append(key)
+                keys.append(key | np.uint64(1) if width == NARROW else key & ~np.uint64(1))
                 at = (np.arange(count)[:, None] * width + width + np.arange(8) * 13 % (DARTS - width)) % DARTS
                 others.append(np.ascontiguousarray(drawn.astype(np.uint8)[:, at]).reshape(len(drawn), -1).view(np.int64))
             key = np.concatenate(keys, axis=1)
@@ -285,8 +290,7 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
         return None
     table = written(element_table(docs, labels), "elements")
     digests = written(digest(reps.join(labels, "rid", "left_semi")), "digests")
-    for round_ in itertools.count():
-        masks = PARTS[round_ % len(PARTS)]
+    for round_, masks in enumerate(PARTS):
         cut = F.explode(F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.col("more").bitwiseAND(m).alias("rest")) for m in masks)))
         parts = buckets.join(labels, "rid").select("band", "rid", "comp", cut.alias("part"))
         first = lambda k: F.min(F.struct(F.xxhash64("rid", F.lit(100 * round_ + k)).alias("h"), "rid", "comp"))  # noqa: E731, B023
@@ -298,13 +302,69 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
         pairs = pairs.selectExpr("rid as a", "head as z", "comp", "head_comp").distinct()
         pairs = written(compared(pairs, digests, "digest", perhaps), "pairs")
         links = written(compared(pairs, table, "units", similar), "links")
-        if links.isEmpty():
-            if round_ + 1 >= LEAST_ROUNDS:
-                return labels
-            continue
-        merged = components(links.selectExpr("comp as a", "head_comp as z").distinct())
-        moved = labels.join(merged, labels["comp"] == merged["node"], "left")
-        labels = written(moved.select("rid", F.coalesce(merged["comp"], labels["comp"]).alias("comp")), "labels")
+        labels = joined_up(labels, links.selectExpr("comp as a", "head_comp as z"))
+    return joined_up(labels, rest_of_links(buckets.filter("band & 1 = 1").join(labels, "rid").select("band", "rid", "comp"), table))
+
+
+def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` with the components (a, z) that `links` joins as one."""
+    links = written(links.distinct(), "joins")
+    if links.isEmpty():
+        return labels
+    merged = components(links)
+    moved = labels.join(merged, labels["comp"] == merged["node"], "left")
+    return written(moved.select("rid", F.coalesce(merged["comp"], labels["comp"]).alias("comp")), "labels")
+
+
+def linked(probes: list[tuple[bytes, bytes]], members: list[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
+    """Pairs of components of similar texts, of `probes` with `members`, both (comp, units)."""
+    found: set[tuple[bytes, bytes]] = set()
+    numbers = {c: i for i, c in enumerate(dict.fromkeys(c for c, _ in members))}
+    of, named = np.array([numbers[c] for c, _ in members]), list(numbers)
+    sizes = np.array([len(raw) // 4 for _, raw in members])
+    every, owner = np.frombuffer(b"".join(raw for _, raw in members), np.uint32), np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    for comp, raw in probes:
+        units = np.frombuffer(raw, np.uint32)
+        low, high = np.searchsorted(every, units, "left"), np.searchsorted(every, units, "right")
+        runs = high - low
+        at = np.arange(runs.sum()) + np.repeat(low - (np.cumsum(runs) - runs), runs)
+        common = np.bincount(owner[at], minlength=len(members))
+        near = (common >= SIMILARITY * (sizes + len(units) - common)) & (of != numbers.get(comp, -1))
+        found |= {(max(comp, named[i]), min(comp, named[i])) for i in np.unique(of[near])}
+    return found
+
+
+def rest_of_links(held: DataFrame, table: DataFrame) -> DataFrame:
+    """(a, z): components of all similar texts of one bucket (band, rid, comp) that are in different ones."""
+    by_comp = held.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    most = by_comp.groupBy("band").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("most")).filter("comps > 1")
+    open_ = written(held.join(most.select("band", "most"), "band"), "open")
+    sizes = open_.join(table.selectExpr("rid", "length(units) as size"), "rid").groupBy("band")
+    blocks = sizes.agg(F.expr(f"1 + sum(size) div {BLOCK_BYTES} as columns"), F.expr(f"1 + sum(if(comp <> most, size, 0)) div {BLOCK_BYTES} as lines"))
+    rows = open_.join(blocks, "band")
+    index = rows.selectExpr("band", "rid", "comp", "false as probe", "pmod(xxhash64(rid, 1), columns) as j", "explode(sequence(0L, lines - 1)) as i")
+    probes = rows.filter("comp <> most").selectExpr("band", "rid", "comp", "true as probe", "explode(sequence(0L, columns - 1)) as j", "pmod(xxhash64(rid, 2), lines) as i")
+    groups = index.unionByName(probes).join(table, "rid").select("band", "i", "j", "probe", "comp", "units")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(found: set) -> pa.RecordBatch:
+            a, z = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(z, pa.binary())], ["a", "z"])
+
+        key, sides = None, ([], [])
+        for batch in batches:
+            for band, i, j, probe, comp, units in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, i, j) != key:
+                    if sides[0] and sides[1] and (found := linked(sides[1], sides[0])):
+                        yield pairs(found)
+                    key, sides = (band, i, j), ([], [])
+                sides[probe].append((comp, units))
+        if sides[0] and sides[1] and (found := linked(sides[1], sides[0])):
+            yield pairs(found)
+
+    return groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a binary, z binary")
 
 
 def digest(reps: DataFrame) -> DataFrame:
