@@ -95,6 +95,21 @@ def test_nested_three_times_with_escapes():
     assert [span for _, span in inner_spans] == [("assign", 6, 6 + len(middle))]
 
 
+@pytest.mark.parametrize("mark", ["\u00a0", "\u3000", "\ufeff", "\u200d", "\f", "\x1b[0m", "\0", "é"])
+@pytest.mark.parametrize("coding", ["utf-8", "utf-16", "utf-16-be", "latin-1"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_layers_of_any_characters_and_codings_are_scanned(mark, coding, pack):
+    raw = f"caf\u00e9 {mark} {SECRET} end".encode(coding, "replace")
+    _, inner, opened, _ = secrets.scan(f"see {base64.b64encode(pack(raw)).decode()} there")
+    assert opened >= 1 and "assign" in {kind for _, (kind, _, _) in inner}
+
+
+def test_escapes_beside_bytes_that_are_no_utf_8():
+    for text in ("x %FFtoken%3Dabcdefgh1%FE y", "x %FF%74%6F%6B%65%6E%3Dabcdefgh1 y", "x \\uD800\\u0074oken=abcdefgh1 y"):
+        _, inner, _, _ = secrets.scan(text)
+        assert {text[b:e][-9:] for _, (kind, b, e) in inner if kind == "assign"} == {"abcdefgh1"}
+
+
 def test_a_cycle_ends():
     text = "%2525252541"
     _, _, opened, _ = secrets.scan(text)

@@ -7,7 +7,8 @@ a map from its characters to code points of the text, through which spans found
 
 Escapes (`%41`, `\\u0041`, `\\x41`, `&#65;`) are decoded over a whole layer, so that a secret may be
 partly escaped. Base64 runs of 16 and more characters become layers of their own; their bytes are
-decompressed (gzip, zlib, bzip2, xz, zstandard; nested too) and must be UTF-8 text in the end. What
+decompressed (gzip, zlib, bzip2, xz, zstandard; nested too) and are read as UTF-8, UTF-16 or else Latin-1.
+Every layer is scanned; one that does not read as text counts as a layer only if it holds a span. What
 decompression yields maps to the whole base64 run.
 
 Bounds: a part that would decompress to more than LAYER_BYTES, or past TOTAL_BYTES for a document, is
@@ -24,6 +25,7 @@ import bz2
 import hashlib
 import lzma
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +39,7 @@ from tidemark.llm.common import pieces
 
 KINDS = ("assign", "access", "hex")
 LAYER_BYTES, TOTAL_BYTES = 64 << 20, 256 << 20
+MOST_CONTROLS = 0.1  # of the characters of a layer that counts as text; others are scanned, but count if they hold a span
 VALUE_LENGTH, ACCESS_LENGTH, HEX_LENGTH, RUN_LENGTH = 8, 16, 32, 16
 
 _KEYS = "|".join("".join(c if c in "_?" else f"[{c}{c.upper()}]" for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
@@ -72,21 +75,28 @@ def unescape(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
         raw, begin = m[0], m.start()
         if raw[0] == "%" or raw[1] == "x":
             step = 3 if raw[0] == "%" else 4
-            data = bytes.fromhex(raw.replace("%", "").replace("\\x", ""))
-            try:
-                out = data.decode()
-                widths = [len(c.encode()) * step for c in out]
-            except UnicodeDecodeError:
-                if raw[0] == "%":
-                    continue
-                out, widths = data.decode("latin-1"), [step] * len(data)
+            chars = bytes.fromhex(raw.replace("%", "").replace("\\x", "")).decode("utf-8", "surrogateescape")
+            decoded, widths, done = [], [], 0
+            for c in chars:
+                wrong = 0xDC80 <= ord(c) <= 0xDCFF
+                width = step if wrong else len(c.encode()) * step
+                if wrong and step == 3:  # a byte that is no UTF-8 stays as it is
+                    decoded.append(raw[done : done + 3])
+                    widths += [1, 1, 1]
+                else:
+                    decoded.append(chr(ord(c) - 0xDC00) if wrong else c)
+                    widths.append(width)
+                done += width
+            out = "".join(decoded)
         elif raw[1] == "u":
-            units = bytes.fromhex(raw.replace("\\u", ""))
-            try:
-                out = units.decode("utf-16-be")
-            except UnicodeDecodeError:
-                continue
-            widths = [12 if ord(c) > 0xFFFF else 6 for c in out]
+            decoded, widths, done = [], [], 0
+            for c in bytes.fromhex(raw.replace("\\u", "")).decode("utf-16-be", "surrogatepass"):
+                width = 12 if ord(c) > 0xFFFF else 6
+                lone = 0xD800 <= ord(c) < 0xE000
+                decoded.append(raw[done : done + 6] if lone else c)
+                widths += [1] * 6 if lone else [width]
+                done += width
+            out = "".join(decoded)
         else:
             point = int(raw[2:], 16) if raw[1] == "U" else int(raw[3:-1], 16) if raw[2] in "xX" else int(raw[2:-1])
             if point > 0x10FFFF or 0xD800 <= point < 0xE000:
@@ -143,13 +153,18 @@ def base64_bytes(run: str) -> bytes | None:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def readable(data: bytes) -> str | None:
-    """Text, if the bytes are UTF-8 without control characters other than white space."""
+def readable(data: bytes) -> tuple[str, np.ndarray, int, bool]:
+    """(text, bytes of each character, bytes before them, whether it reads as text): UTF-16, UTF-8 or else Latin-1."""
+    low, high = data[1::2].count(0), data[::2].count(0)
+    coding = "utf-16-le" if data[:2] == b"\xff\xfe" or 4 * low > len(data) else "utf-16-be" if data[:2] == b"\xfe\xff" or 4 * high > len(data) else "utf-8"
+    skip = 2 if data[:2] in (b"\xff\xfe", b"\xfe\xff") and coding != "utf-8" else 0
     try:
-        text = data.decode()
+        text, known = data[skip:].decode(coding), True
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        text, coding, skip, known = data.decode("latin-1"), "latin-1", 0, False
+    sizes = np.fromiter((len(c.encode(coding)) for c in text), np.int64, len(text))
+    controls = sum(unicodedata.category(c) == "Cc" and c not in "\t\n\r\f\x1b" for c in text)
+    return text, sizes, skip, known and controls <= MOST_CONTROLS * len(text)
 
 
 def scan(text: str) -> tuple[list[Span], list[tuple[str, Span]], int, int]:
@@ -157,23 +172,24 @@ def scan(text: str) -> tuple[list[Span], list[tuple[str, Span]], int, int]:
     base = plain_spans(text)
     inner: list[tuple[str, Span]] = []
     seen = {hashlib.blake2b(text.encode(), digest_size=16).digest()}
-    work: list[tuple[str, str, np.ndarray | None, np.ndarray | None]] = [(text, "", None, None)]
+    work: list[tuple[str, str, np.ndarray | None, np.ndarray | None, bool]] = [(text, "", None, None, True)]
     opened = closed = total = 0
     while work:
-        layer, path, lows, highs = work.pop()
+        layer, path, lows, highs, clean = work.pop()
 
         def root(begin: int, end: int, lows=lows, highs=highs) -> tuple[int, int]:
             return (begin, end) if lows is None else (int(lows[begin]), int(highs[end - 1]))
 
         if path:
-            opened += 1
-            inner += [(path, (kind, *root(begin, end))) for kind, begin, end in plain_spans(layer)]
-        found: list[tuple[str, str, np.ndarray, np.ndarray]] = []
+            spans = plain_spans(layer)
+            opened += clean or bool(spans)
+            inner += [(path, (kind, *root(begin, end))) for kind, begin, end in spans]
+        found: list[tuple[str, str, np.ndarray, np.ndarray, bool]] = []
         if any(mark in layer for mark in ("%", "\\", "&#")) and (out := unescape(layer)):
             decoded, begins, ends = out
             if lows is not None:
                 begins, ends = lows[begins], highs[ends - 1]
-            found.append((decoded, "escape", begins, ends))
+            found.append((decoded, "escape", begins, ends, clean))
         for m in RUN.finditer(layer):
             data = base64_bytes(m[0])
             if data is None:
@@ -190,24 +206,23 @@ def scan(text: str) -> tuple[list[Span], list[tuple[str, Span]], int, int]:
             except TooLarge:
                 closed += 1
                 continue
-            decoded = readable(data)
-            if decoded is None:
+            decoded, sizes, skip, reads = readable(data)
+            if not decoded:
                 continue
             begin, end = root(*m.span())
             if tight:
-                sizes = np.fromiter((len(c.encode()) for c in decoded), np.int64, len(decoded))
-                after = np.cumsum(sizes)
+                after = skip + np.cumsum(sizes)
                 first = m.start() + (after - sizes) * 4 // 3
                 past = np.minimum(m.start() + -(-after * 4 // 3), m.end())
                 begins, ends = (first, past) if lows is None else (lows[first], highs[past - 1])
             else:
                 begins, ends = np.full(len(decoded), begin), np.full(len(decoded), end)
-            found.append((decoded, name, begins, ends))
-        for decoded, name, begins, ends in found:
+            found.append((decoded, name, begins, ends, reads))
+        for decoded, name, begins, ends, reads in found:
             mark = hashlib.blake2b(decoded.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if mark not in seen:
                 seen.add(mark)
-                work.append((decoded, f"{path}/{name}" if path else name, begins, ends))
+                work.append((decoded, f"{path}/{name}" if path else name, begins, ends, reads))
     return base, inner, opened, closed
 
 
