@@ -6,6 +6,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -110,6 +111,31 @@ def test_escapes_beside_bytes_that_are_no_utf_8():
         assert {text[b:e][-9:] for _, (kind, b, e) in inner if kind == "assign"} == {"abcdefgh1"}
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("glued", ["", "a", "/x", "abc", "--path"])
+def test_wrapped_and_glued_base64_is_opened(pack, width, glued):
+    noise = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:20] for i in range(9))
+    run = base64.b64encode(pack(f"{noise} {SECRET} {noise}".encode())).decode()
+    for end in ("\n", "\r\n"):
+        text = f"é {glued}" + end.join(run[i : i + width] for i in range(0, len(run), width)) + " end"
+        spans = [span for _, span in secrets.scan(text)[1] if span[0] == "assign"]
+        assert spans and all(2 <= b < e <= len(text) - 4 for _, b, e in spans)
+        if pack is bytes:  # to the groups of four
+            place = text.index(run[:20]) if glued else 2
+            whole = base64.b64decode("".join(text[place:-4].split()))
+            assert SECRET.encode() in whole and min(e - b for _, b, e in spans) <= 2 * len(SECRET)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_all_members_are_read(pack):
+    data = pack(b"first part, ") + pack(f"then {SECRET} ".encode()) + pack(b"last")
+    assert secrets.inflate(data, 1000) == f"first part, then {SECRET} last".encode()
+    assert [s[0] for _, s in secrets.scan(base64.b64encode(data).decode())[1]] == ["assign"]
+    with pytest.raises(secrets.TooLarge):
+        secrets.inflate(data, 20)
+
+
 def test_a_cycle_ends():
     text = "%2525252541"
     _, _, opened, _ = secrets.scan(text)

@@ -6,8 +6,9 @@ content was seen before in the document is not entered again, which ends cycles.
 a map from its characters to code points of the text, through which spans found in it are reported.
 
 Escapes (`%41`, `\\u0041`, `\\x41`, `&#65;`) are decoded over a whole layer, so that a secret may be
-partly escaped. Base64 runs of 16 and more characters become layers of their own; their bytes are
-decompressed (gzip, zlib, bzip2, xz, zstandard; nested too) and are read as UTF-8, UTF-16 or else Latin-1.
+partly escaped. Base64 runs of 16 and more characters, also over line breaks, become layers of their own, in each of
+the four alignments, since other characters may be glued on before; their bytes are
+decompressed (gzip, zlib, bzip2, xz, zstandard; nested too, and several members in a row) and are read as UTF-8, UTF-16 or else Latin-1.
 Every layer is scanned; one that does not read as text counts as a layer only if it holds a span. What
 decompression yields maps to the whole base64 run.
 
@@ -48,6 +49,9 @@ ACCESS = re.compile(rf"AKIA[A-Z0-9]{{{ACCESS_LENGTH - 4},}}")  # a longest run:
 HEX = re.compile(rf"[0-9a-f]{{{HEX_LENGTH},}}")
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}={{0,2}}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={{0,2}}")
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 # The same as conditions for a whole column: a text without them has neither spans nor layers.
 ANY_PLAIN = rf"""(?:{_KEYS})["']?\x20*[:=]|AKIA[A-Z0-9]{{{ACCESS_LENGTH - 4}}}|[0-9a-f]{{{HEX_LENGTH}}}|%[0-9A-Fa-f]{{2}}|\\[uUx][0-9A-Fa-f]{{2}}|&#"""
 ANY_RUN = rf"[A-Za-z0-9+/_-]{{{RUN_LENGTH}}}"
@@ -119,8 +123,8 @@ class TooLarge(Exception):
     """A part would decompress beyond the bound."""
 
 
-def inflate(data: bytes, most: int) -> bytes | None:
-    """One layer of compression removed; None if there is none. Raises TooLarge beyond `most` bytes."""
+def _member(data: bytes, most: int) -> tuple[bytes, bytes] | None:
+    """(content, bytes after it) of the compressed member that data begins with; None if there is none."""
     try:
         if data[:2] == b"\x1f\x8b":
             tool = zlib.decompressobj(31)
@@ -131,25 +135,49 @@ def inflate(data: bytes, most: int) -> bytes | None:
         elif data[:6] == b"\xfd7zXZ\x00":
             tool = lzma.LZMADecompressor()
         elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
+            tool = zstandard.ZstdDecompressor().decompressobj()
+            out = b""
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=False) as reader:
                 out = reader.read(most + 1)
             if len(out) > most:
-                raise TooLarge
-            return out
+                return out, b""
+            tool.decompress(data)  # of a size known by now; for what follows the frame
+            return out, tool.unused_data
         else:
             return None
-        out = tool.decompress(data, most + 1)
+        return tool.decompress(data, most + 1), tool.unused_data
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
         return None
-    if len(out) > most:
-        raise TooLarge
-    return out
 
 
-def base64_bytes(run: str) -> bytes | None:
-    body = run.rstrip("=").translate({ord("-"): "+", ord("_"): "/"})
-    if len(body) % 4 == 1:
-        return None
+def inflate(data: bytes, most: int) -> bytes | None:
+    """One layer of compression removed, of all members in a row; None if there is none. Raises TooLarge beyond `most` bytes."""
+    parts, size = [], 0
+    while (member := _member(data, most - size)) is not None:
+        parts.append(member[0])
+        size += len(member[0])
+        if size > most:
+            raise TooLarge
+        data = member[1].lstrip(b"\0")  # padding between members
+    return b"".join(parts) if parts else None
+
+
+def runs(layer: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """(base64 characters, their places, end with padding): runs that go on over line breaks, then single runs."""
+    for m in WRAPPED.finditer(layer):
+        lines = [(m.start() + x.start(), x[0]) for x in LINE.finditer(m[0])]
+        firsts = [0] if len(lines[0][1]) == len(lines[1][1]) or len(lines) == 2 else [0, 1]  # a line glued on before
+        for first in firsts:
+            yield "".join(x for _, x in lines[first:]), np.concatenate([np.arange(at, at + len(x)) for at, x in lines[first:]]), m.end()
+    for m in RUN.finditer(layer):
+        body = m[0].rstrip("=")
+        yield body, np.arange(m.start(), m.start() + len(body)), m.end()
+
+
+def base64_bytes(body: str) -> bytes:
+    """What base64 characters without padding stand for; one character over is left out."""
+    body = body.translate({ord("-"): "+", ord("_"): "/"})
+    body = body[: len(body) - (len(body) % 4 == 1)]
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
@@ -174,6 +202,7 @@ def scan(text: str) -> tuple[list[Span], list[tuple[str, Span]], int, int]:
     seen = {hashlib.blake2b(text.encode(), digest_size=16).digest()}
     work: list[tuple[str, str, np.ndarray | None, np.ndarray | None, bool]] = [(text, "", None, None, True)]
     opened = closed = total = 0
+    shut: set[bytes] = set()
     while work:
         layer, path, lows, highs, clean = work.pop()
 
@@ -190,34 +219,42 @@ def scan(text: str) -> tuple[list[Span], list[tuple[str, Span]], int, int]:
             if lows is not None:
                 begins, ends = lows[begins], highs[ends - 1]
             found.append((decoded, "escape", begins, ends, clean))
-        for m in RUN.finditer(layer):
-            data = base64_bytes(m[0])
-            if data is None:
-                continue
-            name, tight, inside = "base64", True, {hashlib.blake2b(data, digest_size=16).digest()}
-            try:
-                while (out := inflate(data, min(LAYER_BYTES, TOTAL_BYTES - total))) is not None:
-                    total += len(out)
-                    mark = hashlib.blake2b(out, digest_size=16).digest()
-                    if mark in inside:
-                        break
-                    inside.add(mark)
-                    data, name, tight = out, name + "/inflate", False
-            except TooLarge:
-                closed += 1
-                continue
-            decoded, sizes, skip, reads = readable(data)
-            if not decoded:
-                continue
-            begin, end = root(*m.span())
-            if tight:
-                after = skip + np.cumsum(sizes)
-                first = m.start() + (after - sizes) * 4 // 3
-                past = np.minimum(m.start() + -(-after * 4 // 3), m.end())
-                begins, ends = (first, past) if lows is None else (lows[first], highs[past - 1])
-            else:
-                begins, ends = np.full(len(decoded), begin), np.full(len(decoded), end)
-            found.append((decoded, name, begins, ends, reads))
+        for body, places, stop in runs(layer):
+            for turn in range(4):  # a run may have characters glued on before it
+                data = base64_bytes(body[turn:])
+                name, tight = "base64", True
+                starts = [0, *(m.start() for m in MAGIC.finditer(data, 1))]
+                try:
+                    for start in starts:
+                        part = data[start:]
+                        inside = {hashlib.blake2b(part, digest_size=16).digest()}
+                        while (out := inflate(part, min(LAYER_BYTES, TOTAL_BYTES - total))) is not None:
+                            total += len(out)
+                            mark = hashlib.blake2b(out, digest_size=16).digest()
+                            if mark in inside:
+                                break
+                            inside.add(mark)
+                            part, name, tight = out, name + "/inflate", False
+                        if not tight:
+                            data = part
+                            break
+                except TooLarge:
+                    mark = hashlib.blake2b(data, digest_size=16).digest()
+                    closed += mark not in shut
+                    shut.add(mark)
+                    continue
+                decoded, sizes, skip, reads = readable(data)
+                if not decoded:
+                    continue
+                begin, end = root(int(places[0]), stop)
+                if tight:
+                    after = skip + np.cumsum(sizes)
+                    first = places[turn + (after - sizes) * 4 // 3]
+                    past = places[np.minimum(turn + -(-after * 4 // 3), len(places)) - 1] + 1
+                    begins, ends = (first, past) if lows is None else (lows[first], highs[past - 1])
+                else:
+                    begins, ends = np.full(len(decoded), begin), np.full(len(decoded), end)
+                found.append((decoded, name, begins, ends, reads))
         for decoded, name, begins, ends, reads in found:
             mark = hashlib.blake2b(decoded.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if mark not in seen:
