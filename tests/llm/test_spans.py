@@ -165,6 +165,15 @@ def test_iban_and_context():
     assert near > 0.8 > far
 
 
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"])
+def test_an_iban_is_found_beside_words(number):
+    for before in ("", "IBAN ", "AB12 ", "REF 2024 ", "XX00 "):
+        for after in (" BIC COBADEFFXXX", " USA", " 2024 A 1", ", EUR", "", f" {number}"):
+            text = before + number + after
+            found = [text[f.start : f.end] for f in pii.find(text) if f.kind == "iban"]
+            assert found == [number] * text.count(number), text
+
+
 def test_long_runs_take_linear_time():
     assert pii.find("a" * 300_000) == []
     assert pii.find("1" * 300_000 + ".") == []

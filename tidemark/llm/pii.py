@@ -48,6 +48,15 @@ AGAINST = {
     "ssn": ("order", "part", "serial", "isbn"),
 }
 UP, DOWN = 0.2, 0.3
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -55,6 +64,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+GROUP = re.compile(r"[A-Z0-9]+")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 # A text without any of these has no span.
 ANY = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}|\+[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]|[0-9]{3}-[0-9]{2}-[0-9]{4}"
@@ -97,6 +107,20 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             floor = m.end()
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Cut at the group end that has the country's length, else at the longest whose checksum holds: words may follow."""
+    at = 0
+    while m := IBAN.search(text, at):
+        begin, at = m.start(), m.start() + 4  # no other begins in the first group
+        ends = [begin + g.end() for g in GROUP.finditer(m[0])][::-1]
+        sizes = {end: end - begin - text.count(" ", begin, end) for end in ends}
+        for end in sorted(ends, key=lambda e: sizes[e] != IBAN_LENGTHS.get(text[begin : begin + 2])):  # noqa: B023
+            if sizes[end] >= 15 and mod_97(text[begin:end].replace(" ", "")):
+                yield begin, end
+                at = end
+                break
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose checks hold, by kind and start."""
     for span in emails(text):
@@ -112,9 +136,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in PHONE.finditer(text):
         if 9 <= len(_digits(m[0])) <= 15:
             yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if mod_97(m[0].replace(" ", "")):
-            yield "iban", *m.span()
+    for span in ibans(text):
+        yield "iban", *span
     for m in SSN.finditer(text):
         yield "ssn", *m.span()
 
