@@ -56,6 +56,20 @@ def test_rules_and_edge_cases(spark):
     assert {r.verdict for r in urls.judge(frame, known.limit(0)).collect() if r.rule is None} == {"allow"}
 
 
+def test_branches_are_compared_at_any_size(spark):
+    rng = random.Random(8)
+    rows = [(60_000, 125_000, 100_000, 10**6), (0, 10**9, 10**9, 3 * 10**9), (5 * 10**9, 10**10, 5 * 10**10, 10**11)]
+    for size in (10, 10**3, 10**5, 10**7, 10**9):
+        for _ in range(30):
+            labelled, more = rng.randrange(1, size), rng.randrange(size)
+            bad = rng.randrange(labelled + 1)
+            rows.append((bad, labelled, bad + round(more * min(1, bad / labelled + rng.choice([0, size**-0.5]))), labelled + more))
+    frame = spark.createDataFrame(rows, "b long, l long, all_b long, all_l long")
+    found = frame.selectExpr("*", f"{urls.similar_at_any_size('b', 'l', 'all_b', 'all_l')} as s").collect()
+    for r in found:
+        assert r.s == ((r.b * r.all_l - r.l * r.all_b) ** 2 <= 4 * r.l * r.all_b * (r.all_l - r.all_b)), r
+
+
 # Mixing
 
 

@@ -62,6 +62,15 @@ def similar(bad: str, labelled: str, all_bad: str, all_labelled: str) -> str:
     return f"({bad} * {all_labelled} - {labelled} * {all_bad}) * ({bad} * {all_labelled} - {labelled} * {all_bad}) <= 4 * {labelled} * {all_bad} * ({all_labelled} - {all_bad})"
 
 
+def similar_at_any_size(bad: str, labelled: str, all_bad: str, all_labelled: str) -> str:
+    """`similar` for Spark, whose whole numbers overflow: decimals while the square has 36 digits, doubles beyond."""
+    wide = [f"cast({x} as decimal(19, 0))" for x in (bad, labelled, all_bad, all_labelled)]
+    real = [f"cast({x} as double)" for x in (bad, labelled, all_bad, all_labelled)]
+    gap = f"cast({wide[0]} * {wide[3]} - {wide[1]} * {wide[2]} as decimal(19, 0))"
+    exact = f"{gap} * {gap} <= cast(4 * {labelled} as decimal(19, 0)) * cast({wide[2]} * ({wide[3]} - {wide[2]}) as decimal(19, 0))"
+    return f"if({real[1]} * {real[3]} < 1e18, {exact}, {similar(*real)})"
+
+
 def grown(rows: DataFrame) -> DataFrame:
     """Adds `template` to rows of (page_id, host, path, labelled, bad)."""
     rows = rows.selectExpr("*", "split(substring(path, 2), '/') as segments", "'' as template")
@@ -72,7 +81,7 @@ def grown(rows: DataFrame) -> DataFrame:
         children = rows.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
         few = nodes.filter(F.col("kids") <= MOST_CHILDREN)
-        steps = children.join(few, ["host", "template"]).selectExpr("host", "template", "segment", f"if({similar('b', 'l', 'all_b', 'all_l')}, '~', segment) as step")
+        steps = children.join(few, ["host", "template"]).selectExpr("host", "template", "segment", f"if({similar_at_any_size('b', 'l', 'all_b', 'all_l')}, '~', segment) as step")
         rows = rows.join(steps, ["host", "template", "segment"], "left").selectExpr(
             "page_id", "host", "path", "labelled", "bad", "segments", "if(segment is null, template, concat(template, '/', coalesce(step, '*'))) as template"
         )
