@@ -18,6 +18,7 @@ _TYPES = {
     "int": "INTEGER",
     "double": "DOUBLE",
     "string": "VARCHAR",
+    "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
     "date": "DATE",
 }
