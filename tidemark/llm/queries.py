@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import dedup, leaks, mixing, pii, quality, secrets, tokens, topk, toxicity, urls
+from tidemark.llm import dedup, hard_negatives, leaks, licenses, manifest, mixing, pii, quality, secrets, tokens, topk, toxicity, urls
 from tidemark.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
@@ -61,10 +73,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
+    "op11_manifest": op11_manifest,
+    "op12_licenses": op12_licenses,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": topk.oracle_sql(),
     "op9_url_filters": urls.oracle_sql(),
     "op10_mixing": mixing.oracle_sql(),
+    "op11_manifest": manifest.oracle_sql(),
+    "op12_licenses": licenses.oracle_sql(),
+    "op13_hard_negatives": hard_negatives.oracle_sql(),
 }
