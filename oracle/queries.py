@@ -327,6 +327,12 @@ _QUERIES = {
         select r.name, r.week, r.type, r.value, r.average
         from member_report r join admins a using (name)
         where r.kind = 'new_sale' and list_contains(a.role_ids, 'even')""",
+    "team_members_of_roles": """
+        select admin_id, name from admins where list_has_all(role_ids, ['region1', 'even'])""",
+    "weekly_upsells_by_roles": """
+        select r.name, r.week, r.type, r.value, r.average
+        from member_report r join admins a using (name)
+        where r.kind = 'upsell' and list_has_all(a.role_ids, ['region2', 'even'])""",
     "nru": "select * from registered",
     "nru_with_calls": "select * from registered_called",
     "new_sales": f"select {_PURCHASE} from sale_new, month_bounds where {_IN_MONTH}",
@@ -394,6 +400,81 @@ _QUERIES = {
                    / (user_expired_this_month + number_upsale_before_time
                       + number_expired_ago_upsale_this_month) * 100 as upsale_rate_real
         from renewal_counts""",
+    "renewal_users": """
+        with due as (
+            select label, user_id from two_months m join by_expiry e
+              on case when e.next_actual_expired_at is null
+                       then e.actual_expired_at >= m.lo and e.actual_expired_at < m.hi
+                       else e.actual_expired_at > e.next_ori_started_at
+                            and e.next_actual_expired_at >= m.lo and e.next_actual_expired_at < m.hi end
+        ),
+        pairs as (
+            select e.user_id, e.actual_expired_at, date_trunc('day', e.local_end) as end_day,
+                   date_trunc('day', s.next_ori_started_at + interval '7' hour) as start_day
+            from paid_active e join by_start s using (user_id)
+        ),
+        kinds as (
+            select distinct user_id, 'early' as kind from pairs, month_bounds
+            where actual_expired_at >= start and actual_expired_at < finish and end_day > start_day
+            union
+            select user_id, 'on_time' from pairs, month_bounds
+            where actual_expired_at >= start and actual_expired_at < finish and end_day = start_day
+            union
+            select user_id, 'back' from pairs, month_bounds
+            where actual_expired_at < start and date_trunc('month', start_day) = first_day
+            union
+            select user_id, label from due
+        )
+        select user_id, bool_or(kind = 'early') as early, bool_or(kind = 'on_time') as on_time,
+               bool_or(kind = 'back') as back, bool_or(kind = 'last') as expired_last,
+               bool_or(kind = 'this') as expired_this
+        from kinds group by user_id""",
+    "renewal_detail": """
+        select i.id, i.user_id, i.actual_expired_at,
+               count(*) filter (date_trunc('day', s.next_ori_started_at + interval '7' hour)
+                   < date_trunc('day', i.actual_expired_at + interval '7' hour)) as earlier_starts,
+               count(*) filter (date_trunc('day', s.next_ori_started_at + interval '7' hour)
+                   = date_trunc('day', i.actual_expired_at + interval '7' hour)) as same_day_starts
+        from user_inventories i
+             join purchased_packages p on p.mongo_id = i.purchased_package_id and p.status in (2, 3)
+             join by_start s on s.user_id = i.user_id, month_bounds
+        where i.package_type = 1 and i.status = 1
+          and i.actual_expired_at >= start and i.actual_expired_at < finish
+        group by i.id, i.user_id, i.actual_expired_at""",
+    "buyers_by_month": """
+        select cast(date_trunc('month', purchased_at + interval '7' hour) as date) as month,
+               count(distinct customer_id) as buyers
+        from purchased_packages where status in (2, 3) group by 1""",
+    "buyers_by_quarter": """
+        select cast(date_trunc('quarter', purchased_at + interval '7' hour) as date) as quarter,
+               count(distinct customer_id) as buyers
+        from purchased_packages where status in (2, 3) group by 1""",
+    "returning_buyers": """
+        select count(*) as buyers from (
+            select customer_id from purchased_packages, month_bounds where status in (2, 3)
+            group by customer_id
+            having bool_or(purchased_at >= prior and purchased_at < start)
+               and bool_or(purchased_at >= start and purchased_at < finish)
+        ) c""",
+    "cohort_triangle": """
+        with registered_months as (
+            select distinct id, cast(date_trunc('month', created_at + interval '7' hour) as date) as month
+            from registered
+        ),
+        payment_months as (
+            select customer_id, purchased_at, claimed_at, amount,
+                   cast(date_trunc('month', purchased_at + interval '7' hour) as date) as month
+            from first_paid
+        )
+        select r.month as registered_month, p.month as payment_month,
+               count(distinct customer_id) filter (amount > 0) as bought,
+               count(distinct customer_id) filter (amount > 0 and purchased_at >= claimed_at) as claimed,
+               count(distinct customer_id) as paid,
+               count(distinct customer_id) filter (not exists (
+                   select 1 from registered_months e where e.id = r.id and e.month < r.month
+               )) as newly_paid
+        from payment_months p join registered_months r on r.id = p.customer_id
+        group by r.month, p.month""",
     "member_new_sales": f"select {_PURCHASE}, name, weekios from sale_member_new",
     "member_upsells": f"select {_PURCHASE}, package_type, name, weekios from sale_member_again",
     "sales_with_week": """
@@ -416,3 +497,9 @@ def oracle_texts(year: int = 1995, month: int = 7) -> dict[str, str]:
         joint = ",\n" + body[5:] if body.startswith("with ") else "\n" + body
         texts[key] = shared + joint
     return texts
+
+
+def stored_text(key: str, *months: tuple[int, int]) -> str:
+    """A query's rows of several months, with the columns `year` and `month`."""
+    parts = [f"select *, {year} as year, {month} as month from ({oracle_texts(year, month)[key]}) m" for year, month in months]
+    return "\nunion all\n".join(parts)

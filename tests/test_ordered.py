@@ -1,6 +1,7 @@
 """Sliced windows: the same rows as plain windows, spread over more groups."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.build import frame, utc
 from tidemark import MonthWindow, Tables
 from tidemark.operators import ordered, renewals
+from tidemark.operators.renewal_summary import renewal_counts
 from tidemark.sources.testdata import from_test_data
 
 JULY = MonthWindow(1995, 7)
@@ -109,16 +111,13 @@ def test_the_cuts_are_few_and_repeatable(spark):
 
 
 @pytest.mark.parametrize("month", range(1, 13))
-def test_near_months_show_the_same_expiring_users(spark, month):
+def test_the_summary_shows_the_same_expiring_users(spark, month):
     window = MonthWindow(1996, month)
     t = from_test_data(spark, "/root/testdata/sf0.01")
     whole = renewals.next_by_expiry(t.user_inventories)
-    near = renewals.next_by_expiry(
-        renewals.near_months(t.user_inventories, window.previous(), window)
-    )
     months = {"last": window.previous(), "this": window}
     expected = renewals.expiring_users(whole, **months).first()
-    assert renewals.expiring_users(near, **months).first() == expected
+    assert renewal_counts(t.user_inventories, **months).first() == expected
     assert expected["this"] > 0
 
 
@@ -149,9 +148,9 @@ def test_renewers_equal_the_direct_joins(spark):
         .select("user_id").distinct().count()
     )
     assert back > 10
-    counts = renewals.renewers(inventories, paid, JULY).first()
+    counts = renewal_counts(inventories, paid, JULY).first()
     assert counts.asDict() == {"early": early, "on_time": on_time, "back": back}
-    without = renewals.renewers(inventories, paid, JULY, with_back=False).first()
+    without = renewal_counts(inventories, paid, JULY, with_back=False).first()
     assert without.asDict() == {"early": early, "on_time": on_time, "back": 0}
     # The simple rate's join, which the report does without.
     last = renewals.active_expiries(inventories, paid, JULY.previous())
@@ -166,3 +165,24 @@ def test_tables_are_checked(spark):
                                                  "packages", "purchased_packages")}
     with pytest.raises(ValueError, match="user_inventories lacks the columns actual_expired_at"):
         Tables(**parts, user_inventories=t.user_inventories.drop("actual_expired_at"))
+
+
+def test_one_exchange_of_the_rows_serves_window_and_edges(spark, tmp_path):
+    rows = spark.range(0, 2000, 1, 4).selectExpr("id", "if(id % 3 = 0, -1L, id % 50) as k", "id * 7 % 100 as at", "id as other")
+    rows.write.parquet(f"{tmp_path}/rows")
+    read = spark.read.parquet(f"{tmp_path}/rows")
+    found = ordered.with_next(read, "k", "at", "id", {"next_at": "at"})
+    window = "partition by k order by at asc nulls last, id asc nulls last"
+    plain = read.selectExpr("*", f"lead(at) over ({window}) as next_at")
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ordered.with_next(read, "k", "at", "id", {"next_at": "at"})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    whole = [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line and "REPARTITION_BY_COL" in line]
+    assert len([line for line in whole if "Reused" not in line]) == 1 and "ReusedExchange" in plan
+    # Rows, their sampled positions, and their number, for which no column is read.
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
+    assert len(schemas) <= 3 and sum("other" in schema for schema in schemas) == 1

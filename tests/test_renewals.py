@@ -1,6 +1,6 @@
 """Renewal operators on tables written by hand."""
 
-from datetime import date
+
 
 import pytest
 
@@ -93,25 +93,6 @@ def test_early_on_time_and_won_back(spark):
     assert counts.asDict() == {"early": 1, "on_time": 2, "back": 1}
 
 
-def test_next_start_days_leave_out_only_the_first_start(spark):
-    t = with_inventories(
-        spark,
-        inventory(1, 1, "2022-07-02", "2022-09-01"),
-        inventory(2, 1, "2022-07-02T01:00:00", "2022-09-01"),
-        inventory(3, 2, "2022-07-03", "2022-09-01"),
-        inventory(4, 2, "2022-07-03", "2022-09-01"),
-        inventory(5, 3, "2022-07-04", "2022-09-01"),
-        inventory(6, 3, "2022-07-05", "2022-09-01"),
-    )
-    earliest = renewals.earliest_starts(t.user_inventories, JULY)
-    days = renewals.next_start_days(t.user_inventories, earliest, JULY).collect()
-    assert sorted(tuple(r) for r in days) == [
-        (1, date(2022, 7, 2)),
-        (2, date(2022, 7, 3)),
-        (3, date(2022, 7, 5)),
-    ]
-
-
 def test_unpaid_purchases_do_not_expire(spark):
     rows = [inventory(1, 1, "2022-06-01", "2022-07-10"), inventory(2, 2, "2022-06-01", "2022-07-10")]
     t = with_inventories(

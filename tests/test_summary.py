@@ -1,0 +1,221 @@
+"""The renewal summary, its Bloom filter, detail rows, bitmaps and the cohort triangle against plain forms."""
+
+import random
+from datetime import timedelta
+
+import pytest
+
+from tests.build import frame, inventory, purchase, tables, utc
+from tidemark import MonthWindow
+from tidemark.functions.figures import exprs
+from tidemark.operators import bitmaps, cohort_triangle, cohorts, membership, registrations, renewals
+from tidemark.operators.renewal_summary import renewal_counts, renewal_summary
+from tidemark.sources.testdata import from_test_data
+
+JULY = MonthWindow(1995, 7)
+JUNE = JULY.previous()
+
+
+def histories(seed: int, count: int, users: int, step: int) -> tuple[list, list]:
+    """Inventories with many equal times, missing values and packages within one hour, and their purchases."""
+    rng = random.Random(seed)
+    rows, paid = [], []
+    for i in range(count):
+        start = utc("1995-05-20") + timedelta(minutes=step * rng.randrange(200))
+        expiry = utc("1995-05-25") + timedelta(minutes=step * rng.randrange(220))
+        rows.append(
+            inventory(
+                rng.choice([i, i, None]),
+                rng.choice([*range(users), None]),
+                None if rng.random() < 0.05 else start.isoformat(),
+                None if rng.random() < 0.05 else expiry.isoformat(),
+                rng.randrange(count),
+                package_type=rng.choice([1, 1, 2]),
+                status=rng.choice([1, 1, 0]),
+            )
+        )
+        paid += [purchase(i, "1995-05-01", status=rng.choice([1, 2, 3]))] * rng.choice([1, 1, 2])
+    return rows, paid
+
+
+@pytest.mark.parametrize(("seed", "users", "step"), [(1, 300, 540), (3, 5, 300), (4, 700, 1440)])
+def test_expiring_users_equal_the_ordered_rows(spark, seed, users, step):
+    rows, _ = histories(seed, 1200, users, step)
+    inventories = frame(spark, "user_inventories", rows)
+    months = {"june": JUNE, "july": JULY}
+    whole = renewals.next_by_expiry(inventories)
+    assert renewal_counts(inventories, **months).first() == renewals.expiring_users(whole, **months).first()
+    assert renewal_counts(inventories, july=JULY).first().july == renewals.expiring_users(whole, july=JULY).first().july
+
+
+@pytest.mark.parametrize("step", [1, 7, 23])
+def test_packages_within_one_hour_are_told_apart(spark, step):
+    rng = random.Random(step)
+    rows = []
+    for i in range(900):
+        expiry = utc("1995-07-10T05:00") + timedelta(minutes=step * rng.randrange(12))
+        start = expiry - timedelta(minutes=step * rng.randrange(-2, 4))
+        rows.append(inventory(i, rng.randrange(300), start.isoformat(), expiry.isoformat()))
+        if i % 5 == 0:
+            rows.append(inventory(5000 + i, rng.randrange(300), "1995-07-01", "1995-09-01"))
+    inventories = frame(spark, "user_inventories", rows)
+    expected = renewals.expiring_users(renewals.next_by_expiry(inventories), july=JULY).first()
+    assert renewal_counts(inventories, july=JULY).first() == expected and 0 < expected.july < 300
+
+
+@pytest.mark.parametrize(("seed", "users", "step"), [(1, 300, 540), (6, 40, 700)])
+def test_renewers_and_detail_rows_equal_the_direct_joins(spark, seed, users, step):
+    rows, paid = histories(seed, 1200, users, step)
+    inventories, purchases = frame(spark, "user_inventories", rows), frame(spark, "purchased_packages", paid)
+    active = inventories.where(f"{renewals.IS_ACTIVE} and user_id is not null")
+    kept = renewals.with_paid_purchase(active, purchases, "left_semi")
+    ends, starts = JULY.local_day("actual_expired_at"), JULY.local_day("next_ori_started_at")
+    started = renewals.next_by_start(inventories).select("user_id", "next_ori_started_at").where("next_ori_started_at is not null")
+    pairs = kept.join(started, "user_id")
+    due = pairs.where(JULY.contains("actual_expired_at"))
+    of = lambda df, when: sorted(r[0] for r in df.where(when).select("user_id").distinct().collect())
+    summary = renewal_summary(inventories, purchases, JULY)
+    assert of(summary, "early") == of(due, f"{ends} > {starts}") != []
+    assert of(summary, "on_time") == of(due, f"{ends} = {starts}") != []
+    lapsed = f"{JULY.is_after('actual_expired_at')} and {JULY.contains('next_ori_started_at')}"
+    assert of(summary, "back") == of(pairs, lapsed) != []
+    assert of(renewal_summary(inventories, purchases, JULY, with_back=False), "back") == []
+
+    detail = renewals.due_with_starts(inventories, purchases, JULY)
+    counted = (
+        kept.where(JULY.contains("actual_expired_at"))
+        .selectExpr("monotonically_increasing_id() as row", "user_id", "actual_expired_at")
+        .join(started, "user_id", "left")
+        .groupBy("row", "user_id", "actual_expired_at")
+        .agg(*exprs(f"count_if({starts} < {ends}) as earlier_starts", f"count_if({starts} = {ends}) as same_day_starts"))
+        .drop("row")
+    )
+    plain = lambda df: sorted(map(str, df.select("user_id", "actual_expired_at", "earlier_starts", "same_day_starts").collect()))
+    assert plain(detail) == plain(counted)
+
+
+def test_empty_tables(spark):
+    t = tables(spark)
+    row = renewal_counts(t.user_inventories, t.purchased_packages, JULY, expiring=JULY).first()
+    assert row.asDict() == {"early": 0, "on_time": 0, "back": 0, "expiring": 0}
+    assert renewals.due_with_starts(t.user_inventories, t.purchased_packages, JULY).collect() == []
+    assert cohort_triangle.cohort_triangle(registrations.nru(t), t.purchased_packages).collect() == []
+    assert bitmaps.counted(bitmaps.id_bitmaps(t.users, "id"), "n").first().n == 0
+
+
+def test_next_start_days_leave_out_only_the_first_start(spark):
+    rows = [
+        inventory(1, 1, "1995-07-02", "1995-09-01"),
+        inventory(2, 1, "1995-07-02T01:00:00", "1995-09-01"),
+        inventory(3, 2, "1995-07-03", "1995-09-01"),
+        inventory(4, 2, "1995-07-03", "1995-09-01"),
+        inventory(5, 3, "1995-07-04", "1995-09-01"),
+        inventory(6, 3, "1995-07-05", "1995-09-01"),
+        inventory(7, 4, "1995-06-05", "1995-09-01"),
+        inventory(8, 4, "1995-07-06", "1995-09-01"),
+        inventory(9, 5, "1995-07-06", "1995-09-01"),
+    ]
+    t = tables(spark, user_inventories=rows)
+    found = renewal_summary(t.user_inventories, t.purchased_packages, JULY)
+    days = found.selectExpr("user_id", "transform(start_days, d -> day(date_from_unix_date(int(d)))) as days").collect()
+    assert {r.user_id: r.days for r in days} == {1: [2], 2: [3], 3: [5], 4: [6], 5: []}
+
+
+# The Bloom filter
+
+
+@pytest.mark.parametrize("count", [0, 1, 10, 1000, 100_000])
+def test_members_pass_and_few_others(spark, count):
+    keys = spark.range(count).selectExpr("id * 7 as k")
+    rows = spark.range(200_000).selectExpr("if(id % 1000 = 1, null, id) as k", "id")
+    passed = membership.where_member(rows, keys, "k")
+    members = rows.join(keys, "k", "left_semi")
+    assert members.exceptAll(passed).isEmpty() and passed.where("k is null").isEmpty()
+    assert passed.count() - members.count() <= 0.03 * 200_000
+    filter_ = membership.bloom_filter(keys, "k").first()
+    assert filter_.size == len(filter_.bits) and filter_.size & (filter_.size - 1) == 0
+    assert filter_.size * 64 <= max(64, 2 * membership.SPARSE * membership.PROBES * count)
+
+
+def test_an_overfull_filter_still_passes_every_member(spark, monkeypatch):
+    monkeypatch.setattr(membership, "MOST_WORDS", 4)
+    keys = spark.range(50_000).selectExpr("id as k")
+    assert membership.bloom_filter(keys, "k").first().size == 4
+    assert membership.where_member(keys, keys, "k").count() == 50_000
+
+
+def test_text_keys(spark):
+    keys = spark.createDataFrame([("a",), (None,), ("é",)], "k string")
+    rows = spark.createDataFrame([("a", 1), ("é", 2), (None, 3)], "k string, n int")
+    assert sorted(r.n for r in membership.where_member(rows, keys, "k").collect()) == [1, 2]
+
+
+# Bitmaps
+
+
+def test_kept_months_unite_to_the_direct_counts(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, rng.randrange(-70_000, 70_000), rng.randrange(50)]), rng.randrange(6)) for _ in range(6000)]
+    frame_ = spark.createDataFrame(rows, "id long, month int")
+    kept = bitmaps.id_bitmaps(frame_, "id", ["month"])
+    months = {m: {i for i, n in rows if n == m and i is not None} for m in range(6)}
+    assert {r.month: r.n for r in bitmaps.counted(kept, "n", ["month"]).collect()} == {m: len(s) for m, s in months.items()}
+    for one, other in [(0, 1), (2, 5), (3, 3)]:
+        two = kept.where(f"month in ({one}, {other})")
+        assert bitmaps.counted(bitmaps.united(two), "n").first().n == len(months[one] | months[other])
+        parts = [kept.where(f"month = {m}") for m in (one, other)]
+        assert bitmaps.counted_in_both(*parts, "n").first().n == len(months[one] & months[other])
+    quarters = bitmaps.united(kept, ["month div 3 as quarter"])
+    found = {r.quarter: r.n for r in bitmaps.counted(quarters, "n", ["quarter"]).collect()}
+    assert found == {q: len(months[3 * q] | months[3 * q + 1] | months[3 * q + 2]) for q in (0, 1)}
+
+
+def test_a_hot_id_and_a_hot_bucket_are_merged_before_the_shuffle(spark):
+    rows = spark.range(0, 300_000, 1, 8).selectExpr("if(id % 3 = 0, 5L, id % 1000) as id")
+    kept = bitmaps.id_bitmaps(rows, "id")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("partial_bitmap_construct_agg")
+    assert bitmaps.counted(kept, "n").first().n == 1000
+
+
+# The cohort triangle
+
+
+def test_a_triangle_holds_every_month_s_cohorts(spark):
+    t = from_test_data(spark, "/root/testdata/sf0.01")
+    registered = registrations.nru(t)
+    triangle = cohort_triangle.cohort_triangle(registered, t.purchased_packages).cache()
+    months = [MonthWindow(1992 + k // 12, k % 12 + 1) for k in (0, 11, 23)] + [JULY, JUNE]
+    seen = 0
+    for month in months:
+        alone = cohorts.cohort_counts(registered, cohorts.month_buyers(t.purchased_packages, month), month).first()
+        assert cohort_triangle.month_of_triangle(triangle, month).first() == alone
+        seen += alone.bought + alone.earlier
+    assert seen > 100
+    triangle.unpersist()
+
+
+def test_several_registrations_of_one_customer(spark):
+    t = tables(
+        spark,
+        users=[(1, utc("1995-05-10")), (1, utc("1995-07-10")), (2, utc("1995-07-01")), (3, None), (None, utc("1995-07-01"))],
+        user_leads=[(1, utc("1995-06-10")), (2, utc("1995-07-02")), (4, utc("1995-08-02"))],
+        purchased_packages=[
+            purchase(1, "1995-07-12", customer=1),
+            purchase(2, "1995-07-13", customer=2, claimed="1995-07-01"),
+            purchase(3, "1995-07-13", customer=3),
+            purchase(4, "1995-07-13", customer=4, amount=0),
+            purchase(5, "1995-07-14", customer=2, amount=0),
+        ],
+    )
+    triangle = cohort_triangle.cohort_triangle(registrations.nru(t), t.purchased_packages)
+    cells = {(str(r[0])[:7], str(r[1])[:7]): tuple(r)[2:] for r in triangle.collect()}
+    assert cells == {
+        ("1995-05", "1995-07"): (1, 0, 1, 1),
+        ("1995-06", "1995-07"): (1, 0, 1, 0),
+        ("1995-07", "1995-07"): (2, 1, 2, 1),
+        ("1995-08", "1995-07"): (0, 0, 1, 1),
+    }
+    buyers = cohorts.month_buyers(t.purchased_packages, JULY)
+    alone = cohorts.cohort_counts(registrations.nru(t), buyers, JULY).first()
+    assert cohort_triangle.month_of_triangle(triangle, JULY).first() == alone and tuple(alone) == (2, 1, 1)

@@ -16,11 +16,12 @@ from tidemark.functions.month import MonthWindow, monday, week_of_month
 from tidemark.operators.sales import IS_NEW_SALE, IS_REPEAT_SALE, not_upgrades
 
 
-def team_members(admins: DataFrame, role: str | None = None) -> DataFrame:
-    """All members, or those whose `role_ids` array has the role."""
-    if role is None:
-        return admins
-    return admins.where(F.array_contains("role_ids", role))
+def team_members(admins: DataFrame, role: str | None = None, *more_roles: str) -> DataFrame:
+    """All members, or those whose `role_ids` array has all of the roles."""
+    for wanted in (role, *more_roles):
+        if wanted is not None:
+            admins = admins.where(F.array_contains("role_ids", wanted))
+    return admins
 
 
 def _members(admins: DataFrame) -> DataFrame:

@@ -8,11 +8,10 @@ that has MIN_CUTS of them or more is cut at all of them; others are far smaller
 task's share and stay whole. Nothing depends on a fixed number of rows, and a single
 timestamp is cut as well, by its tie-breakers.
 
-What a slice has to know about its neighbours is carried in by one extra row per slice,
-dropped after the window:
+What a slice has to know about its neighbours is one row per slice:
 
-* `with_next`: a copy of the next slice's first row, placed last;
-* `with_position`: the number of rows in earlier slices, placed first.
+* `with_next`: the next slice's first row, read off the exchanged rows and joined to the slice's last row;
+* `with_position`: the number of rows in earlier slices, placed first in the window and dropped after it.
 
 Order and tie-breaker sort with NULLs last, everywhere in the same way: as the pairs
 (is null, value). Rows equal in both sort by the values that are taken from them, so the
@@ -24,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.figures import exprs
+
 CUTS_PER_TASK = 8
 MIN_CUTS = 4
 
@@ -77,23 +78,30 @@ def with_next(df: DataFrame, key: str, order: str, tie: str, leads: dict[str, st
 
     `leads` maps each new column to the column it takes from the next row.
     """
-    rows = _sliced(df, key, order, tie)
     taken = sorted(set(leads.values()) - {order, tie})
     carries = (order, tie, *taken)
-    fields = ", ".join(f"{c} is null as no_{c}, {c} as {c}" for c in carries)
-    firsts = rows.where(f"{_SLICE} is not null").groupBy(key, _SLICE).agg(
-        F.expr(f"min(struct({fields})) as first")
+    # One exchange serves the window and the first row of each slice; the other columns are named
+    # in both, so that neither prunes its copy of it.
+    rows = _sliced(df, key, order, tie).repartition(key, _SLICE)
+    others = [c for c in df.columns if c not in {key, *carries}]
+    fields = ", ".join([f"{c} is null as no_{c}, {c} as {c}" for c in carries] + [f"{c} as {c}" for c in others])
+    firsts = rows.groupBy(key, _SLICE).agg(
+        *exprs(f"min(struct({fields})) as first", f"bool_or({_SLICE} is not null) as cut")
     )
     before = f"lag({_SLICE}) over (partition by {key} order by {_SLICE})"
     carried = (
-        firsts.selectExpr(key, f"{before} as {_SLICE}", "first")
+        firsts.where("cut")
+        .selectExpr(key, f"{before} as {_SLICE}", "first")
         .where(f"{_SLICE} is not null")
-        .selectExpr(key, _SLICE, *[f"first.{c} as {c}" for c in carries], f"true as {_CARRIED}")
+        .selectExpr(f"{key} as _key", f"{_SLICE} as _from", f"first as {_CARRIED}")
     )
-    stacked = rows.withColumn(_CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    window = f"partition by {key}, {_SLICE} order by {_ascending(_CARRIED, order, tie, *taken)}"
+    window = f"partition by {key}, {_SLICE} order by {_ascending(order, tie, *taken)}"
     columns = [f"lead({source}) over ({window}) as {name}" for name, source in leads.items()]
-    return stacked.selectExpr("*", *columns).where(f"not {_CARRIED}").drop(_SLICE, _CARRIED)
+    led = rows.selectExpr("*", f"lead(true) over ({window}) is null as _last", *columns)
+    # At most one carried row per cut, whose number is bounded by the tasks' number.
+    joined = led.join(F.broadcast(carried), F.expr(f"_last and {key} <=> _key and {_SLICE} = _from"), "left")
+    filled = [f"if(_last, {_CARRIED}.{source}, {name}) as {name}" for name, source in leads.items()]
+    return joined.selectExpr(*df.columns, *filled)
 
 
 def with_position(df: DataFrame, key: str, order: str, tie: str, name: str) -> DataFrame:

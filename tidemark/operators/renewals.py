@@ -1,8 +1,4 @@
-"""Renewal behaviour of users whose packages expire.
-
-A user's *next starts* are the start times of all their inventories but the one that
-started first: what `lead` over the starts yields, as a set.
-"""
+"""Renewal behaviour of users whose packages expire, inventory by inventory; `renewal_summary` has it per user."""
 
 from __future__ import annotations
 
@@ -11,6 +7,7 @@ from pyspark.sql import DataFrame
 from tidemark.constants import ACTIVE_INVENTORY, RENEWABLE_PACKAGE_TYPE
 from tidemark.functions.figures import exprs
 from tidemark.functions.month import MonthWindow, between, utc_literal
+from tidemark.operators.membership import where_member
 from tidemark.operators.ordered import with_next
 from tidemark.operators.sales import IS_PAID
 
@@ -43,37 +40,6 @@ def next_by_start(inventories: DataFrame, order: str = "original_started_at") ->
     )
 
 
-def near_months(inventories: DataFrame, first: MonthWindow, last: MonthWindow) -> DataFrame:
-    """The inventories that decide who expires from month `first` to month `last`.
-
-    These are, for users with an expiry in the span, the rows in it and one on either
-    side. `next_by_expiry` of them shows the same expiring users as that of the whole
-    table. The history is cut down to the month's users first, then reduced to two values
-    per user. Undated rows cannot matter: neither as the row nor, being no expiry, as the next.
-    """
-    expiry = "actual_expired_at"
-    early, late = first.is_after(expiry), f"({expiry} >= {utc_literal(last.end)})"
-    known = inventories.where("user_id is not null")
-    inside = known.where(between(expiry, first.start, last.end)).select(
-        "id", "user_id", expiry, "original_started_at"
-    )
-    edges = (
-        known.where(f"{early} or {late}")
-        .select("user_id", expiry)
-        .join(inside.select("user_id").distinct(), "user_id", "left_semi")
-        .groupBy("user_id")
-        .agg(
-            *exprs(
-                f"max(if({early}, {expiry}, null)) as before",
-                f"min(if({late}, {expiry}, null)) as after",
-            )
-        )
-        .selectExpr("user_id", f"explode(array(before, after)) as {expiry}")
-        .where(f"{expiry} is not null")
-    )
-    return inside.unionByName(edges, allowMissingColumns=True)
-
-
 def expires_in(window: MonthWindow) -> str:
     """On rows of `next_by_expiry`: does this row make its user an expiring one?
 
@@ -118,112 +84,41 @@ def active_expiries(
     return with_paid_purchase(rows, purchases, how).select("user_id", "actual_expired_at")
 
 
-def month_users(inventories: DataFrame, window: MonthWindow) -> DataFrame:
-    """Distinct `user_id` of users with an active expiry or a start in the month."""
-    due = f"{IS_ACTIVE} and {window.contains('actual_expired_at')}"
-    started = window.contains("original_started_at")
-    return inventories.where(f"user_id is not null and ({due} or {started})").select("user_id").distinct()
-
-
-def earliest_starts(inventories: DataFrame, window: MonthWindow) -> DataFrame:
-    """Per user of the month, the two earliest starts before its end: `first_start`, `second_start`.
-
-    The history is cut down to the month's users first. The limit on the rank is applied
-    before the shuffle too, so a task sends at most two rows per user however many it holds.
-    """
-    started = (
-        inventories.where(f"user_id is not null and {window.next().is_after('original_started_at')}")
-        .select("id", "user_id", "original_started_at")
-        .join(month_users(inventories, window), "user_id", "left_semi")
-    )
-    ranked = started.selectExpr(
-        "user_id",
-        "original_started_at as start",
-        "row_number() over (partition by user_id order by original_started_at, id) as rank",
-    )
-    return (
-        ranked.where("rank <= 2")
-        .groupBy("user_id")
-        .agg(
-            *exprs(
-                "min(if(rank = 1, start, null)) as first_start",
-                "min(if(rank = 2, start, null)) as second_start",
-            )
-        )
-    )
-
-
-def next_start_days(
-    inventories: DataFrame, earliest: DataFrame, window: MonthWindow
-) -> DataFrame:
-    """Distinct `user_id`, local `day` of the next starts in the month.
+def due_with_starts(inventories: DataFrame, purchases: DataFrame, window: MonthWindow) -> DataFrame:
+    """Each active, paid expiry of the month with its user's next starts: `earlier_starts` on earlier
+    local days (an early renewal) and `same_day_starts` (one on time).
 
-    The day's latest start stands for the day: if any start on it is a next one, so is
-    the latest. That leaves at most 31 rows per user for the join with `earliest`, the
-    month's `earliest_starts`.
+    This is the join of expiries and starts by user and unequal days, each expiry standing for its pairs:
+    starts are counted per user and day and summed up over the days, so neither side's rows meet the
+    other's one by one. A user's first start is no next start; it is the earliest, so one less
+    is counted from its day on.
     """
-    days = (
-        inventories.where(window.contains("original_started_at"))
-        .groupBy("user_id", *exprs(f"{window.local_day('original_started_at')} as day"))
-        .agg(*exprs("max(original_started_at) as start"))
+    expiry, start = "actual_expired_at", "original_started_at"
+    due = inventories.where(f"{IS_ACTIVE} and user_id is not null and {window.contains(expiry)}")
+    started = inventories.where(f"user_id is not null and {window.next().is_after(start)}").select("user_id", start)
+    per_day = (
+        where_member(started, due.select("user_id"), "user_id")
+        .groupBy("user_id", *exprs(f"{window.local_day(start)} as day"))
+        .agg(*exprs("count(*) as here"))
     )
-    # A repeated earliest start is a next start as well.
-    return (
-        days.join(earliest, "user_id", "inner")
-        .where("start > first_start or start = second_start")
-        .select("user_id", "day")
-    )
-
-
-def renewers(
-    inventories: DataFrame,
-    purchases: DataFrame,
-    window: MonthWindow,
-    with_back: bool = True,
-) -> DataFrame:
-    """One row of distinct users with active, paid expiries, by local days:
-
-    * `early`: an expiry in the month on a later day than a next start;
-    * `on_time`: an expiry in the month on the day of a next start;
-    * `back`: an expiry before the month and a next start in it; 0 unless `with_back`.
-
-    Everything is brought to one row per user. Some expiry is later than some next start
-    if and only if the latest expiry is later than the earliest next start, the second
-    start; starts from the month's end on cannot be earlier. Expiry and start days in
-    the month are arrays of at most 31. Of the expiries before the month, only those of
-    users with a next start in it are looked up among the purchases.
-    """
-    earliest = earliest_starts(inventories, window)
-    days = next_start_days(inventories, earliest, window)
-    expiry = "actual_expired_at"
-    active = inventories.where(IS_ACTIVE)
-    wanted = active.where(window.contains(expiry)).select("user_id", expiry, "purchased_package_id")
-    if with_back:
-        lapsed = active.where(window.is_after(expiry)).select(*wanted.columns)
-        starters = days.select("user_id").distinct()
-        wanted = wanted.unionByName(lapsed.join(starters, "user_id", "left_semi"))
-    due = (
-        with_paid_purchase(wanted, purchases, "left_semi")
-        .groupBy("user_id")
-        .agg(
-            *exprs(
-                f"max({expiry}) as latest",
-                f"collect_set(if({window.contains(expiry)}, {window.local_day(expiry)}, null)) as days",
-                f"bool_or({window.is_after(expiry)}) as lapsed",
-            )
-        )
+    days = per_day.selectExpr("*", "false as is_due").unionByName(
+        due.selectExpr("user_id", f"{window.local_day(expiry)} as day", "0L as here", "true as is_due").distinct()
     )
-    starts = days.groupBy("user_id").agg(*exprs("collect_set(day) as start_days"))
-    later = f"{window.local_day('latest')} > {window.local_day('second_start')}"
-    return (
-        due.join(earliest, "user_id", "inner")
-        .join(starts, "user_id", "left")
+    summed = (
+        days.groupBy("user_id", "day")
+        .agg(*exprs("sum(here) as here", "bool_or(is_due) as is_due"))
+        .selectExpr("*", "sum(here) over (partition by user_id order by day) as so_far")
+        .where("is_due")
         .selectExpr(
-            f"count_if({window.contains('latest')} and {later}) as early",
-            "count_if(arrays_overlap(days, start_days)) as on_time",
-            "count_if(lapsed and start_days is not null) as back",
+            "user_id as _user",
+            "day as _day",
+            "greatest(so_far - here - 1, 0L) as earlier_starts",
+            "if(so_far = here, greatest(here - 1, 0L), here) as same_day_starts",
         )
     )
+    rows = with_paid_purchase(due, purchases, "left_semi").select("id", "user_id", expiry)
+    same = f"user_id = _user and {window.local_day(expiry)} = _day"
+    return rows.join(summed, exprs(same)[0]).drop("_user", "_day")
 
 
 def expired_user_counts(

@@ -6,13 +6,8 @@ from pyspark.sql import DataFrame
 
 from tidemark.functions.figures import ratio, ratio_or_zero, side_by_side
 from tidemark.functions.month import MonthWindow
-from tidemark.operators.renewals import (
-    expired_user_counts,
-    expiring_users,
-    near_months,
-    next_by_expiry,
-    renewers,
-)
+from tidemark.operators.renewal_summary import renewal_counts
+from tidemark.operators.renewals import expired_user_counts
 from tidemark.operators.sales import average_order, upsell_totals
 from tidemark.sources.tables import Tables
 
@@ -27,25 +22,22 @@ def upsell_average(tables: Tables, month: MonthWindow) -> DataFrame:
 
 def expiring_user_count(tables: Tables, **months: MonthWindow) -> DataFrame:
     """One row: users who expire in each named month; the months must be given in order."""
-    first, *_, last = [*months.values(), *months.values()]
-    near = near_months(tables.user_inventories, first, last)
-    return expiring_users(next_by_expiry(near), **months)
+    return renewal_counts(tables.user_inventories, **months)
 
 
 def renewer_counts(tables: Tables, month: MonthWindow, with_back: bool = True) -> DataFrame:
     """One row: users who renew early, renew on the day, or come back in the month."""
-    return renewers(tables.user_inventories, tables.purchased_packages, month, with_back)
+    return renewal_counts(tables.user_inventories, tables.purchased_packages, month, with_back)
 
 
 def upsell_renewal_counts(tables: Tables, month: MonthWindow) -> DataFrame:
     """Users who expire in the month, renew early, renew on the day, or come back in it."""
-    return side_by_side(
-        expiring_user_count(tables, user_expired_this_month=month),
-        renewer_counts(tables, month).selectExpr(
-            "early as number_upsale_before_time",
-            "on_time as number_upsale_on_time",
-            "back as number_expired_ago_upsale_this_month",
-        ),
+    counts = renewal_counts(tables.user_inventories, tables.purchased_packages, month, expiring=month)
+    return counts.selectExpr(
+        "expiring as user_expired_this_month",
+        "early as number_upsale_before_time",
+        "on_time as number_upsale_on_time",
+        "back as number_expired_ago_upsale_this_month",
     )
 
 
@@ -67,8 +59,14 @@ def upsell_forecast(tables: Tables, month: MonthWindow) -> DataFrame:
     neither expiring users nor early renewers."""
     last = month.previous()
     row = side_by_side(
-        expiring_user_count(tables, expired_last=last, expired_this=month),
-        renewer_counts(tables, last, with_back=False),
+        renewal_counts(
+            tables.user_inventories,
+            tables.purchased_packages,
+            last,
+            with_back=False,
+            expired_last=last,
+            expired_this=month,
+        ),
         upsell_totals(tables.within("purchased_packages", "purchased_at", last), tables.packages, last),
     )
     figures = average_order(row).selectExpr(
