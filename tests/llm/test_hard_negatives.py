@@ -1,0 +1,129 @@
+"""Hard negatives, against SQL and brute force; the codes' bounds against exact scores."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.parity import assert_same, connect
+from tidemark.llm import hard_negatives as mining
+from tidemark.llm.queries import ORACLES, QUERIES
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+def brute(rows: list[tuple], modulus: int = 100) -> list[tuple]:
+    whole = []
+    for vec_id, vector, label in rows:
+        if None in (vec_id, vector, label) or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        whole.append((vec_id, (label + 1) % 10 if vec_id % 7 == 0 else label, tuple(math.floor(256 * x) for x in vector)))
+    out = []
+    for anchor, label, vector in sorted({r for r in whole if r[0] % modulus == 0}):
+        score = lambda v: sum(a * b for a, b in zip(vector, v, strict=False))
+        others = sorted((-score(v), i, other) for i, other, v in whole if i != anchor)
+        for minus, positive, _ in [o for o in others if o[2] == label][:5]:
+            fitting = [o for o in others if o[2] != label and 80 * -minus <= 100 * -o[0] <= 100 * -minus]
+            out += [(anchor, positive, rank, i, -minus, -s) for rank, (s, i, _) in enumerate(fitting[:5], 1)]
+    return sorted(out)
+
+
+def found(frame, modulus: int = 100) -> list[tuple]:
+    columns = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return sorted(tuple(r) for r in mining.hard_negatives(frame, modulus).select(*columns).collect())
+
+
+def clustered(seed: int, count: int, width: int, scale: float = 0.4) -> list[tuple]:
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, scale) for _ in range(width)] for _ in range(6)]
+    rows = []
+    for i in range(count):
+        centre = rng.choice(centres)
+        rows.append((i * 25, [x + rng.gauss(0, scale / 2) for x in centre], rng.randrange(3) if i % 3 else 0))
+    return rows
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_parity(spark, sf):
+    assert assert_same(QUERIES["op13_hard_negatives"](spark, f"/root/testdata/{sf}"), connect(sf), ORACLES["op13_hard_negatives"]) > 0
+
+
+@pytest.mark.parametrize(("block", "anchors"), [(1, 1), (800, 3), (1 << 21, 512)])
+def test_equals_brute_force_in_blocks_of_any_size(spark, monkeypatch, block, anchors):
+    monkeypatch.setattr(mining, "BLOCK_BYTES", block)
+    monkeypatch.setattr(mining, "ANCHOR_ROWS", anchors)
+    monkeypatch.setattr(mining, "CELL", 7)
+    rows = clustered(3, 160, 12)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert found(frame) == brute(rows) and len(brute(rows)) > 300
+
+
+def test_edge_cases(spark):
+    rows = clustered(5, 60, 6)
+    rows += [(None, [0.1], 1), (200, None, 1), (300, [0.5, None], 1), (300, [0.5, math.nan], 1), (300, [math.inf], 1), (400, [0.4], None)]
+    rows += [(500, [], 1), (600, [0.9], 1), (700, [0.9, 0.1], -3), rows[8], rows[8], (rows[12][0], [0.3] * 6, 2), (0, [0.0] * 6, 0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    expected = brute(rows)
+    assert found(frame) == expected and expected
+    odd = frame.withColumn("a.b", F.lit(1)).withColumn("key", F.lit("x")).withColumn("lane", F.lit(3))
+    assert found(odd) == expected
+    con = duckdb.connect()
+    con.execute("create table embeddings(vec_id bigint, embedding double[], label int)")
+    con.executemany("insert into embeddings values (?, ?, ?)", rows)
+    assert assert_same(mining.hard_negatives(frame), con, mining.oracle_sql()) == len(expected)
+    assert found(frame.limit(0)) == [] and found(frame.filter("label is null")) == []
+
+
+def test_ties_and_one_label_with_most_rows(spark):
+    rows = [(i * 10, [0.5, 0.25, 0.125 * (i % 3)], 1 if i % 4 else 2) for i in range(120)]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
+def test_very_large_components_are_exact(spark):
+    rng = random.Random(1)
+    rows = [(i * 50, [rng.randrange(10**6, 3 * 10**6) / 1.0 for _ in range(3)], i % 2) for i in range(30)]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+    big = np.array([[2.0**40, 1.0], [3.0, 2.0**30]])
+    assert mining.exact_scores(big, np.array([2.0**20 + 1, 7.0])).tolist() == [2**40 * (2**20 + 1) + 7, 3 * (2**20 + 1) + 7 * 2**30]
+
+
+@pytest.mark.parametrize("width", [0, 1, 3, 64, 130])
+def test_bounds_hold_and_narrow(width):
+    rng = np.random.default_rng(width)
+    rows = np.floor(256 * rng.normal(size=(500, width)) * rng.choice([0.01, 0.2, 5], size=(500, 1)))
+    codes, alignments, residuals = mining.codes_of(rows)
+    for anchor in rows[:40]:
+        low, high = mining.Planes(anchor).interval(codes, alignments, residuals)
+        exact = rows @ anchor
+        assert (low <= exact).all() and (exact <= high).all()
+        most = np.linalg.norm(rows, axis=1) * np.linalg.norm(anchor) + 1
+        assert (high - low).sum() <= 2.2 * most.sum()
+    if width == 64:
+        assert (high - low).sum() < 1.5 * most.sum()  # Cauchy-Schwarz alone gives 2
+
+
+def test_candidates_are_left_out_by_their_bounds(monkeypatch):
+    scored = []
+    exact = mining.exact_scores
+    monkeypatch.setattr(mining, "exact_scores", lambda v, a: scored.append(len(v)) or exact(v, a))
+    rows = clustered(9, 2000, 32, 0.1)
+    vectors = np.floor(256 * np.array([r[1] for r in rows]))
+    ids, labels = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    codes, alignments, residuals = mining.codes_of(vectors)
+    block = mining.Candidates(
+        {"ids": ids.tobytes(), "labels": labels.tobytes(), "vectors": vectors.tobytes(), "codes": codes.tobytes(), "alignments": alignments.tobytes(), "residuals": residuals.tobytes(), "width": 32}
+    )
+    for i in range(0, 2000, 100):
+        block.positives(int(ids[i]), int(labels[i]), vectors[i], np.zeros(6, np.int64))
+    assert sum(scored) < 0.6 * sum((labels == labels[i]).sum() for i in range(0, 2000, 100))
+
+
+def test_the_grid_covers_every_pair_of_blocks():
+    for candidates, anchors in [(0, 0), (1, 1), (3, 1), (1, 5), (100, 1), (5000, 50), (7, 7000)]:
+        lanes, rows = mining.grid(candidates, anchors)
+        assert 1 <= lanes <= max(1, candidates) and 1 <= rows <= max(1, anchors)

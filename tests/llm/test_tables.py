@@ -223,5 +223,5 @@ def test_stages_do_what_their_operators_say(spark):
 
 def test_registered_queries():
     assert [k for k in QUERIES if k.startswith("op")] == sorted((k for k in QUERIES), key=lambda k: int(k[2:].split("_")[0]))
-    assert len(QUERIES) == 10 and set(ORACLES) < set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
+    assert len(QUERIES) == 13 and set(ORACLES) < set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
     assert set(TABLE_NAMES) >= {"documents", "embeddings", "pages", "benchmark", "labels"}

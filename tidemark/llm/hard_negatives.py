@@ -11,9 +11,10 @@ at right angles to the code, Cauchy-Schwarz gives with certainty
 with slack for rounding. Candidates whose interval cannot matter are left out; the others are scored in whole
 numbers. Nothing is estimated in the result.
 
-Two passes over the same blocks: the first finds each anchor's positives (an interval matters if it reaches the k-th highest
-lower end in the block), the second the negatives of each of its positives (if it meets one of the bands
-from 0.8 times the positive's score to that score and is not below the k-th highest certain one in it).
+Two passes over the same blocks: the first finds each anchor's positives, the second the negatives of each of its
+positives, those in the band from 0.8 times the positive's score to that score. The block's SEEDS most promising
+candidates by estimate are scored first; an interval matters if it meets the band and reaches the k-th best
+score in the band so far.
 Blocks hold BLOCK_BYTES of vectors in the order they are read, so no label or id decides where a row goes, and
 no vector is shuffled on its own; anchor blocks and candidate blocks meet in a grid of `lanes` by `rows` cells, which sends each
 anchor block to `lanes` cells and each candidate block to `rows`, chosen so that neither side is sent much more often than
@@ -42,7 +43,7 @@ from tidemark.llm.common import written
 
 SCALE, K = 256, 5
 LOW = 80  # a negative has at least LOW hundredths of the positive's score
-BLOCK_BYTES, ANCHOR_ROWS, CELL, PLANES, SEED = 2 << 20, 512, 64, 8, 13
+BLOCK_BYTES, ANCHOR_ROWS, CELL, PLANES, SEEDS, SEED = 2 << 20, 512, 64, 8, 32, 13
 EXACT = 2.0**53
 BLOCK = "ids binary, labels binary, vectors binary, codes binary, alignments binary, residuals binary, width int"
 ANCHORS = "keys binary, ids binary, labels binary, vectors binary, scores binary, width int"
@@ -196,11 +197,22 @@ class Candidates:
     def bounds(self, planes: Planes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return planes.interval(self.codes[at], self.alignments[at], self.residuals[at])
 
+    def _open(self, vector: np.ndarray, at: np.ndarray, bands: list[tuple[int | None, int | None]]) -> np.ndarray:
+        """Of the rows `at`, those whose interval leaves open whether they are among the K best of a band (None: no end)."""
+        low, high = self.bounds(Planes(vector), at)
+        open_ = np.zeros(len(at), bool)
+        for least, most in bands:
+            least, most = -math.inf if least is None else least / 100, math.inf if most is None else most
+            within = np.flatnonzero((high >= least) & (low <= most))
+            guess = (low[within] + high[within]) / 2
+            seeds = at[within[np.argsort(-np.where(guess <= most, guess, 2 * most - guess), kind="stable")[:SEEDS]]]
+            scores = exact_scores(self.vectors[seeds], vector).astype(np.float64)
+            open_[within] |= high[within] >= _kth(scores[(scores >= least) & (scores <= most)])
+        return at[open_]
+
     def positives(self, anchor: int, label: int, vector: np.ndarray, scores: np.ndarray) -> list[tuple]:
         """(0, id, score) of the K best rows of the anchor's label."""
-        at = np.flatnonzero((self.labels == label) & (self.ids != anchor))
-        low, high = self.bounds(Planes(vector), at)
-        at = at[high >= _kth(low)]
+        at = self._open(vector, np.flatnonzero((self.labels == label) & (self.ids != anchor)), [(None, None)])
         found = exact_scores(self.vectors[at], vector)
         return [(0, int(self.ids[at[i]]), int(found[i])) for i in first(self.ids[at], found)]
 
@@ -209,18 +221,13 @@ class Candidates:
 
         `scores` holds the number of positives and then their scores.
         """
-        at = np.flatnonzero((self.labels != label) & (self.ids != anchor))
-        low, high = self.bounds(Planes(vector), at)
-        out: list[tuple] = []
-        bands = [(LOW * int(score) / 100, int(score)) for score in scores[1 : 1 + int(scores[0])]]
-        floors = [max(least, _kth(low[(low >= least) & (high <= most)])) for least, most in bands]
-        open_ = np.zeros(len(at), bool)
-        for (_, most), floor in zip(bands, floors, strict=True):
-            open_ |= (high >= floor) & (low <= most)
-        at = at[open_]
+        known = scores[1 : 1 + int(scores[0])].tolist()
+        at = self._open(vector, np.flatnonzero((self.labels != label) & (self.ids != anchor)), [(LOW * s, s) for s in known])
         found = exact_scores(self.vectors[at], vector)
-        for place, score in enumerate(scores[1 : 1 + int(scores[0])].tolist()):
-            use = np.flatnonzero([LOW * score <= 100 * s <= 100 * score for s in found.tolist()])
+        out: list[tuple] = []
+        hundredfold = 100 * (found if np.abs(found).max(initial=0) < 2**56 else found.astype(object))
+        for place, score in enumerate(known):
+            use = np.flatnonzero((hundredfold >= LOW * score) & (hundredfold <= 100 * score))
             out += [(place, int(self.ids[at[use[i]]]), int(found[use[i]])) for i in first(self.ids[at[use]], found[use])]
         return out
 

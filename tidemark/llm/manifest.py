@@ -58,9 +58,9 @@ def subtree(nodes: list[bytes], levels: int) -> list[list[bytes]]:
     return out
 
 
-def _levels_up(nodes: int) -> int:
-    """Levels from so many nodes up to one, at most LEVELS."""
-    return min(LEVELS, (nodes - 1).bit_length())
+def _levels_up(nodes: int, most: int) -> int:
+    """Levels from so many nodes up to one, at most `most`."""
+    return min(most, (nodes - 1).bit_length())
 
 
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.StructArray]]:
@@ -95,12 +95,13 @@ def blocks(nodes: DataFrame, name: str) -> DataFrame:
 
 def tops(stored: DataFrame) -> DataFrame:
     """tree, pos, n, node of the next stored level: the top of each block's subtree."""
+    most = LEVELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = batch.column("n").to_pylist()
-            found = [subtree(m.field("node").to_pylist(), _levels_up(counts[i]))[-1][0] for i, m in _opened(batch)]
-            above = [-(-n >> LEVELS) if n > 1 << LEVELS else 1 for n in counts]
+            found = [subtree(m.field("node").to_pylist(), _levels_up(counts[i], most))[-1][0] for i, m in _opened(batch)]
+            above = [-(-n >> most) if n > 1 << most else 1 for n in counts]
             columns = [batch.column("tree"), batch.column("block"), pa.array(above, pa.int64()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["tree", "pos", "n", "node"])
 
@@ -111,12 +112,13 @@ def tops(stored: DataFrame) -> DataFrame:
 def paths(stored: DataFrame, above: DataFrame) -> DataFrame:
     """tree, pos, node, id, claimed, path of a stored level's nodes; `above` has tree, pos and path of their blocks' tops."""
     joined = stored.join(above.withColumnRenamed("pos", "block"), ["tree", "block"])
+    most = LEVELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, rest = batch.column("n").to_pylist(), batch.column("path").to_pylist()
             for i, members in _opened(batch):
-                levels = subtree(members.field("node").to_pylist(), _levels_up(counts[i]))[:-1]
+                levels = subtree(members.field("node").to_pylist(), _levels_up(counts[i], most))[:-1]
                 found = []
                 for place in range(len(members)):
                     steps = []
