@@ -7,7 +7,9 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -136,6 +138,69 @@ def test_all_members_are_read(pack):
         secrets.inflate(data, 20)
 
 
+def leads_to(data: bytes, secret: bytes) -> bool:
+    """Whether bytes lead to the secret through any number of base64 and gzip layers, by plain recursion."""
+    if secret in data:
+        return True
+    for at in (m.start() for m in re.finditer(rb"\x1f\x8b\x08", data)):
+        try:
+            if leads_to(zlib.decompressobj(31).decompress(data[at:]), secret):
+                return True
+        except zlib.error:
+            pass
+    return any(leads_to(base64.b64decode(run), secret) for run in re.findall(rb"[A-Za-z0-9+/]{16,}={0,2}", data) if len(run) % 4 == 0)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_every_occurrence_of_nested_layers_is_found(seed):
+    """Random nestings with repeats, bytes beside compressed parts and several parts, against a plain recursive decoder."""
+    rng = random.Random(seed)
+
+    def nested(depth: int) -> bytes:
+        if depth == 0:
+            return rng.choice([b"nothing here at all ", f"see {SECRET} there ".encode()])
+        inside = nested(depth - 1)
+        kind = rng.randrange(4)
+        if kind == 0:
+            return gzip.compress(inside)
+        beside = b"some words \n" if kind == 1 else b""
+        packed_ = base64.b64encode(inside)
+        return beside + (gzip.compress(inside) if kind == 2 else packed_) + (b" and more " + packed_ if kind == 1 else b" ")
+
+    layers = [base64.b64encode(nested(rng.randrange(4))).decode() for _ in range(3)]
+    order = [rng.choice(layers) for _ in range(6)]
+    text = " | ".join(order)
+    base, inner, _, closed = secrets.scan(text)
+    found = {(b, e) for _, (kind, b, e) in inner if kind == "assign"}
+    at, hit = 0, 0
+    for run in order:
+        place = text.index(run, at)
+        at = place + len(run)
+        within = any(place <= b and e <= at for b, e in found)
+        assert within == leads_to(run.encode(), SECRET.encode()), (run, found)
+        hit += within
+    assert base == [] and closed == 0
+
+
+def test_repeated_layers_and_bytes_beside_compressed_parts():
+    run = base64.b64encode(f"see {SECRET} there".encode()).decode()
+    _, inner, _, _ = secrets.scan(f"first {run} then {run} end")
+    assert len({(b, e) for _, (kind, b, e) in inner if kind == "assign"}) == 2
+    zipped = gzip.compress(b"nothing in here")
+    for data in (f"{SECRET} \n".encode() + zipped, zipped + b" middle " + gzip.compress(SECRET.encode()), zipped + f" {SECRET}".encode()):
+        _, inner, _, _ = secrets.scan(base64.b64encode(data).decode())
+        assert {kind for _, (kind, _, _) in inner} == {"assign"}
+
+
+def test_long_base64_takes_linear_time():
+    data = random.Random(1).randbytes(750_000)
+    begin = time.process_time()
+    secrets.scan(base64.b64encode(data).decode())
+    once = time.process_time() - begin
+    secrets.scan(base64.b64encode(data * 3).decode())
+    assert time.process_time() - begin - once < 6 * once + 1
+
+
 def test_a_cycle_ends():
     text = "%2525252541"
     _, _, opened, _ = secrets.scan(text)

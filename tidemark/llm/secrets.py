@@ -1,21 +1,24 @@
 """Secrets in texts, also under nested URL, Unicode, base64 and compressed encodings.
 
 A worklist holds the layers of a document, the text itself first. Each layer is scanned; every
-encoded part of it that decodes to text is a new layer, until no layer gives another. A layer whose
-content was seen before in the document is not entered again, which ends cycles. Every layer carries
-a map from its characters to code points of the text, through which spans found in it are reported.
+encoded part of it that decodes to text is a new layer, until no layer gives another. A layer is not
+entered again where the same content stood for the same stretch of the text before, which ends cycles; the same
+content elsewhere in the text is entered for each place. Every layer carries a map from its
+characters to code points of the text, through which spans found in it are reported.
 
 Escapes (`%41`, `\\u0041`, `\\x41`, `&#65;`) are decoded over a whole layer, so that a secret may be
 partly escaped. Base64 runs of 16 and more characters, also over line breaks, become layers of their own, in each of
 the four alignments, since other characters may be glued on before; their bytes are
-decompressed (gzip, zlib, bzip2, xz, zstandard; nested too, and several members in a row) and are read as UTF-8, UTF-16 or else Latin-1.
-Every layer is scanned; one that does not read as text counts as a layer only if it holds a span. What
+decompressed (gzip, zlib, bzip2, xz, zstandard; nested too, several members in a row, and each of the parts that stand
+between other bytes) and are read as UTF-8, UTF-16 or else Latin-1; bytes beside compressed parts are read
+with them. Every layer is scanned; one that does not read as text counts as a layer only if it holds a span. What
 decompression yields maps to the whole base64 run.
 
 Bounds: a part that would decompress to more than LAYER_BYTES, or past TOTAL_BYTES for a document, is
 left closed and counted in n_unopened; such parts are decompression bombs.
 
-Edge cases: null is the empty text; a lone surrogate escape stays as it is; the same kind, start and
+Edge cases: null is the empty text; repeated rows are scanned each; an empty table gives no rows; a very long text is scanned whole,
+in time that grows with its length; a lone surrogate escape stays as it is; the same kind, start and
 end found in several layers is one span.
 """
 
@@ -26,9 +29,9 @@ import bz2
 import hashlib
 import lzma
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ from tidemark.llm.common import pieces
 
 KINDS = ("assign", "access", "hex")
 LAYER_BYTES, TOTAL_BYTES = 64 << 20, 256 << 20
+FEED_BYTES = 1 << 16  # of compressed bytes at a time
 MOST_CONTROLS = 0.1  # of the characters of a layer that counts as text; others are scanned, but count if they hold a span
 VALUE_LENGTH, ACCESS_LENGTH, HEX_LENGTH, RUN_LENGTH = 8, 16, 32, 16
 
@@ -47,7 +51,11 @@ _KEYS = "|".join("".join(c if c in "_?" else f"[{c}{c.upper()}]" for c in word)
 ASSIGN = re.compile(rf"""(?:{_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rf"AKIA[A-Z0-9]{{{ACCESS_LENGTH - 4},}}")  # a longest run: what is shorter fails as a whole
 HEX = re.compile(rf"[0-9a-f]{{{HEX_LENGTH},}}")
-ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+# Each way begins with a plain character, by which a search skips what cannot begin an escape.
+ESCAPE = re.compile(
+    r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*|\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-f]{4})*|\\U[0-9A-Fa-f]{8}"
+    r"|\\x[0-9A-Fa-f]{2}(?:\\x[0-9A-Fa-f]{2})*|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+)
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}={{0,2}}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={{0,2}}")
@@ -123,43 +131,89 @@ class TooLarge(Exception):
     """A part would decompress beyond the bound."""
 
 
-def _member(data: bytes, most: int) -> tuple[bytes, bytes] | None:
-    """(content, bytes after it) of the compressed member that data begins with; None if there is none."""
+def _grown(parts: list[bytes], most: int) -> int:
+    size = sum(map(len, parts))
+    if size > most:
+        raise TooLarge
+    return size
+
+
+def _member(data: memoryview, most: int) -> tuple[bytes, int | None] | None:
+    """(content, bytes read) of the compressed member that data begins with; None if there is none.
+
+    The bytes read are None if the member does not end. Raises TooLarge beyond `most` bytes.
+    """
+    head = bytes(data[:6])
     try:
-        if data[:2] == b"\x1f\x8b":
-            tool = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            tool = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            tool = zstandard.ZstdDecompressor().decompressobj()
-            out = b""
+        if head[:4] == b"\x28\xb5\x2f\xfd":
             with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=False) as reader:
-                out = reader.read(most + 1)
-            if len(out) > most:
-                return out, b""
-            tool.decompress(data)  # of a size known by now; for what follows the frame
-            return out, tool.unused_data
+                _grown([reader.read(most + 1)], most)
+            tool, bounded = zstandard.ZstdDecompressor().decompressobj(), False  # of a size known by now
+        elif head[:2] == b"\x1f\x8b":
+            tool, bounded = zlib.decompressobj(31), True
+        elif head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+            tool, bounded = zlib.decompressobj(), True
+        elif head[:3] == b"BZh":
+            tool, bounded = bz2.BZ2Decompressor(), True
+        elif head == b"\xfd7zXZ\x00":
+            tool, bounded = lzma.LZMADecompressor(), True
         else:
             return None
-        return tool.decompress(data, most + 1), tool.unused_data
+        parts: list[bytes] = []
+        for at in range(0, len(data), FEED_BYTES):
+            feed = bytes(data[at : at + FEED_BYTES])
+            while True:
+                left = most + 1 - _grown(parts, most)
+                parts.append(tool.decompress(feed, left) if bounded else tool.decompress(feed))
+                feed = getattr(tool, "unconsumed_tail", b"")
+                if tool.eof or not (feed or not getattr(tool, "needs_input", True)):
+                    break
+            if tool.eof:
+                _grown(parts, most)
+                return b"".join(parts), min(at + FEED_BYTES, len(data)) - len(tool.unused_data)
+            parts = [b"".join(parts)]
+        _grown(parts, most)
+        return b"".join(parts), None
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
         return None
 
 
-def inflate(data: bytes, most: int) -> bytes | None:
-    """One layer of compression removed, of all members in a row; None if there is none. Raises TooLarge beyond `most` bytes."""
-    parts, size = [], 0
-    while (member := _member(data, most - size)) is not None:
+def _inflated(data: memoryview, most: int) -> tuple[bytes, int | None] | None:
+    """As `_member`, of all members in a row, with zeros between them."""
+    parts, size, at, end = [], 0, 0, None
+    while (member := _member(data[at:], most - size)) is not None:
         parts.append(member[0])
         size += len(member[0])
-        if size > most:
-            raise TooLarge
-        data = member[1].lstrip(b"\0")  # padding between members
-    return b"".join(parts) if parts else None
+        end = None if member[1] is None else at + member[1]
+        if end is None:
+            break
+        at = end
+        while at < len(data) and data[at] == 0:
+            at += 1
+    return (b"".join(parts), end) if parts else None
+
+
+def inflate(data: bytes, most: int) -> bytes | None:
+    """One layer of compression removed, of all members in a row; None if there is none. Raises TooLarge beyond `most` bytes."""
+    found = _inflated(memoryview(data), most)
+    return found and found[0]
+
+
+def compressed_parts(data: bytes, most: int) -> Iterator[tuple[int, int, bytes | None]]:
+    """(begin, end, content) of each compressed part between other bytes; the content is None beyond `most` bytes in all."""
+    view, past = memoryview(data), 0
+    for begin in chain([0], (m.start() for m in MAGIC.finditer(data, 1))):
+        if begin < past:
+            continue
+        try:
+            found = _inflated(view[begin:], most)
+        except TooLarge:
+            yield begin, len(data), None
+            continue
+        if found is not None:
+            most -= len(found[0])
+            past = begin if found[1] is None else begin + found[1]
+            yield begin, len(data) if found[1] is None else past, found[0]
 
 
 def runs(layer: str) -> Iterator[tuple[str, np.ndarray, int]]:
@@ -190,16 +244,24 @@ def readable(data: bytes) -> tuple[str, np.ndarray, int, bool]:
         text, known = data[skip:].decode(coding), True
     except UnicodeDecodeError:
         text, coding, skip, known = data.decode("latin-1"), "latin-1", 0, False
-    sizes = np.fromiter((len(c.encode(coding)) for c in text), np.int64, len(text))
-    controls = sum(unicodedata.category(c) == "Cc" and c not in "\t\n\r\f\x1b" for c in text)
-    return text, sizes, skip, known and controls <= MOST_CONTROLS * len(text)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if coding == "utf-8":
+        sizes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    else:
+        sizes = np.ones(len(points), np.int64) if coding == "latin-1" else 2 + 2 * (points > 0xFFFF).astype(np.int64)
+    controls = ((points < 0x20) & ~np.isin(points, [0x09, 0x0A, 0x0C, 0x0D, 0x1B])) | ((points > 0x7E) & (points < 0xA0))
+    return text, sizes, skip, known and int(controls.sum()) <= MOST_CONTROLS * len(text)
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def scan(text: str) -> tuple[list[Span], list[tuple[str, Span]], int, int]:
     """(base spans, (path, span) found in layers, layers opened, parts left closed) of one text."""
     base = plain_spans(text)
     inner: list[tuple[str, Span]] = []
-    seen = {hashlib.blake2b(text.encode(), digest_size=16).digest()}
+    seen = {(_digest(text.encode()), 0, len(text))}
     work: list[tuple[str, str, np.ndarray | None, np.ndarray | None, bool]] = [(text, "", None, None, True)]
     opened = closed = total = 0
     shut: set[bytes] = set()
@@ -220,43 +282,39 @@ def scan(text: str) -> tuple[list[Span], list[tuple[str, Span]], int, int]:
                 begins, ends = lows[begins], highs[ends - 1]
             found.append((decoded, "escape", begins, ends, clean))
         for body, places, stop in runs(layer):
+            begin, end = root(int(places[0]), stop)
             for turn in range(4):  # a run may have characters glued on before it
-                data = base64_bytes(body[turn:])
-                name, tight = "base64", True
-                starts = [0, *(m.start() for m in MAGIC.finditer(data, 1))]
-                try:
-                    for start in starts:
-                        part = data[start:]
-                        inside = {hashlib.blake2b(part, digest_size=16).digest()}
-                        while (out := inflate(part, min(LAYER_BYTES, TOTAL_BYTES - total))) is not None:
-                            total += len(out)
-                            mark = hashlib.blake2b(out, digest_size=16).digest()
-                            if mark in inside:
-                                break
+                queue, inside = [(base64_bytes(body[turn:]), "base64")], set()
+                while queue:
+                    data, name = queue.pop()
+                    outside = len(data)
+                    for low, high, out in compressed_parts(data, min(LAYER_BYTES, TOTAL_BYTES - total)):
+                        if out is None:
+                            mark = _digest(data)
+                            closed += mark not in shut
+                            shut.add(mark)
+                            outside = 0 if low == 0 else outside
+                            continue
+                        total += len(out)
+                        outside -= high - low
+                        if (mark := _digest(out)) not in inside:
                             inside.add(mark)
-                            part, name, tight = out, name + "/inflate", False
-                        if not tight:
-                            data = part
-                            break
-                except TooLarge:
-                    mark = hashlib.blake2b(data, digest_size=16).digest()
-                    closed += mark not in shut
-                    shut.add(mark)
-                    continue
-                decoded, sizes, skip, reads = readable(data)
-                if not decoded:
-                    continue
-                begin, end = root(int(places[0]), stop)
-                if tight:
-                    after = skip + np.cumsum(sizes)
-                    first = places[turn + (after - sizes) * 4 // 3]
-                    past = places[np.minimum(turn + -(-after * 4 // 3), len(places)) - 1] + 1
-                    begins, ends = (first, past) if lows is None else (lows[first], highs[past - 1])
-                else:
-                    begins, ends = np.full(len(decoded), begin), np.full(len(decoded), end)
-                found.append((decoded, name, begins, ends, reads))
+                            queue.append((out, f"{name}/inflate"))
+                    if outside <= 0:  # nothing beside the compressed parts
+                        continue
+                    decoded, sizes, skip, reads = readable(data)
+                    if not decoded:
+                        continue
+                    if name == "base64":
+                        after = skip + np.cumsum(sizes)
+                        first = places[turn + (after - sizes) * 4 // 3]
+                        past = places[np.minimum(turn + -(-after * 4 // 3), len(places)) - 1] + 1
+                        begins, ends = (first, past) if lows is None else (lows[first], highs[past - 1])
+                    else:
+                        begins, ends = np.full(len(decoded), begin), np.full(len(decoded), end)
+                    found.append((decoded, name, begins, ends, reads))
         for decoded, name, begins, ends, reads in found:
-            mark = hashlib.blake2b(decoded.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            mark = _digest(decoded.encode("utf-8", "surrogatepass")), int(begins[0]), int(ends[-1])
             if mark not in seen:
                 seen.add(mark)
                 work.append((decoded, f"{path}/{name}" if path else name, begins, ends, reads))
