@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -10,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 4 << 20
@@ -44,6 +46,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`run`, but what it freed goes back to the system at its end: Spark uses workers again, also for other stages."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds): text i is bytes[bounds[i]:bounds[i + 1]]; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -96,6 +122,7 @@ def labelled_sample(
         .groupBy("doc_id")
         .agg(F.max(column).cast("long").alias("y"))
         .filter(~held_out("doc_id", modulus, remainder))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")  # labels may cover other documents too
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(4 * rows)
     )

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, text_buffers, written
+from tidemark.llm.common import frugal, pieces, quoted, text_buffers, written
 from tidemark.llm.words import grams, mix, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -156,7 +156,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, _h long, rid binary, signature binary")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, _h long, rid binary, signature binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -411,7 +411,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     least = least.filter("alike > 1").selectExpr("doc_id as _id", "least")
     rows = rows.join(least, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     fate = written(rows.selectExpr("doc_id as _id", "_h as _k", "kept and (least is null or least = _h) as stays", "n").filter("not stays or n > 1"), "fate")
-    full = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"))
+    full = docs.select(F.struct(*quoted(docs)).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"))
     same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k"))
     single = full.join(fate, same, "left_anti").select("_row.*")
     repeated = full.join(fate.filter("stays"), same, "left_semi").groupBy("_d", "_h").agg(F.first("_row").alias("_row"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, written
+from tidemark.llm.common import frugal, pieces, quoted, written
 from tidemark.llm.words import grams, last_of_text, word_hashes
 
 MASKS = ("11101011", "111111", "110110011", "101001111")
@@ -148,7 +148,7 @@ def stretches(docs: DataFrame, bits: np.ndarray, short: tuple[int, ...], reach:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_doc"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, _doc long, start long, words binary, seeds array<bigint>, places array<bigint>")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, _doc long, start long, words binary, seeds array<bigint>, places array<bigint>")
 
 
 def longest_run(equal: np.ndarray) -> tuple[int, int]:
@@ -233,5 +233,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that leak no item, with all their columns."""
     gone = written(found_leaks(docs, benchmark).select(F.col("_doc").alias("_gone")).distinct(), "leaking")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("_doc"))
+    rows = docs.select(F.struct(*quoted(docs)).alias("_row"), F.xxhash64("doc_id", "text").alias("_doc"))
     return rows.join(gone, F.col("_doc") == F.col("_gone"), "left_anti").select("_row.*")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import quoted, written
 
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)  # change of the weight from the middle of training to its end, relative
@@ -40,7 +40,7 @@ def words(text: str = "text") -> Column:
 def queued(docs: DataFrame) -> DataFrame:
     """Adds _source, _size, _hash, _cut to `_row`, the document."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    out = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), words().alias("_size"), key.alias("_hash"))
+    out = docs.select(F.struct(*quoted(docs)).alias("_row"), F.col("source").alias("_source"), words().alias("_size"), key.alias("_hash"))
     return out.withColumn("_cut", F.substring("_hash", 1, CUT_DIGITS))
 
 

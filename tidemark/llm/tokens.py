@@ -30,19 +30,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, pieces
+from tidemark.llm.common import frugal, new_path, pieces
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 18
-KNOWN_UNITS, KNOWN_TOKENS = 600_000, 800_000  # entries kept by a worker; more only costs time
+KNOWN = 250_000  # units, and parts of units, that a worker keeps for sure; more only cost time
+PLAIN = 0x300  # below this code point, letters are the same in every version of Unicode
 LEVEL = 3
 
 # The code points that the tokenizer's pattern takes for white space.
 WHITE_POINTS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 WHITE = "[" + "".join(map(chr, WHITE_POINTS)) + "]"
 BLACK = WHITE.replace("[", "[^")
+MARKS = set(".,;:!?()\"-/")  # each a part of its own after a word
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones as they are, others from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [byte for byte in range(256) if byte not in printable]
+    return {byte: chr(256 + i) for i, byte in enumerate(others)}
+
+
+BYTE_CHARACTERS = _byte_characters()
+BLANK = BYTE_CHARACTERS[0x20]
 _UNITS = re.compile(f"{WHITE}*{BLACK}+|{WHITE}+")
 
 INDEX = "shard int, chunk int, start_in_shard long, n_ids long, doc_ids array<{id}>, lengths array<long>, frames array<int>, planes binary"
@@ -64,23 +77,64 @@ class Encoder:
         path = tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         self.parts = regex.compile(public_tokenizers.PATTERN)
-        self.units: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.units, self.older_units = {}, {}
+        self.tokens, self.older_tokens = {}, {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         found = (x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
+    def _parts(self, unit: str) -> list[str]:
+        """What the tokenizer's pattern makes of a unit; a unit with letters that are not plain is left to the library."""
+        if not unit.isascii() and ord(max(unit)) >= PLAIN:
+            return [unit]
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isalpha():
+            return [unit]
+        if word[:-1].isalpha() and word[-1] in MARKS:
+            return [unit[:-1], unit[-1]]
+        return self.parts.findall(unit)
+
+    def _ids(self, part: str) -> bytes:
+        """The ids of a part, which the pattern leaves whole."""
+        if part.isascii() and part.isprintable():
+            written = part.replace(" ", BLANK)
+        else:
+            written = part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        found = [x.id for x in self.model.tokenize(written)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _token(self, part: str) -> bytes:
+        """As `_ids`, remembered; words are kept as units, other parts of units as tokens."""
+        known = self.tokens.get(part) or self.units.get(part)
+        if known is None:
+            known = self.tokens[part] = self.older_tokens.get(part) or self._ids(part)
+        return known
+
     def _learn(self, units: Iterable[str]) -> None:
-        cut = {unit: self.parts.findall(unit) if ord(max(unit)) < 0x300 else [unit] for unit in units}
-        if len(self.tokens) > KNOWN_TOKENS:
-            self.tokens.clear()
-        new = list(set(chain.from_iterable(cut.values())).difference(self.tokens))
-        self.tokens.update(zip(new, self.direct(new), strict=True))
-        get = self.tokens.__getitem__
-        for unit, parts in cut.items():
-            self.units[unit] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+        unsure = []
+        for unit in units:
+            known = self.older_units.get(unit)
+            if known is None:
+                parts = self._parts(unit)
+                if len(parts) > 1:
+                    known = b"".join(map(self._token, parts))
+                elif unit.isascii() or ord(max(unit)) < PLAIN:
+                    known = self.tokens.get(unit) or self._ids(unit)
+                else:
+                    unsure.append(unit)
+                    continue
+            self.units[unit] = known
+        self.units.update(zip(unsure, self.direct(unsure), strict=True))
+
+    def _forget(self) -> None:
+        """What was not used since as much again was learnt goes."""
+        if len(self.units) > KNOWN:
+            self.units, self.older_units = {}, self.units
+        if len(self.tokens) > KNOWN:
+            self.tokens, self.older_tokens = {}, self.tokens
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -92,8 +146,7 @@ class Encoder:
             else:
                 first, *rest = text.split(" ")
                 cut.append([first, *[f" {x}" for x in rest]] if first else [f" {x}" for x in rest])
-        if len(self.units) > KNOWN_UNITS:
-            self.units.clear()
+        self._forget()
         for i in whole:
             cut[i] = []
         missing = set(chain.from_iterable(cut)).difference(self.units)
@@ -191,7 +244,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, bits: b
     order = ["doc_id", "_h", "text"]
     rows = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions(*order).select("doc_id", "text")
-    rows.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(frugal(run), schema).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
@@ -230,7 +283,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "chunk"] + ["ids"] * with_ids
     schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, shard int, chunk int" + ", ids array<int>" * with_ids
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(frugal(run), schema)
 
 
 def token_output(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:

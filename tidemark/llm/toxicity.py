@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import fitted, held_out, labelled_sample, pieces
+from tidemark.llm.common import fitted, frugal, held_out, labelled_sample, pieces
 from tidemark.llm.words import grams, stem_hashes
 
 SHAPES = ((0,), (0, 1), (0, 2), (0, 3))  # word, pair, pairs over one and two words
@@ -142,7 +142,7 @@ def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
         for piece in pieces(batches):
             yield piece.filter(pa.array(scores(piece.column("text"), table, model.constant) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
