@@ -6,6 +6,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -307,3 +308,14 @@ def test_very_large_components_are_exact():
 def test_top_k_equals_sql(spark):
     con = connect("sf0.01")
     assert assert_same(QUERIES["op5_exact_top_k"](spark, "/root/testdata/sf0.01"), con, ORACLES["op5_exact_top_k"]) == 50
+
+
+def test_a_repeated_query_row_is_one_query_in_both_texts(spark):
+    rng = random.Random(3)
+    rows = [(i * 10, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(30)]
+    rows += [rows[0], rows[0], (50, [0.5, 0.25, 0.125, 1.0]), rows[7]]
+    con = duckdb.connect()
+    con.execute("create table embeddings(vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert assert_same(out, con, topk.oracle_sql()) == 5 * len({(i, tuple(v)) for i, v in rows if i % 50 == 0})

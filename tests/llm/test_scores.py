@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import quality, toxicity
+from tidemark.llm import quality, toxicity, words
 from tidemark.llm.common import labelled_sample, table
 from tidemark.llm.queries import QUERIES
 
@@ -55,6 +59,96 @@ def test_the_sample_is_bounded_repeatable_and_without_the_fold(spark):
     assert sum(zlib.crc32(str(known[t]).encode()) % 3 == 1 for t in first) <= 5  # copies of texts in the fold
 
 
+def test_the_sample_is_of_documents_though_labels_cover_others(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 4000, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", 3, 1, 20, 5000).count() == 20
+
+
+TEXTS = ["", "a", "one two three four five", "Né vu vu VU 12-ab", "x" * 300, "the quick brown fox " * 40, "y z " * 63 + "end", "ü" * 511]
+
+
+def plain_quality(model: quality.Model, text: str) -> float:
+    """The network of one text, window by window."""
+    raw = text.encode()
+    span = quality.PARTS * quality.STEP
+    blocks = max(1, -(-(len(raw) + span - quality.STEP) // quality.BLOCK))
+    whole = raw + bytes(blocks * quality.BLOCK - len(raw))
+    responses = {}
+    for begin in range(0, len(whole) - span + 1, quality.STEP):
+        values = np.concatenate([model.embedding[byte] for byte in whole[begin : begin + span]])
+        responses[begin] = values @ model.filters.reshape(-1, quality.FILTERS)
+    chunks = []
+    for block in range(max(1, blocks - 1)):
+        inside = [r for begin, r in responses.items() if block <= begin // quality.BLOCK <= block + 1]
+        chunks.append(np.maximum(np.max(inside, axis=0) + model.bias, 0))
+    logit = np.mean(chunks, axis=0) @ model.mean_weight + np.max(chunks, axis=0) @ model.max_weight + model.constant[0]
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_quality_scores_equal_plain_loops_whatever_the_neighbours():
+    model = quality.new_model()
+    expected = [plain_quality(model, t) for t in TEXTS]
+    for order in (range(8), reversed(range(8)), [0, 0, 3, 0, 7, 4, 5]):
+        at = list(order)
+        found = quality.scores(model, pa.array([TEXTS[i] for i in at]))
+        assert np.allclose(found, [expected[i] for i in at], atol=1e-5)
+
+
+def plain_features(text: str) -> set[int]:
+    """The buckets of one text: words, pairs, pairs over one and two words, stems."""
+    mask = 2**64 - 1
+    spelled = re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode())
+
+    def bucket(hashes: list[int], salt: int) -> int:
+        total = (salt * 2 + 1) * int(words._BASE) & mask
+        for h in hashes:
+            total = (total * 0xD1342543DE82EF95 + h) & mask
+            total ^= total >> 29
+        return int(words.mix(np.array([total], np.uint64))[0]) >> (64 - toxicity.BITS)
+
+    out = set()
+    for salt, shape in enumerate(toxicity.SHAPES):
+        for i in range(len(spelled) - max(shape)):
+            out.add(bucket([words.word_hash(spelled[i + k]) for k in shape], salt))
+    for salt, length in enumerate(toxicity.STEMS, len(toxicity.SHAPES)):
+        out |= {bucket([words.word_hash(w[:length])], salt) for w in spelled}
+    return out
+
+
+def test_toxicity_equals_plain_loops():
+    """Features, the FTRL update weight by weight, and the scores."""
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(30)] + ["é", "bad", "awful"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 40))) for _ in range(80)] + TEXTS
+    labels = np.array([int("bad" in t or "awful" in t) for t in texts])
+    model = toxicity.fit(pa.array(texts), labels)
+    rows = [sorted(plain_features(t)) for t in texts]
+    z, n = defaultdict(float), defaultdict(float)
+    alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+
+    def weight(key) -> float:
+        least = 0.0 if key is None else l1
+        if abs(z[key]) <= least:
+            return 0.0
+        return -(z[key] - math.copysign(least, z[key])) / ((beta + math.sqrt(n[key])) / alpha + (0.0 if key is None else l2))
+
+    order = np.random.default_rng(8)
+    for _ in range(toxicity.EPOCHS):
+        for i in order.permutation(len(rows)):
+            at = {key: weight(key) for key in [*rows[i], None]}
+            g = 1 / (1 + math.exp(-sum(at.values()))) - labels[i]
+            for key, w in at.items():
+                z[key] += g - (math.sqrt(n[key] + g * g) - math.sqrt(n[key])) / alpha * w
+                n[key] += g * g
+    kept = {key: weight(key) for key in z if key is not None and weight(key)}
+    assert set(model.buckets.tolist()) == set(kept) and 0 < len(kept) < len({k for r in rows for k in r})
+    assert np.allclose(model.weights, [kept[k] for k in model.buckets.tolist()], atol=1e-4) and abs(model.constant - weight(None)) < 1e-6
+    found = toxicity.scores(pa.array(texts), model.dense(), model.constant)
+    plain = [1 / (1 + math.exp(-sum(kept.get(k, 0.0) for k in row) - model.constant)) for row in rows]
+    assert np.allclose(found, plain, atol=1e-4)
+
+
 def test_gradients_are_those_of_the_loss():
     """Analytic against numeric derivatives of a few weights of each kind."""
     model = quality.new_model()

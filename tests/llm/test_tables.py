@@ -56,6 +56,21 @@ def test_rules_and_edge_cases(spark):
     assert {r.verdict for r in urls.judge(frame, known.limit(0)).collect() if r.rule is None} == {"allow"}
 
 
+@pytest.mark.parametrize("sections", [2, 12, 13, 40])
+def test_more_sections_turn_no_verdict(spark, sections):
+    """A bad, well-labelled section is told apart however many others its host has."""
+    pages = [(i, f"http://h.net/s{i % sections}/{i}") for i in range(100 * sections)] + [(10**6, "http://h.net/rare/1")]
+    labels = [(i, int(i % sections != 1), 0) for i in range(100 * sections)]
+    frame, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = urls.judge(frame, known)
+    con = duckdb.connect()
+    con.register("pages", frame.toPandas())
+    con.register("labels", known.toPandas())
+    assert assert_same(out, con, urls.oracle_sql()) == len(pages)
+    assert {r.verdict for r in out.collect() if r.path.startswith("/s1/")} == {"block"}
+    assert {r.verdict for r in out.collect() if not r.path.startswith("/s1/")} == {"allow"}
+
+
 def test_branches_are_compared_at_any_size(spark):
     rng = random.Random(8)
     rows = [(60_000, 125_000, 100_000, 10**6), (0, 10**9, 10**9, 3 * 10**9), (5 * 10**9, 10**10, 5 * 10**10, 10**11)]
@@ -221,6 +236,15 @@ def test_stages_do_what_their_operators_say(spark):
     assert sorted(map(str, whole.drop("shard", "chunk").collect())) == sorted(map(str, docs.drop("shard", "chunk").collect()))
 
 
+def test_any_column_names(spark):
+    """Columns beside those that are used keep their names and values, whatever they are."""
+    rows = [(i, f"words of text number {i} and some more of them", "en", f"s{i % 2}", 40, i, i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `c``d` int")
+    items = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
+    for out in (mixing.mixed(docs), dedup.distinct_documents(docs), leaks.unleaked(docs, items)):
+        assert out.columns == docs.columns and all(r["a.b"] == r.doc_id for r in out.collect())
+
+
 def test_registered_queries():
     assert [k for k in QUERIES if k.startswith("op")] == sorted((k for k in QUERIES), key=lambda k: int(k[2:].split("_")[0]))
     assert len(QUERIES) == 13 and set(ORACLES) < set(QUERIES) and corpus_pipeline.ORACLE_SQL is None

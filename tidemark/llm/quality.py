@@ -57,7 +57,11 @@ def new_model() -> Model:
 
 
 def padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, blocks before each text): each text padded with zero bytes to whole blocks, so that no window holds two texts."""
+    """(bytes, blocks before each text): each text padded with zero bytes to whole blocks.
+
+    The windows that begin in a text end in its padding; the last PARTS - 1 windows of a text's blocks begin in
+    the padding and would read the next text, so `pool` leaves them out.
+    """
     sizes = np.diff(bounds)
     blocks = (sizes + (PARTS - 1) * STEP + BLOCK - 1) // BLOCK
     first = np.concatenate(([0], np.cumsum(blocks)))
@@ -74,6 +78,8 @@ def pool(model: Model, data: np.ndarray, first: np.ndarray, where: bool = False)
     best = np.empty((total, FILTERS), np.float32)
     at = np.empty((total, FILTERS), np.int64) if where else None
     vectors = np.ascontiguousarray(model.embedding).view(np.complex128)[:, 0]  # one item a byte gathers fastest
+    lasts = np.zeros(total, bool)
+    lasts[first[1:] - 1] = True
     stretch = 128
     for start in range(0, total, stretch):
         stop = min(start + stretch, total)
@@ -86,6 +92,7 @@ def pool(model: Model, data: np.ndarray, first: np.ndarray, where: bool = False)
         for k in range(1, PARTS):
             response += parts[k : k + count, k * FILTERS : (k + 1) * FILTERS]
         response = response.reshape(stop - start, per, FILTERS)
+        response[lasts[start:stop], per - (PARTS - 1) :] = -np.inf
         best[start:stop] = response.max(1)
         if where:
             at[start:stop] = response.argmax(1) + (np.arange(start, stop) * per)[:, None]

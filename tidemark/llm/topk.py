@@ -204,10 +204,12 @@ with whole as (
   select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)) as v from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), queries as (
+  select row_number() over () as n, * from (select distinct vec_id, v from whole where vec_id % {modulus} = 0)
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0)))::bigint as score
-  from whole q, whole c where q.vec_id % {modulus} = 0 and q.vec_id <> c.vec_id
+  select q.n, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0)))::bigint as score
+  from queries q, whole c where q.vec_id <> c.vec_id
 )
-select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+select query_id, (row_number() over (partition by n order by score desc, vec_id))::int as rank, vec_id, score
 from scored qualify rank <= {k}
 """

@@ -1,10 +1,12 @@
 """URL verdicts: host and path rules first, else a tree of path templates per host with labelled purity.
 
-The tree is grown level by level over all pages of a host. At a node, a segment with more than
-MOST_CHILDREN different values is variable and becomes `*`. Otherwise every branch is compared with
-its node by the labels beneath both: a branch whose share of bad pages lies within two standard
-deviations of the node's is merged with its like into `~`; another keeps its own name. The template
-of a page is the path so written; the last level takes the rest of a longer path as one segment.
+The tree is grown level by level over all pages of a host. At a node, a segment with fewer than
+SUPPORT labelled pages beneath it is variable and becomes `*`, together with all of its kind. Every other
+branch, however many there are, is compared with its node by the labels beneath both: a branch whose
+share of bad pages lies within two standard deviations of the node's is merged with its like into `~`; another
+keeps its own name. So a branch's name depends on its own labels and the node's, not on how many
+neighbours it has. The template of a page is the path so written; the last level takes the rest of a longer
+path as one segment.
 
 A template is rejected when its share of bad labelled pages, smoothed with STRENGTH pages of the
 overall share, exceeds a half.
@@ -34,7 +36,7 @@ RULES = (
     ("com", "/de/", "block"),
 )
 LEVELS = 4
-MOST_CHILDREN = 12
+SUPPORT = 5
 STRENGTH = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"://([^/?#]*)([^?#]*)"
@@ -79,9 +81,8 @@ def grown(rows: DataFrame) -> DataFrame:
         segment = f"array_join(slice(segments, {LEVELS}, greatest(size(segments) - {level}, 1)), '/')" if last else f"segments[{level}]"
         rows = rows.selectExpr("*", f"if(size(segments) > {level}, {segment}, null) as segment")
         children = rows.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
-        few = nodes.filter(F.col("kids") <= MOST_CHILDREN)
-        steps = children.join(few, ["host", "template"]).selectExpr("host", "template", "segment", f"if({similar_at_any_size('b', 'l', 'all_b', 'all_l')}, '~', segment) as step")
+        nodes = children.groupBy("host", "template").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+        steps = children.filter(F.col("l") >= SUPPORT).join(nodes, ["host", "template"]).selectExpr("host", "template", "segment", f"if({similar_at_any_size('b', 'l', 'all_b', 'all_l')}, '~', segment) as step")
         rows = rows.join(steps, ["host", "template", "segment"], "left").selectExpr(
             "page_id", "host", "path", "labelled", "bad", "segments", "if(segment is null, template, concat(template, '/', coalesce(step, '*'))) as template"
         )
@@ -131,10 +132,10 @@ def oracle_sql(rules=RULES) -> str:
         levels += f"""
 , s{k} as (select *, case when len(segments) > {k} then {segment} end as segment from t{k}),
 c{k} as (select host, template, segment, sum(labelled) as l, sum(bad) as b from s{k} where segment is not null group by all),
-n{k} as (select host, template, count(*) as kids, sum(l) as all_l, sum(b) as all_b from c{k} group by all),
+n{k} as (select host, template, sum(l) as all_l, sum(b) as all_b from c{k} group by all),
 t{k + 1} as (
   select s.* exclude (template, segment),
-    case when s.segment is null then s.template when kids > {MOST_CHILDREN} then s.template || '/*'
+    case when s.segment is null then s.template when l < {SUPPORT} then s.template || '/*'
       when {similar("b", "l", "all_b", "all_l")} then s.template || '/~' else s.template || '/' || s.segment end as template
   from s{k} s left join c{k} c on s.host = c.host and s.template = c.template and s.segment = c.segment
   left join n{k} n on s.host = n.host and s.template = n.template
