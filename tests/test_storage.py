@@ -107,6 +107,13 @@ def test_functions_of_other_months(spark, year_month):
         assert_same(found, con, texts[name.removeprefix("tidemark_")])
 
 
+@pytest.mark.parametrize("name", table_functions.FUNCTIONS)
+def test_functions_make_no_pairs(spark, name):
+    plan = plan_of(contract.queries()[f"sql_{name}"](spark, SF))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
+        assert node not in plan
+
+
 def test_arguments_are_typed_and_reach_the_scan(spark, tmp_path):
     t = from_test_data(spark, SF)
     t.purchased_packages.write.parquet(f"{tmp_path}/p")
