@@ -36,7 +36,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 18
-KNOWN = 250_000  # units, and parts of units, that a worker keeps for sure; more only cost time
+KNOWN = 150_000  # units, and parts of units, that a worker keeps for sure; more only cost time
 PLAIN = 0x300  # below this code point, letters are the same in every version of Unicode
 LEVEL = 3
 
@@ -136,6 +136,10 @@ class Encoder:
         if len(self.tokens) > KNOWN:
             self.tokens, self.older_tokens = {}, self.tokens
 
+    def rest(self) -> None:
+        """Keep only what was used lately: between tasks the worker's memory is other stages' too."""
+        self.older_units, self.older_tokens = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         whole = [i for i, text in enumerate(texts) if any(s in text for s in self.special)]
@@ -240,6 +244,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, bits: b
                 held += len(found) // 4
         if held:
             yield chunk()
+        coder.rest()
 
     order = ["doc_id", "_h", "text"]
     rows = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
