@@ -135,6 +135,41 @@ def test_hot_group_is_not_expanded_into_pairs(spark, monkeypatch):
     assert sum(n for name, n in counts if name == "pairs") < 600 * 100
 
 
+def test_a_round_has_no_more_pairs_than_members(spark, monkeypatch):
+    """A family under the threshold: its buckets stay open, and each text meets many heads in every round."""
+    rng = random.Random(12)
+    base = " ".join(f"w{i}" for i in range(120))
+    texts = [edited(rng, base, rng.choice([0.004, 0.02])) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, plain = [], dedup.compared
+    monkeypatch.setattr(dedup, "compared", lambda pairs, *rest: (counts.append(pairs.count()), plain(pairs, *rest))[1])
+    assert dedup.near_duplicates(docs).count() == 500
+    assert len(counts) == 2 * len(dedup.PARTS) and 0 < max(counts) <= len(set(texts))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_linked_joins_up_what_all_pairs_would(seed):
+    rng = random.Random(seed)
+    base = [rng.randrange(2**32) for _ in range(rng.choice([1, 4, 60]))]
+    fresh = lambda: [x if rng.random() > 0.08 else rng.randrange(2**32) for x in base] + rng.sample(range(2**32), rng.randrange(len(base) // 4 + 1))
+    raw = lambda units: np.sort(np.array(units, np.uint32)).tobytes()
+    texts = [(f"{rng.randrange(40):02}".encode(), raw(fresh())) for _ in range(60)] + [(b"90", b""), (b"91", b""), (b"92", raw(base)), (b"93", raw(base))]
+    probes = [t for t in texts if t[0] > b"10"] + [(b"94", raw(rng.sample(range(2**32), 30)))]
+    want = {(max(a, b), min(a, b)) for (a, x), (b, y) in itertools.product(probes, texts) if a != b and dedup.similar(x, y)}
+    found = dedup.linked(probes, texts)
+
+    def classes(links: set) -> dict:
+        top = {c: c for pair in want for c in pair}
+        for a, z in links:
+            x, y = top[a], top[z]
+            top = {c: min(x, y) if t in (x, y) else t for c, t in top.items()}
+        return top
+
+    assert found <= want and classes(found) == classes(want)
+    assert len(found) == len(classes(want)) - len(set(classes(want).values()))  # a tree of links for each class, not all pairs
+    assert dedup.linked([], texts) == dedup.linked(probes, []) == set()
+
+
 @pytest.mark.parametrize("block", [dedup.BLOCK_BYTES, 20_000])
 def test_links_of_a_family_under_the_threshold_are_all_found(spark, monkeypatch, block):
     """Texts of one template just under the threshold, with a few links, whatever heads the buckets draw."""

@@ -13,15 +13,17 @@ whatever its length; ranks are doubled where a coordinate is still empty.
 Joining: texts of equal words are one representative. Representatives meet in buckets, by bands
 of 5 and of 10 coordinates (a pair at similarity 0.8 shares a bucket but for 5 in 100,000). A bucket is
 never expanded into pairs. In every round each bucket that still holds several components picks
-heads by hashes, members of other components are compared with them (first by agreement of
+heads by hashes; of the heads of other components, a member proposes itself to the one that it meets in most
+buckets, so a round has no more pairs than members. They are compared (first by agreement of
 signatures with wide margin, then exactly by their elements), and components are joined up. Later
 rounds part the buckets by up to three further coordinates, others each time, so that members meet
 heads ever more like them. All joins are by bucket or
 representative, which adaptive execution can split when one is hot.
 
 The rounds only make components fewer; what they leave is finished exactly. In every bucket of 5 coordinates
-(those of 10 are parts of them) that still holds several components, every text outside the most frequent one is
-compared with all texts of other components, by counting common elements in an index. A large bucket is cut
+(those of 10 are parts of them) that still holds several components, every text outside the most frequent one
+meets the texts of other components with which it shares one of its rarest elements (as many as a similar text
+cannot lack), and common elements are counted. Components once linked meet no more. A large bucket is cut
 into blocks of bytes, and each pair of blocks is a group of its own. So links are missed only between texts that
 share no bucket.
 
@@ -183,7 +185,7 @@ def bands(reps: DataFrame) -> DataFrame:
             rows = np.repeat(np.arange(len(drawn)), key.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column("rid").take(pa.array(rows)), pa.array(more.ravel())], ["band", "rid", "more"])
 
-    return reps.select("rid", "signature").mapInArrow(run, "band long, rid binary, more long")
+    return reps.select("rid", "signature").mapInArrow(frugal(run), "band long, rid binary, more long")
 
 
 def element_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -213,7 +215,7 @@ def element_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = [np.sort(units[a:b]).tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([_binary(rid[hit], 16), pa.array(out, pa.binary())], ["rid", "units"])
 
-    table = docs.select("text").mapInArrow(run, "rid binary, units binary")
+    table = docs.select("text").mapInArrow(frugal(run), "rid binary, units binary")
     return table.groupBy("rid").agg(F.first("units").alias("units"))
 
 
@@ -236,7 +238,7 @@ def compared(pairs: DataFrame, table: DataFrame, column: str, keep) -> DataFrame
             passed = [keep(x, y) for x, y in zip(batch.column("_a").to_pylist(), batch.column("_z").to_pylist(), strict=True)]
             yield batch.select(own).filter(pa.array(passed, pa.bool_()))
 
-    return both.mapInArrow(run, pairs.schema)
+    return both.mapInArrow(frugal(run), pairs.schema)
 
 
 def perhaps(a: bytes, z: bytes) -> bool:
@@ -298,14 +300,20 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
         heads = parts.groupBy("band", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), chosen).filter("lo <> hi")
         heads = heads.select("band", "part", F.explode(F.array_distinct(F.transform("heads", lambda h: F.struct(h["rid"], h["comp"])))).alias("head"))
         heads = heads.selectExpr("band", "part", "head.rid as head", "head.comp as head_comp")
-        pairs = parts.join(heads, ["band", "part"]).filter("comp <> head_comp")
-        pairs = pairs.selectExpr("rid as a", "head as z", "comp", "head_comp").distinct()
+        pairs = proposals(parts.join(heads, ["band", "part"]).filter("comp <> head_comp"))
         pairs = written(compared(pairs, digests, "digest", perhaps), "pairs")
         links = written(compared(pairs, table, "units", similar), "links")
         labels = joined_up(labels, links.selectExpr("comp as a", "head_comp as z"))
     return joined_up(labels, rest_of_links(buckets.filter("band & 1 = 1").join(labels, "rid").select("band", "rid", "comp"), table))
 
 
+def proposals(met: DataFrame) -> DataFrame:
+    """(a, z, comp, head_comp): of the heads that a member met (rid, comp, head, head_comp, a row for each meeting), the one it met most often."""
+    often = met.groupBy("rid", "comp", "head", "head_comp").agg(F.count("*").alias("n"))
+    best = often.groupBy("rid", "comp").agg(F.max(F.struct("n", F.xxhash64("head").alias("h"), "head", "head_comp")).alias("best"))
+    return best.selectExpr("rid as a", "best.head as z", "comp", "best.head_comp as head_comp")
+
+
 def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
     """`labels` with the components (a, z) that `links` joins as one."""
     links = written(links.distinct(), "joins")
@@ -316,23 +324,54 @@ def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.select("rid", F.coalesce(merged["comp"], labels["comp"]).alias("comp")), "labels")
 
 
+def ranges(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges that begin at `low`, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+
+
 def linked(probes: list[tuple[bytes, bytes]], members: list[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
-    """Pairs of components of similar texts, of `probes` with `members`, both (comp, units)."""
+    """Pairs of components that join up all similar texts of `probes` and `members`, both (comp, units).
+
+    Similar texts have at least SIMILARITY of either's units in common. So they have one in common among the
+    rest and one more of either's units, whatever the order of units: here the rarest come first.
+    """
     found: set[tuple[bytes, bytes]] = set()
-    numbers = {c: i for i, c in enumerate(dict.fromkeys(c for c, _ in members))}
-    of, named = np.array([numbers[c] for c, _ in members]), list(numbers)
+    probes, members = ([x for x in side if x[1]] for side in (probes, members))
+    if not probes or not members:
+        return found
+    numbers = {c: i for i, c in enumerate(dict.fromkeys(c for c, _ in members + probes))}
+    named, top = list(numbers), np.arange(len(numbers))  # top: what the links so far have joined
+    of = np.array([numbers[c] for c, _ in members])
     sizes = np.array([len(raw) // 4 for _, raw in members])
-    every, owner = np.frombuffer(b"".join(raw for _, raw in members), np.uint32), np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
+    first = lambda size: size - np.ceil(SIMILARITY * size - 1e-6).astype(np.int64) + 1
+    known, every, counts = np.unique(np.frombuffer(b"".join(raw for _, raw in members), np.uint32), return_inverse=True, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(known))
+    owner = np.repeat(np.arange(len(members)), sizes)
+    every = np.sort(owner * len(known) + rank[every]) - owner * len(known)
+    bounds = np.cumsum(sizes) - sizes
+    index = ranges(bounds, first(sizes))
+    index, holder = every[index], owner[index]
+    holder = holder[np.argsort(index, kind="stable")]
+    ends = np.cumsum(np.bincount(index, minlength=len(known)))
+    begins, hits = np.append(0, ends[:-1]), np.zeros(len(known), np.int64)
     for comp, raw in probes:
-        units = np.frombuffer(raw, np.uint32)
-        low, high = np.searchsorted(every, units, "left"), np.searchsorted(every, units, "right")
-        runs = high - low
-        at = np.arange(runs.sum()) + np.repeat(low - (np.cumsum(runs) - runs), runs)
-        common = np.bincount(owner[at], minlength=len(members))
-        near = (common >= SIMILARITY * (sizes + len(units) - common)) & (of != numbers.get(comp, -1))
-        found |= {(max(comp, named[i]), min(comp, named[i])) for i in np.unique(of[near])}
+        mine, units = numbers[comp], np.frombuffer(raw, np.uint32)
+        at = np.minimum(np.searchsorted(known, units), len(known) - 1)
+        own = np.sort(rank[at[known[at] == units]])
+        rare = own[: max(0, int(first(len(units))) - (len(units) - len(own)))]  # before them, units that no member has
+        met = np.unique(holder[ranges(begins[rare], ends[rare] - begins[rare])])
+        met = met[top[of[met]] != top[mine]]
+        met = met[(sizes[met] >= SIMILARITY * len(units)) & (len(units) >= SIMILARITY * sizes[met])]
+        if len(met) == 0:
+            continue
+        np.add.at(hits, own, 1)
+        common = np.add.reduceat(hits[every[ranges(bounds[met], sizes[met])]], np.cumsum(sizes[met]) - sizes[met])
+        hits[own] = 0
+        for other in np.unique(of[met[common >= SIMILARITY * (sizes[met] + len(units) - common)]]):
+            if top[other] != top[mine]:
+                found.add((max(comp, named[other]), min(comp, named[other])))
+                top[top == top[other]] = top[mine]
     return found
 
 
@@ -364,7 +403,7 @@ def rest_of_links(held: DataFrame, table: DataFrame) -> DataFrame:
         if sides[0] and sides[1] and (found := linked(sides[1], sides[0])):
             yield pairs(found)
 
-    return groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a binary, z binary")
+    return groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(frugal(run), "a binary, z binary")
 
 
 def digest(reps: DataFrame) -> DataFrame:
@@ -375,7 +414,7 @@ def digest(reps: DataFrame) -> DataFrame:
             drawn = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, DARTS)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), _binary(drawn.astype(np.uint8), DARTS)], ["rid", "digest"])
 
-    return reps.filter("length(signature) > 0").select("rid", "signature").mapInArrow(run, "rid binary, digest binary")
+    return reps.filter("length(signature) > 0").select("rid", "signature").mapInArrow(frugal(run), "rid binary, digest binary")
 
 
 def classified(docs: DataFrame) -> DataFrame:
