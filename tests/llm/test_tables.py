@@ -171,6 +171,26 @@ def test_remembered_units_give_the_library_s_ids(texts):
         assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_words_and_their_last_marks_give_the_library_s_ids():
+    words = ["a", "été", "it's", "o'", "x2", "½", "ª", "ˁ", "˄", "e\u0301", "漢", "a\n", "\n", "\u00a0", "3", "", "-a", "a_b", "日.本"]
+    marks = ["", ".", ",\"", "'", "''", "'s", "!'", "_", "$$$", "~`", "\u2026", "...\n", "\u00b7."]
+    units = [word + mark for word in words for mark in marks]
+    rng = random.Random(3)
+    texts = [unit for unit in units] + [f" {unit}" for unit in units] + [" ".join(rng.choices([x for x in units if x], k=40)) for _ in range(100)]
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    coder = tokens.Encoder(tokens.TOKENIZER)
+    for _ in range(2):  # the second time all units are known
+        for text, found in zip(texts, coder.encode(texts), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_an_encoder_at_rest_keeps_no_units():
+    coder = tokens.Encoder(tokens.TOKENIZER)
+    coder.encode(["some words, and 12 others."])
+    coder.rest()
+    assert not any(isinstance(x, dict) and x for x in vars(coder).values())
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("size", [0, 1, 7, tokens.BLOCK_IDS, tokens.BLOCK_IDS + 3])
 def test_planes_round_trip(bits, size):

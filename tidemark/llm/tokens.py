@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +31,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frugal, new_path, pieces
+from tidemark.llm.common import frugal, new_path, pieces, text_buffers
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 18
-KNOWN = 150_000  # units, and parts of units, that a worker keeps for sure; more only cost time
-PLAIN = 0x300  # below this code point, letters are the same in every version of Unicode
+KNOWN = 200_000  # units and parts of units that a task keeps for sure; more only cost time
+LINES = 256  # parts that the library gets at once
+TEXT_BYTES = 2 << 20  # of texts that are cut at once
+PLAIN = "\u0300"  # below this code point, letters are the same in every version of Unicode
 LEVEL = 3
 
 # The code points that the tokenizer's pattern takes for white space.
 WHITE_POINTS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 WHITE = "[" + "".join(map(chr, WHITE_POINTS)) + "]"
 BLACK = WHITE.replace("[", "[^")
-MARKS = set(".,;:!?()\"-/")  # each a part of its own after a word
+MARKS = string.punctuation
+PLAIN_WORD = np.array([chr(i).isalpha() or chr(i) in string.digits for i in range(ord(PLAIN))])  # by code point
 
 
 def _byte_characters() -> dict[int, str]:
@@ -55,6 +59,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 BYTE_CHARACTERS = _byte_characters()
+LINE_CHARACTERS = {byte: x for byte, x in BYTE_CHARACTERS.items() if byte != 0x0A}
 BLANK = BYTE_CHARACTERS[0x20]
 _UNITS = re.compile(f"{WHITE}*{BLACK}+|{WHITE}+")
 
@@ -62,10 +67,11 @@ INDEX = "shard int, chunk int, start_in_shard long, n_ids long, doc_ids array<{i
 
 
 class Encoder:
-    """A tokenizer of the library, with the ids of frequent units remembered.
+    """A tokenizer of the library, with the ids of frequent units and of their parts remembered.
 
     A unit is a run of white space and the run of other characters after it. The tokenizer's pattern
     never joins what lies on two sides of such a cut, so the ids of a text are those of its units.
+    The different units of many texts are found at once, and the library is asked for each new part of theirs.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -73,95 +79,184 @@ class Encoder:
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         path = tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
+        self.lines = Tokenizer(self.model)  # the model on each line of a text that is written as bytes
+        self.lines.pre_tokenizer = CharDelimiterSplit("\n")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int32)  # bytes of each id
+        self.sizes[[*vocabulary.values()]] = [len(x) for x in vocabulary]
         self.parts = regex.compile(public_tokenizers.PATTERN)
-        self.units, self.older_units = {}, {}
-        self.tokens, self.older_tokens = {}, {}
+        self.known, self.older = {}, {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         found = (x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def _parts(self, unit: str) -> list[str]:
-        """What the tokenizer's pattern makes of a unit; a unit with letters that are not plain is left to the library."""
-        if not unit.isascii() and ord(max(unit)) >= PLAIN:
-            return [unit]
-        word = unit[1:] if unit[0] == " " else unit
-        if word.isalpha():
-            return [unit]
-        if word[:-1].isalpha() and word[-1] in MARKS:
-            return [unit[:-1], unit[-1]]
-        return self.parts.findall(unit)
-
-    def _ids(self, part: str) -> bytes:
+        """What the tokenizer's pattern makes of a unit of plain characters."""
+        return [unit] if unit.isalpha() else self.parts.findall(unit)
+
+    def _single(self, part: str) -> bytes:
         """The ids of a part, which the pattern leaves whole."""
-        if part.isascii() and part.isprintable():
-            written = part.replace(" ", BLANK)
-        else:
-            written = part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        found = [x.id for x in self.model.tokenize(written)]
+        found = [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
         return struct.pack(f"<{len(found)}I", *found)
 
-    def _token(self, part: str) -> bytes:
-        """As `_ids`, remembered; words are kept as units, other parts of units as tokens."""
-        known = self.tokens.get(part) or self.units.get(part)
-        if known is None:
-            known = self.tokens[part] = self.older_tokens.get(part) or self._ids(part)
-        return known
-
-    def _learn(self, units: Iterable[str]) -> None:
-        unsure = []
-        for unit in units:
-            known = self.older_units.get(unit)
-            if known is None:
-                parts = self._parts(unit)
-                if len(parts) > 1:
-                    known = b"".join(map(self._token, parts))
-                elif unit.isascii() or ord(max(unit)) < PLAIN:
-                    known = self.tokens.get(unit) or self._ids(unit)
-                else:
-                    unsure.append(unit)
-                    continue
-            self.units[unit] = known
-        self.units.update(zip(unsure, self.direct(unsure), strict=True))
+    def _lines(self, parts: list[str], written: list[str]) -> None:
+        """Learn parts from the lines that write their bytes; where a part ends follows from the sizes of the ids."""
+        for start in range(0, len(parts), LINES):
+            lines = written[start : start + LINES]
+            ids = np.array(self.lines.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+            reached = np.cumsum(self.sizes[ids])
+            cuts = 4 * np.searchsorted(reached, ends, "right")
+            if int(ends[-1]) != (int(reached[-1]) if len(reached) else 0):  # bytes that the vocabulary lacks
+                self.known.update((part, self._single(part)) for part in parts[start : start + LINES])
+                continue
+            raw, at = ids.tobytes(), 0
+            for part, cut in zip(parts[start : start + LINES], cuts.tolist(), strict=True):
+                self.known[part] = raw[at:cut]
+                at = cut
+
+    def _learn_parts(self, parts: Iterable[str]) -> None:
+        printed, others = [], []
+        for part in parts:
+            if part.isascii() and part.isprintable():
+                printed.append(part)
+            elif "\n" in part:
+                self.known[part] = self._single(part)
+            else:
+                others.append(part)
+        if printed:
+            self._lines(printed, "\n".join(printed).replace(" ", BLANK).split("\n"))
+        if others:
+            self._lines(others, "\n".join(others).encode().decode("latin-1").translate(LINE_CHARACTERS).split("\n"))
+
+    def _remembered(self, units: set[str]) -> set[str]:
+        """The units that are not known; those known of old become known again."""
+        units = units.difference(self.known)
+        old = units.intersection(self.older)
+        self.known.update(zip(old, map(self.older.__getitem__, old), strict=True))
+        return units.difference(old)
+
+    def _of_units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit; those with letters that are not plain are left to the whole tokenizer."""
+        new = self._remembered(set(units))
+        words = [x for x in new if x[:1] == " " and x[1:].isalpha() and (x.isascii() or max(x) < PLAIN)]
+        unsure, cut, parts = [], {}, set()
+        for unit in new.difference(words):
+            if not unit.isascii() and max(unit) >= PLAIN:
+                unsure.append(unit)
+            else:
+                cut[unit] = self._parts(unit)
+                parts.update(cut[unit])
+        self._learn_parts(chain(words, self._remembered(parts).difference(words)))
+        get = self.known.__getitem__
+        for unit, own in cut.items():
+            self.known[unit] = b"".join(map(get, own))
+        self.known.update(zip(unsure, self.direct(unsure), strict=True))
+        return list(map(get, units))
 
     def _forget(self) -> None:
         """What was not used since as much again was learnt goes."""
-        if len(self.units) > KNOWN:
-            self.units, self.older_units = {}, self.units
-        if len(self.tokens) > KNOWN:
-            self.tokens, self.older_tokens = {}, self.tokens
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
 
     def rest(self) -> None:
-        """Keep only what was used lately: between tasks the worker's memory is other stages' too."""
-        self.older_units, self.older_tokens = {}, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        """Keep no units: between tasks the worker's memory is other stages' too, and few are worth it."""
+        self.known, self.older = {}, {}
+
+    def _spaced(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts in which each space begins a unit: none ends a text or follows another."""
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        words = split.flatten()
+        later = np.ones(len(words), bool)
+        later[bounds[:-1]] = False
+        firsts = words.filter(pa.array(~later)).to_pylist()
+        coded = words.filter(pa.array(later)).dictionary_encode()
+        (stems, stem_of), (tails, tail_of) = (_strings(x) for x in _stems(coded.dictionary))
+        found = self._of_units([f" {x}" for x in stems] + tails + firsts)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        pairs = np.stack([stem_of, tail_of + len(stems)], axis=1).reshape(-1)  # each different word: its stem and its tail
+        own = sizes[pairs].reshape(-1, 2).sum(axis=1)
+        head = len(stems) + len(tails)
+        ids = np.concatenate([_runs_of(ids, sizes, pairs), ids[len(ids) - sizes[head:].sum() :]])
+        sizes = np.concatenate([own, sizes[head:]])
+        which = np.empty(len(words), np.int32)
+        which[later] = coded.indices.to_numpy()
+        which[bounds[:-1]] = np.arange(len(own), len(sizes))
+        raw = _runs_of(ids, sizes, which).tobytes()
+        ends = np.cumsum(sizes[which])[bounds[1:] - 1]
+        return [raw[a:b] for a, b in pairwise([0, *(4 * ends).tolist()])]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        whole = [i for i, text in enumerate(texts) if any(s in text for s in self.special)]
-        cut: list[list[str]] = []
-        for text in texts:
-            if "  " in text or text[-1:] == " ":
-                cut.append(_UNITS.findall(text))
-            else:
-                first, *rest = text.split(" ")
-                cut.append([first, *[f" {x}" for x in rest]] if first else [f" {x}" for x in rest])
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
         self._forget()
-        for i in whole:
-            cut[i] = []
-        missing = set(chain.from_iterable(cut)).difference(self.units)
-        if missing:
-            self._learn(missing)
-        get = self.units.__getitem__
-        ids = [b"".join(map(get, units)) for units in cut]
-        for i, found in zip(whole, self.direct([texts[i] for i in whole]), strict=True):
-            ids[i] = found
+        whole = np.zeros(len(texts), bool)
+        for special in self.special:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        spaced = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)
+        kinds = np.where(whole, 0, np.where(spaced, 1, 2))
+        ids: list[bytes] = [b""] * len(texts)
+        for kind, run in enumerate((self.direct, self._runs, self._spaced)):
+            places = np.flatnonzero(kinds == kind)
+            if len(places):
+                some = texts.take(pa.array(places))
+                for i, found in zip(places.tolist(), run(some if kind == 2 else some.to_pylist()), strict=True):
+                    ids[i] = found
         return ids
 
+    def _runs(self, texts: list[str]) -> list[bytes]:
+        """The ids of any texts but those with special tokens."""
+        return [b"".join(self._of_units(_UNITS.findall(text))) for text in texts]
+
+
+def _runs_of(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """`ids` are runs of the given sizes: those runs that `which` names, one after the other."""
+    counts = sizes[which]
+    ends = np.cumsum(counts)
+    moved = (np.cumsum(sizes) - sizes)[which] - (ends - counts)
+    return ids[np.repeat(moved, counts) + np.arange(counts.sum())]
+
+
+def _strings(texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The different texts, none of which holds a space, and which of them each one is."""
+    coded = texts.dictionary_encode()
+    if len(texts) == 0:
+        return [], np.empty(0, np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")
+    return joined[0].as_py().split(" "), coded.indices.to_numpy()
+
+
+def _stems(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words without their last marks, and those marks.
+
+    After a plain letter or digit, the tokenizer's pattern takes such marks for a part of its own;
+    words where it may not are their own stems.
+    """
+    stems = pc.utf8_rtrim(words, MARKS)
+    data, bounds = text_buffers(words)
+    stops = bounds[:-1] + pc.binary_length(stems).to_numpy()
+    padded = np.concatenate([np.zeros(2, np.uint8), data])  # byte i is at i + 2
+    last, before = padded[stops + 1].astype(np.int32), padded[stops].astype(np.int32)
+    points = np.where((last >= 0x80) & (last < 0xC0) & (before >= 0xC2) & (before < 0xCC), (before & 0x1F) << 6 | last & 0x3F, np.where(last < 0x80, last, 0))
+    sure = PLAIN_WORD[points] & (stops > bounds[:-1])
+    stops = np.where(sure, stops, bounds[1:])
+    sizes = bounds[1:] - stops
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    marks = data[np.repeat(stops - ends[:-1], sizes) + np.arange(ends[-1])]
+    tails = pa.StringArray.from_buffers(len(words), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(marks))
+    return pc.if_else(pa.array(sure), stems, words), tails
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -231,10 +326,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, bits: b
                 ["shard", "chunk", "start_in_shard", "n_ids", "doc_ids", "lengths", "frames", "planes"],
             )
 
-        for piece in pieces(batches, most=1 << 20):
-            texts = pc.fill_null(piece.column("text"), "").to_pylist()
+        for piece in pieces(batches, most=TEXT_BYTES):
             names = piece.column("doc_id")
-            for i, found in enumerate(coder.encode(texts)):
+            for i, found in enumerate(coder.encode(pc.fill_null(piece.column("text"), ""))):
                 found += end
                 if held and held + len(found) // 4 > CHUNK_IDS:
                     yield chunk()
