@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -188,6 +189,20 @@ def test_windows_cover_the_whole_text():
         assert quality.scores(model, pa.array([base[:at] + "\x7f\x7f\x7f\x7f\x7f\x7f\x7f\x7f" + base[at + 8 :]]))[0] != plain
 
 
+def test_toxicity_s_fit_holds_few_documents_features(monkeypatch):
+    rng = random.Random(5)
+    texts = pa.array([" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(1500)])
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "BITS", 16)
+    features = sum(x.nbytes for i in range(0, 1500, 50) for x in toxicity._document_features(texts.slice(i, 50)))
+    monkeypatch.setattr(toxicity, "FEATURES_AT_ONCE", 50, raising=False)
+    tracemalloc.start()
+    toxicity.fit(texts, np.arange(1500) % 2)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < features, (most, features)
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_edge_cases(spark, module):
     rows = [(1, None, 0.5), (2, "", 0.5), (None, "idiot moron", None), (3, "word " * 100_000, 0.1), (3, "word " * 100_000, 0.1)]

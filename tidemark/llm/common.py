@@ -145,5 +145,5 @@ def fitted(sample: DataFrame, fit: Callable[[pa.Array, np.ndarray], object]):
             model = fit(found.column("text").combine_chunks(), found.column("y").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    models = sample.mapInArrow(run, "model binary").collect()
+    models = sample.mapInArrow(frugal(run), "model binary").collect()
     return pickle.loads(models[0]["model"]) if models else fit(pa.array([], pa.string()), np.empty(0, np.int64))

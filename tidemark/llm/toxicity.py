@@ -12,6 +12,7 @@ of both kinds the model has no weights and scores every text by the smoothed sha
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,10 @@ BITS = 20
 SAMPLE_ROWS = 8000
 SAMPLE_BYTES = 32_768
 EPOCHS = 4
+FEATURES_AT_ONCE = 256
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 THRESHOLD = 0.7
+PIECE_BYTES = 1 << 20  # of texts that are scored at once; a byte of text takes some 40 of features
 
 
 @dataclass(frozen=True)
@@ -67,15 +70,24 @@ def _document_features(texts: pa.Array) -> list[np.ndarray]:
 
 
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
-    """The model of the given texts, in memory; see `train` for the sample it gets."""
+    """The model of the given texts; see `train` for the sample it gets. Their features wait in a temporary file."""
     none = np.empty(0, np.int64), np.empty(0, np.float32)
     if len(labels) == 0 or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(*none, float(np.log(share / (1 - share))))
-    rows: list[np.ndarray] = []
-    step = 256
-    for start in range(0, len(texts), step):
-        rows += _document_features(texts.slice(start, step))
+    with tempfile.TemporaryFile() as kept:
+        bounds = [0]
+        for start in range(0, len(texts), FEATURES_AT_ONCE):
+            for found in _document_features(texts.slice(start, FEATURES_AT_ONCE)):
+                kept.write(found)
+                bounds.append(bounds[-1] + len(found))
+        kept.flush()
+        buckets = np.memmap(kept, np.int32, "r").view(np.ndarray) if bounds[-1] else np.empty(0, np.int32)
+        return _fit_rows(buckets, bounds, labels)
+
+
+def _fit_rows(buckets: np.ndarray, bounds: list[int], labels: np.ndarray) -> Model:
+    """The model of documents whose distinct buckets lie between the bounds."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
 
@@ -84,8 +96,8 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
 
     order = np.random.default_rng(8)
     for _ in range(EPOCHS):
-        for i in order.permutation(len(rows)):
-            at = rows[i]
+        for i in order.permutation(len(bounds) - 1):
+            at = buckets[bounds[i] : bounds[i + 1]]
             w = weight(z[at], n[at])
             bias = -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30)))
@@ -122,7 +134,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.dense()
-        for piece in pieces(batches):
+        for piece in pieces(batches, most=PIECE_BYTES):
             p = scores(piece.column("text"), table, model.constant)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), piece.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
@@ -131,7 +143,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -139,7 +151,7 @@ def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.dense()
-        for piece in pieces(batches):
+        for piece in pieces(batches, most=PIECE_BYTES):
             yield piece.filter(pa.array(scores(piece.column("text"), table, model.constant) < threshold))
 
     return docs.mapInArrow(frugal(run), docs.schema)
