@@ -354,3 +354,13 @@ def test_a_repeated_query_row_is_one_query_in_both_texts(spark):
     con.executemany("insert into embeddings values (?, ?)", rows)
     out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert assert_same(out, con, topk.oracle_sql()) == 5 * len({(i, tuple(v)) for i, v in rows if i % 50 == 0})
+
+
+def test_a_part_of_a_bucket_has_one_head_of_a_component(spark):
+    rows = [(band, f"{band}-{i}".encode(), comp.encode()) for band in range(20) for i, comp in enumerate("aaaaaaaabbbbc" if band else "aaaa")]
+    parts = spark.createDataFrame(rows, "band long, rid binary, comp binary").selectExpr("*", "named_struct('mask', 0L, 'rest', 0L) as part")
+    for round_ in (0, 1):
+        found = [(r.band, bytes(r.head), bytes(r.head_comp)) for r in dedup.heads_of(parts, round_).collect()]
+        assert {band for band, *_ in found} == set(range(1, 20)) and set(found) <= set(rows)
+        assert len({(band, comp) for band, _, comp in found}) == len(found)
+    assert len(found) > 19

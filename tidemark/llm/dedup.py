@@ -13,7 +13,7 @@ whatever its length; ranks are doubled where a coordinate is still empty.
 Joining: texts of equal words are one representative. Representatives meet in buckets, by bands
 of 5 and of 10 coordinates (a pair at similarity 0.8 shares a bucket but for 5 in 100,000). A bucket is
 never expanded into pairs. In every round each bucket that still holds several components picks
-heads by hashes; of the heads of other components, a member proposes itself to the one that it meets in most
+heads by hashes, one of a component; of the heads of other components, a member proposes itself to the one that it meets in most
 buckets, so a round has no more pairs than members. They are compared (first by agreement of
 signatures with wide margin, then exactly by their elements), and components are joined up. Later
 rounds part the buckets by up to three further coordinates, others each time, so that members meet
@@ -295,11 +295,7 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     for round_, masks in enumerate(PARTS):
         cut = F.explode(F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.col("more").bitwiseAND(m).alias("rest")) for m in masks)))
         parts = buckets.join(labels, "rid").select("band", "rid", "comp", cut.alias("part"))
-        first = lambda k: F.min(F.struct(F.xxhash64("rid", F.lit(100 * round_ + k)).alias("h"), "rid", "comp"))  # noqa: E731, B023
-        chosen = F.array(*(first(k) for k in range(HEADS if round_ else 1))).alias("heads")
-        heads = parts.groupBy("band", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), chosen).filter("lo <> hi")
-        heads = heads.select("band", "part", F.explode(F.array_distinct(F.transform("heads", lambda h: F.struct(h["rid"], h["comp"])))).alias("head"))
-        heads = heads.selectExpr("band", "part", "head.rid as head", "head.comp as head_comp")
+        heads = heads_of(parts, round_)
         pairs = proposals(parts.join(heads, ["band", "part"]).filter("comp <> head_comp"))
         pairs = written(compared(pairs, digests, "digest", perhaps), "pairs")
         links = written(compared(pairs, table, "units", similar), "links")
@@ -307,6 +303,15 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     return joined_up(labels, rest_of_links(buckets.filter("band & 1 = 1").join(labels, "rid").select("band", "rid", "comp"), table))
 
 
+def heads_of(parts: DataFrame, round_: int) -> DataFrame:
+    """(band, part, head, head_comp) of the parts (band, rid, comp, part) that hold several components: heads by hash, one of a component."""
+    first = lambda k: F.min(F.struct(F.xxhash64("rid", F.lit(100 * round_ + k)).alias("h"), "rid", "comp"))
+    chosen = F.array(*(first(k) for k in range(HEADS if round_ else 1))).alias("heads")
+    heads = parts.groupBy("band", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), chosen).filter("lo <> hi")
+    new = "filter(heads, (x, i) -> not exists(slice(heads, 1, i), y -> y.comp = x.comp))"
+    return heads.select("band", "part", F.explode(F.expr(new)).alias("head")).selectExpr("band", "part", "head.rid as head", "head.comp as head_comp")
+
+
 def proposals(met: DataFrame) -> DataFrame:
     """(a, z, comp, head_comp): of the heads that a member met (rid, comp, head, head_comp, a row for each meeting), the one it met most often."""
     often = met.groupBy("rid", "comp", "head", "head_comp").agg(F.count("*").alias("n"))
