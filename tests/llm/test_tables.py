@@ -191,6 +191,49 @@ def test_an_encoder_at_rest_keeps_no_units():
     assert not any(isinstance(x, dict) and x for x in vars(coder).values())
 
 
+class Counted:
+    """The library's tokenizer, with the lines it was given."""
+
+    def __init__(self, lines):
+        self.whole, self.given = lines, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.given += [line for text in texts for line in text.split("\n")]
+        return self.whole.encode_batch_fast(texts, **how)
+
+
+def test_plain_words_are_asked_once_and_never_handled_one_by_one(monkeypatch):
+    coder, handled = tokens.Encoder(tokens.TOKENIZER), []
+    of_units = coder._of_units
+    monkeypatch.setattr(coder, "_of_units", lambda units: handled.extend(units) or of_units(units))
+    coder.lines = Counted(coder.lines)
+    texts = ["Plain words, été 12 words.\nWords été! it's", "Plain words.\nMore plain words"]
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    for _ in range(2):
+        for text, found in zip(texts, coder.encode(texts), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert {x for x in handled if any(map(str.isalnum, x))} == {" it's"}
+    words = [x for x in coder.lines.given if x.isalpha()]
+    assert len(words) == len(set(words)) and {"Plain", "Words", "More", "Ġwords", "Ġplain"} <= set(words)
+
+
+@pytest.mark.parametrize("kept", [0, 1 << 30])
+@pytest.mark.parametrize("lacking", [False, True])
+def test_lines_and_plain_words_give_the_library_s_ids(monkeypatch, kept, lacking):
+    monkeypatch.setattr(tokens, "WORD_BYTES", kept)
+    monkeypatch.setattr(tokens, "LINES", 3)
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    coder, rng = tokens.Encoder(tokens.TOKENIZER), random.Random(7)
+    if lacking:  # the sizes of ids do not tell where words end
+        coder.sizes = np.zeros_like(coder.sizes)
+    parts = ["a", "word", "été", "ñ", "ʰ", "˿", "\u0300", "漢", "7", "12", "٣", "'s", "'", ".", ",", "\n", "\n", "\n\n", "\r\n", "\t", "\x85", " ", " ", " "]
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choices(parts, k=30)).split(" ")) for _ in range(10)]
+        texts += ["", "\n", "word", " word", "word.\nword", "word\n", "\nword", " word.\n\nword"]
+        for text, found in zip(texts, coder.encode(texts), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("size", [0, 1, 7, tokens.BLOCK_IDS, tokens.BLOCK_IDS + 3])
 def test_planes_round_trip(bits, size):

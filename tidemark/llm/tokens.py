@@ -38,9 +38,11 @@ END_ID = 0
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 18
 KNOWN = 200_000  # units and parts of units that a task keeps for sure; more only cost time
+WORD_BYTES = 32 << 20  # of plain words and their ids that a task keeps
 LINES = 256  # parts that the library gets at once
 TEXT_BYTES = 2 << 20  # of texts that are cut at once
 PLAIN = "\u0300"  # below this code point, letters are the same in every version of Unicode
+HIGH = PLAIN.encode()[0]  # bytes of plain characters are below this one
 LEVEL = 3
 
 # The code points that the tokenizer's pattern takes for white space.
@@ -60,6 +62,7 @@ def _byte_characters() -> dict[int, str]:
 
 BYTE_CHARACTERS = _byte_characters()
 LINE_CHARACTERS = {byte: x for byte, x in BYTE_CHARACTERS.items() if byte != 0x0A}
+LINE_POINTS = np.array([ord(LINE_CHARACTERS.get(byte, chr(byte))) for byte in range(256)], "<u4")
 BLANK = BYTE_CHARACTERS[0x20]
 _UNITS = re.compile(f"{WHITE}*{BLACK}+|{WHITE}+")
 
@@ -72,6 +75,7 @@ class Encoder:
     A unit is a run of white space and the run of other characters after it. The tokenizer's pattern
     never joins what lies on two sides of such a cut, so the ids of a text are those of its units.
     The different units of many texts are found at once, and the library is asked for each new part of theirs.
+    Plain words, which are most of the parts, stay in Arrow throughout; other units are strings of Python.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -91,7 +95,7 @@ class Encoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int32)  # bytes of each id
         self.sizes[[*vocabulary.values()]] = [len(x) for x in vocabulary]
         self.parts = regex.compile(public_tokenizers.PATTERN)
-        self.known, self.older = {}, {}
+        self.rest()
 
     def direct(self, texts: list[str]) -> list[bytes]:
         found = (x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
@@ -165,10 +169,81 @@ class Encoder:
         """What was not used since as much again was learnt goes."""
         if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
+        if self.words.nbytes + self.word_ids.nbytes + self.word_sizes.nbytes > WORD_BYTES:
+            self._no_words()
+
+    def _no_words(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.word_ids, self.word_sizes = np.empty(0, "<u4"), np.empty(0, np.int64)
 
     def rest(self) -> None:
         """Keep no units: between tasks the worker's memory is other stages' too, and few are worth it."""
         self.known, self.older = {}, {}
+        self._no_words()
+
+    def _new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of words that the pattern leaves whole and that hold no line end."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_buffer()
+        written = LINE_POINTS[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-32-le")  # a character for each byte
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64))
+        lines = (ends + np.arange(len(words)))[LINES - 1 :: LINES].tolist()  # ends of every so many lines
+        found = []
+        for start, end in pairwise([-1, *lines, len(written)]):
+            if start < end:
+                found.append(np.array(self.lines.encode_batch_fast([written[start + 1 : end]], add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate(found)
+        reached = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        cuts = np.searchsorted(reached, ends)
+        if reached[-1] != ends[-1] or (reached[cuts] != ends).any():  # bytes that the vocabulary lacks
+            raw = [self._single(x) for x in words.to_pylist()]
+            return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        return ids, np.diff(cuts, prepend=0)
+
+    def _of_plain(self, words: pa.Array) -> np.ndarray:
+        """Which of the kept words each one is; new ones are learnt."""
+        before = len(self.words)
+        coded = pa.concat_arrays([self.words, words]).dictionary_encode()
+        self.words = coded.dictionary  # begins with those of before
+        if len(self.words) > before:
+            ids, sizes = self._new_words(self.words[before:])
+            self.word_ids = np.concatenate([self.word_ids, ids])
+            self.word_sizes = np.concatenate([self.word_sizes, sizes])
+        return coded.indices.to_numpy()[before:]
+
+    def _of_words(self, words: pa.Array, spaced: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of words without spaces; before the first `spaced` of them there is one.
+
+        A single line end between other characters is a part of its own, and what follows it begins anew.
+        """
+        split = pc.split_pattern(words, "\n")
+        starts = split.offsets.to_numpy().astype(np.int64)
+        lines = split.flatten()
+        owner = np.repeat(np.arange(len(words)), np.diff(starts))
+        blank, last = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
+        blank[starts[:spaced]] = True
+        last[starts[1:] - 1] = True
+        stems, tails, plain = _stems(lines)
+        fine = np.logical_and.reduceat(plain, starts[:-1])
+        kept = fine[owner]
+        parts = pc.binary_join_element_wise(pc.if_else(pa.array(blank[kept]), " ", ""), stems.filter(pa.array(kept)), "")
+        stem_of = self._of_plain(parts)
+        cut = (fine | (np.diff(starts) == 1))[owner]
+        tails, tail_of = _strings(tails.filter(pa.array(cut)))
+        odd = np.flatnonzero(~fine)
+        at = starts[odd]
+        rest = pc.if_else(pa.array(cut[at]), stems.take(pa.array(at)), words.take(pa.array(odd))).to_pylist()
+        others = [f" {x}" if i < spaced else x for i, x in zip(odd.tolist(), rest, strict=True)]
+        found = self._of_units(["", "\n", *tails, *others])
+        ids = np.concatenate([self.word_ids, np.frombuffer(b"".join(found), "<u4")])
+        sizes = np.concatenate([self.word_sizes, np.fromiter(map(len, found), np.int64, len(found)) // 4])
+        nothing = len(self.words)
+        which = np.full((len(lines), 3), nothing, np.int32)  # of each line its stem, its tail and its end
+        which[kept, 0] = stem_of
+        which[cut, 1] = tail_of + (nothing + 2)
+        which[kept & ~last, 2] = nothing + 1
+        which[at, 0] = np.arange(len(odd)) + (nothing + 2 + len(tails))
+        own = np.add.reduceat(sizes[which].sum(axis=1), starts[:-1])
+        return _runs_of(ids, sizes, which.reshape(-1)), own
 
     def _spaced(self, texts: pa.Array) -> list[bytes]:
         """The ids of texts in which each space begins a unit: none ends a text or follows another."""
@@ -178,20 +253,13 @@ class Encoder:
         words = split.flatten()
         later = np.ones(len(words), bool)
         later[bounds[:-1]] = False
-        firsts = words.filter(pa.array(~later)).to_pylist()
         coded = words.filter(pa.array(later)).dictionary_encode()
-        (stems, stem_of), (tails, tail_of) = (_strings(x) for x in _stems(coded.dictionary))
-        found = self._of_units([f" {x}" for x in stems] + tails + firsts)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), "<u4")
-        pairs = np.stack([stem_of, tail_of + len(stems)], axis=1).reshape(-1)  # each different word: its stem and its tail
-        own = sizes[pairs].reshape(-1, 2).sum(axis=1)
-        head = len(stems) + len(tails)
-        ids = np.concatenate([_runs_of(ids, sizes, pairs), ids[len(ids) - sizes[head:].sum() :]])
-        sizes = np.concatenate([own, sizes[head:]])
+        spaced = len(coded.dictionary)
+        firsts = words.take(pa.array(bounds[:-1]))
+        ids, sizes = self._of_words(pa.concat_arrays([coded.dictionary, firsts]), spaced)
         which = np.empty(len(words), np.int32)
         which[later] = coded.indices.to_numpy()
-        which[bounds[:-1]] = np.arange(len(own), len(sizes))
+        which[bounds[:-1]] = np.arange(spaced, len(sizes))
         raw = _runs_of(ids, sizes, which).tobytes()
         ends = np.cumsum(sizes[which])[bounds[1:] - 1]
         return [raw[a:b] for a, b in pairwise([0, *(4 * ends).tolist()])]
@@ -237,8 +305,8 @@ def _strings(texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return joined[0].as_py().split(" "), coded.indices.to_numpy()
 
 
-def _stems(words: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Words without their last marks, and those marks.
+def _stems(words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Words without their last marks, those marks, and whether the rest is plain letters or digits alone.
 
     After a plain letter or digit, the tokenizer's pattern takes such marks for a part of its own;
     words where it may not are their own stems.
@@ -255,7 +323,10 @@ def _stems(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     ends = np.concatenate([[0], np.cumsum(sizes)])
     marks = data[np.repeat(stops - ends[:-1], sizes) + np.arange(ends[-1])]
     tails = pa.StringArray.from_buffers(len(words), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(marks))
-    return pc.if_else(pa.array(sure), stems, words), tails
+    stems = pc.if_else(pa.array(sure), stems, words)
+    high = np.concatenate([[0], np.cumsum(data >= HIGH)])
+    plain = pc.or_(pc.utf8_is_alpha(stems), pc.ascii_is_decimal(stems)).to_numpy(zero_copy_only=False)
+    return stems, tails, plain & sure & (high[stops] == high[bounds[:-1]])
 
 
 _ENCODERS: dict[str, Encoder] = {}
