@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
+import tracemalloc
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -202,6 +206,51 @@ class Counted:
         return self.whole.encode_batch_fast(texts, **how)
 
 
+def test_ids_are_copied_a_few_runs_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 4, 50)
+    ids = np.arange(sizes.sum(), dtype="<u4")
+    runs = np.split(ids, np.cumsum(sizes)[:-1])
+    for count in (0, 1, 7, 8, 1000):
+        monkeypatch.setattr(tokens, "RUNS", 7, raising=False)
+        which = rng.integers(0, 50, count).astype(np.int32)
+        assert tokens._runs_of(ids, sizes, which).tolist() == [x for i in which for x in runs[i].tolist()]
+    monkeypatch.undo()
+    which = rng.integers(0, 50, 1_000_000).astype(np.int32)
+    tracemalloc.start()
+    found = tokens._runs_of(ids, sizes, which)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 2.5 * found.nbytes + 4e6, (most, found.nbytes)
+
+
+HELD = """
+import numpy as np, pyarrow as pa
+from tidemark.llm.common import frugal
+
+def held():
+    with open("/proc/self/status") as f:
+        return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) // 1024
+
+def run(batches):
+    for _ in batches:
+        np.ones(30 << 20, np.uint8)  # freed: glibc takes this for the size from which memory is mapped alone
+        before = held()
+        some = [np.ones(10 << 20, np.uint8) for _ in range(4)]
+        used = held() - before
+        del some
+        yield used, held() - before, pa.default_memory_pool().backend_name
+
+print(*next(frugal(run)(iter([None]))))
+"""
+
+
+def test_a_task_gives_large_arrays_back_at_once():
+    said = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    used, kept, pool = said.stdout.split()
+    assert int(used) > 35 and int(kept) < 5 and pool == "system", said.stdout
+
+
 def test_plain_words_are_asked_once_and_never_handled_one_by_one(monkeypatch):
     coder, handled = tokens.Encoder(tokens.TOKENIZER), []
     of_units = coder._of_units

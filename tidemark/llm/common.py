@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 4 << 20
+LARGE = 1 << 20  # bytes of memory that a worker maps alone, and so gives back as soon as they are free
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3  # of mallopt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,17 +57,25 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """`run`, but what it freed goes back to the system at its end: Spark uses workers again, also for other stages."""
+    """`run`, but what it frees goes back to the system: Spark uses workers again, also for other stages.
+
+    Large arrays of numpy and Arrow go back at once. By default glibc keeps up to 64 MB of them, having seen large ones
+    freed, and Arrow's allocator some more, which a task then holds beside what it needs. The rest goes back at the end.
+    """
 
     def whole(batches: Batches) -> Batches:
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(M_MMAP_THRESHOLD, LARGE)
+            libc.mallopt(M_TRIM_THRESHOLD, LARGE)
+            pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
 
     return whole
 

@@ -38,9 +38,10 @@ END_ID = 0
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 18
 KNOWN = 200_000  # units and parts of units that a task keeps for sure; more only cost time
-WORD_BYTES = 32 << 20  # of plain words and their ids that a task keeps
+WORD_BYTES = 8 << 20  # of plain words and their ids that a task keeps
 LINES = 256  # parts that the library gets at once
 TEXT_BYTES = 2 << 20  # of texts that are cut at once
+RUNS = 1 << 15  # whose ids are copied at once
 PLAIN = "\u0300"  # below this code point, letters are the same in every version of Unicode
 HIGH = PLAIN.encode()[0]  # bytes of plain characters are below this one
 LEVEL = 3
@@ -290,10 +291,13 @@ class Encoder:
 
 def _runs_of(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """`ids` are runs of the given sizes: those runs that `which` names, one after the other."""
-    counts = sizes[which]
-    ends = np.cumsum(counts)
-    moved = (np.cumsum(sizes) - sizes)[which] - (ends - counts)
-    return ids[np.repeat(moved, counts) + np.arange(counts.sum())]
+    starts, found = np.cumsum(sizes) - sizes, []
+    for at in range(0, len(which), RUNS):
+        some = which[at : at + RUNS]
+        counts = sizes[some]
+        ends = np.cumsum(counts)
+        found.append(ids[np.repeat(starts[some] - (ends - counts), counts) + np.arange(counts.sum())])
+    return np.concatenate(found) if found else ids[:0]
 
 
 def _strings(texts: pa.Array) -> tuple[list[str], np.ndarray]:
