@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -356,6 +360,77 @@ def test_a_repeated_query_row_is_one_query_in_both_texts(spark):
     assert assert_same(out, con, topk.oracle_sql()) == 5 * len({(i, tuple(v)) for i, v in rows if i % 50 == 0})
 
 
+def test_vectors_that_end_in_zeros_are_queries_of_their_own(spark):
+    rows = [(0, [1.0]), (0, [1.0, 0.0]), *((i, [i / 16, 0.5]) for i in range(1, 10))]
+    con = duckdb.connect()
+    con.execute("create table embeddings(vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert assert_same(out, con, topk.oracle_sql()) == 10
+
+
+@pytest.mark.parametrize("scale", [0.2, 90.0, 1e5])  # 24 bits, 53 bits, components beyond 16 bits
+def test_top_k_of_many_cells_equals_brute_force(spark, monkeypatch, scale):
+    for name, value in {"BLOCK_ROWS": 64, "QUERY_ROWS": 16, "SEED_ROWS": 8, "STRIPE": 32, "TILE": 4, "ANSWER_ROWS": 7, "IDLE": 1, "AGAIN": 3}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(3)
+    values = rng.standard_normal((600, 24)) * scale * np.exp(-np.arange(24) / 2)[rng.permutation(24)]
+    rows = [(i % 550, v.tolist()) for i, v in enumerate(values)] + [(1000 + i, values[0].tolist()) for i in range(60)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 3)
+    found = defaultdict(list)
+    for r in sorted(out.collect(), key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.score, r.vec_id))
+    ids, whole = np.array([i for i, _ in rows]), np.floor(256 * np.array([v for _, v in rows]))
+    for q in (q for q in range(len(rows)) if ids[q] % 5 == 0 and (ids == ids[q]).sum() == 1):
+        scores = whole @ whole[q]
+        others = np.flatnonzero(ids != ids[q])
+        best = others[np.lexsort((ids[others], -scores[others]))[:3]]
+        assert found[ids[q]] == [(int(scores[c]), int(ids[c])) for c in best]
+
+
+def test_bounds_leave_candidates_out(monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 8)
+    rng = np.random.default_rng(4)
+    values = np.rint(rng.standard_normal((64, 5000)) * 100 * np.exp(-np.arange(64) / 6)[:, None])
+    ids, made = np.arange(5000), []
+    best = topk.Best(ids[:16], values[:, :16], np.full(16, -np.inf), 5)
+    summed = best._sums
+    monkeypatch.setattr(best, "_sums", lambda *a: made.append(summed(*a)) or made[-1])
+    best.add(ids, values)
+    scores = values[:, :16].T @ values
+    np.fill_diagonal(scores, -np.inf)
+    assert [x.tolist() for x in np.split(best.answer()[2], 16)] == np.sort(scores)[:, :-6:-1].tolist()
+    assert min(len(at) for at, _ in made) < 500
+
+
+def test_cells_of_a_grid():
+    for total, asked, wide in ((0, 0, 0), (1, 1, 128), (10**6, 1, 128), (15 * 10**6, 3 * 10**5, 128), (10**6, 10**6, 128), (7 * 10**5, 14_000, 8192)):
+        lanes, rows = topk.grid(total, asked, wide)
+        assert asked <= rows * topk.QUERY_ROWS and asked * wide <= rows * topk.QUERY_BYTES
+        assert 1 <= lanes <= max(topk.LANES, total // topk.LANE_ROWS)
+        assert lanes <= topk.LANES or asked * lanes <= total * rows
+
+
+LOW_MEMORY = """
+from pyspark.sql import SparkSession
+from tidemark.llm import topk
+
+topk.BLOCK_ROWS = 16
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+rows = spark.range(0, 40_000, 1, 4).selectExpr("id as vec_id", "transform(sequence(1, 64), i -> (xxhash64(id, i) % 1000) / 4000d) as embedding")
+rows.write.parquet("{0}/vectors")
+out = topk.top_k(spark.read.parquet("{0}/vectors"))
+out.write.parquet("{0}/found")
+print("ROWS", spark.read.parquet("{0}/found").count())
+"""
+
+
+def test_queries_that_meet_many_candidates_fit_a_small_heap(tmp_path):
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 500m pyspark-shell", "PYTHONPATH": str(Path(topk.__file__).parents[2]), "SPARK_LOCAL_IP": "127.0.0.1"}
+    done = subprocess.run([sys.executable, "-c", LOW_MEMORY.format(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 4000" in done.stdout, done.stderr[-2000:]
+
+
 def test_a_part_of_a_bucket_has_one_head_of_a_component(spark):
     rows = [(band, f"{band}-{i}".encode(), comp.encode()) for band in range(20) for i, comp in enumerate("aaaaaaaabbbbc" if band else "aaaa")]
     parts = spark.createDataFrame(rows, "band long, rid binary, comp binary").selectExpr("*", "named_struct('mask', 0L, 'rest', 0L) as part")
